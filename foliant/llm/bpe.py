@@ -202,11 +202,13 @@ def _joined(flat: pa.Array, offsets: np.ndarray, by: str | bytes) -> pa.Array:
     return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat), pa.scalar(by, flat.type))
 
 
-def round_trip(docs: DataFrame, ranks: list[tuple[bytes, int]], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, ranks: list[tuple[bytes, int]], pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Encode and decode every whole text.
 
-    Returns id, n_tokens long, ids string (decimal ids joined by one space) and decoded binary.
+    Returns id, the columns in keep, n_tokens long, ids string (decimal ids joined by one space)
+    and decoded binary.
     """
+    kept = [id_col, *(keep or [])]
     name = hashlib.sha256(repr(ranks).encode()).hexdigest()
     shared = docs.sparkSession.sparkContext.broadcast(ranks)  # a fixed vocabulary, however large the corpus
 
@@ -223,24 +225,25 @@ def round_trip(docs: DataFrame, ranks: list[tuple[bytes, int]], pattern: str, id
                 which = flat.indices
                 total = np.concatenate([[0], np.cumsum(n[np.asarray(which)], dtype=np.int64)])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, end - start), pa.array(np.diff(total[offsets])), _joined(ids.take(which), offsets, " "), _joined(decoded.take(which), offsets, b"")],
-                    names=[id_col, "n_tokens", "ids", "decoded"],
+                    [c.slice(start, end - start) for c in batch.columns[2:]]
+                    + [pa.array(np.diff(total[offsets])), _joined(ids.take(which), offsets, " "), _joined(decoded.take(which), offsets, b"")],
+                    names=[*kept, "n_tokens", "ids", "decoded"],
                 )
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     split = docs.select(
-        F.col(id_col),
         F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(0)).alias("pieces"),
         # Characters that the JVM's Unicode tables do not know yet: those texts are split in Python.
         F.when(text.rlike(r"\p{Cn}"), text).alias("rest"),
+        *[F.col(c) for c in kept],
     )
-    kind = dict(docs.dtypes)[id_col]
-    return split.mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids string, decoded binary")
+    kinds = dict(docs.dtypes)
+    return split.mapInArrow(run, f"{', '.join(f'`{c}` {kinds[c]}' for c in kept)}, n_tokens bigint, ids string, decoded binary")
 
 
 def _words(batch: pa.RecordBatch, pattern: str) -> pa.ListArray:
     """The pieces of each text, with those replaced that have to be split by newer Unicode tables."""
-    words, rest = batch.column(1), batch.column(2)
+    words, rest = batch.column(0), batch.column(1)
     if rest.null_count == len(rest):
         return words
     import regex

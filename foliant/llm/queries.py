@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash
+from . import bpe, chroma, hosts, licenses, minhash, mixing, neighbours, quality, suffix, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,9 +32,62 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), n=3, percent=85)
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules and host reputation for all pages; a page's review is the label of the same number."""
+    labels = _table(spark, sf_dir, "labels")
+    bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)
+    return hosts.judge(_table(spark, sf_dir, "pages"), labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")))
+
+
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that the mix takes of each document."""
+    return mixing.taken_words(_table(spark, sf_dir, "documents"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License labels of all documents."""
+    return licenses.license_labels(_table(spark, sf_dir, "documents"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and probability of the best grade of all documents."""
+    return quality.grade(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, as read back from the archives that they were written to."""
+    return warc.round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes that repeated passages of 100 bytes or more take from each document."""
+    return suffix.digests(_table(spark, sf_dir, "documents"))
+
+
+def op9_chroma_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and alignments of synthetic recordings, one for each row of embeddings.
+
+    Queries are the recordings whose id is divisible by 50, against all.
+    """
+    media = chroma.synthetic_media(_table(spark, sf_dir, "embeddings"))
+    return chroma.matches(media, lambda i: i % 50 == 0)
+
+
+def op10_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows found for each row of embeddings whose vec_id is divisible by 20."""
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_byte_bpe": op1_byte_bpe,
-    "op2_minhash_dedup": op2_minhash_dedup,
+    f.__name__: f
+    for f in (
+        op1_byte_bpe, op2_minhash_dedup, op3_url_filter, op4_source_mix, op5_license_scan,
+        op6_quality_classifier, op7_warc_archive, op8_suffix_dedup, op9_chroma_match, op10_hilbert_neighbours,
+    )
+}
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_url_filter": hosts.oracle(),
+    "op4_source_mix": mixing.ORACLE,
+    "op7_warc_archive": warc.ORACLE,
 }
-
-ORACLE_SQL: dict[str, str] = {}
