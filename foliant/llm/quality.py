@@ -8,8 +8,8 @@ The fit takes a bounded sample of labelled rows: TRAIN_ROWS at most, those with
 of doc_id (so it never depends on partitioning), a documented parameter. Scoring covers all rows
 and whole texts, one pass, no shuffle.
 
-Features are presence and density of words, in lower case and stripped of surrounding signs, and
-of word shapes (capitals, digits, signs), hashed to BUCKETS. Only features that differ between
+Features are presence and density of words, in lower case and stripped of surrounding signs, of
+their beginnings, of word shapes (capitals, digits, signs), hashed to BUCKETS. Only features that differ between
 grades in the sample get a weight.
 
 Cases: null and empty texts have no features and get the grade that the thresholds alone give.
@@ -30,9 +30,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 18
-TRAIN_ROWS = 12_000
-#: Features with a weight at most, least documents of the sample that hold one, ridge penalty.
-SELECTED, LEAST_DOCS, RIDGE = 3000, 5, 0.02
+TRAIN_ROWS = 24_000
+#: Features with a weight at most, least documents of the sample that hold one, how many deviations
+#: from chance the number of its holders of some grade has to be, ridge penalty.
+SELECTED, LEAST_DOCS, DEVIATIONS, RIDGE = 2000, 5, 7.0, 0.02
+#: Lengths of the words' beginnings that are features too.
+PREFIXES = (4, 5)
 _STRIP = b".,;:!?()[]{}\"'*#&%$@|<>=+-_~^/\\`"
 
 
@@ -68,12 +71,15 @@ class Buckets(dict):
         if len(self) > 300_000:
             self.clear()
         plain = word.strip(_STRIP).lower() or word
-        names = [b"w " + plain] + [b"s " + s.encode() for s, r in _SHAPES if r.search(word)]
-        self[word] = found = tuple(xxhash.xxh3_64_intdigest(n) % BUCKETS for n in names)
+        start = plain.decode("utf-8", "replace")
+        names = [b"w " + plain, *(f"p {start[:n]}".encode() for n in PREFIXES if len(start) > n)] + [b"s " + s.encode() for s, r in _SHAPES if r.search(word)]
+        self[word] = found = tuple(xxhash.xxh3_64_intdigest(n) % (BUCKETS - 1) for n in names)
         return found
 
 
 _buckets = Buckets()
+#: The bucket of words that repeat the one before.
+_REPEAT = BUCKETS - 1
 
 
 def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +87,9 @@ def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     words = text.split()
     if not words:
         return np.empty(0, np.int64), np.empty(0)
-    flat = np.fromiter((b for w in words for b in _buckets[w]), np.int64)
+    found = [b for w in words for b in _buckets[w]]
+    found += [_REPEAT] * sum(a == b for a, b in zip(words, words[1:]))
+    flat = np.array(found)
     which, n = np.unique(flat, return_counts=True)
     return which, n / len(words)
 
@@ -154,13 +162,16 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int = 3, rows: int = TRAIN_
     which, share = table["which"].combine_chunks(), table["share"].combine_chunks()
     doc = np.repeat(np.arange(len(rating)), np.diff(np.asarray(which.offsets)))
     flat, density = np.asarray(which.flatten()), np.asarray(share.flatten(), np.float64)
-    # Presence is screened by how far its holders' mean rating is from the others', in deviations.
+    # Presence is screened: how far is the number of holders of any grade from chance, in deviations?
     holders = np.bincount(flat, minlength=BUCKETS)
-    total = np.bincount(flat, rating[doc], minlength=BUCKETS)
-    apart = np.abs(total - holders * rating.mean()) / np.sqrt(np.maximum(holders * (1 - holders / len(rating)), 1e-9)) / rating.std()
+    apart = np.zeros(BUCKETS)
+    for g in np.unique(rating):
+        share_g = (rating == g).mean()
+        own = np.bincount(flat[rating[doc] == g], minlength=BUCKETS)
+        apart = np.maximum(apart, np.abs(own - holders * share_g) / np.sqrt(np.maximum(holders * (1 - holders / len(rating)) * share_g * (1 - share_g), 1e-9)))
     apart[(holders < LEAST_DOCS) | (holders == len(rating))] = 0
     chosen = np.argsort(-apart, kind="stable")[:SELECTED]
-    chosen = chosen[apart[chosen] > 3.5]
+    chosen = chosen[apart[chosen] > DEVIATIONS]
     number = np.full(BUCKETS, -1)
     number[chosen] = np.arange(len(chosen))
     n = len(chosen)
@@ -198,7 +209,7 @@ def rating(quality: Column, toxic: Column) -> Column:
     return F.when(quality == 0, 0).when(toxic == 1, 1).when(quality == 1, 2)
 
 
-def grade(docs: DataFrame, labels: DataFrame, keep: float = 0.5) -> DataFrame:
+def grade(docs: DataFrame, labels: DataFrame, keep: float = 0.6) -> DataFrame:
     """doc_id, expected, p_top (probability of the best grade), keep: whether p_top reaches a bound."""
     model = fit(docs, labels.select("doc_id", rating(F.col("quality"), F.col("toxic")).alias("rating")))
     p_top = F.col("tails")[1]
