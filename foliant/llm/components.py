@@ -25,7 +25,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         moved = moved.where(F.col("v") > F.col("n")).select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
         moved = moved.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("n").alias("a"), F.col("m").alias("b")))
-    return moved.where("a <> b").distinct()
+    moved = moved.where("a <> b")
+    return moved if large else moved.distinct()  # the second half of a round drops what is double
 
 
 def components(links: DataFrame) -> DataFrame:

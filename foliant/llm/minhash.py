@@ -30,11 +30,16 @@ from .components import components
 
 #: Size of the hash universe that the two permutations act on.
 UNIVERSE = 1 << 20
-#: 24 bands of 5 coordinates: a pair at 0.85 is missed with probability 8e-7, at 0.8 with 7e-5.
-BANDS, ROWS = 24, 5
-PIVOTS = 4
-#: Rounds with pivots, after which what is left in a bucket is compared without them.
-PIVOT_ROUNDS = 6
+#: 36 bands of 7 coordinates: a pair at 0.85 is missed with probability 9e-7, at 0.8 with 2e-4.
+BANDS, ROWS = 36, 7
+#: Coordinates; the lowest bit of each makes the sketch that tells hopeless pairs without their sets.
+COORDINATES = 256
+#: Deviations that a sketch may be off: links lost by it are far fewer than by the bands.
+SLACK = 7.0
+PIVOTS = 2
+#: Rounds with pivots, after which what is left in a bucket is compared without them; pairs per
+#: bucket member that may be left for that earlier.
+PIVOT_ROUNDS, FEW = 6, 40
 
 
 def _words(text: bytes) -> list[bytes]:
@@ -76,15 +81,16 @@ class Circulant:
 _circulant: dict[int, Circulant] = {}
 
 
-def _bands(items: np.ndarray) -> np.ndarray:
-    """One 64-bit bucket key for each band."""
-    circulant = _circulant.get(BANDS * ROWS) or _circulant.setdefault(BANDS * ROWS, Circulant(BANDS * ROWS))
-    parts = circulant.signature(items).astype(np.uint64).reshape(BANDS, ROWS)
+def _bands(items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One 64-bit bucket key for each band, and the sketch of COORDINATES bits."""
+    circulant = _circulant.get(COORDINATES) or _circulant.setdefault(COORDINATES, Circulant(COORDINATES))
+    signature = circulant.signature(items)
+    parts = signature[: BANDS * ROWS].astype(np.uint64).reshape(BANDS, ROWS)
     key = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     for k in range(ROWS):
         key = (key ^ parts[:, k]) * np.uint64(0x9E3779B97F4A7C15)
         key ^= key >> np.uint64(31)
-    return key.view(np.int64)
+    return key.view(np.int64), np.packbits(signature & 1).view(np.int64)
 
 
 def _texts(column: pa.Array) -> Iterator[bytes]:
@@ -93,24 +99,26 @@ def _texts(column: pa.Array) -> Iterator[bytes]:
 
 
 def signatures(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, same (128-bit digest of the set; null if empty), bands array<bigint>."""
+    """doc_id, n_shingles, same (128-bit digest of the set; null if empty), bands and sketch array<bigint>."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            sizes, same, bands = [], [], []
+            sizes, same, bands, sketches = [], [], [], []
             for text in _texts(batch.column(1)):
                 items = shingles(text, n)
                 sizes.append(len(items))
                 same.append(xxhash.xxh3_128_digest(items.tobytes()) if len(items) else None)
-                bands.append(_bands(items) if len(items) else None)
+                keys, sketch = _bands(items) if len(items) else (None, None)
+                bands.append(keys)
+                sketches.append(sketch)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(same, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "same", "bands"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(same, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
+                names=["doc_id", "n_shingles", "same", "bands", "sketch"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, "doc_id bigint, n_shingles bigint, same binary, bands array<bigint>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, "doc_id bigint, n_shingles bigint, same binary, bands array<bigint>, sketch array<bigint>")
 
 
 def sets(docs: DataFrame, n: int) -> DataFrame:
@@ -136,30 +144,41 @@ def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _close(percent: int):
-    """Sizes that allow the similarity at all."""
-    return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+#: What bucket members carry: id, set size, component and the sketch's four words.
+_MEMBER = ["doc_id", "n_shingles", "component", *(f"s{i}" for i in range(COORDINATES // 64))]
+
+
+def _hopeful(percent: int):
+    """Set sizes that allow the similarity at all, and sketches that don't speak against it."""
+    chance = (1 - percent / 100) / 2
+    most = COORDINATES * chance + SLACK * (COORDINATES * chance * (1 - chance)) ** 0.5
+    apart = sum((F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(COORDINATES // 64)), F.lit(0))
+    sizes = 100 * F.least("x.n_shingles", "y.n_shingles") >= percent * F.greatest("x.n_shingles", "y.n_shingles")
+    return (F.col("x.component") != F.col("y.component")) & sizes & (apart <= int(most))
+
+
+def _pair(found: DataFrame) -> DataFrame:
+    return found.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
 
 
 def _pivot_pairs(members: DataFrame, turn: int, percent: int) -> DataFrame:
     """Each member of a bucket with a few pivots of another component; minima, so no hot bucket."""
-    firsts = [F.min(F.struct(F.xxhash64("doc_id", F.lit(turn * PIVOTS + k)).alias("h"), F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("component").alias("cb"))).alias(f"p{k}") for k in range(PIVOTS)]
-    pivots = members.groupBy("bucket").agg(*firsts).select("bucket", F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)])).alias("pivots"))
-    found = members.join(pivots, "bucket").select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("component").alias("ca"), F.explode("pivots").alias("p")).select("a", "na", "ca", "p.b", "p.nb", "p.cb")
-    return found.where((F.col("ca") != F.col("cb")) & _close(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    one = lambda k: F.min(F.struct(F.xxhash64("doc_id", F.lit(turn * PIVOTS + k)).alias("h"), *_MEMBER))
+    pivots = members.groupBy("bucket").agg(F.array(*[one(k) for k in range(PIVOTS)]).alias("pivots"))
+    pivots = pivots.select("bucket", F.explode(F.array_distinct(F.transform("pivots", lambda p: F.struct(*[p[c].alias(c) for c in _MEMBER])))).alias("y"))
+    pivots = pivots.select("bucket", "y.*")
+    return _pair(members.alias("x").join(pivots.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & _hopeful(percent)))
 
 
 def _cross_pairs(members: DataFrame, percent: int) -> DataFrame:
     """All pairs of a bucket whose members are in different components."""
-    one = members.select("bucket", F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("component").alias("ca"))
-    two = members.select("bucket", F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("component").alias("cb"))
-    return one.join(two, "bucket").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _close(percent)).select("a", "b").distinct()
+    return _pair(members.alias("x").join(members.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.doc_id") < F.col("y.doc_id")) & _hopeful(percent)))
 
 
 def _relabel(members: DataFrame, groups: DataFrame) -> DataFrame:
     """Members with their components brought up to date, in buckets that are not one component yet."""
-    now = members.join(groups.withColumnRenamed("node", "doc_id").withColumnRenamed("component", "found"), "doc_id", "left")
-    now = now.select("bucket", "doc_id", "n_shingles", F.coalesce("found", "doc_id").alias("component"))
+    now = members.join(groups.select(F.col("node").alias("doc_id"), F.col("component").alias("found")), "doc_id", "left")
+    now = now.withColumn("component", F.coalesce("found", "doc_id")).drop("found")
     open_ = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
     return now.join(open_, "bucket")
 
@@ -175,13 +194,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     # Equal sets first: one document of each stands for all.
     alike = signed.where("same IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     stands = written(alike, "alike")
-    reps = signed.join(stands.select(F.col("rep").alias("doc_id")), "doc_id").select("doc_id", "n_shingles", F.explode("bands").alias("bucket"))
+    sketch = [F.col("sketch")[i].alias(f"s{i}") for i in range(COORDINATES // 64)]
+    reps = signed.join(stands.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n_shingles", F.col("doc_id").alias("component"), *sketch, F.explode("bands").alias("bucket"))
     shared = reps.groupBy("bucket").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("bucket")
-    members = written(reps.join(shared, "bucket").withColumn("component", F.col("doc_id")), "members")
-    wanted = written(members.select("doc_id").distinct(), "wanted")
-    full = written(sets(docs.join(wanted, "doc_id", "left_semi"), n), "sets")
+    members = written(reps.join(shared, "bucket"), "members")
 
-    links = spark.createDataFrame([], "a bigint, b bigint")
+    links = tested = spark.createDataFrame([], "a bigint, b bigint")
     groups = spark.createDataFrame([], "node bigint, component bigint")
     current = members
     for turn in range(PIVOT_ROUNDS + 1):
@@ -189,16 +207,21 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         total = size.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("sq")) / 2), F.lit(0)).alias("cross")).first()
         if not total["n"]:
             break
-        last = turn == PIVOT_ROUNDS or total["cross"] <= 3 * total["n"]
+        last = turn == PIVOT_ROUNDS or (turn and total["cross"] <= FEW * total["n"])
         pairs = _cross_pairs(current, percent) if last else _pivot_pairs(current, turn, percent)
-        links = written(links.union(_confirmed(pairs, full, percent)), "confirmed")
-        groups = components(links)
+        pairs = written(pairs.join(tested, ["a", "b"], "left_anti") if turn else pairs, "pairs")
+        tested = tested.union(pairs)
+        # Only the sets of documents in pairs are made, from their whole texts.
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        full = written(sets(docs.join(wanted, "doc_id", "left_semi"), n), "sets")
+        fresh = written(_confirmed(pairs, full, percent), "confirmed")
+        drop_written(full)
+        if not fresh.isEmpty():
+            links = links.union(fresh)
+            groups = components(links)
         if last:
             break
-        relabelled = written(_relabel(members, groups), "open")
-        if turn:
-            drop_written(current)
-        current = relabelled
+        current = written(_relabel(members, groups), "open")
 
     by_rep = stands.join(groups, stands["rep"] == groups["node"], "left").select("same", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "same").join(by_rep, "same", "left")
