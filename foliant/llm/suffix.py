@@ -3,15 +3,18 @@
 A byte goes if a 100-byte string that covers it also starts earlier (smaller doc_id, or the same
 document and an earlier start). No window is ever compared with all others:
 
-1. Each 100-byte window is filed under the smallest hash of the 32-byte strings in it, which any
+1. Each 100-byte window is filed under the smallest hash of the 40-byte strings in it, which any
    equal window shares. Neighbouring windows under one hash make a run; about one run starts every
-   36 bytes. Only hashes that occur twice in the corpus go on.
-2. Runs with equal bytes are classed by hash: all but the earliest go whole.
-3. The earliest run of each class is sorted with those of other classes under the same hash:
+   32 bytes. One shuffle brings the runs of a hash together.
+2. Of runs with equal bytes under one hash, all but the earliest go whole.
+3. The earliest run of each content is sorted with those of other contents under the same hash:
    suffixes are compared through prefix polynomial hashes (binary search for the common
    extension), merge sort is stable, and neighbours that agree for 100 bytes are repeats, verified
-   byte by byte. A hash with very many runs is dealt out under a salt; what is first under its
-   salt is compared once more by an aggregation.
+   byte by byte.
+
+A hash may be found in a third of all texts (a common line in different surroundings). Such
+hashes are found in a sample of the texts and dealt out by content; what is first under its share
+is compared once more by an aggregation. The sample decides how rows are dealt, never the result.
 
 Cases: null and empty texts, and texts under 100 bytes, lose nothing. Copies of a whole text of
 at least 100 bytes lose everything but the first. Self-overlapping repeats (``aaaa``) count. Other
@@ -26,28 +29,38 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import written
 
-WINDOW, GRAM = 100, 32
+WINDOW, GRAM = 100, 40
 SPAN = WINDOW - GRAM + 1
-#: Windows in a run at most; bytes hashed at a time; runs sorted at a time, and under one salt.
+#: Windows in a run at most; bytes hashed at a time; runs sorted at a time, and under one share.
 RUN = 64
 CHUNK = 1 << 18
-SORTED, SALTED = 20_000, 4_000
+SORTED, SHARE = 20_000, 4_000
+#: Texts in the sample that hot hashes are found in, and their least number of runs in it: a hash
+#: with one run in about 10,000. The sample has two million runs or so, so hot hashes are few.
+SAMPLE, HOT = 20_000, 200
 
 _BYTES = np.random.RandomState(7).randint(0, 2**63, 256, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """64-bit hashes of all 32-byte strings, by five doublings."""
+    """64-bit hashes of all GRAM-byte strings, put together from those of doubling lengths."""
     base, step, h = 0x5851F42D4C957F2D, 1, _BYTES[data]
-    while step < GRAM:
+    whole, done = np.zeros(len(data) + 1, np.uint64), 0
+    while True:
+        if GRAM & step:
+            n = len(data) - done - step + 1
+            whole, done = whole[:n] * np.uint64(base) + h[done : done + n], done + step
+        if done == GRAM:
+            break
         h = h[:-step] * np.uint64(base) + h[step:]
         base, step = base * base % 2**64, step * 2
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0x9E3779B97F4A7C15)
-    return h ^ (h >> np.uint64(32))
+    whole ^= whole >> np.uint64(29)
+    whole *= np.uint64(0x9E3779B97F4A7C15)
+    return whole ^ (whole >> np.uint64(32))
 
 
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -101,20 +114,35 @@ def _chunks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def runs(docs: DataFrame) -> DataFrame:
-    """All runs: h (hash), doc_id, place (start * 2^15 + windows * 2^8 + offset * 2 + twice)."""
+    """All runs: h, content (hash of the bytes), doc_id, place (start * 2^15 + windows * 2^8 + offset * 2 + twice)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for batch in batches:
             data, offsets = _batch_bytes(batch.column(1))
             ids = np.asarray(batch.column(0))
             for a, b in _chunks(offsets):
                 base = offsets[a]
-                text, lo, n, h, off, twice = _runs(data[base : offsets[b]], offsets[a:b] - base, offsets[a + 1 : b + 1] - base)
+                part = data[base : offsets[b]]
+                text, lo, n, h, off, twice = _runs(part, offsets[a:b] - base, offsets[a + 1 : b + 1] - base)
                 if len(text):
+                    view = memoryview(part)
+                    content = [xxhash.xxh3_64_intdigest(view[i:j]) for i, j in zip(lo.tolist(), (lo + n + WINDOW - 1).tolist())]
                     place = (lo - (offsets[a:b] - base)[text]) << 15 | n << 8 | off << 1 | twice
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids[a:b][text]), pa.array(place.astype(np.int64))], names=["h", "doc_id", "place"])
+                    columns = [h, np.array(content, np.uint64).view(np.int64), ids[a:b][text], place.astype(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "content", "doc_id", "place"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "h bigint, content bigint, doc_id bigint, place bigint")
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "h bigint, doc_id bigint, place bigint")
+
+def _hot(docs: DataFrame) -> DataFrame:
+    """h, salts: the hashes of very many runs and how many shares they are dealt to; a few thousand at most."""
+    total = docs.count()
+    part = min(1.0, SAMPLE / max(total, 1))
+    chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(part * (1 << 20)) + 1)
+    counted = runs(chosen).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= HOT)
+    return counted.select("h", F.ceil(F.col("n") / part / SHARE + 1).alias("salts"))
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -137,37 +165,17 @@ def _unpack(packed: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(packed)
 
 
-def _contents(held: DataFrame) -> DataFrame:
-    """For each run of a text: h, content (64-bit hash of its bytes), doc_id, place."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for batch in batches:
-            for doc, packed, hs, places in zip(*(c.to_pylist() if i != 2 and i != 3 else c for i, c in enumerate(batch.columns))):
-                text, place = _unpack(packed), np.asarray(places.values)
-                lo = (place >> 15).tolist()
-                size = ((place >> 8 & 127) + WINDOW - 1).tolist()
-                content = [xxhash.xxh3_64_intdigest(text[i : i + n]) for i, n in zip(lo, size)]
-                yield pa.RecordBatch.from_arrays(
-                    [hs.values, pa.array(np.array(content, np.uint64).view(np.int64)), pa.array(np.full(len(lo), doc)), places.values],
-                    names=["h", "content", "doc_id", "place"],
-                )
-
-    return held.select("doc_id", "packed", "hs", "places").mapInArrow(run, "h bigint, content bigint, doc_id bigint, place bigint")
-
-
 def _with_bytes(held: DataFrame) -> DataFrame:
-    """For each wanted run of a text: h, salts, doc_id, place, bytes."""
+    """For each wanted run of a text: group, salts, doc_id, place, bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, packed, wanted in zip(*(c.to_pylist() for c in batch.columns)):
                 text = _unpack(packed)
-                rows = [(w["h"], w["salts"], doc, w["place"], text[w["place"] >> 15 :][: (w["place"] >> 8 & 127) + WINDOW - 1]) for w in wanted]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["h", "salts", "doc_id", "place", "bytes"])
+                rows = [(w["group"], w["salts"], doc, w["place"], text[w["place"] >> 15 :][: (w["place"] >> 8 & 127) + WINDOW - 1]) for w in wanted]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["group", "salts", "doc_id", "place", "bytes"])
 
-    return held.select("doc_id", "packed", "wanted").mapInArrow(run, "h bigint, salts bigint, doc_id bigint, place bigint, bytes binary")
+    return held.select("doc_id", "packed", "wanted").mapInArrow(run, "group bigint, salts bigint, doc_id bigint, place bigint, bytes binary")
 
 
 class Suffixes:
@@ -301,8 +309,7 @@ def _resolved(runs_with_bytes: DataFrame) -> DataFrame:
         if held:
             yield emit(pa.Table.from_batches(held))
 
-    salt = F.pmod(F.xxhash64("doc_id"), F.col("salts"))
-    dealt = runs_with_bytes.withColumn("group", F.xxhash64("h", salt)).repartition("group").sortWithinPartitions("group", "h", "doc_id", "place")
+    dealt = runs_with_bytes.repartition("group").sortWithinPartitions("group", "doc_id", "place")
     return dealt.select("group", "salts", "doc_id", "place", "bytes").mapInArrow(run, "doc_id bigint, start bigint, end bigint, key binary")
 
 
@@ -339,31 +346,31 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
     Takes doc_id and text. Documents that lose nothing have no row.
     """
-    all_runs = runs(docs)
-    shared = all_runs.groupBy("h").agg(F.sum(1 + F.col("place").bitwiseAND(1)).alias("n")).where("n > 1").select("h")
-    found = all_runs.join(shared, "h").groupBy("doc_id").agg(F.collect_list(F.struct("h", "place")).alias("runs"))
-    found = found.select("doc_id", F.col("runs.h").alias("hs"), F.col("runs.place").alias("places"))
-    held = written(_packed(docs).join(found, "doc_id"), "held")
-
-    content = written(_contents(held), "content")
-    first = content.groupBy("h", "content").agg(F.min(F.struct("doc_id", "place")).alias("first"))
-    first = written(first, "first")
+    hot = written(_hot(docs), "hot")
+    salts = F.coalesce("salts", F.lit(1).cast("long"))
+    dealt = runs(docs).join(F.broadcast(hot), "h", "left").select(
+        F.when(salts > 1, F.xxhash64("h", F.pmod("content", salts))).otherwise(F.col("h")).alias("group"), salts.alias("salts"), "content", "doc_id", "place"
+    )
+    # One shuffle, by group: both windows are served by it.
+    place = F.struct("doc_id", "place")
+    held = dealt.repartition("group").withColumn("late", place != F.min(place).over(Window.partitionBy("group", "content")))
+    group = Window.partitionBy("group")
+    held = held.withColumn("contents", F.sum(F.when(F.col("late"), 0).otherwise(1)).over(group))
+    open_ = ~F.col("late") & ((F.col("contents") > 1) | (F.col("place").bitwiseAND(1) == 1) | (F.col("salts") > 1))
+    decided = written(held.where(F.col("late") | open_).select(F.when(~F.col("late"), F.col("group")).alias("group"), "salts", "doc_id", "place"), "decided")
+
     # Runs whose bytes stand earlier go whole.
-    copies = content.join(first, ["h", "content"]).where(F.struct("doc_id", "place") != F.col("first"))
     start = F.shiftright("place", 15)
-    whole = copies.select("doc_id", start.alias("start"), (start + F.shiftright("place", 8).bitwiseAND(127) + (WINDOW - 1)).alias("end"))
-    # The others are sorted if their hash has several of them, or one that may repeat itself.
-    open_ = first.groupBy("h").agg(F.count("*").alias("n"), F.max(F.col("first.place").bitwiseAND(1)).alias("twice")).where("n > 1 OR twice = 1")
-    wanted = first.join(open_.select("h", F.ceil(F.col("n") / SALTED).alias("salts")), "h").groupBy("first.doc_id")
-    wanted = wanted.agg(F.collect_list(F.struct("h", "salts", "first.place")).alias("wanted"))
-    resolved = written(_resolved(_with_bytes(held.join(wanted, "doc_id"))), "resolved")
+    whole = decided.where("group IS NULL").select("doc_id", start.alias("start"), (start + F.shiftright("place", 8).bitwiseAND(127) + (WINDOW - 1)).alias("end"))
+    wanted = decided.where("group IS NOT NULL").groupBy("doc_id").agg(F.collect_list(F.struct("group", "salts", "place")).alias("wanted"))
+    resolved = written(_resolved(_with_bytes(_packed(docs).join(wanted, "doc_id"))), "resolved")
     left = resolved.where("key IS NOT NULL")
     earliest = left.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("first"))
     late = left.join(earliest, "key").where(F.struct("doc_id", "start") != F.col("first"))
     columns = ["doc_id", "start", "end"]
     ranges = whole.select(columns).union(resolved.where("key IS NULL").select(columns)).union(late.select(columns))
     by_doc = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
-    return _cut(held.join(by_doc, "doc_id"))
+    return _cut(_packed(docs).join(by_doc, "doc_id"))
 
 
 def digests(docs: DataFrame) -> DataFrame:
