@@ -39,7 +39,7 @@ def once(events: DataFrame, late: str = "1 day") -> DataFrame:
 ADMITTED = "user_id bigint, event_id bigint, granted boolean, used double"
 
 
-def admit(events: DataFrame, budget: float = 200.0, span: float = 60.0) -> DataFrame:
+def admit(events: DataFrame, budget: float = 200.0, span: float = 60.0, late: str = "10 minutes") -> DataFrame:
     """user_id, event_id, granted, used: requests of a user admitted while the last minute's grants fit a budget.
 
     State holds the grants of the last minute only; it is dropped when a user stays away.
@@ -60,7 +60,8 @@ def admit(events: DataFrame, budget: float = 200.0, span: float = 60.0) -> DataF
                 held.append((now, units))
             out.append((key[0], row.event_id, granted, used + units * granted))
         state.update(([t for t, _ in held], [u for _, u in held]))
-        state.setTimeoutDuration(600_000)
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(now * 1000)) + 600_000)
         yield pd.DataFrame(out, columns=["user_id", "event_id", "granted", "used"])
 
-    return events.groupBy("user_id").applyInPandasWithState(step, ADMITTED, "times array<double>, units array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = events.withWatermark("ts", late).groupBy("user_id")
+    return timed.applyInPandasWithState(step, ADMITTED, "times array<double>, units array<double>", "append", GroupStateTimeout.EventTimeTimeout)
