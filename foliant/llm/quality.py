@@ -34,6 +34,8 @@ TRAIN_ROWS = 24_000
 #: Features with a weight at most, least documents of the sample that hold one, how many deviations
 #: from chance the number of its holders of some grade has to be, ridge penalty.
 SELECTED, LEAST_DOCS, DEVIATIONS, RIDGE = 2000, 5, 7.0, 0.02
+#: Probability of the best grade that a document is kept with.
+KEEP = 0.6
 #: Lengths of the words' beginnings that are features too.
 PREFIXES = (4, 5)
 _STRIP = b".,;:!?()[]{}\"'*#&%$@|<>=+-_~^/\\`"
@@ -209,8 +211,13 @@ def rating(quality: Column, toxic: Column) -> Column:
     return F.when(quality == 0, 0).when(toxic == 1, 1).when(quality == 1, 2)
 
 
-def grade(docs: DataFrame, labels: DataFrame, keep: float = 0.6) -> DataFrame:
-    """doc_id, expected, p_top (probability of the best grade), keep: whether p_top reaches a bound."""
+def grade(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:
+    """doc_id, expected, p_top (probability of the best grade), keep: whether p_top reaches a bound.
+
+    The bound is never above the p_top of a text without features: one that has no evidence against
+    it, such as an empty one, is kept.
+    """
     model = fit(docs, labels.select("doc_id", rating(F.col("quality"), F.col("toxic")).alias("rating")))
+    bound = min(keep, float(1 - _sigmoid(model.thresholds[-1])) - 1e-9)
     p_top = F.col("tails")[1]
-    return score(docs, model).select("doc_id", "expected", p_top.alias("p_top"), (p_top >= keep).alias("keep"))
+    return score(docs, model).select("doc_id", "expected", p_top.alias("p_top"), (p_top >= bound).alias("keep"))
