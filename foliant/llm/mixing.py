@@ -46,8 +46,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     everyone = Window.partitionBy()
     level = (F.sum("source_size").over(everyone) * F.lit(float(share)) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(rest)
     levelled = capped.withColumn("level", level).withColumn("fits", F.col("level") <= F.col("cap") / F.col("weight"))
-    # Without a source that fits, all are at their caps.
-    final = F.min(F.when(F.col("fits"), F.col("level"))).over(everyone)
+    # Levels rise up to the first that fits and fall from there, so it is the greatest of those that
+    # fit. Without one, all sources are at their caps.
+    final = F.max(F.when(F.col("fits"), F.col("level"))).over(everyone)
     target = F.least(F.col("cap"), F.coalesce(final * F.col("weight"), F.col("cap")))
     return levelled.select("source", "source_size", target.alias("target"))
 
@@ -95,7 +96,7 @@ levelled AS (
      / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM weighted),
 final AS (
-  SELECT *, least(cap, coalesce(min(level) FILTER (level <= cap / weight) OVER () * weight, cap)) AS target FROM levelled),
+  SELECT *, least(cap, coalesce(max(level) FILTER (level <= cap / weight) OVER () * weight, cap)) AS target FROM levelled),
 drawn AS (
   SELECT source, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS expected,
          ('0x' || substr(md5('{SEED}:' || coalesce(source, 'null')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS start
