@@ -203,11 +203,16 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     groups = spark.createDataFrame([], "node bigint, component bigint")
     current = members
     for turn in range(PIVOT_ROUNDS + 1):
-        size = current.groupBy("bucket", "component").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("sq"))
-        total = size.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("sq")) / 2), F.lit(0)).alias("cross")).first()
-        if not total["n"]:
-            break
-        last = turn == PIVOT_ROUNDS or (turn and total["cross"] <= FEW * total["n"])
+        last = turn == PIVOT_ROUNDS
+        if turn == 0:
+            if current.isEmpty():
+                break
+        else:
+            size = current.groupBy("bucket", "component").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("sq"))
+            total = size.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("sq")) / 2), F.lit(0)).alias("cross")).first()
+            if not total["n"]:
+                break
+            last = last or total["cross"] <= FEW * total["n"]
         pairs = _cross_pairs(current, percent) if last else _pivot_pairs(current, turn, percent)
         pairs = written(pairs.join(tested, ["a", "b"], "left_anti") if turn else pairs, "pairs")
         tested = tested.union(pairs)
