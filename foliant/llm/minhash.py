@@ -6,10 +6,12 @@ coordinates come from two permutations. Bands of coordinates deal documents into
 every link is confirmed on the full sets.
 
 How large groups are kept cheap without losing a link: texts with equal sets count once. In a
-bucket the members are compared with a few pivots, links join into components, and only members
-of different components are compared further, until each bucket is one component or all of its
-cross-component pairs have been confirmed or refused. A group of thousands of copies therefore
-needs about as many comparisons as it has members.
+bucket the members are compared with a few pivots, and links join into components: a group of
+thousands of copies needs about as many comparisons as it has members. What is left are pairs of
+different components. A pair is let through to the full sets only if its sizes and two sketches
+allow a link: the parities of the numbers of shingles in each of CELLS cells differ in no more
+places than the sets do, which is exact; minima with equal lowest bits are an estimate, with slack.
+Variants of one source that are too far apart to be linked go there, within the join.
 
 Cases: null or empty texts, and texts without words, have an empty set and are linked with
 nothing. With fewer words than a shingle, the whole sequence is the one shingle. Repeated doc_ids
@@ -32,14 +34,13 @@ from .components import components
 UNIVERSE = 1 << 20
 #: 36 bands of 7 coordinates: a pair at 0.85 is missed with probability 9e-7, at 0.8 with 2e-4.
 BANDS, ROWS = 36, 7
-#: Coordinates; the lowest bit of each makes the sketch that tells hopeless pairs without their sets.
+#: Coordinates; the lowest bit of each makes the first sketch that tells hopeless pairs without their sets.
 COORDINATES = 256
+#: Cells of the second sketch: the parity of the number of shingles in each.
+CELLS = 512
 #: Deviations that a sketch may be off: links lost by it are far fewer than by the bands.
 SLACK = 7.0
 PIVOTS = 2
-#: Rounds with pivots, after which what is left in a bucket is compared without them; pairs per
-#: bucket member that may be left for that earlier.
-PIVOT_ROUNDS, FEW = 6, 40
 
 
 def _words(text: bytes) -> list[bytes]:
@@ -82,7 +83,7 @@ _circulant: dict[int, Circulant] = {}
 
 
 def _bands(items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One 64-bit bucket key for each band, and the sketch of COORDINATES bits."""
+    """One 64-bit bucket key for each band, and the two sketches, of COORDINATES and CELLS bits."""
     circulant = _circulant.get(COORDINATES) or _circulant.setdefault(COORDINATES, Circulant(COORDINATES))
     signature = circulant.signature(items)
     parts = signature[: BANDS * ROWS].astype(np.uint64).reshape(BANDS, ROWS)
@@ -90,7 +91,8 @@ def _bands(items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for k in range(ROWS):
         key = (key ^ parts[:, k]) * np.uint64(0x9E3779B97F4A7C15)
         key ^= key >> np.uint64(31)
-    return key.view(np.int64), np.packbits(signature & 1).view(np.int64)
+    parity = np.bincount((items.view(np.uint64) >> np.uint64(40)).astype(np.int64) % CELLS, minlength=CELLS) & 1
+    return key.view(np.int64), np.packbits(np.concatenate([signature & 1, parity]).astype(bool)).view(np.int64)
 
 
 def _texts(column: pa.Array) -> Iterator[bytes]:
@@ -144,43 +146,69 @@ def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     )
 
 
-#: What bucket members carry: id, set size, component and the sketch's four words.
-_MEMBER = ["doc_id", "n_shingles", "component", *(f"s{i}" for i in range(COORDINATES // 64))]
+_SKETCH = [f"s{i}" for i in range((COORDINATES + CELLS) // 64)]
+#: What bucket members carry: id, set size, component and the sketches' words.
+_MEMBER = ["doc_id", "n_shingles", "component", *_SKETCH]
 
 
 def _hopeful(percent: int):
     """Set sizes that allow the similarity at all, and sketches that don't speak against it."""
     chance = (1 - percent / 100) / 2
     most = COORDINATES * chance + SLACK * (COORDINATES * chance * (1 - chance)) ** 0.5
-    apart = sum((F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(COORDINATES // 64)), F.lit(0))
+    apart = lambda words: sum((F.bit_count(F.col(f"x.{s}").bitwiseXOR(F.col(f"y.{s}"))) for s in words), F.lit(0))
+    cut = COORDINATES // 64
     sizes = 100 * F.least("x.n_shingles", "y.n_shingles") >= percent * F.greatest("x.n_shingles", "y.n_shingles")
-    return (F.col("x.component") != F.col("y.component")) & sizes & (apart <= int(most))
+    # At the threshold the sets differ in (100 - percent) / (100 + percent) of both sizes.
+    parities = (100 + percent) * apart(_SKETCH[cut:]) <= (100 - percent) * (F.col("x.n_shingles") + F.col("y.n_shingles"))
+    return (F.col("x.component") != F.col("y.component")) & sizes & parities & (apart(_SKETCH[:cut]) <= int(most))
 
 
 def _pair(found: DataFrame) -> DataFrame:
     return found.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
 
 
-def _pivot_pairs(members: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Each member of a bucket with a few pivots of another component; minima, so no hot bucket."""
-    one = lambda k: F.min(F.struct(F.xxhash64("doc_id", F.lit(turn * PIVOTS + k)).alias("h"), *_MEMBER))
-    pivots = members.groupBy("bucket").agg(F.array(*[one(k) for k in range(PIVOTS)]).alias("pivots"))
+def _members(signed: DataFrame, reps: DataFrame) -> DataFrame:
+    """The representatives that share a bucket: doc_id, n_shingles, sketch, buckets shared (array)."""
+    chosen = signed.join(reps, "doc_id", "left_semi")
+    dealt = chosen.select("doc_id", F.explode("bands").alias("bucket"))
+    shared = dealt.groupBy("bucket").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("bucket")
+    buckets = dealt.join(shared, "bucket", "left_semi").groupBy("doc_id").agg(F.collect_list("bucket").alias("buckets"))
+    return chosen.select("doc_id", "n_shingles", *[F.col("sketch")[i].alias(s) for i, s in enumerate(_SKETCH)]).join(buckets, "doc_id")
+
+
+def _pivot_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Each member of a bucket with a few pivots; minima, so no hot bucket."""
+    rows = members.select("doc_id", "n_shingles", F.col("doc_id").alias("component"), *_SKETCH, F.explode("buckets").alias("bucket"))
+    one = lambda k: F.min(F.struct(F.xxhash64("doc_id", F.lit(k)).alias("h"), *_MEMBER))
+    pivots = rows.groupBy("bucket").agg(F.array(*[one(k) for k in range(PIVOTS)]).alias("pivots"))
     pivots = pivots.select("bucket", F.explode(F.array_distinct(F.transform("pivots", lambda p: F.struct(*[p[c].alias(c) for c in _MEMBER])))).alias("y"))
     pivots = pivots.select("bucket", "y.*")
-    return _pair(members.alias("x").join(pivots.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & _hopeful(percent)))
+    return _pair(rows.alias("x").join(pivots.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & _hopeful(percent)))
+
+
+def _open(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """Members with their component and their buckets (array) that hold more than one component."""
+    now = members.join(groups.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+    now = now.withColumn("component", F.coalesce("component", "doc_id"))
+    rows = now.select("doc_id", "component", F.explode("buckets").alias("bucket"))
+    mixed = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
+    left = rows.join(mixed, "bucket", "left_semi").groupBy("doc_id").agg(F.collect_list("bucket").alias("buckets"))
+    return now.drop("buckets").join(left, "doc_id")
 
 
-def _cross_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a bucket whose members are in different components."""
-    return _pair(members.alias("x").join(members.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.doc_id") < F.col("y.doc_id")) & _hopeful(percent)))
+def _cross_pairs(left: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a bucket in different components that sizes and sketches allow."""
+    rows = written(left.select(*_MEMBER, F.explode("buckets").alias("bucket")), "open")
+    return _pair(rows.alias("x").join(rows.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.doc_id") < F.col("y.doc_id")) & _hopeful(percent)))
 
 
-def _relabel(members: DataFrame, groups: DataFrame) -> DataFrame:
-    """Members with their components brought up to date, in buckets that are not one component yet."""
-    now = members.join(groups.select(F.col("node").alias("doc_id"), F.col("component").alias("found")), "doc_id", "left")
-    now = now.withColumn("component", F.coalesce("found", "doc_id")).drop("found")
-    open_ = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    return now.join(open_, "bucket")
+def _links(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The confirmed pairs. Only the sets of documents in pairs are made, from their whole texts."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    full = written(sets(docs.join(wanted, "doc_id", "left_semi"), n), "sets")
+    links = written(_confirmed(pairs, full, percent), "confirmed")
+    drop_written(full)
+    return links
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -189,44 +217,19 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     Takes doc_id and text; returns doc_id, n_shingles, component_id (the least doc_id that links
     reach, itself included) and kept (doc_id = component_id).
     """
-    spark = docs.sparkSession
     signed = written(signatures(docs, n), "signatures")
     # Equal sets first: one document of each stands for all.
-    alike = signed.where("same IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    stands = written(alike, "alike")
-    sketch = [F.col("sketch")[i].alias(f"s{i}") for i in range(COORDINATES // 64)]
-    reps = signed.join(stands.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n_shingles", F.col("doc_id").alias("component"), *sketch, F.explode("bands").alias("bucket"))
-    shared = reps.groupBy("bucket").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("bucket")
-    members = written(reps.join(shared, "bucket"), "members")
-
-    links = tested = spark.createDataFrame([], "a bigint, b bigint")
-    groups = spark.createDataFrame([], "node bigint, component bigint")
-    current = members
-    for turn in range(PIVOT_ROUNDS + 1):
-        last = turn == PIVOT_ROUNDS
-        if turn == 0:
-            if current.isEmpty():
-                break
-        else:
-            size = current.groupBy("bucket", "component").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("sq"))
-            total = size.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("sq")) / 2), F.lit(0)).alias("cross")).first()
-            if not total["n"]:
-                break
-            last = last or total["cross"] <= FEW * total["n"]
-        pairs = _cross_pairs(current, percent) if last else _pivot_pairs(current, turn, percent)
-        pairs = written(pairs.join(tested, ["a", "b"], "left_anti") if turn else pairs, "pairs")
-        tested = tested.union(pairs)
-        # Only the sets of documents in pairs are made, from their whole texts.
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        full = written(sets(docs.join(wanted, "doc_id", "left_semi"), n), "sets")
-        fresh = written(_confirmed(pairs, full, percent), "confirmed")
-        drop_written(full)
-        if not fresh.isEmpty():
-            links = links.union(fresh)
-            groups = components(links)
-        if last:
-            break
-        current = written(_relabel(members, groups), "open")
+    stands = written(signed.where("same IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("rep")), "alike")
+    members = written(_members(signed, stands.select(F.col("rep").alias("doc_id"))), "members")
+    tested = written(_pivot_pairs(members, percent), "pairs")
+    links = _links(docs, tested, n, percent)
+    groups = components(links)
+    left = written(_open(members, groups), "left")
+    if not left.isEmpty():
+        pairs = written(_cross_pairs(left, percent).join(tested, ["a", "b"], "left_anti"), "pairs")
+        more = _links(docs, pairs, n, percent)
+        if not more.isEmpty():
+            groups = components(links.union(more))
 
     by_rep = stands.join(groups, stands["rep"] == groups["node"], "left").select("same", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "same").join(by_rep, "same", "left")
