@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 BUCKETS = 1 << 18
 TRAIN_ROWS = 24_000
 #: Features with a weight at most, least documents of the sample that hold one, how many deviations
@@ -142,9 +144,28 @@ class Ordinal:
 
 
 def sample(docs: DataFrame, ratings: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """text and rating of the labelled documents with the smallest hash of doc_id."""
+    """doc_id, text and rating of the labelled documents with the smallest hash of doc_id."""
     chosen = ratings.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "rating").limit(rows)
-    return docs.select("doc_id", "text").join(chosen, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "rating").select("text", "rating")
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # two numbers for each of `rows` rows at most
+
+
+def _screened(table: DataFrame, grades: int) -> tuple[np.ndarray, np.ndarray]:
+    """Documents of each grade, and the features whose holders are far from chance in some grade."""
+    of_grade = [F.count_if(F.col("rating") == g).alias(f"g{g}") for g in range(grades)]
+    docs = np.array(table.agg(*of_grade).first(), np.int64)
+    # A row for each bucket at most, whatever the sample.
+    counts = table.select("rating", F.explode("which").alias("bucket")).groupBy("bucket").agg(*of_grade).toArrow()
+    bucket = np.asarray(counts["bucket"].combine_chunks(), np.int64) if len(counts) else np.empty(0, np.int64)
+    own = np.stack([np.asarray(counts[f"g{g}"].combine_chunks(), np.float64) for g in range(grades)]) if len(counts) else np.empty((grades, 0))
+    holders, total = own.sum(axis=0), docs.sum()
+    apart = np.zeros(len(bucket))
+    for g in np.flatnonzero(docs):
+        share = docs[g] / total
+        deviation = np.sqrt(np.maximum(holders * (1 - holders / total) * share * (1 - share), 1e-9))
+        apart = np.maximum(apart, np.abs(own[g] - holders * share) / deviation)
+    apart[(holders < LEAST_DOCS) | (holders == total)] = 0
+    best = np.lexsort((bucket, -apart))[:SELECTED]
+    return docs, bucket[best[apart[best] > DEVIATIONS]]
 
 
 def fit(docs: DataFrame, ratings: DataFrame, grades: int = 3, rows: int = TRAIN_ROWS) -> Model:
@@ -153,37 +174,36 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int = 3, rows: int = TRAIN_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features(t.as_py() or b"") for t in batch.column(0).cast(pa.large_binary())]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.list_(pa.int64())), pa.array([d.astype(np.float32) for _, d in found], pa.list_(pa.float32())), batch.column(1)], names=["which", "share", "rating"])
-
-    table = sample(docs, valid, rows).mapInArrow(run, "which array<bigint>, share array<float>, rating int").toArrow().combine_chunks()
-    rating = np.asarray(table["rating"].combine_chunks(), np.int64) if len(table) else np.empty(0, np.int64)
-    if len(np.unique(rating)) < 2:
-        grade = int(rating[0]) if len(rating) else grades - 1
+            found = [features(t.as_py() or b"") for t in batch.column(1).cast(pa.large_binary())]
+            which, share = pa.array([w.astype(np.int32) for w, _ in found], pa.list_(pa.int32())), pa.array([d.astype(np.float32) for _, d in found], pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), which, share], names=["doc_id", "rating", "which", "share"])
+
+    table = sample(docs, valid, rows).select(F.col("doc_id").cast("long"), "text", "rating").mapInArrow(run, "doc_id bigint, rating int, which array<int>, share array<float>")
+    table = written(table, "features")
+    count, chosen = _screened(table, grades)
+    if np.count_nonzero(count) < 2:
+        grade = int(np.argmax(count)) if count.sum() else grades - 1
         return Model(np.zeros(BUCKETS), np.zeros(BUCKETS), np.where(np.arange(grades - 1) < grade, -50.0, 50.0))
-    which, share = table["which"].combine_chunks(), table["share"].combine_chunks()
-    doc = np.repeat(np.arange(len(rating)), np.diff(np.asarray(which.offsets)))
-    flat, density = np.asarray(which.flatten()), np.asarray(share.flatten(), np.float64)
-    # Presence is screened: how far is the number of holders of any grade from chance, in deviations?
-    holders = np.bincount(flat, minlength=BUCKETS)
-    apart = np.zeros(BUCKETS)
-    for g in np.unique(rating):
-        share_g = (rating == g).mean()
-        own = np.bincount(flat[rating[doc] == g], minlength=BUCKETS)
-        apart = np.maximum(apart, np.abs(own - holders * share_g) / np.sqrt(np.maximum(holders * (1 - holders / len(rating)) * share_g * (1 - share_g), 1e-9)))
-    apart[(holders < LEAST_DOCS) | (holders == len(rating))] = 0
-    chosen = np.argsort(-apart, kind="stable")[:SELECTED]
-    chosen = chosen[apart[chosen] > DEVIATIONS]
-    number = np.full(BUCKETS, -1)
-    number[chosen] = np.arange(len(chosen))
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = np.full(BUCKETS, -1, np.int32)
+        number[chosen] = np.arange(len(chosen))
+        for batch in batches:
+            own, dense = [], []
+            for which, share in zip(batch.column(2), batch.column(3)):
+                at = number[np.asarray(which.values)]
+                own.append(at[at >= 0])
+                dense.append(np.asarray(share.values)[at >= 0])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.list_(pa.int32())), pa.array(dense, pa.list_(pa.float32()))], names=["doc_id", "rating", "own", "dense"])
+
+    # What is left of the sample are its rows' selected features; in order of ids, so that reruns agree.
+    kept = table.mapInArrow(held, "doc_id bigint, rating int, own array<int>, dense array<float>").toArrow().sort_by([("doc_id", "ascending"), ("rating", "ascending")])
     n = len(chosen)
     rows_ = []
-    starts = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(rating)))])
-    for i in range(len(rating)):
-        own, dense = number[flat[starts[i] : starts[i + 1]]], density[starts[i] : starts[i + 1]]
-        held = own >= 0
-        rows_.append((np.concatenate([own[held], own[held] + n]), np.concatenate([np.ones(held.sum()), 10 * dense[held]])))
-    weight, cuts = Ordinal(grades).fit(rows_, rating, 2 * n)
+    for own, dense in zip(kept["own"], kept["dense"]):
+        at = np.asarray(own.values, np.int64)
+        rows_.append((np.concatenate([at, at + n]), np.concatenate([np.ones(len(at)), 10 * np.asarray(dense.values, np.float64)])))
+    weight, cuts = Ordinal(grades).fit(rows_, np.asarray(kept["rating"].combine_chunks(), np.int64), 2 * n)
     presence, dense_weight = np.zeros(BUCKETS), np.zeros(BUCKETS)
     presence[chosen], dense_weight[chosen] = weight[:n], 10 * weight[n:]
     return Model(presence, dense_weight, cuts)
