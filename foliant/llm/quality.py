@@ -108,29 +108,29 @@ class Ordinal:
     def __init__(self, grades: int):
         self.grades = grades
 
-    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], rating: np.ndarray, size: int, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
-        """rows: (columns, values) of each document; returns weights and thresholds."""
-        count = np.array([len(c) for c, _ in rows])
-        doc = np.repeat(np.arange(len(rows)), count)
-        column = np.concatenate([c for c, _ in rows]) if len(rows) else np.empty(0, np.int64)
-        value = np.concatenate([v for _, v in rows]) if len(rows) else np.empty(0)
+    def fit(self, doc: np.ndarray, column: np.ndarray, value: np.ndarray, rating: np.ndarray, size: int, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
+        """Document, feature and density of each entry; returns weights and thresholds.
+
+        The first `size` weights are those of presence, the others those of density.
+        """
         share = np.clip(np.cumsum(np.bincount(rating, minlength=self.grades))[:-1] / len(rating), 1e-4, 1 - 1e-4)
         start = np.log(share / (1 - share))
         # Thresholds are a first one and positive gaps, so that they stay in order.
         theta = np.concatenate([start[:1], np.log(np.maximum(np.diff(start), 1e-3))])
-        weight = np.zeros(size)
-        moment = [np.zeros(size), np.zeros(len(theta))]
-        square = [np.zeros(size), np.zeros(len(theta))]
+        weight = np.zeros(2 * size)
+        moment = [np.zeros(2 * size), np.zeros(len(theta))]
+        square = [np.zeros(2 * size), np.zeros(len(theta))]
         for step in range(1, steps + 1):
             cut = np.concatenate([[-np.inf], self._cuts(theta), [np.inf]])
-            score = np.bincount(doc, value * weight[column], minlength=len(rows))
+            score = np.bincount(doc, weight[column] + value * weight[size + column], minlength=len(rating))
             above, below = _sigmoid(cut[rating + 1] - score), _sigmoid(cut[rating] - score)
             mass = np.maximum(above - below, 1e-9)
             up, down = above * (1 - above) / mass, below * (1 - below) / mass
-            by_score = (up - down) / len(rows)  # of the negative log likelihood
+            by_score = ((up - down) / len(rating))[doc]  # of the negative log likelihood
             d_cut = np.bincount(rating, -up, minlength=self.grades)[:-1] + np.bincount(rating, down, minlength=self.grades)[1:]
-            tail = np.cumsum(d_cut[::-1])[::-1] / len(rows)
-            grads = [np.bincount(column, value * by_score[doc], minlength=size) + RIDGE / len(rows) * weight, np.concatenate([tail[:1], tail[1:] * np.exp(theta[1:])])]
+            tail = np.cumsum(d_cut[::-1])[::-1] / len(rating)
+            by_weight = np.concatenate([np.bincount(column, by_score, minlength=size), np.bincount(column, value * by_score, minlength=size)])
+            grads = [by_weight + RIDGE / len(rating) * weight, np.concatenate([tail[:1], tail[1:] * np.exp(theta[1:])])]
             rate = 0.1 * min(1.0, 3 * (1 - step / (steps + 1)))
             for k, (g, target) in enumerate(zip(grads, (weight, theta))):
                 moment[k] = 0.9 * moment[k] + 0.1 * g
@@ -199,11 +199,10 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int = 3, rows: int = TRAIN_
     # What is left of the sample are its rows' selected features; in order of ids, so that reruns agree.
     kept = table.mapInArrow(held, "doc_id bigint, rating int, own array<int>, dense array<float>").toArrow().sort_by([("doc_id", "ascending"), ("rating", "ascending")])
     n = len(chosen)
-    rows_ = []
-    for own, dense in zip(kept["own"], kept["dense"]):
-        at = np.asarray(own.values, np.int64)
-        rows_.append((np.concatenate([at, at + n]), np.concatenate([np.ones(len(at)), 10 * np.asarray(dense.values, np.float64)])))
-    weight, cuts = Ordinal(grades).fit(rows_, np.asarray(kept["rating"].combine_chunks(), np.int64), 2 * n)
+    own, dense = kept["own"].combine_chunks(), kept["dense"].combine_chunks()
+    doc = np.repeat(np.arange(len(kept)), np.diff(np.asarray(own.offsets)))
+    column, value = np.asarray(own.flatten()).astype(np.int64), 10 * np.asarray(dense.flatten()).astype(np.float64)
+    weight, cuts = Ordinal(grades).fit(doc, column, value, np.asarray(kept["rating"].combine_chunks()).astype(np.int64), n)
     presence, dense_weight = np.zeros(BUCKETS), np.zeros(BUCKETS)
     presence[chosen], dense_weight[chosen] = weight[:n], 10 * weight[n:]
     return Model(presence, dense_weight, cuts)
