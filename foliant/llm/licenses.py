@@ -16,6 +16,7 @@ base phrases cover, 0 to 1; it is 0 without either.
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -45,9 +46,6 @@ class Rule(NamedTuple):
     priority: int
 
 
-#: Words of which one must be in a text (at the start of a word or within one) for it to be scanned.
-GATE = ("licen", "gpl", "apache", "creative", "domain", "reserved", "redistribution", "permission", "proprietary", "cc0", "wtfpl", "bsd")
-
 #: Licenses by family: label, name as a regular expression, and the phrases of which one must be there.
 #: {v} stands for each of the versions.
 _NAMES = (
@@ -156,6 +154,16 @@ def _table(own: list[Rule]) -> Column:
     return F.array(*[F.struct(F.array(*[F.lit(" " + k) for k in keyword.split("|")]).alias("keywords"), F.array(*rows).alias("rules")) for keyword, rows in groups.items()])
 
 
+def gate(own: list[Rule]) -> str:
+    """A regular expression on lower-case text that finds any keyword of the rules or base phrase where words() would show it."""
+    phrases = {k for r in own for k in r.keyword.split("|")} | {p for p, _ in BASE}
+    # Branches by first letter, as every word of a text tries them all.
+    by_letter: dict[str, list[str]] = {}
+    for p in sorted(phrases):
+        by_letter.setdefault(p[0], []).append(BETWEEN.join(re.escape(w) for w in p.split())[len(re.escape(p[0])) :])
+    return f"(?:^|{BETWEEN.removesuffix('+')})(?:" + "|".join(re.escape(c) + f"(?:{'|'.join(rest)})" for c, rest in by_letter.items()) + ")"
+
+
 def _detections(joined: Column, table: Column) -> Column:
     """array<struct<first, last, priority, order, label>> (word numbers) of all rules that match."""
     # The keyword prefilter: rules whose keywords are not there are not tried.
@@ -202,12 +210,9 @@ def scan(docs: DataFrame, own: list[Rule] | None = None) -> DataFrame:
     own = rules() if own is None else own
     table = _table(own)
     text = F.coalesce(F.col("text"), F.lit(""))
-    # First gate: texts without a word that rules and phrases need are counted and never rewritten.
-    lowered = F.lower(text)
-    gate = lowered.rlike(r"cc[^a-z0-9]+by[^a-z0-9]+nc")
-    for k in GATE:
-        gate = F.contains(lowered, F.lit(k)) | gate
-    counted = docs.select(F.col("doc_id").cast("long"), F.regexp_count(text, F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"), F.when(gate, words(text)).alias("joined"))
+    # First gate: texts without a keyword or base phrase are counted and never rewritten.
+    open_to = F.lower(text).rlike(gate(own))
+    counted = docs.select(F.col("doc_id").cast("long"), F.regexp_count(text, F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"), F.when(open_to, words(text)).alias("joined"))
     base = [F.when(F.contains(F.col("joined"), F.lit(f" {p} ")), phrase_starts(F.col("joined"), p)).otherwise(F.array().cast("array<int>")).alias(f"b{i}") for i, (p, _) in enumerate(BASE)]
     detected = F.when(F.col("joined").isNotNull(), _once(_detections(F.col("joined"), table), _kept))
     return counted.select("doc_id", "n_words", F.array(*base).alias("base"), detected.alias("detections"))

@@ -157,3 +157,20 @@ def test_license_phrases_and_suppression(spark):
     assert got[7].n_base == 0
     assert (got[8].n_base, got[8].first_word, got[8].last_word) == (3, 20000, 20008)
     assert licenses.license_labels(docs(spark, [])).count() == 0
+
+
+def test_license_gate_lets_every_keyword_and_named_license_through(spark):
+    own = licenses.rules()
+    keywords = sorted({k for r in own for k in r.keyword.split("|")})
+    texts = docs(spark, [(i, f"x\n{k.upper().replace(' ', ' -\t')}z") for i, k in enumerate(keywords)] + [(i + 1000, k) for i, k in enumerate(keywords)])
+    shut = licenses.scan(texts, own).where("detections IS NULL").select("doc_id").collect()
+    assert [keywords[r.doc_id % 1000] for r in shut] == []
+    named = {
+        "Text: CC BY-SA 4.0": "cc-by-sa-4.0", "Text (CC BY 4.0)": "cc-by-4.0", "see MPL-2.0": "mpl-2.0", "EPL 2.0": "epl-2.0", "EUPL v1.2": "eupl-1.2", "CDDL 1.0": "cddl-1.0", "GFDL 1.3": "gfdl-1.3",
+        "ZPL 2.1": "zpl-2.1", "LPPL 1.3": "lppl-1.3", "CeCILL 2.1": "cecill-2.1", "The Software shall be used for Good, not Evil.": "json", "then buy me a beer": "beerware", "by the Independent JPEG Group": "ijg",
+    }
+    got = {r.doc_id: r for r in licenses.license_labels(docs(spark, list(enumerate(named)))).collect()}
+    assert {t: label for i, (t, label) in enumerate(named.items()) if label not in got[i].labels.split(",") or not got[i].score} == {}
+    # Parts of words and words apart are no keywords.
+    none = licenses.scan(docs(spark, [(1, "a simple reply, examples"), (2, "accby"), (3, "cc 1 by"), (4, "épl")]), own)
+    assert none.where("detections IS NOT NULL").count() == 0
