@@ -70,13 +70,25 @@ def pack_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.aggregate("n", state, step).alias("s")).select("doc_id", F.col("s.body").alias("n_bodies"), F.col("s.chars").alias("last_chars"))
 
 
+#: Texts with more characters or chunks are not indexed.
+MAX_CHARACTERS, MAX_CHUNKS = 500_000, 500
+
+
 @query("""SELECT doc_id, (n - 1)::BIGINT AS part, substr(text, ((n - 1) * 900 + 1)::INT, 1000) AS chunk FROM documents, generate_series(1, 40) t(n)
   WHERE length(text) <= 36000 AND (n - 1) * 900 < greatest(length(text) - 100, 1)""")
 def overlap_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of 1000 characters, each 100 into the one before; texts over the size cap are left out."""
-    d = table(spark, sf_dir, "documents").where(F.length("text") <= 36000)
+    """Chunks of 1000 characters, each 100 into the one before; texts over the size caps are left out.
+
+    The SQL's own series ends at 36,000 characters, so it gives no chunk of longer texts.
+    """
+    return chunks(table(spark, sf_dir, "documents"))
+
+
+def chunks(docs: DataFrame) -> DataFrame:
+    """doc_id, part (from 0), chunk: of every text within the size caps."""
     starts = F.sequence(F.lit(0), F.greatest(F.length("text") - 101, F.lit(0)), F.lit(900))
-    return d.select("doc_id", "text", F.posexplode(starts).alias("part", "at")).select("doc_id", F.col("part").cast("long").alias("part"), F.substring("text", F.col("at") + 1, F.lit(1000)).alias("chunk"))
+    d = docs.where(F.length("text") <= MAX_CHARACTERS).select("doc_id", "text", starts.alias("starts")).where(F.size("starts") <= MAX_CHUNKS)
+    return d.select("doc_id", "text", F.posexplode("starts").alias("part", "at")).select("doc_id", F.col("part").cast("long").alias("part"), F.substring("text", F.col("at") + 1, F.lit(1000)).alias("chunk"))
 
 
 @query(f"""WITH {_LINES} SELECT doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) AS chunk_id, count(*)::BIGINT AS n_repeats

@@ -63,3 +63,17 @@ def test_admission_keeps_the_budget(spark, sf, tmp_path):
     out = spark.table("admitted").toPandas()
     assert len(out) == spark.read.parquet(f"{sf}/events.parquet").count()
     assert (out[out.granted].used <= 50.0).all()
+
+
+def test_chunks_of_texts_up_to_the_size_caps(spark):
+    from foliant.queries.documents import chunks
+
+    sizes = [0, 1, 1000, 1001, 36_000, 36_001, 128_657, 450_100, 450_101, 500_001]
+    text = "".join(chr(97 + i * i % 26) for i in range(500_001))
+    got = {}
+    for r in chunks(spark.createDataFrame([(n, text[:n]) for n in sizes] + [(-1, None)], "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, {})[r.part] = r.chunk
+    # 450,100 characters are 500 chunks.
+    assert sorted(got) == sizes[:-2]
+    for n, parts in got.items():
+        assert [parts[k] for k in range(len(parts))] == [text[:n][at : at + 1000] for at in range(0, max(n - 100, 1), 900)]
