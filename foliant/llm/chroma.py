@@ -4,14 +4,15 @@ Audio (16-bit mono PCM in a binary column) becomes frames of energy by pitch cla
 differences of rectangle sums taken from an integral image over a sliding run of frames, give two
 bits each: one packed 32-bit integer a frame.
 
-Recordings are aligned through keys of three integers a few frames apart: every key that a query
-and a recording share votes for the offset between its places. The best offsets of the histogram
-are confirmed by the bit errors of the overlapping integers.
+Recordings are aligned through keys of three integers a few frames apart: every place of a key in a
+query and every place of it in a recording vote for the offset between them. Every offset with
+enough votes is confirmed by the bit errors of the overlapping integers, and the one with the least
+share of them stays.
 
 Recordings with equal fingerprints form a class, and only class representatives are aligned, so
-thousands of copies cost one. Within a fingerprint each key counts at its first place only; a key
-that many representatives share (silence) is joined like any other and split by the engine's skew
-handling.
+thousands of copies cost one. Consecutive places of one key are a run; two runs vote at once for
+all offsets at which they overlap, by the length of the overlap. A key that many representatives
+share (silence) is joined like any other and split by the engine's skew handling.
 
 Cases: null and empty audio, and audio shorter than one run of frames, have an empty fingerprint
 and align with nothing. An odd last byte is dropped. Silent frames have zero energy in all classes.
@@ -117,12 +118,14 @@ def classes(prints: DataFrame) -> DataFrame:
 
 
 def _keys(prints: DataFrame) -> DataFrame:
-    """id, key (hash of three integers), place (the key's first)."""
+    """id, key (hash of three integers), place, length: the runs of consecutive places of each key."""
     n = F.size("fingerprint") - 2 * STEP
     at = lambda i: F.xxhash64(F.get("fingerprint", i), F.get("fingerprint", i + STEP), F.get("fingerprint", i + 2 * STEP))
-    keys = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(at(i).alias("key"), i.alias("place"))))
-    rows = prints.select("id", F.explode(keys).alias("k"))
-    return rows.groupBy("id", "k.key").agg(F.min("k.place").alias("place"))
+    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (at(i) != at(i - 1)))
+    run = lambda s, i, next_: F.struct(at(s).alias("key"), s.alias("place"), (F.coalesce(F.get(next_, i + 1), n) - s).alias("length"))
+    # The starts are bound once, as each run reads the next one's.
+    runs = F.when(n > 0, F.get(F.transform(F.array(starts), lambda a: F.transform(a, lambda s, i: run(s, i, a))), F.lit(0)))
+    return prints.select("id", F.explode(runs).alias("k")).select("id", "k.*")
 
 
 def bit_errors(a: Column, b: Column, offset: Column) -> tuple[Column, Column]:
@@ -144,14 +147,19 @@ def align(prints: DataFrame, is_query) -> DataFrame:
     heads = prints.join(members.where("id = class_id").select("id"), "id", "left_semi")
     asked = members.where(is_query(F.col("id"))).select(F.col("class_id").alias("id")).distinct()
     keys = _keys(heads)
-    queries = keys.join(asked, "id", "left_semi").select(F.col("id").alias("query_id"), "key", F.col("place").alias("there"))
-    votes = keys.join(queries, "key").where("id <> query_id").groupBy("query_id", "id", (F.col("place") - F.col("there")).alias("offset")).agg(F.count("*").alias("votes"))
-    best = votes.where(F.col("votes") >= VOTES).groupBy("query_id", "id").agg(F.max(F.struct("votes", (-F.col("offset")).alias("o"))).alias("best"))
-    best = best.select("query_id", "id", (-F.col("best.o")).cast("int").alias("offset"))
-    found = best.join(heads, "id").join(heads.select(F.col("id").alias("query_id"), F.col("fingerprint").alias("asked")), "query_id")
+    queries = keys.join(asked, "id", "left_semi").select(F.col("id").alias("query_id"), "key", F.col("place").alias("there"), F.col("length").alias("lasting"))
+    met = keys.join(queries, "key").where("id <> query_id")
+    met = met.withColumn("offset", F.explode(F.sequence(F.col("place") - F.col("there") - F.col("lasting") + 1, F.col("place") + F.col("length") - 1 - F.col("there"))))
+    shared = F.least(F.col("place") + F.col("length"), F.col("there") + F.col("lasting") + F.col("offset")) - F.greatest(F.col("place"), F.col("there") + F.col("offset"))
+    votes = met.groupBy("query_id", "id", "offset").agg(F.sum(shared).alias("votes"))
+    tried = votes.where(F.col("votes") >= VOTES).groupBy("query_id", "id").agg(F.collect_list("offset").alias("offsets"))
+    found = tried.join(heads, "id").join(heads.select(F.col("id").alias("query_id"), F.col("fingerprint").alias("asked")), "query_id")
+    found = found.select("query_id", "id", "fingerprint", "asked", F.explode("offsets").alias("offset"))
     frames, wrong = bit_errors(F.col("fingerprint"), F.col("asked"), F.col("offset"))
-    found = found.withColumn("frames", frames).withColumn("error", F.when(frames > 0, wrong / (32 * frames)))
-    return found.where((F.col("frames") >= OVERLAP) & (F.col("error") <= ERRORS)).select("query_id", "id", "offset", "frames", "error")
+    found = found.where(frames >= OVERLAP).select("query_id", "id", "offset", frames.alias("frames"), (wrong / (32 * frames)).alias("error")).where(F.col("error") <= ERRORS)
+    # Of equal errors the longest overlap, then the least offset.
+    best = found.groupBy("query_id", "id").agg(F.min(F.struct("error", (-F.col("frames")).alias("less"), "offset")).alias("best"))
+    return best.select("query_id", "id", "best.offset", (-F.col("best.less")).alias("frames"), "best.error")
 
 
 def matches(media: DataFrame, is_query, id_col: str = "id", audio_col: str = "audio") -> DataFrame:

@@ -101,6 +101,16 @@ def test_recordings_align(spark):
     assert chroma.matches(media.limit(0), lambda i: i == 0).count() == 0
 
 
+def test_every_voted_offset_is_tried(spark):
+    r = np.random.RandomState(8)
+    part = lambda n: r.randint(-(2**31), 2**31, n).tolist()
+    v, c, y, x, z = part(100), part(120), part(100), part(300), part(300)
+    prints = spark.createDataFrame([(1, v + c + z), (2, y + c + x + v), (3, [7] * 60), (4, [7] * 90), (5, part(80))], "id long, fingerprint array<int>")
+    got = {(r.query_id, r.id): (r.offset, r.frames, r.error) for r in chroma.align(prints, lambda i: i.isin(1, 3)).collect()}
+    # The shared middle at offset 0 has more votes and fails; a sustained chord has one key.
+    assert got == {(1, 2): (520, 100, 0.0), (3, 4): (0, 60, 0.0)}
+
+
 def test_ordinal_grades_on_held_out_rows(spark):
     r = np.random.RandomState(6)
     words = [f"w{i}" for i in range(200)]
