@@ -62,18 +62,20 @@ def canonical_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH b AS (SELECT item_id, lower(regexp_replace(text, '[^0-9A-Za-zÀ-ɏ]', '', 'g')) AS k FROM benchmark), d AS (SELECT doc_id, lower(regexp_replace(text, '[^0-9A-Za-zÀ-ɏ]', '', 'g')) AS k FROM documents)
 SELECT item_id, doc_id FROM b JOIN d ON contains(d.k, b.k)""")
 def quote_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which documents hold which quotes, compared by letters and digits.
+    """Which documents hold which quotes, compared by letters and digits."""
+    return found_quotes(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
 
-    Joined on the first 24 characters of the quote wherever they stand in a document, then the
-    whole quote is looked for: no document meets every quote.
+
+def found_quotes(quotes: DataFrame, docs: DataFrame) -> DataFrame:
+    """item_id, doc_id: documents that hold every fragment of a quote, short ones too; ellipses part fragments, a blank quote is nowhere.
+
+    Every document meets every quote, in a nested loop with the quotes broadcast.
     """
-    n = 24
-    b = table(spark, sf_dir, "benchmark").select("item_id", quote_key(F.col("text")).alias("quote"))
-    long = b.where(F.length("quote") >= n).withColumn("gram", F.substring("quote", 1, n))
-    d = table(spark, sf_dir, "documents").select("doc_id", quote_key(F.col("text")).alias("key"))
-    # Cheap pre-test on the grams that exist, built from the quotes: a handful of rows.
-    grams = F.broadcast(long.select("gram", "item_id", "quote"))
-    return d.join(grams, F.contains("key", F.col("gram")) & F.contains("key", F.col("quote"))).select("item_id", "doc_id")
+    fragments = F.transform(F.filter(F.split("text", r"\.{3,}|…"), lambda x: x.rlike(r"\S")), quote_key)
+    b = quotes.select("item_id", fragments.alias("fragments")).where(F.size("fragments") > 0).withColumn("first", F.get("fragments", F.lit(0)))
+    d = docs.select("doc_id", quote_key(F.col("text")).alias("key"))
+    held = F.contains("key", F.col("first")) & F.forall("fragments", lambda x: F.contains(F.col("key"), x))
+    return d.join(F.broadcast(b), held).select("item_id", "doc_id")
 
 
 _STATE = "old AS (SELECT doc_id, md5(text) AS h FROM documents WHERE doc_id % 4 <> 1), new AS (SELECT doc_id, md5(CASE WHEN doc_id % 10 = 2 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 5 <> 3)"

@@ -77,3 +77,11 @@ def test_chunks_of_texts_up_to_the_size_caps(spark):
     assert sorted(got) == sizes[:-2]
     for n, parts in got.items():
         assert [parts[k] for k in range(len(parts))] == [text[:n][at : at + 1000] for at in range(0, max(n - 100, 1), 900)]
+
+
+def test_quotes_short_and_with_ellipses(spark):
+    from foliant.queries.entities import found_quotes
+
+    quotes = spark.createDataFrame([(1, "Short one"), (2, "the first ... the LAST"), (3, "the last… the missing"), (4, " ... "), (5, None), (6, "a quote of more than twenty-four letters")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "A short-one."), (2, "The first, some more, the last"), (3, "such is a quote of more than twenty four letters"), (4, None), (5, "")], "doc_id long, text string")
+    assert sorted(map(tuple, found_quotes(quotes, docs).collect())) == [(1, 1), (2, 2), (6, 3)]
