@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -59,3 +61,40 @@ def drop_written(df: DataFrame) -> None:
     for name in df.inputFiles()[:1]:
         folder = jvm.org.apache.hadoop.fs.Path(name).getParent()
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """The rows with their number in that order, from 0: sorted by ranges, counts of earlier ranges added.
+
+    What is summed in one place is a row for each partition.
+    """
+    sorted_ = rows.repartitionByRange(*[F.col(c).asc_nulls_last() for c in order]).sortWithinPartitions(*[F.col(c).asc_nulls_last() for c in order])
+    placed = written(sorted_.select("*", F.monotonically_increasing_id().alias("number")), "numbered").withColumn("range", F.shiftright("number", 33))
+    counts = placed.groupBy("range").agg(F.count("*").alias("n"))
+    before = counts.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
+    within = F.col("number").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(F.broadcast(before), "range").withColumn("number", within + F.col("before")).drop("range", "before")
+
+
+def by_version(docs: DataFrame, use: Callable[[DataFrame], DataFrame], back: tuple[str, ...] = ()) -> DataFrame:
+    """use(docs) for documents whose doc_id may repeat or be null: as many rows as docs, by doc_id.
+
+    Where ids are unique that is all. Else equal (doc_id, text) rows are one document; documents
+    are numbered by doc_id (null last) and digest of the text, used by their numbers, and every row
+    gets its document's result. Columns named in back hold numbers that are turned into doc_ids too.
+    """
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows, different = ids.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    if rows == different:
+        return use(ids)
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    ids = ids.withColumn("digest", digest)
+    documents = written(numbered(ids.select("doc_id", "digest").distinct(), "doc_id", "digest"), "documents")
+    theirs = documents.select(F.col("doc_id").alias("id"), F.col("digest").alias("version"), "number")
+    placed = ids.join(theirs, ids["doc_id"].eqNullSafe(theirs["id"]) & (ids["digest"] == theirs["version"]))
+    found = written(use(placed.select(F.col("number").alias("doc_id"), "text").dropDuplicates(["doc_id"])), "found")
+    columns = [c for c in found.columns if c != "doc_id"]
+    for name in back:
+        found = found.join(documents.select(F.col("number").alias(name), F.col("doc_id").alias("was")), name).drop(name).withColumnRenamed("was", name)
+    found = found.withColumnRenamed("doc_id", "number")
+    return placed.select(F.col("id").alias("doc_id"), "number").join(found, "number").select("doc_id", *columns)

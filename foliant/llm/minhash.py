@@ -8,14 +8,16 @@ every link is confirmed on the full sets.
 How large groups are kept cheap without losing a link: texts with equal sets count once. In a
 bucket the members are compared with a few pivots, and links join into components: a group of
 thousands of copies needs about as many comparisons as it has members. What is left are pairs of
-different components. A pair is let through to the full sets only if its sizes and two sketches
-allow a link: the parities of the numbers of shingles in each of CELLS cells differ in no more
-places than the sets do, which is exact; minima with equal lowest bits are an estimate, with slack.
-Variants of one source that are too far apart to be linked go there, within the join.
+different components. A pair is let through to the full sets only if its sizes and a sketch allow
+a link: the parities of the numbers of shingles in each of CELLS cells differ in no more places
+than the sets do, so no link is lost. Variants of one source that are too far apart to be linked
+go there, within the join.
 
 Cases: null or empty texts, and texts without words, have an empty set and are linked with
-nothing. With fewer words than a shingle, the whole sequence is the one shingle. Repeated doc_ids
-are not expected (ids are keys); ties go to the smaller id. Other columns are not read.
+nothing. With fewer words than a shingle, the whole sequence is the one shingle. Rows with equal
+doc_id and text are one document, returned as often as they come; texts that share a doc_id, or
+have none (null: last), are told apart by their digests. Ties go to the smaller id. Other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -27,19 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, written
+from .common import by_version, drop_written, written
 from .components import components
 
-#: Size of the hash universe that the two permutations act on.
-UNIVERSE = 1 << 20
+#: Size of the hash universe that the two permutations act on; sets of a million shingles still
+#: have different minima in it.
+UNIVERSE = 1 << 21
 #: 36 bands of 7 coordinates: a pair at 0.85 is missed with probability 9e-7, at 0.8 with 2e-4.
 BANDS, ROWS = 36, 7
-#: Coordinates; the lowest bit of each makes the first sketch that tells hopeless pairs without their sets.
-COORDINATES = 256
-#: Cells of the second sketch: the parity of the number of shingles in each.
-CELLS = 512
-#: Deviations that a sketch may be off: links lost by it are far fewer than by the bands.
-SLACK = 7.0
+COORDINATES = BANDS * ROWS
+#: Cells of the sketch: the parity of the number of shingles in each.
+CELLS = 768
 PIVOTS = 2
 
 
@@ -68,8 +68,9 @@ class Circulant:
 
     def __init__(self, coordinates: int, seed: int = 1):
         draw = np.random.RandomState(seed)
-        self.scatter = draw.permutation(UNIVERSE).astype(np.int32)
-        order = draw.permutation(UNIVERSE).astype(np.int32)
+        self.scatter, order = np.arange(UNIVERSE, dtype=np.int32), np.arange(UNIVERSE, dtype=np.int32)
+        draw.shuffle(self.scatter)
+        draw.shuffle(order)
         ring = np.concatenate([order, order[:coordinates]])
         self.shifted = np.lib.stride_tricks.sliding_window_view(ring, coordinates)[:UNIVERSE]
 
@@ -83,16 +84,15 @@ _circulant: dict[int, Circulant] = {}
 
 
 def _bands(items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One 64-bit bucket key for each band, and the two sketches, of COORDINATES and CELLS bits."""
+    """One 64-bit bucket key for each band, and the sketch of CELLS bits."""
     circulant = _circulant.get(COORDINATES) or _circulant.setdefault(COORDINATES, Circulant(COORDINATES))
-    signature = circulant.signature(items)
-    parts = signature[: BANDS * ROWS].astype(np.uint64).reshape(BANDS, ROWS)
+    parts = circulant.signature(items).astype(np.uint64).reshape(BANDS, ROWS)
     key = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     for k in range(ROWS):
         key = (key ^ parts[:, k]) * np.uint64(0x9E3779B97F4A7C15)
         key ^= key >> np.uint64(31)
     parity = np.bincount((items.view(np.uint64) >> np.uint64(40)).astype(np.int64) % CELLS, minlength=CELLS) & 1
-    return key.view(np.int64), np.packbits(np.concatenate([signature & 1, parity]).astype(bool)).view(np.int64)
+    return key.view(np.int64), np.packbits(parity.astype(bool)).view(np.int64)
 
 
 def _texts(column: pa.Array) -> Iterator[bytes]:
@@ -146,21 +146,18 @@ def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     )
 
 
-_SKETCH = [f"s{i}" for i in range((COORDINATES + CELLS) // 64)]
-#: What bucket members carry: id, set size, component and the sketches' words.
+_SKETCH = [f"s{i}" for i in range(CELLS // 64)]
+#: What bucket members carry: id, set size, component and the sketch's words.
 _MEMBER = ["doc_id", "n_shingles", "component", *_SKETCH]
 
 
 def _hopeful(percent: int):
-    """Set sizes that allow the similarity at all, and sketches that don't speak against it."""
-    chance = (1 - percent / 100) / 2
-    most = COORDINATES * chance + SLACK * (COORDINATES * chance * (1 - chance)) ** 0.5
-    apart = lambda words: sum((F.bit_count(F.col(f"x.{s}").bitwiseXOR(F.col(f"y.{s}"))) for s in words), F.lit(0))
-    cut = COORDINATES // 64
+    """Set sizes and sketches that allow the similarity at all."""
+    apart = sum((F.bit_count(F.col(f"x.{s}").bitwiseXOR(F.col(f"y.{s}"))) for s in _SKETCH), F.lit(0))
     sizes = 100 * F.least("x.n_shingles", "y.n_shingles") >= percent * F.greatest("x.n_shingles", "y.n_shingles")
     # At the threshold the sets differ in (100 - percent) / (100 + percent) of both sizes.
-    parities = (100 + percent) * apart(_SKETCH[cut:]) <= (100 - percent) * (F.col("x.n_shingles") + F.col("y.n_shingles"))
-    return (F.col("x.component") != F.col("y.component")) & sizes & parities & (apart(_SKETCH[:cut]) <= int(most))
+    parities = (100 + percent) * apart <= (100 - percent) * (F.col("x.n_shingles") + F.col("y.n_shingles"))
+    return (F.col("x.component") != F.col("y.component")) & sizes & parities
 
 
 def _pair(found: DataFrame) -> DataFrame:
@@ -217,6 +214,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     Takes doc_id and text; returns doc_id, n_shingles, component_id (the least doc_id that links
     reach, itself included) and kept (doc_id = component_id).
     """
+    found = by_version(docs, lambda own: _groups(own, n, percent), back=("component_id",))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _groups(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, component_id for unique doc_ids."""
     signed = written(signatures(docs, n), "signatures")
     # Equal sets first: one document of each stands for all.
     stands = written(signed.where("same IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("rep")), "alike")
@@ -233,5 +236,4 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
     by_rep = stands.join(groups, stands["rep"] == groups["node"], "left").select("same", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "same").join(by_rep, "same", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
