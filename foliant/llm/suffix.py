@@ -6,19 +6,26 @@ document and an earlier start). No window is ever compared with all others:
 1. Each 100-byte window is filed under the smallest hash of the 40-byte strings in it, which any
    equal window shares. Neighbouring windows under one hash make a run; about one run starts every
    32 bytes. One shuffle brings the runs of a hash together.
-2. Of runs with equal bytes under one hash, all but the earliest go whole.
+2. Of runs with equal bytes under one hash, all but the earliest go whole. Hash and content are two
+   unrelated 64-bit hashes, 128 bits together.
 3. The earliest run of each content is sorted with those of other contents under the same hash:
    suffixes are compared through prefix polynomial hashes (binary search for the common
    extension), merge sort is stable, and neighbours that agree for 100 bytes are repeats, verified
    byte by byte.
 
-A hash may be found in a third of all texts (a common line in different surroundings). Such
-hashes are found in a sample of the texts and dealt out by content; what is first under its share
-is compared once more by an aggregation. The sample decides how rows are dealt, never the result.
+A hash may be found in a third of all texts (a common passage in different surroundings). Such hot
+hashes are found in a sample of the texts. Their runs are cut where the windows' distance from the
+hashed string passes a multiple of CORE and filed under the bytes that all windows of such a piece
+share. At the borders of a common passage, windows then part from each other where their
+surroundings differ, and only the one piece that holds both kinds of windows meets others. Hot
+keys are dealt out by place first; the earliest of each share are dealt out by content, and what
+is first under that share is compared once more by an aggregation. The sample decides how rows are
+dealt, never the result.
 
 Cases: null and empty texts, and texts under 100 bytes, lose nothing. Copies of a whole text of
-at least 100 bytes lose everything but the first. Self-overlapping repeats (``aaaa``) count. Other
-columns are not read; doc_id is a unique integer key.
+at least 100 bytes lose everything but the first. Self-overlapping repeats (``aaaa``) count. Rows
+with equal doc_id and text are one document, returned as often as they come; texts that share a
+doc_id, or have none (null: last), follow each other by digest. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,17 +38,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import by_version, drop_written, written
 
 WINDOW, GRAM = 100, 40
 SPAN = WINDOW - GRAM + 1
-#: Windows in a run at most; bytes hashed at a time; runs sorted at a time, and under one share.
-RUN = 64
+#: Windows in a run at most; windows in a piece of a hot run; bytes hashed at a time; runs sorted at
+#: a time, and under one share.
+RUN, CORE = 64, 4
 CHUNK = 1 << 18
 SORTED, SHARE = 20_000, 4_000
-#: Texts in the sample that hot hashes are found in, and their least number of runs in it: a hash
-#: with one run in about 10,000. The sample has two million runs or so, so hot hashes are few.
-SAMPLE, HOT = 20_000, 200
+#: Least number of texts in the sample that hot hashes are found in, and a hot hash's least number
+#: of runs in it. The sample grows so that a hash with GROUP runs in all texts is hot; of hot hashes
+#: the HOTTEST most frequent ones are told to the tasks, 16 bytes each.
+SAMPLE, HOT, GROUP, HOTTEST = 20_000, 200, 200_000, 1 << 16
 
 _BYTES = np.random.RandomState(7).randint(0, 2**63, 256, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -71,10 +80,11 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(low[: len(values) - width + 1], low[width - step :][: len(values) - width + 1])
 
 
-def _runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The runs of the texts at [start, end) of data: text number, start, windows, hash, offset, twice.
+def _runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The runs of the texts at [start, end) of data: text number, start, windows, key, offset, twice, hot.
 
-    offset: of the hashed string in the run's first window; twice: the string occurs in the run again.
+    offset: of the hashed string in the run's first window; twice: the string occurs in the run
+    again; hot: the number of the key's hash in the sorted array hot, or -1.
     """
     long = ends - starts >= WINDOW
     edge = np.zeros(len(data) + 1, np.int32)
@@ -82,7 +92,7 @@ def _runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
     np.add.at(edge, ends[long] - WINDOW + 1, -1)
     at = np.flatnonzero(np.cumsum(edge[:-1]))
     if not len(at):
-        return (np.empty(0, np.int64),) * 6
+        return (np.empty(0, np.int64),) * 7
     hashes = gram_hashes(data)
     low = _sliding_min(hashes, SPAN)[at]
     cut = np.concatenate([[True], (low[1:] != low[:-1]) | (at[1:] != at[:-1] + 1)])
@@ -93,7 +103,40 @@ def _runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
     lo, windows = at[first], np.lib.stride_tricks.sliding_window_view(hashes, SPAN)
     left = windows[lo].argmin(axis=1)
     right = n - 1 + SPAN - 1 - windows[lo + n - 1][:, ::-1].argmin(axis=1)
-    return np.searchsorted(starts, lo, "right") - 1, lo, n, low[first].view(np.int64), left, left != right
+    key, twice = low[first].view(np.int64), (left != right).astype(np.int64)
+    number = np.full(len(lo), -1)
+    if len(hot):
+        found = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
+        number[hot[found] == key] = found[hot[found] == key]
+    warm = np.flatnonzero(number >= 0)
+    if len(warm):
+        cool = number < 0
+        pieces = _pieces(data, windows, lo[warm], n[warm], left[warm], twice[warm] > 0)
+        of = warm[pieces[0]]
+        lo, n, key, left = (np.concatenate([x[cool], y]) for x, y in zip((lo, n, key, left), pieces[1:]))
+        twice, number = np.concatenate([twice[cool], np.zeros(len(of), np.int64)]), np.concatenate([number[cool], number[of]])
+    return np.searchsorted(starts, lo, "right") - 1, lo, n, key, left, twice, number
+
+
+def _pieces(data: np.ndarray, windows: np.ndarray, lo: np.ndarray, n: np.ndarray, off: np.ndarray, twice: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Hot runs cut into pieces of at most CORE windows: run number, start, windows, key, offset.
+
+    The windows of a piece have the hashed string at distances of one multiple of CORE, so they all
+    hold the WINDOW - CORE + 1 bytes that the key is a hash of, and equal windows have equal keys.
+    """
+    import xxhash
+
+    run = np.repeat(np.arange(len(n)), n)
+    i = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+    start, depth = lo[run] + i, off[run] - i
+    for part in np.array_split(again := np.flatnonzero(twice[run]), len(again) // 4096 + 1):
+        depth[part] = windows[start[part]].argmin(axis=1)
+    gram, bucket = start + depth, depth // CORE
+    cut = np.concatenate([[True], (np.diff(run) != 0) | (np.diff(gram) != 0) | (np.diff(bucket) != 0)])
+    first = np.flatnonzero(cut)
+    core, view = gram[first] - CORE * bucket[first], memoryview(data)
+    keys = [xxhash.xxh64_intdigest(view[a : a + WINDOW - CORE + 1], b) for a, b in zip(core.tolist(), bucket[first].tolist())]
+    return run[first], start[first], np.diff(np.append(first, len(run))), np.array(keys, np.uint64).view(np.int64), depth[first]
 
 
 def _batch_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -113,36 +156,42 @@ def _chunks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         start = end
 
 
-def runs(docs: DataFrame) -> DataFrame:
-    """All runs: h, content (hash of the bytes), doc_id, place (start * 2^15 + windows * 2^8 + offset * 2 + twice)."""
+def runs(docs: DataFrame, hot: np.ndarray | None = None, salts: np.ndarray | None = None) -> DataFrame:
+    """All runs: h, salts (over 1: hot), content (hash of the bytes), doc_id, place (start * 2^15 + windows * 2^8 + offset * 2 + twice)."""
+    known = np.empty(0, np.int64) if hot is None else hot
+    shares = np.ones(1, np.int64) if salts is None or not len(salts) else salts
+    told = docs.sparkSession.sparkContext.broadcast((known, shares))  # HOTTEST rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        known, shares = told.value
         for batch in batches:
             data, offsets = _batch_bytes(batch.column(1))
             ids = np.asarray(batch.column(0))
             for a, b in _chunks(offsets):
                 base = offsets[a]
                 part = data[base : offsets[b]]
-                text, lo, n, h, off, twice = _runs(part, offsets[a:b] - base, offsets[a + 1 : b + 1] - base)
+                text, lo, n, h, off, twice, number = _runs(part, offsets[a:b] - base, offsets[a + 1 : b + 1] - base, known)
                 if len(text):
                     view = memoryview(part)
                     content = [xxhash.xxh3_64_intdigest(view[i:j]) for i, j in zip(lo.tolist(), (lo + n + WINDOW - 1).tolist())]
                     place = (lo - (offsets[a:b] - base)[text]) << 15 | n << 8 | off << 1 | twice
-                    columns = [h, np.array(content, np.uint64).view(np.int64), ids[a:b][text], place.astype(np.int64)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "content", "doc_id", "place"])
+                    columns = [h, np.where(number < 0, 1, shares[number]), np.array(content, np.uint64).view(np.int64), ids[a:b][text], place.astype(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "salts", "content", "doc_id", "place"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "h bigint, content bigint, doc_id bigint, place bigint")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "h bigint, salts bigint, content bigint, doc_id bigint, place bigint")
 
 
-def _hot(docs: DataFrame) -> DataFrame:
-    """h, salts: the hashes of very many runs and how many shares they are dealt to; a few thousand at most."""
+def _hot(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of very many runs, sorted, and how many shares each is dealt to; HOTTEST at most."""
     total = docs.count()
-    part = min(1.0, SAMPLE / max(total, 1))
+    part = min(1.0, max(SAMPLE / max(total, 1), HOT / GROUP))
     chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(part * (1 << 20)) + 1)
-    counted = runs(chosen).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= HOT)
-    return counted.select("h", F.ceil(F.col("n") / part / SHARE + 1).alias("salts"))
+    counted = runs(chosen).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= HOT).orderBy(F.desc("n"), "h").limit(HOTTEST)
+    rows = counted.select("h", F.ceil(F.col("n") / part / SHARE + 1).alias("salts")).toArrow().sort_by("h")
+    column = lambda name: np.array(rows[name].to_pylist(), np.int64)
+    return column("h"), column("salts")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -339,42 +388,62 @@ def _cut(held: DataFrame) -> DataFrame:
     return held.select("doc_id", "packed", "ranges").mapInArrow(run, "doc_id bigint, spans array<struct<start:bigint,end:bigint>>, kept binary, kept_text string")
 
 
+def _decided(dealt: DataFrame) -> DataFrame:
+    """Of rows dealt out by share: whether an earlier one has the same content, and the number of contents."""
+    place = F.struct("doc_id", "place")
+    late = dealt.withColumn("late", place != F.min(place).over(Window.partitionBy("share", "content")))
+    return late.withColumn("contents", F.sum(F.when(F.col("late"), 0).otherwise(1)).over(Window.partitionBy("share")))
+
+
+def _opened(docs: DataFrame) -> DataFrame:
+    """The runs that go whole (share null) and those to be sorted: share, salts, doc_id, place."""
+    hot = F.col("salts") > 1
+    # One shuffle, by share: both windows are served by it.
+    share = F.when(hot, F.xxhash64("h", F.pmod(F.xxhash64("doc_id", "place"), F.col("salts")))).otherwise(F.col("h"))
+    first = _decided(runs(docs, *_hot(docs)).withColumn("share", share).repartition("share"))
+    open_ = ~F.col("late") & ((F.col("contents") > 1) | (F.col("place").bitwiseAND(1) == 1) | hot)
+    keep = [F.when(~F.col("late"), F.col("h")).alias("h"), F.when(~F.col("late"), F.col("content")).alias("content"), "salts", "doc_id", "place"]
+    first = written(first.where(F.col("late") | open_).select(*keep), "first")
+
+    # The earliest of each share of a hot key, dealt out by content; keys of a single run are done.
+    warm = first.where(hot & F.col("h").isNotNull())
+    several = warm.groupBy("h").agg(F.count("*").alias("n"), F.min("content").alias("least"), F.max("content").alias("most")).where("n > 1")
+    warm = warm.join(several.select("h", (F.col("least") != F.col("most")).alias("mixed")), "h")
+    warm = _decided(warm.withColumn("share", F.xxhash64("h", F.pmod("content", F.col("salts")))).repartition("share"))
+    warm = warm.where(F.col("late") | F.col("mixed")).select(F.when(~F.col("late"), F.col("share")).alias("share"), "salts", "doc_id", "place")
+    return first.where(~hot | F.col("h").isNull()).select(F.col("h").alias("share"), "salts", "doc_id", "place").union(warm)
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """Of each text that loses bytes: doc_id, spans (maximal removed runs of bytes), kept (binary), kept_text.
 
     kept_text leaves out the rests of characters that a span begins or ends in.
 
-    Takes doc_id and text. Documents that lose nothing have no row.
+    Takes doc_id (unique, see :func:`by_version`) and text. Documents that lose nothing have no row.
     """
-    hot = written(_hot(docs), "hot")
-    salts = F.coalesce("salts", F.lit(1).cast("long"))
-    dealt = runs(docs).join(F.broadcast(hot), "h", "left").select(
-        F.when(salts > 1, F.xxhash64("h", F.pmod("content", salts))).otherwise(F.col("h")).alias("group"), salts.alias("salts"), "content", "doc_id", "place"
-    )
-    # One shuffle, by group: both windows are served by it.
-    place = F.struct("doc_id", "place")
-    held = dealt.repartition("group").withColumn("late", place != F.min(place).over(Window.partitionBy("group", "content")))
-    group = Window.partitionBy("group")
-    held = held.withColumn("contents", F.sum(F.when(F.col("late"), 0).otherwise(1)).over(group))
-    open_ = ~F.col("late") & ((F.col("contents") > 1) | (F.col("place").bitwiseAND(1) == 1) | (F.col("salts") > 1))
-    decided = written(held.where(F.col("late") | open_).select(F.when(~F.col("late"), F.col("group")).alias("group"), "salts", "doc_id", "place"), "decided")
-
+    opened = written(_opened(docs), "opened")
     # Runs whose bytes stand earlier go whole.
     start = F.shiftright("place", 15)
-    whole = decided.where("group IS NULL").select("doc_id", start.alias("start"), (start + F.shiftright("place", 8).bitwiseAND(127) + (WINDOW - 1)).alias("end"))
-    wanted = decided.where("group IS NOT NULL").groupBy("doc_id").agg(F.collect_list(F.struct("group", "salts", "place")).alias("wanted"))
+    whole = opened.where("share IS NULL").select("doc_id", start.alias("start"), (start + F.shiftright("place", 8).bitwiseAND(127) + (WINDOW - 1)).alias("end"))
+    wanted = opened.where("share IS NOT NULL").groupBy("doc_id").agg(F.collect_list(F.struct(F.col("share").alias("group"), "salts", "place")).alias("wanted"))
     resolved = written(_resolved(_with_bytes(_packed(docs).join(wanted, "doc_id"))), "resolved")
     left = resolved.where("key IS NOT NULL")
     earliest = left.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("first"))
     late = left.join(earliest, "key").where(F.struct("doc_id", "start") != F.col("first"))
     columns = ["doc_id", "start", "end"]
     ranges = whole.select(columns).union(resolved.where("key IS NULL").select(columns)).union(late.select(columns))
-    by_doc = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    by_doc = written(ranges.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("ranges")), "ranges")
+    drop_written(opened)
+    drop_written(resolved)
     return _cut(_packed(docs).join(by_doc, "doc_id"))
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """Per document: n_bytes, n_removed, n_spans and the SHA-256 of the remaining bytes."""
+    return by_version(docs, _digests)
+
+
+def _digests(docs: DataFrame) -> DataFrame:
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     whole = docs.select(F.col("doc_id").cast("long"), F.octet_length(data).cast("long").alias("n_bytes"), F.sha2(data, 256).alias("sha256"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])

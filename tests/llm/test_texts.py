@@ -102,6 +102,20 @@ def test_repeated_passages_equal_brute_force(spark, repeats, hot, monkeypatch):
     assert got == passages(repeats)
 
 
+def test_repeated_ids_come_back_as_often(spark, repeats):
+    twice = [*repeats[:60], *repeats[:3], (5, "other text " * 30), (None, repeats[7][1] or "x"), (None, "k" * 200)]
+    ranked = sorted({(k, t or "") for k, t in twice}, key=lambda r: (r[0] is None, r[0] or 0, hashlib.sha256(r[1].encode()).hexdigest()))
+    want = passages([(i, t) for i, (_, t) in enumerate(ranked)])
+    number = {r: i for i, r in enumerate(ranked)}
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.digests(docs(spark, twice)).collect())
+    assert got == sorted((str(k), *want[number[k, t or ""]]) for k, t in twice)
+    near_ = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in minhash.near_duplicates(docs(spark, twice), 3, 85).collect())
+    sets = near([(i, t) for i, (_, t) in enumerate(ranked)], 3, 85)
+    back = {i: r[0] for r, i in number.items()}
+    ends = [(k, sets[number[k, t or ""]]) for k, t in twice]
+    assert near_ == sorted((str(k), n, str(back[c]), k == back[c]) for k, (n, c) in ends)
+
+
 def test_no_passages_in_an_empty_table(spark):
     assert suffix.digests(docs(spark, [])).count() == 0
 
@@ -116,7 +130,7 @@ def test_byte_pairs_equal_the_library(spark):
     got = {r.doc_id: r for r in bpe.round_trip(table, ranks, pattern).collect()}
     for k, t in rows:
         want = theirs.encode_ordinary(t or "")
-        assert (got[k].n_tokens, got[k].ids) == (len(want), " ".join(map(str, want)))
+        assert (got[k].n_tokens, got[k].ids) == (len(want), want)
         assert bytes(got[k].decoded) == (t or "").encode()
     back = bpe.decode(bpe.encode(table, ranks, pattern), ranks).collect()
     assert {r.doc_id: bytes(r.decoded).decode() for r in back} == {k: t or "" for k, t in rows}
@@ -127,9 +141,46 @@ def test_every_token_encodes_to_itself(spark):
     ranks, _ = vocabulary()
     import pyarrow as pa
 
-    ids, n, decoded = bpe.Encoder(ranks).pieces(pa.array([t for t, _ in ranks], pa.binary()))
-    assert ids.to_pylist() == [str(r) for _, r in ranks]
+    ids = bpe.Encoder(ranks).pieces(pa.array([t for t, _ in ranks], pa.binary()))
+    assert ids.to_pylist() == [[r] for _, r in ranks]
+
+
+def singly(piece, known):
+    """Ids by contracting the leftmost pair of minimum rank until none is left."""
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while True:
+        pairs = [(known[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in known]
+        if not pairs:
+            return [known[p] for p in parts]
+        i = min(pairs)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+def test_rounds_equal_single_contractions_for_any_ranks():
+    import pyarrow as pa
 
+    for seed in range(25):
+        r = random.Random(seed)
+        tokens = [bytes([i]) for i in range(256)]
+        more = {bytes(r.choice(b"abc") for _ in range(r.randint(2, 6))) for _ in range(60)}
+        more = list(more)
+        r.shuffle(more)  # wholes may rank below their parts
+        ranks = [(t, i) for i, t in enumerate(tokens + more)]
+        known = dict(ranks)
+        pieces = list({bytes(r.choice(b"abc") for _ in range(n)) for n in (1, 2, 3, 5, 8, 13, 40, 90, 300)} | {b"a" * 65, b"ab" * 40})
+        assert bpe.Encoder(ranks).pieces(pa.array(pieces, pa.binary())).to_pylist() == [singly(p, known) for p in pieces]
+
+
+def test_a_long_piece_and_unknown_ids(spark):
+    import tiktoken
+
+    ranks, pattern = vocabulary()
+    theirs = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=dict(ranks), special_tokens={})
+    r = random.Random(7)
+    text = "".join(r.choice("etaoinshrdluETAOIN") for _ in range(12_000))
+    assert bpe.encode(docs(spark, [(1, text)]), ranks, pattern).first().ids == theirs.encode_ordinary(text)
+    with pytest.raises(Exception, match="unknown token id"):
+        bpe.decode(spark.createDataFrame([(1, [70_000])], "doc_id long, ids array<int>"), ranks).collect()
 
 def test_mix_reaches_its_targets(spark):
     r = random.Random(5)
