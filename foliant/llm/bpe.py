@@ -3,21 +3,25 @@
 Spark splits every text into pieces with the tokenizer's pattern (JVM regex, one row per
 document) and deals the documents to tasks. A task collects the distinct pieces of a slice of
 its documents and hands their bytes, one row per token position, to DuckDB. A recursive query
-joins neighbouring positions with the merge table and contracts each piece's minimum-rank pair,
+joins neighbouring positions with the merge table and contracts each piece's minimum-rank pairs,
 leftmost first, until nothing more merges. An ordered aggregation turns the final positions
-into ids, and the ids back into bytes.
+into ids, and a document's ids back into bytes.
 
-Cases: a null text counts as empty; an empty text has no ids and decodes to no bytes. Pieces of
-any length work (equal pairs of one piece contract in the same round, with overlapping runs
-such as ``aaaa`` taken from the left, which is what contracting them singly gives). Repeated
-rows are encoded once per slice and returned as often as they come. Only the two columns named
-are read, so other columns may have any name.
+A round contracts a piece's pairs of minimum rank from the left, up to and including the first
+that makes a pair of lower rank with a neighbour: contracting them singly gives the same, as
+nothing of lower rank stands in the piece before that one. One rule serves pieces of all lengths;
+the state is keyed by position, so it holds a piece's positions once however many rounds it takes.
+
+Cases: a null text counts as empty; an empty text has no ids and decodes to no bytes. Repeated
+rows are encoded once per slice and returned as often as they come. Only the columns named are
+read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,66 +30,58 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of text that one recursive query takes at a time, and pieces that a worker remembers.
-SLICE_BYTES = 6_000_000
-CACHE_PIECES = 1_000_000
-
-#: Each round contracts every piece's leftmost minimum-rank pair. A row is a token position: p its
-#: first byte's number, q that of the next token (gaps keep pieces apart), nx the next token. The
-#: smallest key of a piece holds rank, position and length of the pair to contract.
+#: Bytes of text that a task takes at a time, and pieces that a worker remembers.
+SLICE_BYTES = 2_000_000
+CACHE_PIECES = 150_000
+#: Memory of a worker's database, and of its spill files (in the worker's own temporary folder).
+MEMORY, SPILL = "300MB", "4GB"
+#: Pieces up to these lengths go through the query together, as they take about as many rounds.
+LENGTHS = (8, 32, 1 << 40)
+
+#: A row is a token position: p its first byte's number, q that of the next token (gaps keep pieces
+#: apart), nx the next token, rank that of the pair of both. Absorbed positions have no token.
+#: Pairs of one rank can only overlap as runs of one token; every second one is taken, from the left.
 CONTRACT = """
-WITH RECURSIVE state(step, w, p, q, tok, nx) AS (
-  SELECT 0, w, p, p + 1, tok, lead(tok) OVER (PARTITION BY w ORDER BY p) FROM positions
-  UNION ALL
-  (WITH pair AS MATERIALIZED (
-     SELECT a.*, m.rank FROM state a LEFT JOIN merges m ON m.pair = a.tok::BIGINT * 4294967296 + a.nx),
-   best AS MATERIALIZED (
-     SELECT w, (key >> 38)::INTEGER AS rank, ((key >> 7) & 2147483647)::INTEGER AS p,
-            (((key >> 7) & 2147483647) + (key & 127))::INTEGER AS q
-     FROM (SELECT w, min((rank::BIGINT << 38) | (p::BIGINT << 7) | (q - p)) AS key
-           FROM pair WHERE rank IS NOT NULL GROUP BY w)),
-   hit AS MATERIALIZED (
-     SELECT best.*, x.q AS next_q, x.nx AS next_nx FROM best JOIN state x ON x.p = best.q)
-   SELECT step + 1, pair.w, pair.p,
-          CASE WHEN pair.p = hit.p THEN next_q ELSE pair.q END,
-          CASE WHEN pair.p = hit.p THEN hit.rank ELSE tok END,
-          CASE WHEN pair.p = hit.p THEN next_nx WHEN pair.q = hit.p THEN hit.rank ELSE nx END
-   FROM pair JOIN hit ON pair.w = hit.w WHERE pair.p <> hit.q))
-"""
-
-#: The same for pieces of over SHORT bytes: a round contracts all pairs of the piece's minimum rank.
-#: ``twin`` pairs (x, x) can overlap each other, so every second one of an unbroken run is taken,
-#: from the left. The rounds are then as many as there are ranks, not as there are merges.
-SHORT = 64
-CONTRACT_LONG = """
-WITH RECURSIVE state(step, w, p, n, tok) AS (
-  SELECT 0, w, p, 1, tok FROM positions
-  UNION ALL
-  (WITH pair AS MATERIALIZED (
-     SELECT a.step, a.w, a.p, a.n, a.tok, b.p AS q, b.n AS qn, b.tok = a.tok AS twin, m.rank
-     FROM state a LEFT JOIN state b ON b.p = a.p + a.n
-     LEFT JOIN merges m ON m.pair = a.tok::BIGINT * 4294967296 + b.tok),
-   best AS MATERIALIZED (SELECT w, min(rank) AS rank FROM pair WHERE rank IS NOT NULL GROUP BY w),
+WITH RECURSIVE state(w, p, q, tok, nx, rank) USING KEY (p) AS (
+  SELECT f.*, m.rank
+  FROM (SELECT w, p, p + 1 AS q, tok, lead(tok) OVER (PARTITION BY w ORDER BY p) AS nx FROM positions) f
+  LEFT JOIN merges m ON m.pair = f.tok::BIGINT * 4294967296 + f.nx
+  UNION
+  (WITH best AS MATERIALIZED (
+     SELECT w, min(rank) AS rank FROM recurring.state WHERE rank IS NOT NULL GROUP BY w),
+   found AS MATERIALIZED (
+     SELECT s.w, s.p, s.q, s.rank, row_number() OVER own AS nth, lag(s.q) OVER own IS DISTINCT FROM s.p AS head
+     FROM recurring.state s JOIN best ON s.w = best.w AND s.rank = best.rank WINDOW own AS (PARTITION BY s.w ORDER BY s.p)),
+   taken AS MATERIALIZED (
+     SELECT w, p, q, rank FROM (SELECT *, nth - max(CASE WHEN head THEN nth END) OVER (PARTITION BY w ORDER BY p) AS k FROM found)
+     WHERE k % 2 = 0),
+   around AS MATERIALIZED (
+     SELECT t.w, t.p, t.q, t.rank, x.q AS next_q, x.nx AS next_nx FROM taken t JOIN recurring.state x ON x.p = t.q),
+   before AS MATERIALIZED (
+     SELECT s.p, s.q, s.tok, s.w FROM recurring.state s JOIN taken t ON s.q = t.p),
    hit AS MATERIALIZED (
-     SELECT pair.p, q, n + qn AS n, pair.rank
-     FROM pair JOIN best ON pair.w = best.w AND pair.rank = best.rank WHERE NOT twin
+     SELECT * EXCLUDE (low) FROM (
+       SELECT a.*, sum((coalesce(l.rank < a.rank, false) OR coalesce(r.rank < a.rank, false))::INTEGER)
+                     OVER (PARTITION BY a.w ORDER BY a.p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low
+       FROM around a
+       LEFT JOIN before b ON b.q = a.p
+       LEFT JOIN taken t ON t.q = b.p
+       LEFT JOIN merges l ON l.pair = (CASE WHEN t.p IS NULL THEN b.tok ELSE a.rank END)::BIGINT * 4294967296 + a.rank
+       LEFT JOIN merges r ON r.pair = a.rank::BIGINT * 4294967296 + a.next_nx)
+     WHERE coalesce(low, 0) = 0),
+   changed AS (
+     SELECT hit.w, hit.p, hit.next_q AS q, hit.rank AS tok, CASE WHEN h.p IS NULL THEN hit.next_nx ELSE hit.rank END AS nx
+     FROM hit LEFT JOIN hit h ON h.p = hit.next_q
      UNION ALL
-     SELECT p, q, n + qn, rank FROM (
-       SELECT *, row_number() OVER (PARTITION BY w, island ORDER BY p) AS turn FROM (
-         SELECT pair.*, p - n * row_number() OVER (PARTITION BY pair.w ORDER BY p) AS island
-         FROM pair JOIN best ON pair.w = best.w AND pair.rank = best.rank WHERE twin))
-     WHERE turn % 2 = 1)
-   SELECT step + 1, pair.w, pair.p, coalesce(hit.n, pair.n), coalesce(hit.rank, pair.tok)
-   FROM pair JOIN best ON pair.w = best.w LEFT JOIN hit ON hit.p = pair.p
-   WHERE NOT EXISTS (SELECT 1 FROM hit h WHERE h.q = pair.p)))
+     SELECT b.w, b.p, b.q, b.tok, hit.rank FROM before b JOIN hit ON b.q = hit.p WHERE b.p NOT IN (SELECT q FROM hit))
+   SELECT c.*, m.rank FROM changed c LEFT JOIN merges m ON m.pair = c.tok::BIGINT * 4294967296 + c.nx
+   UNION ALL
+   SELECT w, q, NULL, NULL, NULL, NULL FROM hit))
 """
 
-#: A piece's ids are its positions after its last round, in order.
+#: A piece's ids are its positions after the last round, in order.
 ASSEMBLE = """
-SELECT w, string_agg(tok::VARCHAR, ' ' ORDER BY p) AS ids, count(*)::INTEGER AS n,
-       unhex(string_agg(hex, '' ORDER BY p)) AS decoded
-FROM state JOIN (SELECT w, max(step) AS step FROM state GROUP BY w) USING (w, step)
-JOIN vocabulary ON id = tok GROUP BY w
+SELECT w, list(tok ORDER BY p) AS ids FROM state WHERE tok IS NOT NULL GROUP BY w
 """
 
 DECODE = """
@@ -122,16 +118,13 @@ class Encoder:
     def __init__(self, ranks: list[tuple[bytes, int]]):
         import duckdb
 
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "500MB"})
+        spill = {"temp_directory": tempfile.mkdtemp(prefix="bpe-"), "max_temp_directory_size": SPILL}
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, **spill})
         pair, rank = merge_rows(ranks)
         known = dict(ranks)
         self.byte_rank = np.array([known[bytes([i])] for i in range(256)], np.int32)
         self._table("merges", pa.table({"pair": pair, "rank": rank}))
-        self._table("vocabulary", pa.table({
-            "id": pa.array([r for _, r in ranks], pa.int32()),
-            "token": pa.array([t for t, _ in ranks], pa.binary()),
-            "hex": [t.hex() for t, _ in ranks],
-        }))
+        self._table("vocabulary", pa.table({"id": pa.array([r for _, r in ranks], pa.int32()), "hex": [t.hex() for t, _ in ranks]}))
         self._forget()
 
     def _table(self, name: str, rows: pa.Table) -> None:
@@ -140,11 +133,11 @@ class Encoder:
         self.con.unregister("incoming")
 
     def _forget(self) -> None:
-        self.con.execute("CREATE OR REPLACE TABLE cache(piece BLOB, ids VARCHAR, n INTEGER, decoded BLOB)")
+        self.con.execute("CREATE OR REPLACE TABLE cache(piece BLOB, ids INTEGER[])")
         self.cached = 0
 
-    def pieces(self, distinct: pa.Array) -> tuple[pa.Array, np.ndarray, pa.Array]:
-        """Of each distinct piece (binary): its ids as text, their number and the decoded bytes."""
+    def pieces(self, distinct: pa.Array) -> pa.ListArray:
+        """The ids of each distinct piece (binary)."""
         if self.cached > CACHE_PIECES:
             self._forget()
         self.con.register("piece", pa.table({"i": np.arange(len(distinct), dtype=np.int64), "piece": distinct}))
@@ -154,14 +147,14 @@ class Encoder:
         if len(missing):
             self._encode(distinct.take(pa.array(missing)))
             self.cached += len(missing)
-        out = self.con.sql("SELECT c.ids, c.n, c.decoded FROM piece JOIN cache c USING (piece) ORDER BY i").to_arrow_table()
+        out = self.con.sql("SELECT c.ids FROM piece JOIN cache c USING (piece) ORDER BY i").to_arrow_table()
         self.con.unregister("piece")
-        one = lambda name: out.column(name).combine_chunks()
-        return one("ids"), np.asarray(one("n")), one("decoded")
+        return out.column("ids").combine_chunks()
 
     def _encode(self, new: pa.Array) -> None:
         length = np.asarray(pc.binary_length(new))
-        for some, contract in ((length <= SHORT, CONTRACT), (length > SHORT, CONTRACT_LONG)):
+        for low, high in zip((-1, *LENGTHS), LENGTHS):
+            some = (length > low) & (length <= high)
             if not some.any():
                 continue
             pieces, sizes = new.filter(pa.array(some)), length[some]
@@ -169,10 +162,17 @@ class Encoder:
             w = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
             self.con.register("fresh", pa.table({"w": np.arange(len(pieces), dtype=np.int32), "piece": pieces}))
             self.con.register("positions", pa.table({"w": w, "p": np.arange(len(w), dtype=np.int32) + w, "tok": self.byte_rank[data]}))
-            self.con.execute(f"INSERT INTO cache SELECT piece, ids, n, decoded FROM fresh JOIN ({contract}{ASSEMBLE}) USING (w)")
+            self.con.execute(f"INSERT INTO cache SELECT piece, ids FROM fresh JOIN ({CONTRACT}{ASSEMBLE}) USING (w)")
             self.con.unregister("positions")
             self.con.unregister("fresh")
 
+    def decode(self, lists: pa.ListArray) -> pa.Array:
+        """The bytes of each list of ids; null lists count as empty, unknown ids fail."""
+        self.con.register("lists", pa.table({"i": np.arange(len(lists), dtype=np.int64), "ids": lists}))
+        out = self.con.sql(DECODE).to_arrow_table()
+        self.con.unregister("lists")
+        return out.column("decoded").combine_chunks()
+
 
 _encoders: dict[str, Encoder] = {}
 
@@ -198,15 +198,10 @@ def _slices(words: pa.ListArray) -> Iterator[tuple[int, int]]:
         start = end
 
 
-def _joined(flat: pa.Array, offsets: np.ndarray, by: str | bytes) -> pa.Array:
-    return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat), pa.scalar(by, flat.type))
-
+def round_trip(docs: DataFrame, ranks: list[tuple[bytes, int]], pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, back: bool = True) -> DataFrame:
+    """Encode every whole text and, with back, decode its ids.
 
-def round_trip(docs: DataFrame, ranks: list[tuple[bytes, int]], pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Encode and decode every whole text.
-
-    Returns id, the columns in keep, n_tokens long, ids string (decimal ids joined by one space)
-    and decoded binary.
+    Returns id, the columns in keep, n_tokens long, ids array<int> and decoded binary.
     """
     kept = [id_col, *(keep or [])]
     name = hashlib.sha256(repr(ranks).encode()).hexdigest()
@@ -220,15 +215,11 @@ def round_trip(docs: DataFrame, ranks: list[tuple[bytes, int]], pattern: str, id
                 part = words.slice(start, end - start)
                 offsets = np.asarray(part.offsets)
                 flat = part.values.slice(offsets[0], offsets[-1] - offsets[0]).cast(pa.binary()).dictionary_encode()
-                offsets = offsets - offsets[0]
-                ids, n, decoded = encoder.pieces(flat.dictionary)
-                which = flat.indices
-                total = np.concatenate([[0], np.cumsum(n[np.asarray(which)], dtype=np.int64)])
-                yield pa.RecordBatch.from_arrays(
-                    [c.slice(start, end - start) for c in batch.columns[2:]]
-                    + [pa.array(np.diff(total[offsets])), _joined(ids.take(which), offsets, " "), _joined(decoded.take(which), offsets, b"")],
-                    names=[*kept, "n_tokens", "ids", "decoded"],
-                )
+                ids = encoder.pieces(flat.dictionary).take(flat.indices)
+                first = np.asarray(ids.offsets)
+                lists = pa.ListArray.from_arrays(pa.array(first[offsets - offsets[0]] - first[0], pa.int32()), ids.flatten())
+                out = [lists, encoder.decode(lists)] if back else [lists]
+                yield pa.RecordBatch.from_arrays([c.slice(start, end - start) for c in batch.columns[2:]] + out, names=[*kept, "ids", "decoded"][: len(kept) + len(out)])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     split = docs.select(
@@ -238,7 +229,8 @@ def round_trip(docs: DataFrame, ranks: list[tuple[bytes, int]], pattern: str, id
         *[F.col(c) for c in kept],
     )
     kinds = dict(docs.dtypes)
-    return split.mapInArrow(run, f"{', '.join(f'`{c}` {kinds[c]}' for c in kept)}, n_tokens bigint, ids string, decoded binary")
+    done = split.mapInArrow(run, f"{', '.join(f'`{c}` {kinds[c]}' for c in kept)}, ids array<int>" + ", decoded binary" * back)
+    return done.select(*kept, F.size("ids").cast("long").alias("n_tokens"), "ids", *["decoded"] * back)
 
 
 def _words(batch: pa.RecordBatch, pattern: str) -> pa.ListArray:
@@ -254,9 +246,7 @@ def _words(batch: pa.RecordBatch, pattern: str) -> pa.ListArray:
 
 def encode(docs: DataFrame, ranks: list[tuple[bytes, int]], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Ids of every text: id, ids array<int>."""
-    done = round_trip(docs, ranks, pattern, id_col, text_col)
-    ids = F.when(F.col("ids") == "", F.array().cast("array<int>")).otherwise(F.split("ids", " ").cast("array<int>"))
-    return done.select(id_col, ids.alias("ids"))
+    return round_trip(docs, ranks, pattern, id_col, text_col, back=False).select(id_col, "ids")
 
 
 def decode(tokens: DataFrame, ranks: list[tuple[bytes, int]], id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -265,12 +255,9 @@ def decode(tokens: DataFrame, ranks: list[tuple[bytes, int]], id_col: str = "doc
     name = hashlib.sha256(repr(ranks).encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        con = _encoder(name, shared.value).con
+        encoder = _encoder(name, shared.value)
         for batch in batches:
-            con.register("lists", pa.table({"i": np.arange(len(batch)), "ids": batch.column(1)}))
-            out = con.sql(DECODE).to_arrow_table()
-            con.unregister("lists")
-            yield pa.RecordBatch.from_arrays([batch.column(0), out.column("decoded").combine_chunks()], names=[id_col, "decoded"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), encoder.decode(batch.column(1))], names=[id_col, "decoded"])
 
     kind = dict(tokens.dtypes)[id_col]
     return tokens.select(id_col, F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(run, f"`{id_col}` {kind}, decoded binary")

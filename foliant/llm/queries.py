@@ -24,7 +24,8 @@ def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> tuple[list[tuple[bytes, i
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode all documents; digests of the ids and of the decoded bytes."""
     out = bpe.round_trip(_table(spark, sf_dir, "documents"), *vocabulary())
-    return out.select("doc_id", "n_tokens", F.sha2(F.col("ids").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    spelled = F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary")
+    return out.select("doc_id", "n_tokens", F.sha2(spelled, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
