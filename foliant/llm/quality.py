@@ -72,7 +72,7 @@ class Buckets(dict):
     def __missing__(self, word: bytes) -> tuple[int, ...]:
         import xxhash
 
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         plain = word.strip(_STRIP).lower() or word
         start = plain.decode("utf-8", "replace")
