@@ -3,12 +3,14 @@
 Labelled page outcomes (good or bad) are counted by host, registered domain and suffix. Each level
 is a beta-binomial: a suffix is shrunk towards the rate of all labelled pages, a domain towards its
 suffix, a host towards its domain. The strength of a prior is fitted by moments over the groups of
-the level. A page is blocked if the lower bound of its host's posterior rate of bad pages is above
-a threshold; hand-written rules come first, the longest that fits.
+the level, and bounded, so that what is known of a host can outweigh its prior. A page is blocked
+if the lower bound of its host's posterior rate of bad pages is above WORSE times the rate of all
+labelled pages; hand-written rules come first, the longest that fits.
 
 Cases: a null url or one without ``://`` has an empty host and path, and is judged like any host
 without labels. Hosts without labelled pages take their domain's posterior, then the suffix's,
-then the overall one; with no labels at all every page is allowed. A suffix is the last label of a
+then the overall one; with no labels at all every page is allowed, and a bound equal to the
+threshold allows. Of rules that fit, equal lengths go by code point. A suffix is the last label of a
 host (the last two for listed second-level suffixes), the registered domain one label more.
 Labels of pages that don't exist count for nothing; a page labelled twice counts twice.
 """
@@ -29,9 +31,11 @@ RULES = (
 )
 #: Suffixes of two labels.
 SECOND_LEVEL = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.nz")
-#: Normal quantile of the posterior bound, threshold on the rate of bad pages, range of strengths.
-QUANTILE, THRESHOLD = 1.645, 0.5
-WEAKEST, STRONGEST = 1.0, 1000.0
+#: Normal quantile of the posterior's lower bound (84 % lie above it), and how many times the overall
+#: rate of bad pages it may reach.
+QUANTILE, WORSE = 1.0, 0.9
+#: Labelled pages that a prior is worth, at least and at most.
+WEAKEST, STRONGEST = 1.0, 10.0
 DEFAULT_RATE = 0.1
 
 
@@ -91,7 +95,7 @@ def _shrunk(level: DataFrame, key: str, parent: Column) -> DataFrame:
 
 
 def reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Posterior rate of bad pages by host: host, rate, spread.
+    """Posterior rate of bad pages by host: host, rate, spread, and the overall rate.
 
     pages: page_id, url; outcomes: page_id, bad (0 or 1). One row for each host of pages.
     """
@@ -113,7 +117,7 @@ def reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
         hosts = hosts.join(table.select(key, F.struct("rate", "spread").alias(f"by_{key}")), key, "left")
     best = F.coalesce("by_host", "by_domain", "by_suffix")
     hosts = hosts.join(F.broadcast(overall)).withColumn("best", best)
-    return hosts.select("host", F.coalesce("best.rate", "overall").alias("rate"), F.coalesce("best.spread", F.lit(0.0)).alias("spread"))
+    return hosts.select("host", F.coalesce("best.rate", "overall").alias("rate"), F.coalesce("best.spread", F.lit(0.0)).alias("spread"), "overall")
 
 
 def judge(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -124,8 +128,9 @@ def judge(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     """
     named = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     bound = F.round(F.col("rate") - QUANTILE * F.col("spread"), 9)
-    judged = named.join(reputation(pages, outcomes).select("host", bound.alias("bound")), "host", "left").withColumn("fits", rule(F.col("host"), F.col("path")))
-    verdict = F.coalesce("fits.verdict", F.when(F.col("bound") > THRESHOLD, "block").otherwise("allow"))
+    limit = F.round(WORSE * F.col("overall"), 9)
+    judged = named.join(reputation(pages, outcomes).select("host", bound.alias("bound"), limit.alias("limit")), "host", "left").withColumn("fits", rule(F.col("host"), F.col("path")))
+    verdict = F.coalesce("fits.verdict", F.when(F.col("bound") > F.col("limit"), "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", F.col("fits.rule").alias("rule"), verdict.alias("verdict"), "bound")
 
 
@@ -166,11 +171,11 @@ by_suffix AS ({_level_sql("SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_valu
 by_domain AS ({_level_sql("SELECT d.*, s.rate AS above FROM (SELECT domain, any_value(suffix) AS suffix, sum(n) AS n, sum(bad) AS bad FROM labelled GROUP BY domain) d JOIN by_suffix s USING (suffix)", "domain", "above")}),
 by_host AS ({_level_sql("SELECT l.*, d.rate AS above FROM labelled l JOIN by_domain d USING (domain)", "host", "above")}),
 hosts AS (
-  SELECT h.host, coalesce(a.rate, b.rate, c.rate, overall) AS rate,
+  SELECT h.host, overall, coalesce(a.rate, b.rate, c.rate, overall) AS rate,
          CASE WHEN a.rate IS NOT NULL THEN a.spread WHEN b.rate IS NOT NULL THEN b.spread WHEN c.rate IS NOT NULL THEN c.spread ELSE 0 END AS spread
   FROM (SELECT host, {split} FROM (SELECT DISTINCT host FROM named)) h
   LEFT JOIN by_host a ON h.host = a.host LEFT JOIN by_domain b ON h.domain = b.domain LEFT JOIN by_suffix c ON h.suffix = c.suffix, overall),
 fitted AS (
-  SELECT page_id, host, path, CASE {when} END AS rule, round(rate - {QUANTILE}::DOUBLE * spread, 9) AS bound FROM named JOIN hosts USING (host))
-SELECT page_id, host, path, rule, CASE {decided} WHEN bound > {THRESHOLD} THEN 'block' ELSE 'allow' END AS verdict, bound FROM fitted
+  SELECT page_id, host, path, CASE {when} END AS rule, round(rate - {QUANTILE}::DOUBLE * spread, 9) AS bound, round({WORSE}::DOUBLE * overall, 9) AS most FROM named JOIN hosts USING (host))
+SELECT page_id, host, path, rule, CASE {decided} WHEN bound > most THEN 'block' ELSE 'allow' END AS verdict, bound FROM fitted
 """
