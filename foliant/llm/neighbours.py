@@ -5,6 +5,12 @@ the cells by their Hilbert key. Spark cuts every curve into ranges of equal weig
 the ranges around its own key, each range gives its best rows, and the curves' answers are merged
 and ranked by the exact inner product.
 
+How far a query looks is measured, not assumed: PILOT queries are answered exactly (in one pass over
+all rows), and the fewest curves and the shortest reach are taken that find RECALL of their
+neighbours. Ranges grow in number with the rows, so on structured vectors a query meets a few
+thousand rows however many there are; on vectors without structure no reach short of most of a
+curve finds them, and the work stays a share of queries times rows.
+
 A range is dealt in slices, and a range's queries in slices too, so that a task holds a bounded
 block of rows and a bounded block of queries however large the table or a group of equal vectors.
 
@@ -12,7 +18,9 @@ Nearness is the inner product in double precision; ties go to the smaller vec_id
 
 Cases: null, empty and zero vectors, and those with null or non-finite components or of another
 length than the most frequent one, take no part. Fewer rows than asked for give all candidates. A
-query is never its own candidate; equal vectors under other ids are. An empty table gives no rows.
+query is never its own candidate; equal vectors under other ids are. Rows that repeat count once; of
+different vectors with one vec_id each is a candidate, and a query's list is that of all of them.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,11 +36,12 @@ from pyspark.sql.window import Window
 
 from .common import written
 
-#: Curves, projected dimensions, bits of a coordinate.
-CURVES, DIMENSIONS, BITS = 4, 4, 8
-#: Ranges of a curve, and how many a query meets on either side of its own. Unstructured vectors
-#: (uniform on a sphere) need windows of most of a curve for a recall of 0.9; see the README.
-RANGES, REACH = 16, 5
+#: Curves at most (and at least, but for few rows), projected dimensions, bits of a coordinate.
+CURVES, FEWEST, DIMENSIONS, BITS = 4, 2, 4, 8
+#: Rows of a range, and the least and the greatest number of ranges of a curve.
+RANGE_ROWS, RANGES, MOST_RANGES = 2048, 16, 4096
+#: Queries of the pilot, and the share of their neighbours that curves and reach have to find.
+PILOT, RECALL = 200, 0.94
 #: Rows in a slice of a range, and queries in a slice.
 SLICE = 4096
 
@@ -144,26 +153,82 @@ def _block(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
     return pd.concat(parts)
 
 
-def nearest(embeddings: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", reach: int = REACH) -> DataFrame:
-    """query_id, rank, vec_id, score: the k rows found nearest to each query row (a condition on vec_id)."""
-    rows = written(keyed(usable(embeddings, id_col, vector_col)), "keyed")
-    total, asked = rows.agg(F.count("*"), F.count_if(is_query(F.col("vec_id")))).first()
-    # Where the curves are cut: RANGES - 1 quantiles of each, a table of fixed size.
-    cuts = rows.agg(*[F.percentile_approx(F.col("keys")[i], [j / RANGES for j in range(1, RANGES)], F.lit(10_000)).alias(f"c{i}") for i in range(CURVES)]).first()
-    slices = max(1, -(-total // (RANGES * SLICE)))
-    query_slices = max(1, -(-asked * (2 * reach + 1) // (RANGES * SLICE)))
+def _pilot(rows: DataFrame, is_query, k: int, cuts: list[np.ndarray]) -> tuple[int, int]:
+    """Number of curves and reach: the cheapest that find RECALL of the exact neighbours of PILOT queries.
+
+    The driver holds the pilot's queries and the keys of their neighbours only.
+    """
+    asked = rows.where(is_query(F.col("vec_id"))).orderBy(F.xxhash64("vec_id"), "vec_id").limit(PILOT).toPandas()
+    if not len(asked):
+        return FEWEST, 0
+    queries, query_ids = np.stack(asked["vector"]), asked["vec_id"].to_numpy()
+    told = rows.sparkSession.sparkContext.broadcast((queries, query_ids))  # PILOT rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, query_ids = told.value
+        for batch in batches:
+            for part in (batch.slice(i, SLICE) for i in range(0, len(batch), SLICE)):
+                ids = np.asarray(part.column(0))
+                best = _best(_matrix(part.column(1)), ids, queries, query_ids, k)
+                if len(best):
+                    keys = pa.table({"vec_id": part.column(0), "keys": part.column(2)}).take(pa.array(np.argsort(ids, kind="stable")[np.searchsorted(np.sort(ids), best["vec_id"])]))
+                    yield pa.RecordBatch.from_arrays([pa.array(best["query_id"]), pa.array(best["vec_id"]), pa.array(best["score"]), keys["keys"].combine_chunks()], names=["query_id", "vec_id", "score", "keys"])
+
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    near = rows.mapInArrow(run, "query_id bigint, vec_id bigint, score double, keys array<bigint>").withColumn("rank", rank).where(F.col("rank") <= k).toPandas()
+    if not len(near):
+        return FEWEST, 0
+    number = {q: i for i, q in enumerate(query_ids)}
+    own = np.stack(asked["keys"])[[number[q] for q in near["query_id"]]]
+    far = np.stack([np.abs(np.searchsorted(c, own[:, i], "right") - np.searchsorted(c, np.stack(near["keys"])[:, i], "right")) for i, c in enumerate(cuts)], axis=1)
+    best = None
+    for n in range(FEWEST, CURVES + 1):
+        needed = np.sort(far[:, :n].min(axis=1))
+        reach = int(needed[min(len(needed) - 1, int(np.ceil(RECALL * len(needed))) - 1)])
+        cost = n * min(2 * reach + 1, len(cuts[0]) + 1)
+        if best is None or cost < best[0]:
+            best = (cost, n, reach)
+    return best[1], best[2]
+
+
+def _placed(rows: DataFrame, cuts: list[np.ndarray]) -> DataFrame:
+    """vec_id, vector, curve, range: every row once for each curve."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = np.asarray(batch.column(2).flatten()).reshape(len(batch), -1)
+            for i, c in enumerate(cuts):
+                place = np.searchsorted(c, keys[:, i], "right").astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.full(len(batch), i, np.int32)), pa.array(place)], names=["vec_id", "vector", "curve", "range"])
 
-    def range_of(i: int):
-        return F.size(F.filter(F.array(*[F.lit(int(c)) for c in cuts[i] or []]).cast("array<bigint>"), lambda c: c <= F.col("keys")[i]))
+    return rows.mapInArrow(run, "vec_id bigint, vector array<double>, curve int, range int")
 
-    placed = F.explode(F.array(*[F.struct(F.lit(i).alias("curve"), range_of(i).alias("range")) for i in range(CURVES)]))
-    rows = rows.select("vec_id", "vector", placed.alias("at")).select("vec_id", "vector", "at.curve", "at.range")
+
+def nearest(embeddings: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", curves: int | None = None, reach: int | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score: the k rows found nearest to each query row (a condition on vec_id).
+
+    curves and reach are found by a pilot unless they are given.
+    """
+    rows = written(keyed(usable(embeddings, id_col, vector_col)).distinct(), "keyed")
+    total, asked = rows.agg(F.count("*"), F.count_if(is_query(F.col("vec_id")))).first()
+    ranges = max(RANGES, min(MOST_RANGES, total // RANGE_ROWS))
+    # Where the curves are cut: quantiles of each, a table of bounded size.
+    quantiles = [j / ranges for j in range(1, ranges)]
+    found = rows.agg(*[F.percentile_approx(F.col("keys")[i], quantiles, F.lit(20 * ranges)).alias(f"c{i}") for i in range(CURVES)]).first()
+    cuts = [np.array(c or [0] * (ranges - 1), np.int64) for c in found]
+    if curves is None or reach is None:
+        curves, reach = _pilot(rows, is_query, k, cuts)
+    reach = min(reach, ranges // 2)
+    slices = max(1, -(-total // (ranges * SLICE)))
+    query_slices = max(1, -(-asked * (2 * reach + 1) // (ranges * SLICE)))
+
+    rows = _placed(rows, cuts[:curves])
     data = rows.withColumn("slice", F.pmod(F.xxhash64("vec_id"), F.lit(slices)))
     data = data.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(query_slices - 1)))) if query_slices > 1 else data.withColumn("part", F.lit(0))
     asking = rows.where(is_query(F.col("vec_id"))).withColumnRenamed("vec_id", "query_id")
     # The ends of a curve have fewer neighbours on one side; they reach further on the other.
-    first = F.greatest(F.lit(0), F.least(F.col("range") - reach, F.lit(RANGES - 1 - 2 * reach)))
-    asking = asking.withColumn("range", F.explode(F.sequence(first, F.least(first + 2 * reach, F.lit(RANGES - 1)))))
+    first = F.greatest(F.lit(0), F.least(F.col("range") - reach, F.lit(ranges - 1 - 2 * reach)))
+    asking = asking.withColumn("range", F.explode(F.sequence(first, F.least(first + 2 * reach, F.lit(ranges - 1)))))
     asking = asking.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(query_slices)).cast("int"))
     asking = asking.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)).cast("array<bigint>")))
     block = ["curve", "range", "slice", "part"]
