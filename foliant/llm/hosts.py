@@ -2,15 +2,16 @@
 
 Labelled page outcomes (good or bad) are counted by host, registered domain and suffix. Each level
 is a beta-binomial: a suffix is shrunk towards the rate of all labelled pages, a domain towards its
-suffix, a host towards its domain. The strength of a prior is fitted by moments over the groups of
+suffix, a host towards its domain, in each case without its own pages, which would count twice. The
+strength of a prior is fitted by moments over the groups of
 the level, and bounded, so that what is known of a host can outweigh its prior. A page is blocked
 if the lower bound of its host's posterior rate of bad pages is above WORSE times the rate of all
 labelled pages; hand-written rules come first, the longest that fits.
 
 Cases: a null url or one without ``://`` has an empty host and path, and is judged like any host
-without labels. Hosts without labelled pages take their domain's posterior, then the suffix's,
-then the overall one; with no labels at all every page is allowed, and a bound equal to the
-threshold allows. Of rules that fit, equal lengths go by code point. A suffix is the last label of a
+without labels. A host without labelled pages has the prior alone: its domain's rate, else the
+suffix's, else the overall one, with the spread of STRONGEST pages. Without bad outcomes every page
+is allowed, and a bound equal to the threshold allows. Of rules that fit, equal lengths go by code point. A suffix is the last label of a
 host (the last two for listed second-level suffixes), the registered domain one label more.
 Labels of pages that don't exist count for nothing; a page labelled twice counts twice.
 """
@@ -75,7 +76,7 @@ def rule(name: Column, where: Column, rules: tuple[tuple[str, str], ...] = RULES
 
 
 def _shrunk(level: DataFrame, key: str, parent: Column) -> DataFrame:
-    """Posterior (rate, spread) of each group: prior mean parent, strength by moments over the level.
+    """Posterior (a, b, rate, spread) of each group: prior mean parent, strength by moments over the level.
 
     With binomial noise taken off, the groups' squared distance from their priors estimates
     m (1 - m) / (strength + 1).
@@ -91,7 +92,13 @@ def _shrunk(level: DataFrame, key: str, parent: Column) -> DataFrame:
     a, b = F.col("bad") + F.col("strength") * F.col("prior"), F.col("n") - F.col("bad") + F.col("strength") * (1 - F.col("prior"))
     mean = a / (a + b)
     deviation = F.sqrt(mean * (1 - mean) / (a + b + 1))
-    return rated.join(F.broadcast(fitted)).select(key, mean.alias("rate"), deviation.alias("spread"))  # one row
+    return rated.join(F.broadcast(fitted)).select(key, a.alias("a"), b.alias("b"), mean.alias("rate"), deviation.alias("spread"))  # one row
+
+
+def _others(level: DataFrame, parents: DataFrame, key: str) -> DataFrame:
+    """The level with the rate above: of each group's parent without the group's own pages."""
+    a, b = F.col("a") - F.col("bad"), F.col("b") - (F.col("n") - F.col("bad"))
+    return level.join(parents.select(key, "a", "b"), key).withColumn("above", a / (a + b)).drop("a", "b")
 
 
 def reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -108,16 +115,16 @@ def reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
         return labelled.groupBy(key).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
 
     by_suffix = _shrunk(level("suffix").join(F.broadcast(overall)), "suffix", F.col("overall"))
-    up = level("domain").withColumn("suffix", suffix(F.col("domain"))).join(by_suffix.select("suffix", F.col("rate").alias("above")), "suffix")
+    up = _others(level("domain").withColumn("suffix", suffix(F.col("domain"))), by_suffix, "suffix")
     by_domain = _shrunk(up, "domain", F.col("above"))
-    up = labelled.select("host", "domain", "n", "bad").join(by_domain.select("domain", F.col("rate").alias("above")), "domain")
-    by_host = _shrunk(up, "host", F.col("above"))
+    by_host = _shrunk(_others(labelled.select("host", "domain", "n", "bad"), by_domain, "domain"), "host", F.col("above"))
     hosts = named.select("host").distinct().withColumns({"domain": domain(F.col("host")), "suffix": suffix(F.col("host"))})
     for key, table in (("host", by_host), ("domain", by_domain), ("suffix", by_suffix)):
         hosts = hosts.join(table.select(key, F.struct("rate", "spread").alias(f"by_{key}")), key, "left")
-    best = F.coalesce("by_host", "by_domain", "by_suffix")
-    hosts = hosts.join(F.broadcast(overall)).withColumn("best", best)
-    return hosts.select("host", F.coalesce("best.rate", "overall").alias("rate"), F.coalesce("best.spread", F.lit(0.0)).alias("spread"), "overall")
+    rate = F.coalesce("by_host.rate", "by_domain.rate", "by_suffix.rate", "overall")
+    hosts = hosts.join(F.broadcast(overall)).withColumn("rate", rate)
+    prior = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (STRONGEST + 1))
+    return hosts.select("host", "rate", F.coalesce("by_host.spread", prior).alias("spread"), "overall")
 
 
 def judge(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -136,7 +143,7 @@ def judge(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 def _level_sql(source: str, key: str, parent: str) -> str:
     return f"""
-  SELECT {key}, a / (a + b) AS rate, sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) AS spread FROM (
+  SELECT {key}, a, b, a / (a + b) AS rate, sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) AS spread FROM (
     SELECT {key}, bad + strength * prior AS a, n - bad + strength * (1 - prior) AS b
     FROM (SELECT *, {parent} AS prior FROM ({source})), (
       SELECT coalesce(least({STRONGEST}::DOUBLE, greatest({WEAKEST}::DOUBLE, CASE WHEN extra / scale > 0 THEN 1 / (extra / scale) - 1 ELSE {STRONGEST}::DOUBLE END)), {STRONGEST}::DOUBLE) AS strength
@@ -168,11 +175,11 @@ labelled AS (
     FROM named JOIN labels ON doc_id = page_id GROUP BY host)),
 overall AS (SELECT coalesce((sum(bad) + 1)::DOUBLE / (sum(n) + 2), {DEFAULT_RATE}) AS overall FROM labelled),
 by_suffix AS ({_level_sql("SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(overall) AS overall FROM labelled, overall GROUP BY suffix", "suffix", "overall")}),
-by_domain AS ({_level_sql("SELECT d.*, s.rate AS above FROM (SELECT domain, any_value(suffix) AS suffix, sum(n) AS n, sum(bad) AS bad FROM labelled GROUP BY domain) d JOIN by_suffix s USING (suffix)", "domain", "above")}),
-by_host AS ({_level_sql("SELECT l.*, d.rate AS above FROM labelled l JOIN by_domain d USING (domain)", "host", "above")}),
+by_domain AS ({_level_sql("SELECT d.*, (s.a - d.bad) / (s.a - d.bad + s.b - (d.n - d.bad)) AS above FROM (SELECT domain, any_value(suffix) AS suffix, sum(n) AS n, sum(bad) AS bad FROM labelled GROUP BY domain) d JOIN by_suffix s USING (suffix)", "domain", "above")}),
+by_host AS ({_level_sql("SELECT l.*, (d.a - l.bad) / (d.a - l.bad + d.b - (l.n - l.bad)) AS above FROM labelled l JOIN by_domain d USING (domain)", "host", "above")}),
 hosts AS (
   SELECT h.host, overall, coalesce(a.rate, b.rate, c.rate, overall) AS rate,
-         CASE WHEN a.rate IS NOT NULL THEN a.spread WHEN b.rate IS NOT NULL THEN b.spread WHEN c.rate IS NOT NULL THEN c.spread ELSE 0 END AS spread
+         coalesce(a.spread, sqrt(coalesce(b.rate, c.rate, overall) * (1 - coalesce(b.rate, c.rate, overall)) / {STRONGEST + 1}::DOUBLE)) AS spread
   FROM (SELECT host, {split} FROM (SELECT DISTINCT host FROM named)) h
   LEFT JOIN by_host a ON h.host = a.host LEFT JOIN by_domain b ON h.domain = b.domain LEFT JOIN by_suffix c ON h.suffix = c.suffix, overall),
 fitted AS (
