@@ -11,12 +11,17 @@ share of them stays.
 
 Recordings with equal fingerprints form a class, and only class representatives are aligned, so
 thousands of copies cost one. Consecutive places of one key are a run; two runs vote at once for
-all offsets at which they overlap, by the length of the overlap. A key that many representatives
-share (silence) is joined like any other and split by the engine's skew handling.
+all offsets at which they overlap, by the length of the overlap. Silence tells no recording from
+another: the key of three silent integers does not vote, so recordings that share nothing else are
+not aligned. Other keys of many representatives are joined like any and split by the engine's skew
+handling.
 
 Cases: null and empty audio, and audio shorter than one run of frames, have an empty fingerprint
 and align with nothing. An odd last byte is dropped. Silent frames have zero energy in all classes.
-Extra columns are not read. Fingerprints are computed of whole recordings.
+Rows with one id and one fingerprint are one recording, returned as often as they come; fingerprints
+that share an id, or have none (null: last), are told apart by their digests. Of equal votes and
+errors the longer overlap goes first, then the lesser offset, then the lesser query. Extra columns
+are not read. Fingerprints are computed of whole recordings.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import by_version, written
 
 RATE, FRAME, HOP = 4000, 2048, 512
 LOWEST, HIGHEST = 60.0, 1800.0
@@ -95,6 +100,10 @@ def packed(image: np.ndarray) -> np.ndarray:
     return out.view(np.int32)
 
 
+#: The integer of silent frames.
+SILENT = int(packed(np.zeros((SPAN, 12)))[0])
+
+
 def fingerprints(media: DataFrame, id_col: str = "id", audio_col: str = "audio", rate: int = RATE) -> DataFrame:
     """id, fingerprint array<int> of every recording."""
 
@@ -121,11 +130,13 @@ def _keys(prints: DataFrame) -> DataFrame:
     """id, key (hash of three integers), place, length: the runs of consecutive places of each key."""
     n = F.size("fingerprint") - 2 * STEP
     at = lambda i: F.xxhash64(F.get("fingerprint", i), F.get("fingerprint", i + STEP), F.get("fingerprint", i + 2 * STEP))
+    silent = F.lit(SILENT)
+    quiet = lambda i: (F.get("fingerprint", i) == silent) & (F.get("fingerprint", i + STEP) == silent) & (F.get("fingerprint", i + 2 * STEP) == silent)
     starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (at(i) != at(i - 1)))
-    run = lambda s, i, next_: F.struct(at(s).alias("key"), s.alias("place"), (F.coalesce(F.get(next_, i + 1), n) - s).alias("length"))
+    run = lambda s, i, next_: F.struct(F.when(~quiet(s), at(s)).alias("key"), s.alias("place"), (F.coalesce(F.get(next_, i + 1), n) - s).alias("length"))
     # The starts are bound once, as each run reads the next one's.
     runs = F.when(n > 0, F.get(F.transform(F.array(starts), lambda a: F.transform(a, lambda s, i: run(s, i, a))), F.lit(0)))
-    return prints.select("id", F.explode(runs).alias("k")).select("id", "k.*")
+    return prints.select("id", F.explode(runs).alias("k")).select("id", "k.*").where("key IS NOT NULL")
 
 
 def bit_errors(a: Column, b: Column, offset: Column) -> tuple[Column, Column]:
@@ -134,18 +145,21 @@ def bit_errors(a: Column, b: Column, offset: Column) -> tuple[Column, Column]:
     frames = F.greatest(F.least(F.size(a), F.size(b) + offset) - first, F.lit(0))
     left = F.slice(a, first + 1, frames)
     right = F.slice(b, first - offset + 1, frames)
-    return frames, F.aggregate(F.zip_with(left, right, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    # The built-in counts the bits of a long, so those above the integer's own are masked.
+    different = lambda x, y: F.bit_count(x.bitwiseXOR(y).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    return frames, F.aggregate(F.zip_with(left, right, different), F.lit(0), lambda n, x: n + x)
 
 
 def align(prints: DataFrame, is_query) -> DataFrame:
     """query_id, id, offset, frames, error: confirmed alignments of query classes with all classes.
 
     Frame i of the recording lies at frame i - offset of the query. Both ids stand for their class;
-    a class is a query if one of its members is (a condition on id).
+    a class is a query if one of its members is (a condition on id; None: the column asked).
     """
     members = written(classes(prints), "classes")
-    heads = prints.join(members.where("id = class_id").select("id"), "id", "left_semi")
-    asked = members.where(is_query(F.col("id"))).select(F.col("class_id").alias("id")).distinct()
+    heads = prints.join(members.where("id = class_id").select("id"), "id", "left_semi").select("id", "fingerprint")
+    chosen = prints.where(F.col("asked") if is_query is None else is_query(F.col("id"))).select("id")
+    asked = members.join(chosen, "id", "left_semi").select(F.col("class_id").alias("id")).distinct()
     keys = _keys(heads)
     queries = keys.join(asked, "id", "left_semi").select(F.col("id").alias("query_id"), "key", F.col("place").alias("there"), F.col("length").alias("lasting"))
     met = keys.join(queries, "key").where("id <> query_id")
@@ -169,7 +183,14 @@ def matches(media: DataFrame, is_query, id_col: str = "id", audio_col: str = "au
     error (null without an alignment).
     """
     prints = written(fingerprints(media, id_col, audio_col), "fingerprints")
-    links = written(align(prints, is_query), "alignments")
+    asked = prints.select("id", "fingerprint", is_query(F.col("id")).alias("asked"))
+    found = by_version(asked, _matched, back=("class_id", "best_query"), id_col="id", value=F.array_join("fingerprint", ","), keep=("fingerprint", "asked"))
+    return found.select("id", "n_frames", "fingerprint_sha256", "class_id", "n_links", "best_query", "offset", "error")
+
+
+def _matched(prints: DataFrame) -> DataFrame:
+    """The same for unique ids; asked tells queries."""
+    links = written(align(prints, None), "alignments")
     best = links.groupBy("id").agg(F.count("*").alias("links"), F.min(F.struct("error", "query_id", "offset")).alias("best"))
     members = classes(prints).join(best.withColumnRenamed("id", "class_id"), "class_id", "left")
     digest = prints.select("id", F.size("fingerprint").alias("n_frames"), F.sha2(F.array_join("fingerprint", ",").cast("binary"), 256).alias("fingerprint_sha256"))

@@ -76,25 +76,25 @@ def numbered(rows: DataFrame, *order: str) -> DataFrame:
     return placed.join(F.broadcast(before), "range").withColumn("number", within + F.col("before")).drop("range", "before")
 
 
-def by_version(docs: DataFrame, use: Callable[[DataFrame], DataFrame], back: tuple[str, ...] = ()) -> DataFrame:
-    """use(docs) for documents whose doc_id may repeat or be null: as many rows as docs, by doc_id.
+def by_version(rows: DataFrame, use: Callable[[DataFrame], DataFrame], back: tuple[str, ...] = (), id_col: str = "doc_id", value: Column | None = None, keep: tuple[str, ...] = ("text",)) -> DataFrame:
+    """use(rows) for rows whose id may repeat or be null: as many rows as came, by id.
 
-    Where ids are unique that is all. Else equal (doc_id, text) rows are one document; documents
-    are numbered by doc_id (null last) and digest of the text, used by their numbers, and every row
-    gets its document's result. Columns named in back hold numbers that are turned into doc_ids too.
+    value is what tells rows of one id apart (the text), keep the columns that use takes. Where ids
+    are unique that is all. Else rows of equal id and value count as one; they are numbered by id
+    (null last) and digest of the value, used by their numbers, and every row gets its number's
+    result. Columns named in back hold numbers that are turned into ids too.
     """
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows, different = ids.agg(F.count("*"), F.count_distinct("doc_id")).first()
-    if rows == different:
+    ids = rows.select(F.col(id_col).cast("long").alias(id_col), *keep)
+    total, different = ids.agg(F.count("*"), F.count_distinct(id_col)).first()
+    if total == different:
         return use(ids)
-    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
-    ids = ids.withColumn("digest", digest)
-    documents = written(numbered(ids.select("doc_id", "digest").distinct(), "doc_id", "digest"), "documents")
-    theirs = documents.select(F.col("doc_id").alias("id"), F.col("digest").alias("version"), "number")
-    placed = ids.join(theirs, ids["doc_id"].eqNullSafe(theirs["id"]) & (ids["digest"] == theirs["version"]))
-    found = written(use(placed.select(F.col("number").alias("doc_id"), "text").dropDuplicates(["doc_id"])), "found")
-    columns = [c for c in found.columns if c != "doc_id"]
+    ids = ids.withColumn("digest", F.sha2(F.coalesce(F.col("text") if value is None else value, F.lit("")).cast("binary"), 256))
+    versions = written(numbered(ids.select(id_col, "digest").distinct(), id_col, "digest"), "versions")
+    theirs = versions.select(F.col(id_col).alias("own_id"), F.col("digest").alias("own_digest"), "number")
+    placed = ids.join(theirs, ids[id_col].eqNullSafe(theirs["own_id"]) & (ids["digest"] == theirs["own_digest"]))
+    found = written(use(placed.select(F.col("number").alias(id_col), *keep).dropDuplicates([id_col])), "found")
+    columns = [c for c in found.columns if c != id_col]
     for name in back:
-        found = found.join(documents.select(F.col("number").alias(name), F.col("doc_id").alias("was")), name).drop(name).withColumnRenamed("was", name)
-    found = found.withColumnRenamed("doc_id", "number")
-    return placed.select(F.col("id").alias("doc_id"), "number").join(found, "number").select("doc_id", *columns)
+        found = found.join(versions.select(F.col("number").alias(name), F.col(id_col).alias("was")), name, "left").drop(name).withColumnRenamed("was", name)
+    found = found.withColumnRenamed(id_col, "number")
+    return placed.select(F.col("own_id").alias(id_col), "number").join(found, "number").select(id_col, *columns)

@@ -1,6 +1,7 @@
 """Operators on pages, vectors, audio and labels; the pipeline."""
 
 import hashlib
+import uuid
 
 import numpy as np
 import pytest
@@ -26,6 +27,23 @@ def test_rules_and_reputation(spark):
     assert {r.verdict for r in none if r.rule is None} == {"allow"}
 
 
+def test_reputation_shrinks_level_by_level(spark):
+    # bad.com is labelled well and mostly bad, poor.com once; new.bad.com not at all; fine.com mostly good.
+    pages = [(f"http://a.bad.com/{i}", int(i % 10 > 0)) for i in range(60)] + [(f"http://b.bad.com/{i}", int(i % 9 > 0)) for i in range(60)]
+    pages += [(f"http://fine.com/{i}", int(i % 10 == 0)) for i in range(200)] + [(f"http://w{i % 40}.plain{i % 40}.com/{i}", int(i % 3 == 0)) for i in range(1200)]
+    pages += [("http://poor.com/1", 1), ("http://new.bad.com/1", None), ("http://new.fine.com/1", None), ("http://fresh.dev/1", None)]
+    table = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(pages)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, b) for i, (_, b) in enumerate(pages) if b is not None], "page_id long, bad int")
+    rates = {r.host: r for r in hosts.reputation(table, labels).collect()}
+    verdict = {r.host: r.verdict for r in hosts.judge(table, labels).collect()}
+    assert verdict["a.bad.com"] == verdict["b.bad.com"] == "block" and verdict["fine.com"] == "allow"
+    assert verdict["poor.com"] == "allow" and rates["poor.com"].overall < rates["poor.com"].rate < 0.6  # one bad page is little
+    assert verdict["new.bad.com"] == "block" and rates["new.bad.com"].rate > 0.7  # by its domain
+    assert verdict["new.fine.com"] == "allow" and rates["new.fine.com"].rate < rates["new.fine.com"].overall
+    assert abs(rates["fresh.dev"].rate - rates["fresh.dev"].overall) < 1e-9 and verdict["fresh.dev"] == "allow"
+    assert abs(rates["a.bad.com"].rate - 54 / 60) < 0.05  # what is known of a host outweighs its prior
+
+
 def test_archives_round_trip(spark):
     import io
 
@@ -34,7 +52,7 @@ def test_archives_round_trip(spark):
     long = "<p>" + "x" * 200
     rows = [(1, "http://a/\r\nb", long), (2, None, long), (3, "u", None), (4, "u", "short"), (5, "u", "short"), (6, "u", "é" * 60)] + [(10 + i, f"u{i}", long + str(i)) for i in range(300)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload", F.lit(1))
-    path = f"{shared_dir(spark)}/warc-test"
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write_archives(pages, path)
     got = {r.page_id: r for r in warc.read_archives(spark, path).collect()}
     assert len(got) == len(rows)
@@ -44,6 +62,15 @@ def test_archives_round_trip(spark):
         if got[k].record_type == "response":
             assert bytes(got[k].payload) == data
     assert (got[2].record_type, got[2].refers_to, got[5].record_type) == ("revisit", 1, "response")
+    # Repeated rows and null ids are records like others; archives end at a size.
+    odd = spark.createDataFrame([(1, "u", long), (1, "u", long), (2, "u", long), (2, "u", long), (None, "u", long), (None, "v", None), (3, "w", long + "!")] + [(50 + i, "z", long * 9 + str(i)) for i in range(40)], "page_id long, url string, html string")
+    small = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(odd.coalesce(1), small, size=500)
+    back = warc.read_archives(spark, small, payload=False).toPandas()
+    assert len(back) == 47 and back.columns.tolist()[-1] == "refers_to"
+    kinds = sorted((str(r.page_id), r.record_type, str(r.refers_to)) for r in warc.read_archives(spark, small).where("url = 'u'").collect())
+    assert kinds == [("1", "response", "None")] * 2 + [("2", "revisit", "1")] * 2 + [("None", "revisit", "1")]
+    assert spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(small).count() > 1
     content = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).first()["content"]
     size = int.from_bytes(content[4:8], "little")  # the dictionary's frame leads
     dictionary = zstandard.ZstdCompressionDict(zstandard.ZstdDecompressor().decompress(bytes(content[8 : 8 + size])))
@@ -101,6 +128,52 @@ def test_recordings_align(spark):
     assert chroma.matches(media.limit(0), lambda i: i == 0).count() == 0
 
 
+def alignments(prints, queries):
+    """Best alignment of every (query, other) pair by trying all offsets with enough votes, one by one."""
+    step, out = chroma.STEP, {}
+    keys = {k: [tuple(p[i + j * step] for j in range(3)) for i in range(len(p) - 2 * step)] for k, p in prints.items()}
+    for q in queries:
+        for k in prints:
+            if k == q:
+                continue
+            votes = {}
+            for i, a in enumerate(keys[k]):
+                for j, b in enumerate(keys[q]):
+                    if a == b and a != (chroma.SILENT,) * 3:
+                        votes[i - j] = votes.get(i - j, 0) + 1
+            best = None
+            for offset, n in votes.items():
+                both = [(prints[k][i], prints[q][i - offset]) for i in range(len(prints[k])) if 0 <= i - offset < len(prints[q])]
+                wrong = sum(((a ^ b) & 0xFFFFFFFF).bit_count() for a, b in both)
+                if n >= chroma.VOTES and len(both) >= chroma.OVERLAP and wrong / (32 * len(both)) <= chroma.ERRORS:
+                    best = min(best or (9,), (wrong / (32 * len(both)), -len(both), offset))
+            if best:
+                out[q, k] = (best[2], -best[1], round(best[0], 9))
+    return out
+
+
+def test_alignments_equal_brute_force(spark):
+    r = np.random.RandomState(12)
+    parts = [r.randint(-(2**31), 2**31, r.randint(20, 70)).tolist() for _ in range(8)] + [[5] * 40, [chroma.SILENT] * 60]
+    prints = {k: sum((parts[i] for i in r.randint(0, len(parts), r.randint(1, 6))), []) for k in range(40)}
+    for k in (3, 4, 5):  # a few wrong bits
+        prints[k] = [int(np.int32(np.uint32(x & 0xFFFFFFFF) ^ np.uint32(1 << int(r.randint(32))))) if r.rand() < 0.3 else x for x in prints[k]]
+    prints = {k: p for i, (k, p) in enumerate(prints.items()) if p not in list(prints.values())[:i]}
+    table = spark.createDataFrame(list(prints.items()), "id long, fingerprint array<int>")
+    got = {(r.query_id, r.id): (r.offset, r.frames, round(r.error, 9)) for r in chroma.align(table, lambda i: i % 5 == 0).collect()}
+    assert got == alignments(prints, [k for k in prints if k % 5 == 0])
+
+
+def test_recordings_with_repeated_ids(spark):
+    r = np.random.RandomState(5)
+    one, two = chroma.melody(r.standard_normal(120)), chroma.melody(r.standard_normal(120))
+    rows = [(0, one), (1, one), (1, one), (2, two), (2, one), (None, two), (4, b"\0" * 60000), (5, b"\0" * 70000)]
+    out = chroma.matches(spark.createDataFrame(rows, "id long, audio binary"), lambda i: i == 0)
+    got = sorted((str(r.id), str(r.class_id), r.n_links) for r in out.collect())
+    # The class of the second tune is its least holder, 2; silence aligns with nothing.
+    assert got == sorted([("0", "0", 0), ("1", "0", 0), ("1", "0", 0), ("2", "2", 0), ("2", "0", 0), ("None", "2", 0), ("4", "4", 0), ("5", "5", 0)])
+
+
 def test_every_voted_offset_is_tried(spark):
     r = np.random.RandomState(8)
     part = lambda n: r.randint(-(2**31), 2**31, n).tolist()
