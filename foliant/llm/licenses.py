@@ -5,12 +5,13 @@ lower-case words joined by single blanks, and each rule with one of its own keyw
 matched.
 Detections are intervals of words. A detection goes if another one of a better priority contains
 its interval (of the same priority: if a strictly longer one does, or an equal one of an earlier
-rule); what is left gives the labels, in addition to the base phrases, which always count.
+rule); what is left gives the labels, in addition to the base phrases, which always count. Nothing
+is detected right behind a negation ("not licensed under the ...").
 
 Everything happens within a document's row: no shuffle, whatever the skew.
 
 Cases: a null or empty text has no words and no labels, null positions and score 0. Overlapping
-places of one phrase all count. The score is the share of the text's words that detections and
+places of one phrase all count; places of one rule are taken from the left and don't overlap. The score is the share of the text's words that detections and
 base phrases cover, 0 to 1; it is 0 without either.
 """
 
@@ -37,6 +38,10 @@ BASE = (
 )
 
 
+#: Priorities are 1 to this.
+PRIORITIES = 4
+
+
 class Rule(NamedTuple):
     """A regular expression over words joined by blanks (whole words); priority 1 goes first."""
 
@@ -98,6 +103,163 @@ _PLAIN = (
     ("postgresql", r"postgresql license", "postgresql license"), ("ijg", r"independent jpeg group", "independent jpeg"), ("libtiff", r"libtiff license", "libtiff license"), ("curl", r"curl license", "curl license"),
     ("proprietary", r"all rights reserved|proprietary and confidential|(?:may|must) not be (?:copied|reproduced|distributed) without (?:the )?(?:prior )?(?:written )?permission", "all rights reserved|proprietary and|may not be|must not be"),
 )
+#: Sentences of notices, grants, conditions, disclaimers and identifiers: label, keywords, regular
+#: expression. They name their license by its own wording, so they go before names.
+_SENTENCES = """
+mit | without restriction including | to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies
+mit | all copies or substantial | the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software
+mit | mit license mit | license mit license mit|spdx mit
+mit-0 | mit no attribution,mit 0 | mit no attribution(?: license)?|mit 0(?: license)?
+mit-advertising | used in advertising or otherwise | except as contained in this notice the names? of .{1,120}? shall not be used in advertising or otherwise to promote the sale
+x11 | x consortium shall not | the name of the x consortium shall not be used in advertising
+expat | expat licen | (?:the )?expat licen[cs]e
+isc | provided that the above copyright notice | permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice
+0bsd | zero clause bsd,0bsd,bsd zero | zero clause bsd(?: license)?|bsd zero clause(?: license)?|0bsd
+bsd-2-clause | simplified bsd,freebsd license | (?:the )?(?:simplified bsd|freebsd) licen[cs]e
+bsd-3-clause | new bsd,modified bsd,revised bsd | (?:the )?(?:new|modified|revised) bsd licen[cs]e
+bsd-3-clause | neither the name | neither the names? of .{1,120}? nor the names of (?:its|their|the) contributors may be used to endorse or promote products
+bsd-4-clause | all advertising materials,original bsd | all advertising materials mentioning features or use of this software must display|(?:the )?original bsd licen[cs]e
+bsd | source code must retain | redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+bsd | binary form must reproduce | redistributions in binary form must reproduce the above copyright notice this list of conditions
+bsd-patent | bsd 2 clause plus patent,bsd plus patent | bsd(?: 2 clause)? plus patent(?: license)?
+bsd-source-code | bsd source code | bsd source code attribution
+apache-2.0 | except in compliance with the license | you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0
+apache-2.0 | apache org licenses | https? www apache org licenses license 2 0(?: txt| html)?
+apache-1.1 | apache org licenses,apache software foundation | this product includes software developed by the apache software foundation
+apache-2.0-llvm | llvm exception | apache(?: license)?(?: version)?(?: v)? ?2 0 with llvm exceptions?
+gpl-2.0-or-later | either version 2 of the license | gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version
+gpl-3.0-or-later | either version 3 of the license | gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version
+lgpl-2.1-or-later | either version 2 1 of the license | gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version
+lgpl-3.0-or-later | either version 3 of the license | gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version
+agpl-3.0-or-later | either version 3 of the license | gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version
+gpl-2.0-only | gpl 2 0 only,version 2 of the license as | gpl 2 0 only|general public license version 2 of the license as published by the free software foundation and no later version
+gpl-3.0-only | gpl 3 0 only | gpl 3 0 only
+gpl-2.0-or-later | gpl 2 0 or later,gplv2 or later | gpl 2 0 or later|gplv2 or later
+gpl-3.0-or-later | gpl 3 0 or later,gplv3 or later | gpl 3 0 or later|gplv3 or later
+gpl-2.0 | gplv2,gpl2 | gplv2|gpl2
+gpl-3.0 | gplv3,gpl3 | gplv3|gpl3
+lgpl-2.1 | lgplv2 1 | lgplv2 1
+lgpl-3.0 | lgplv3 | lgplv3
+agpl-3.0 | agplv3 | agplv3
+gpl | even the implied warranty of merchantability | distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license
+lgpl | even the implied warranty of merchantability | distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu (?:lesser|library) general public license
+agpl | even the implied warranty of merchantability | distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu affero general public license
+gpl | received a copy of the gnu general,a copy of the gnu general | you should have received a copy of the gnu general public license
+lgpl | received a copy of the gnu lesser,received a copy of the gnu library | you should have received a copy of the gnu (?:lesser|library) general public license
+agpl | received a copy of the gnu affero | you should have received a copy of the gnu affero general public license
+gpl-classpath | classpath exception | (?:gpl|general public license)(?: version| v)? ?2(?: 0)? with(?: the)? classpath exception|as a special exception .{1,200}? classpath exception
+gpl-linking | linking exception,runtime library exception,gcc runtime library exception | (?:gpl|general public license) with(?: a| the)?(?: gcc)? (?:runtime library|linking) exception
+gpl-font | font exception | (?:gpl|general public license) with(?: a| the)? font (?:embedding )?exception
+gpl-bison | bison exception | (?:gpl|general public license)(?: 2 0)? with bison exception
+gfdl-no-invariant | no invariant sections | with no invariant sections no front cover texts and no back cover texts
+mpl-2.0 | terms of the mozilla public | this source code form is subject to the terms of the mozilla public license v 2 0
+mpl-2.0 | mozilla org mpl | if a copy of the mpl was not distributed with this file you can obtain one at https? (?:www )?mozilla org mpl 2 0
+mpl-1.1 | mozilla public license version 1 1 | the contents of this file are subject to the mozilla public license version 1 1
+mpl-incompatible | incompatible with secondary licenses | this source code form is incompatible with secondary licenses
+epl-1.0 | eclipse org legal epl v10 | (?:https? )?(?:www )?eclipse org legal epl v10(?: html)?
+epl-2.0 | eclipse org legal epl | (?:https? )?(?:www )?eclipse org legal epl(?: v)? ?2 0
+edl-1.0 | eclipse distribution license | eclipse distribution license(?: version| v)?(?: 1 0)?
+cddl | terms of the common development | subject to the terms of the common development and distribution license
+cpal-1.0 | common public attribution | common public attribution license(?: version)?(?: 1 0)?
+cpl | common public license,accompanying common public | made available under the terms of the(?: accompanying)? common public license
+ipl-1.0 | ibm public license | ibm public license(?: version| v)?(?: 1 0)?
+spl-1.0 | sun public license | sun public license(?: version)?(?: 1 0)?
+npl-1.1 | netscape public license | netscape public license(?: version)?(?: 1 [01])?
+qpl-1.0 | q public license | q public license(?: version)?(?: 1 0)?
+eupl-1.2 | licensed under the eupl | licensed under the eupl(?: version| v)? ?1 2(?: or)?
+eupl | european union public licence | (?:the )?european union public licen[cs]e
+cecill-b | cecill b | cecill b(?: license)?
+cecill-c | cecill c | cecill c(?: license)?
+artistic | terms of the artistic licen,clarified artistic | under the terms of the artistic licen[cs]e|clarified artistic licen[cs]e
+perl | same terms as perl | (?:redistribute|use|distribute) it (?:and or modify it )?under the same terms as perl(?: itself)?
+ruby | same terms as ruby,ruby licen | under the same terms as ruby(?: itself)?|(?:the )?ruby licen[cs]e
+python | same terms as python | under the same terms as python(?: itself)?
+lua | lua licen | (?:the )?lua licen[cs]e
+tcl | tcl tk licen,tcl licen | (?:the )?tcl(?: tk)? licen[cs]e
+vim | vim licen | (?:the )?vim licen[cs]e
+php-3.01 | php net license | (?:https? )?(?:www )?php net license 3 01(?: txt)?
+zlib | altered source versions | altered source versions must be plainly marked as such and must not be misrepresented as being the original software
+zlib | the origin of this software | the origin of this software must not be misrepresented
+zlib | in no event will the authors be held | in no event will the authors be held liable for any damages arising from the use of this software
+libpng-2.0 | png reference library license | png reference library license version 2
+bzip2 | bzip2 license | bzip2(?: and libbzip2)? license
+curl | curl and libcurl | curl and libcurl are licensed
+openssl | openssl toolkit | this product includes software developed by the openssl project for use in the openssl toolkit
+ssleay | ssleay license,original ssleay,includes cryptographic software | (?:original )?ssleay license|includes cryptographic software written by eric young
+boost-1.0 | boost org license | (?:https? )?(?:www )?boost org license 1 0(?: txt)?
+boost-1.0 | distributed under the boost | distributed under the boost software license version 1 0
+unlicense | unencumbered software | this is free and unencumbered software released into the public domain
+unlicense | unlicense org | (?:https? )?unlicense org
+cc0-1.0 | cc0 1 0,public domain dedication | cc0 1 0 universal(?: public domain dedication)?|creative commons public domain dedication
+cc0-1.0 | publicdomain zero | (?:https? )?creativecommons org publicdomain zero 1 0
+cc-pdm-1.0 | publicdomain mark | (?:https? )?creativecommons org publicdomain mark 1 0
+cc-by | creativecommons org licenses by | (?:https? )?(?:www )?creativecommons org licenses by [1-4] [05]
+cc-by-sa | creativecommons org licenses by sa | (?:https? )?(?:www )?creativecommons org licenses by sa [1-4] [05]
+cc-by-nd | creativecommons org licenses by nd | (?:https? )?(?:www )?creativecommons org licenses by nd [1-4] [05]
+cc-by-nc | creativecommons org licenses by nc | (?:https? )?(?:www )?creativecommons org licenses by nc [1-4] [05]
+cc-by-nc-sa | creativecommons org licenses by nc sa | (?:https? )?(?:www )?creativecommons org licenses by nc sa [1-4] [05]
+cc-by-nc-nd | creativecommons org licenses by nc nd | (?:https? )?(?:www )?creativecommons org licenses by nc nd [1-4] [05]
+pddl-1.0 | public domain dedication and licen,pddl | open data commons public domain dedication and licen[cs]e|pddl(?: 1 0)?
+odc-by-1.0 | open data commons attribution,odc by | open data commons attribution licen[cs]e|odc by(?: 1 0)?
+odbl-1.0 | opendatacommons org | (?:https? )?(?:www )?opendatacommons org licenses odbl
+ogl-uk | open government licence | open government licence(?: version| v)?(?: [123](?: 0)?)?
+etalab-2.0 | licence ouverte,etalab | licence ouverte(?: open licence)?|etalab 2 0
+dl-de | datenlizenz deutschland | datenlizenz deutschland (?:namensnennung|zero)(?: version)?(?: 2 0)?
+cdla-permissive | community data license | community data license agreement permissive(?: version)?(?: [12] 0)?
+cdla-sharing | community data license | community data license agreement sharing(?: version)?(?: 1 0)?
+ofl-1.1 | scripts sil org ofl | (?:https? )?scripts sil org ofl
+ofl | reserved font name | with reserved font names?
+bitstream-vera | bitstream vera | bitstream vera(?: fonts)? (?:copyright|license)
+ubuntu-font | ubuntu font licen | ubuntu font licen[cs]e(?: version)?(?: 1 0)?
+mulan-2.0 | mulan psl | mulan psl(?: v)? ?2|mulan permissive software license(?: v)? ?2
+upl-1.0 | universal permissive license | universal permissive license(?: v| version)? ?(?:1 0)?
+ecl-2.0 | educational community license | educational community license(?: version)?(?: [12] 0)?
+aladdin | aladdin free public | aladdin free public license
+ms-pl | ms pl,microsoft public | ms pl|microsoft public license
+ms-rl | ms rl,microsoft reciprocal | ms rl|microsoft reciprocal license
+wtfpl | do what the,wtfpl net | you just do what the fuck you want to|(?:https? )?(?:www )?wtfpl net
+beerware | you can buy me a beer | you can buy me a beer in return
+sspl-1.0 | server side public | server side public license(?: version| v)?(?: 1)?
+elastic-2.0 | elastic license | elastic license(?: version)? ?(?:2 0)?
+confluent-1.0 | confluent community | confluent community license(?: version)?(?: 1 0)?
+redis-source | redis source available | redis source available license(?: v| version)? ?(?:[12] 0)?
+bsl-1.1 | change date,mariadb business | mariadb business source license|additional use grant .{1,200}? change date
+polyform-nc | polyform noncommercial | polyform noncommercial license(?: 1 0 0)?
+polyform-small | polyform small business | polyform small business license(?: 1 0 0)?
+commons-clause | commons clause | commons clause(?: license)?(?: condition)?
+prosperity | prosperity public license | prosperity public license(?: [23] 0 0)?
+parity | parity public license | parity public license(?: [67] 0 0)?
+openrail-m | openrail | (?:creativeml )?(?:open ?rail(?: plus plus)?|bigscience openrail)(?: m)?(?: license)?
+llama-2 | llama 2 community | llama 2 community license(?: agreement)?
+llama-3 | llama 3 community | llama 3(?: [0-9])? community license(?: agreement)?
+gemma | gemma terms of use | gemma terms of use
+bloom-rail | bigscience rail | bigscience(?: bloom)? rail(?: 1 0)?(?: license)?
+json | used for good not evil | (?:the )?software shall be used for good not evil
+ncsa | ncsa open source,uiuc | (?:university of illinois )?ncsa open source license
+afl-3.0 | licensed under the academic free | licensed under the academic free license version 3 0
+osl-3.0 | licensed under the open software | licensed under the open software license version 3 0
+w3c | w3c software | w3c software (?:notice and )?(?:document )?license|w3c software and document notice
+unicode | unicode license,unicode inc license | unicode(?: inc)? license(?: agreement)?(?: data files and software)?
+icu | icu license | icu license
+hpnd | historical permission notice | historical permission notice and disclaimer
+ntp | ntp license | ntp license
+intel | intel open source | intel open source license
+nvidia | nvidia software license,nvidia source code | nvidia (?:source code|software) license(?: agreement)?
+oracle-bcl | oracle binary code | oracle binary code license(?: agreement)?
+proprietary | trade secret | (?:confidential and )?proprietary (?:trade secrets?|information) of
+proprietary | unauthorized copying | unauthorized (?:copying|reproduction|distribution|use) of this (?:file|document|software|work)(?: via any medium)? is (?:strictly )?prohibited
+proprietary | no part of this | no part of this (?:publication|book|document|work|material) may be reproduced
+proprietary | end user licen | end user licen[cs]e agreement
+personal-use | personal use only,non commercial use only | for (?:personal|private|non ?commercial|educational|research)(?: and (?:personal|private|non ?commercial|educational|research))? use only
+fair-use | fair use | (?:constitutes|considered|under) (?:a )?fair use
+public-domain | public domain | (?:this work|this text|it|this file|this software|this image) is (?:hereby )?(?:in|placed in|released into|dedicated to) the public domain
+public-domain-us | work of the united states,us government | work of the (?:united states|us|u s)(?: federal)? government
+dual | dual licensed | dual licensed under
+spdx-or | spdx licen | spdx licen[cs]e identifier [a-z0-9 ]{1,60}? or [a-z0-9 ]{1,30}
+spdx-and | spdx licen | spdx licen[cs]e identifier [a-z0-9 ]{1,60}? and [a-z0-9 ]{1,30}
+spdx-with | spdx licen | spdx licen[cs]e identifier [a-z0-9 ]{1,60}? with [a-z0-9 ]{1,40}? exception
+warranty-disclaimer | as is without warranty | (?:the software|this software|it) is provided as is without warranty of any kind(?: express or implied)?
+"""
 #: How a license is referred to, from the most to the least certain: priority and frame around it.
 _FRAMES = (
     (1, r"(?:licen[cs]ed|released|distributed|available|published|provided) under (?:the )?(?:terms of )?(?:the )?(?:conditions of the )?{r}"),
@@ -107,8 +269,18 @@ _FRAMES = (
 )
 
 
+#: Words behind which nothing is detected.
+NEGATED = r"(?<! (?:not|never|longer|nor) (?:be |been )?(?:(?:licen[cs]ed|released|distributed|available|published|provided) )?(?:under )?(?:the )?(?:terms of )?(?:the )?)"
+
+
+def sentences() -> list[Rule]:
+    """The rules by wording."""
+    rows = [[part.strip() for part in line.split(" | ", 2)] for line in _SENTENCES.strip().splitlines()]
+    return [Rule(label, keywords.replace(",", "|"), f"(?:{regex})", 1) for label, keywords, regex in rows]
+
+
 def rules() -> list[Rule]:
-    """The signature rules, several hundred, in order: families with versions, then plain names."""
+    """The signature rules, several hundred, in order: sentences, families with versions, plain names."""
     named = []
     for label, regex, keywords, versions in _NAMES:
         for v in versions:
@@ -119,7 +291,7 @@ def rules() -> list[Rule]:
         named.append((f"cc-{code}", rf"cc {code.replace('-', ' ')}|creative commons {words}(?: licen[cs]e)?", "cc by|creative commons"))
     framed = [(p, n, f.replace("{r}", f"(?:{r})"), k) for n, r, k in named for p, f in _FRAMES]
     framed += [(p + 1, n, f.replace("{r}", f"(?:{r})"), k) for n, r, k in _PLAIN for p, f in _FRAMES]
-    return [Rule(n, k, f, p) for p, n, f, k in framed]
+    return sentences() + [Rule(n, k, f, p) for p, n, f, k in framed]
 
 
 def words(text: Column) -> Column:
@@ -149,7 +321,7 @@ def _table(own: list[Rule]) -> Column:
     """The rules as a column, those with the same keywords together."""
     groups: dict[str, list[Column]] = {}
     for i, r in enumerate(own):
-        row = F.struct(F.lit(r.label).alias("label"), F.lit(rf"(?<= )(?:{r.regex})(?= )").alias("regex"), F.lit(r.priority).alias("priority"), F.lit(i).alias("order"))
+        row = F.struct(F.lit(r.label).alias("label"), F.lit(rf"(?<= ){NEGATED}(?:{r.regex})(?= )").alias("regex"), F.lit(r.priority).alias("priority"), F.lit(i).alias("order"))
         groups.setdefault(r.keyword, []).append(row)
     return F.array(*[F.struct(F.array(*[F.lit(" " + k) for k in keyword.split("|")]).alias("keywords"), F.array(*rows).alias("rules")) for keyword, rows in groups.items()])
 
@@ -194,15 +366,22 @@ def _detections(joined: Column, table: Column) -> Column:
 
 
 def _kept(found: Column) -> Column:
-    """Detections that no better one contains."""
-
-    def beats(o: Column, d: Column) -> Column:
-        holds = (o["first"] <= d["first"]) & (o["last"] >= d["last"])
-        longer = o["last"] - o["first"] > d["last"] - d["first"]
-        equal = o["last"] - o["first"] == d["last"] - d["first"]
-        return holds & ((o["priority"] < d["priority"]) | ((o["priority"] == d["priority"]) & (longer | (equal & (o["order"] < d["order"])))))
-
-    return F.filter(found, lambda d: ~F.exists(found, lambda o: beats(o, d)))
+    """Detections that no better one contains, in order of their first words.
+
+    In order of first word, longest first, then priority and rule, every better one stands before;
+    so a detection goes if an earlier one of its priority or a better one ends no earlier.
+    """
+    place = lambda d: F.struct(d["first"].alias("first"), (-d["last"]).alias("back"), d["priority"].alias("priority"), d["order"].alias("order"), d["label"].alias("label"))
+    ends = F.array_repeat(F.lit(-1), PRIORITIES + 1)
+    state = F.struct(ends.alias("ends"), F.array().cast("array<struct<first:int,last:int,priority:int,order:int,label:string>>").alias("kept"))
+
+    def step(s: Column, d: Column) -> Column:
+        last = -d["back"]
+        own = F.struct(d["first"].alias("first"), last.alias("last"), d["priority"].alias("priority"), d["order"].alias("order"), d["label"].alias("label"))
+        later = F.transform(s["ends"], lambda e, p: F.when((p >= d["priority"]) & (last > e), last).otherwise(e))
+        return F.struct(later.alias("ends"), F.when(F.get(s["ends"], d["priority"]) >= last, s["kept"]).otherwise(F.array_append(s["kept"], own)).alias("kept"))
+
+    return F.aggregate(F.array_sort(F.transform(found, place)), state, step)["kept"]
 
 
 def scan(docs: DataFrame, own: list[Rule] | None = None) -> DataFrame:

@@ -6,11 +6,14 @@ the source, crosses integer boundaries, and a document is emitted once for each
 Neighbours in the order have about the same size, so the words taken stay near the target.
 
 A source may hold a third of all rows: prefix sums are taken in two levels. A cell is a source,
-a size class and one of CELLS blocks of doc_id; the cells of a source are bounded in number by
-these parameters, and only rows of one cell are ordered among themselves.
+a size class and a block of doc_id; blocks grow in number with the rows, so that a cell stays at
+about BLOCK_ROWS rows even if all texts have one size, and only rows of one cell are ordered among
+themselves. What is summed in one place are cells (of a source) and sources, of which there are
+many rows fewer; a corpus has at most some thousands of sources.
 
 Cases: a null or empty text has size 0 and adds no words, whatever its copies; a source without
-words has target 0; null is a source of its own, last in the order. An empty table gives no rows.
+words has target 0; null is a source of its own, last in the order; null doc_ids share a block.
+Rows that repeat are documents each, in any order among themselves. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,8 +29,8 @@ from .common import count_words
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 REPEATS = 2
-#: Blocks of doc_id within a size class.
-CELLS = 64
+#: Blocks of doc_id within a size class, at least, and rows for which there is one more.
+CELLS, BLOCK_ROWS = 64, 50_000
 SEED = "mix-1"
 
 
@@ -58,9 +61,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 
     The same rows give the same copies, however they are partitioned.
     """
+    blocks = max(CELLS, docs.count() // BLOCK_ROWS)
     sized = docs.select(F.col("doc_id").cast("long"), "source", count_words(F.col("text")).alias("size"))
     # Eight size classes for each power of two, so that neighbours differ by a tenth at most.
-    sized = sized.withColumn("class", F.floor(8 * F.log2(1.0 + F.col("size")))).withColumn("block", F.pmod("doc_id", F.lit(CELLS)))
+    sized = sized.withColumn("class", F.floor(8 * F.log2(1.0 + F.col("size")))).withColumn("block", F.coalesce(F.pmod("doc_id", F.lit(blocks)), F.lit(0)))
     cells = sized.groupBy("source", "class", "block").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     per_source = targets(cells.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, repeats)
     draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce("source", F.lit("null")))), 1, 8), 16, 10).cast("double") / 2.0**32
@@ -103,7 +107,7 @@ drawn AS (
   FROM final),
 ranked AS (
   SELECT doc_id, source, size, row_number() OVER (PARTITION BY source
-           ORDER BY floor(8 * log2(1.0::DOUBLE + size)), doc_id % {CELLS}, size, doc_id) AS nth
+           ORDER BY floor(8 * log2(1.0::DOUBLE + size)), doc_id % greatest({CELLS}, (SELECT count(*) FROM documents) // {BLOCK_ROWS}), size, doc_id) AS nth
   FROM sized)
 SELECT r.doc_id, r.size, d.source_size, d.target,
        ((floor(nth * expected + start) - floor((nth - 1) * expected + start))::BIGINT * r.size)::BIGINT AS taken
