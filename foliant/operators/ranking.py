@@ -9,6 +9,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def numbered(rows: DataFrame, key: Column, *ties: str, name: str = "position", buckets: int = 256) -> DataFrame:
+    """The rows with their number, from 1, in order of a numeric key and then the ties' columns.
+
+    Quantiles of the key deal rows to buckets; rows are numbered within a bucket, and the counts of
+    the earlier buckets are added. What is summed in one place is a row for each bucket.
+    """
+    keyed = rows.withColumn("_key", key)
+    cuts = keyed.agg(F.percentile_approx("_key", [i / buckets for i in range(1, buckets)], F.lit(100 * buckets)).alias("_cuts"))
+    placed = keyed.join(F.broadcast(cuts)).withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col("_key")))).drop("_cuts")  # one row
+    counts = placed.groupBy("_bucket").agg(F.count("*").alias("_n"))
+    before = counts.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_bucket").orderBy("_key", *ties))
+    return placed.withColumn("_within", within).join(F.broadcast(before), "_bucket").withColumn(name, F.col("_before") + F.col("_within")).drop("_key", "_bucket", "_within", "_before")
+
+
 def repaired(returned: DataFrame, wanted: DataFrame) -> DataFrame:
     """query, item, position: a returned order with repeats and strangers out, missing items appended.
 

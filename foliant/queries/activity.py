@@ -24,13 +24,18 @@ def usage_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.sessions(table(spark, sf_dir, "events")).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@query("""SELECT event_id, sum(greatest(value, 0)) OVER w <= 200 AS admitted, round(sum(greatest(value, 0)) OVER w, 4) AS used_60s FROM events WINDOW w AS (PARTITION BY user_id % 16 ORDER BY ts RANGE BETWEEN INTERVAL 60 SECOND PRECEDING AND CURRENT ROW)""")
+@query("""SELECT event_id, sum(greatest(value, 0)) OVER w <= 2000 AS admitted, round(sum(greatest(value, 0)) OVER w, 4) AS used_60s FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 60 SECOND PRECEDING AND CURRENT ROW)""")
 def rolling_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Units of the last sixty seconds by descriptor, and whether a request fits the budget."""
-    e = table(spark, sf_dir, "events").withColumn("micros", F.unix_micros("ts"))
-    w = Window.partitionBy(F.col("user_id") % 16).orderBy("micros").rangeBetween(-60_000_000, 0)
-    used = F.sum(F.greatest("value", F.lit(0.0))).over(w)
-    return e.select("event_id", (used <= 200).alias("admitted"), F.round(used, 4).alias("used_60s"))
+    """Units of the last sixty seconds by descriptor (type of event), and whether a request fits the budget.
+
+    A descriptor may hold most requests, so windows are kept to its minutes: each request is also
+    dealt to the minute that follows, where it only counts.
+    """
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", F.greatest("value", F.lit(0.0)).alias("units"), F.unix_micros("ts").alias("micros"))
+    e = e.withColumn("own", F.floor(F.col("micros") / 60_000_000)).withColumn("minute", F.explode(F.array(F.col("own"), F.col("own") + 1)))
+    w = Window.partitionBy("event_type", "minute").orderBy("micros").rangeBetween(-60_000_000, 0)
+    used = F.sum("units").over(w)
+    return e.withColumn("used", used).where("own = minute").select("event_id", (F.col("used") <= 2000).alias("admitted"), F.round("used", 4).alias("used_60s"))
 
 
 @query("SELECT user_id, max(ts) AS latest, max(ts) <= TIMESTAMP '2024-01-29' - INTERVAL 1 DAY AS expired FROM events GROUP BY user_id")
@@ -47,10 +52,17 @@ def json_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(k).alias("k"), F.max(F.md5(F.col("props").cast("binary"))).alias("last_hash"))
 
 
-@query("SELECT event_id, row_number() OVER (PARTITION BY user_id % 4 ORDER BY ts, event_id)::INT AS position FROM events")
+@query("SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS position FROM events")
 def fifo_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Queue positions by request time within each descriptor."""
-    return table(spark, sf_dir, "events").select("event_id", F.row_number().over(Window.partitionBy(F.col("user_id") % 4).orderBy("ts", "event_id")).alias("position"))
+    """Queue positions by request time within each descriptor (type of event).
+
+    Requests are numbered within an hour; the counts of a descriptor's earlier hours are added.
+    """
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", "ts", F.date_trunc("hour", "ts").alias("hour"))
+    counts = e.groupBy("event_type", "hour").agg(F.count("*").alias("n"))
+    before = counts.select("event_type", "hour", (F.sum("n").over(Window.partitionBy("event_type").orderBy("hour")) - F.col("n")).alias("before"))
+    within = F.row_number().over(Window.partitionBy("event_type", "hour").orderBy("ts", "event_id"))
+    return e.withColumn("within", within).join(before, ["event_type", "hour"]).select("event_id", (F.col("before") + F.col("within")).alias("position"))
 
 
 @query("SELECT user_id, event_type, max(ts) AS latest, count(*)::BIGINT AS n FROM events GROUP BY ALL")

@@ -47,11 +47,12 @@ _KIND = "CASE WHEN contains(line, '|') THEN 'table' ELSE 'prose' END"
 numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY line_no) AS segment_no FROM marked)
 SELECT doc_id, segment_no::BIGINT AS segment_no, any_value(kind) AS kind, count(*)::BIGINT AS n_lines FROM numbered GROUP BY doc_id, segment_no""")
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Consecutive table lines are one block, the lines between are prose."""
-    w = Window.partitionBy("doc_id").orderBy("line_no")
-    marked = lines(table(spark, sf_dir, "documents")).withColumn("kind", F.when(F.contains("line", F.lit("|")), "table").otherwise("prose"))
-    marked = marked.withColumn("fresh", F.when(F.lag("kind").over(w).eqNullSafe(F.col("kind")), 0).otherwise(1))
-    return marked.withColumn("segment_no", F.sum("fresh").over(w)).groupBy("doc_id", "segment_no").agg(F.first("kind").alias("kind"), F.count("*").alias("n_lines"))
+    """Consecutive table lines are one block, the lines between are prose; all within a document's row."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.transform(F.split("text", "\n"), lambda x: F.contains(x, F.lit("|"))).alias("t"))
+    starts = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
+    found = F.transform("s", lambda i, k: F.struct(F.when(F.get("t", i), "table").otherwise("prose").alias("kind"), (F.coalesce(F.get("s", k + 1), F.size("t")) - i).cast("long").alias("n_lines")))
+    blocks = d.select("doc_id", "t", starts.alias("s")).select("doc_id", F.posexplode(found).alias("n", "b"))
+    return blocks.select("doc_id", (F.col("n") + 1).cast("long").alias("segment_no"), "b.kind", "b.n_lines")
 
 
 @query(f"""WITH {_LINES}, packed AS (
@@ -74,13 +75,11 @@ def pack_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 MAX_CHARACTERS, MAX_CHUNKS = 500_000, 500
 
 
-@query("""SELECT doc_id, (n - 1)::BIGINT AS part, substr(text, ((n - 1) * 900 + 1)::INT, 1000) AS chunk FROM documents, generate_series(1, 40) t(n)
-  WHERE length(text) <= 36000 AND (n - 1) * 900 < greatest(length(text) - 100, 1)""")
+@query("""SELECT doc_id, part, substr(text, (part * 900 + 1)::BIGINT, 1000) AS chunk FROM (
+  SELECT doc_id, text, unnest(range(0, (greatest(length(text) - 101, 0) // 900 + 1)::BIGINT)) AS part FROM documents
+  WHERE length(text) <= 500000 AND greatest(length(text) - 101, 0) // 900 + 1 <= 500)""")
 def overlap_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of 1000 characters, each 100 into the one before; texts over the size caps are left out.
-
-    The SQL's own series ends at 36,000 characters, so it gives no chunk of longer texts.
-    """
+    """Chunks of 1000 characters, each 100 into the one before; texts over the size caps are left out."""
     return chunks(table(spark, sf_dir, "documents"))
 
 
@@ -105,13 +104,19 @@ def slug_and_quote_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", T.slug(F.concat_ws(" / ", "p_name", "p_type")).alias("slug"), T.quote_key(F.concat_ws(", ", "p_name", "p_brand")).alias("quote_key"))
 
 
-@query("""WITH d AS (SELECT source, doc_id, sha256(text) AS h FROM documents)
-SELECT source, sha256(string_agg(doc_id::VARCHAR || ':' || h, chr(10) ORDER BY doc_id::VARCHAR || ':' || h)) AS sha256, count(*)::BIGINT AS n_docs FROM d GROUP BY source""")
+@query("""WITH d AS (SELECT source, doc_id // 10000 AS block, doc_id::VARCHAR || ':' || sha256(text) AS e FROM documents),
+b AS (SELECT source, block, sha256(string_agg(e, chr(10) ORDER BY e)) AS h, count(*) AS n FROM d GROUP BY ALL)
+SELECT source, sha256(string_agg(h, chr(10) ORDER BY block)) AS sha256, sum(n)::BIGINT AS n_docs FROM b GROUP BY source""")
 def dataset_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order-independent fingerprint of each source's documents: only ids and digests are gathered."""
-    d = table(spark, sf_dir, "documents").select("source", F.concat_ws(":", F.col("doc_id").cast("string"), F.sha2(F.col("text").cast("binary"), 256)).alias("e"))
-    joined = F.array_join(F.array_sort(F.collect_list("e")), "\n")
-    return d.groupBy("source").agg(F.sha2(joined.cast("binary"), 256).alias("sha256"), F.count("*").alias("n_docs"))
+    """Order-independent fingerprint of each source's documents in two levels: of blocks of 10,000 numbers, then of the blocks.
+
+    A task gathers the digests of one block, or one digest for each block of a source.
+    """
+    d = table(spark, sf_dir, "documents").select("source", F.floor(F.col("doc_id") / 10000).alias("block"), F.concat_ws(":", F.col("doc_id").cast("string"), F.sha2(F.col("text").cast("binary"), 256)).alias("e"))
+    digest = lambda lines: F.sha2(F.array_join(lines, "\n").cast("binary"), 256)
+    blocks = d.groupBy("source", "block").agg(digest(F.array_sort(F.collect_list("e"))).alias("h"), F.count("*").alias("n"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("block", "h"))), lambda x: x["h"])
+    return blocks.groupBy("source").agg(digest(ordered).alias("sha256"), F.sum("n").alias("n_docs"))
 
 
 @query("""SELECT doc_id, list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}'), lambda m: lower(m))) AS e, 0 AS x FROM documents""".replace(

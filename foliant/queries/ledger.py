@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from foliant.operators.ranking import numbered
 from foliant.plans.registry import query
 from foliant.tables import table
 
@@ -84,12 +85,11 @@ def outstanding_by_currency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return l.groupBy("r_name").agg(total.alias("total"), F.countDistinct(currency).alias("currencies"), F.when(F.countDistinct(currency) <= 1, total).alias("consolidated"))
 
 
-@query("SELECT o_custkey, count(*)::BIGINT AS loans, round(sum(o_totalprice), 2) AS total, row_number() OVER (ORDER BY round(sum(o_totalprice), 2) DESC, o_custkey)::INT AS position FROM orders GROUP BY o_custkey QUALIFY position <= 100")
+@query("SELECT o_custkey, count(*)::BIGINT AS loans, round(sum(o_totalprice), 2) AS total, row_number() OVER (ORDER BY round(sum(o_totalprice), 2) DESC, o_custkey) AS position FROM orders GROUP BY o_custkey")
 def lender_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 100 largest lenders."""
+    """Every lender's loans and total, and its position by total."""
     g = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("loans"), F.round(F.sum("o_totalprice"), 2).alias("total"))
-    top = g.orderBy(F.desc("total"), "o_custkey").limit(100)
-    return top.withColumn("position", F.row_number().over(Window.orderBy(F.desc("total"), "o_custkey")))
+    return numbered(g, -F.col("total"), "o_custkey")
 
 
 def compound(principal: Column, rate: float, start: Column, end: Column) -> Column:
@@ -179,25 +179,28 @@ def snapshot_shrink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return y.where("curr < prev").select("o_custkey", "year", "prev", "curr")
 
 
-@query("""WITH v AS (SELECT DISTINCT date_trunc('month', o_orderdate)::DATE AS version FROM orders WHERE o_orderkey % 97 = 0),
-d AS (SELECT o_orderkey, (year(o_orderdate) * 12 + month(o_orderdate)) AS m FROM orders WHERE o_custkey % 5 = 0),
-c AS (SELECT o_orderkey, version, abs(m - (year(version) * 12 + month(version))) AS gap FROM d, v)
-SELECT o_orderkey, version AS nearest, gap::INT AS gap FROM c QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY gap, version) = 1""")
+@query("""WITH v AS (SELECT DISTINCT year(o_orderdate) * 12 + month(o_orderdate) AS m FROM orders WHERE o_totalprice >= 0.99 * (SELECT max(o_totalprice) FROM orders)),
+d AS (SELECT o_orderkey, year(o_orderdate) * 12 + month(o_orderdate) AS m FROM orders),
+c AS (SELECT o_orderkey, d.m, b.m AS before, a.m AS after FROM d ASOF LEFT JOIN v b ON d.m >= b.m ASOF LEFT JOIN v a ON d.m <= a.m),
+n AS (SELECT o_orderkey, m, CASE WHEN after IS NULL OR m - before <= after - m THEN before ELSE after END AS near FROM c)
+SELECT o_orderkey, make_date((near - 1) // 12, (near - 1) % 12 + 1, 1) AS nearest, abs(m - near)::INT AS gap FROM n""")
 def nearest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As-of join to the nearest version on either side, by month, the earlier one on a tie.
+    """As-of join of all orders to the nearest version on either side, by month, the earlier one on a tie.
 
-    Both sides meet in one sorted stream by month: the last version before and the first after are
-    the only candidates, so no pairs are formed.
+    Versions are the months of orders within a hundredth of the largest. Both sides meet in one
+    sorted stream by month: the last version before and the first after are the only candidates, so
+    no pairs are formed; the stream has a row for each month.
     """
     o = table(spark, sf_dir, "orders")
-    month = lambda d: F.year(d) * 12 + F.month(d)
-    v = o.where(F.col("o_orderkey") % 97 == 0).select(month("o_orderdate").alias("m")).distinct().withColumn("vm", F.col("m"))
-    months = o.where(F.col("o_custkey") % 5 == 0).select(month("o_orderdate").alias("m")).distinct().join(v, "m", "full")  # one row a month
+    month = F.year("o_orderdate") * 12 + F.month("o_orderdate")
+    largest = o.agg((0.99 * F.max("o_totalprice")).alias("least"))
+    v = o.join(F.broadcast(largest)).where(F.col("o_totalprice") >= F.col("least")).select(month.alias("m")).distinct().withColumn("vm", F.col("m"))  # one row
+    months = o.select(month.alias("m")).distinct().join(v, "m", "left")
     before = F.last("vm", True).over(Window.orderBy("m").rowsBetween(Window.unboundedPreceding, 0))
     after = F.first("vm", True).over(Window.orderBy("m").rowsBetween(0, Window.unboundedFollowing))
     near = months.select("m", before.alias("b"), after.alias("a")).withColumn("n", F.when(F.col("a").isNull() | (F.col("m") - F.col("b") <= F.col("a") - F.col("m")), F.col("b")).otherwise(F.col("a")))
     near = near.select("m", F.make_date(F.floor((F.col("n") - 1) / 12).cast("int"), ((F.col("n") - 1) % 12 + 1).cast("int"), F.lit(1)).alias("nearest"), F.abs(F.col("m") - F.col("n")).alias("gap"))
-    return o.where(F.col("o_custkey") % 5 == 0).select("o_orderkey", month("o_orderdate").alias("m")).join(near, "m").select("o_orderkey", "nearest", "gap")
+    return o.select("o_orderkey", month.alias("m")).join(near, "m").select("o_orderkey", "nearest", "gap")
 
 
 @query("""WITH r AS (SELECT o_custkey, o_orderkey, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC) AS r FROM orders)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliant.functions.text import STOPWORDS, tokens
+from foliant.operators.search import cosine_top_k
 from foliant.plans.registry import query
 from foliant.tables import table
 
@@ -26,10 +27,15 @@ _WEIGHT_SQL = f"""weights AS (
 
 
 def document_weights(docs: DataFrame) -> DataFrame:
-    """doc_id, term, weight: BM25 document weights, without the collection's share."""
-    held = docs.select("doc_id", tokens(F.col("text")).alias("t"))
-    terms = held.select("doc_id", F.size("t").cast("double").alias("n"), F.explode("t").alias("term"))
-    counted = terms.groupBy("doc_id", "term", "n").agg(F.count("*").cast("double").alias("tf"))
+    """doc_id, term, weight: BM25 document weights, without the collection's share.
+
+    A document's terms are sorted and its runs of equal ones counted within the row: no shuffle.
+    """
+    held = docs.select("doc_id", F.array_sort(tokens(F.col("text"))).alias("t"))
+    starts = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
+    runs = held.where(F.size("t") > 0).select("doc_id", "t", starts.alias("s"))
+    term = F.transform("s", lambda i, k: F.struct(F.get("t", i).alias("term"), (F.coalesce(F.get("s", k + 1), F.size("t")) - i).cast("double").alias("tf")))
+    counted = runs.select("doc_id", F.size("t").cast("double").alias("n"), F.explode(term).alias("w")).select("doc_id", "n", "w.*")
     return counted.select("doc_id", "term", (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / AVERAGE))).alias("weight"))
 
 
@@ -44,24 +50,23 @@ def doc_bm25_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_weights(table(spark, sf_dir, "documents")).select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
-def bm25_scores(docs: DataFrame, queries: tuple[tuple[int, str], ...] = QUERIES) -> DataFrame:
-    """query, doc_id, score of all documents that share a term with a query.
+def asked_terms(spark: SparkSession, queries: tuple[tuple[int, str], ...] = QUERIES) -> DataFrame:
+    """query, term of the given query texts."""
+    return spark.createDataFrame(sorted({(q, w) for q, text in queries for w in text.split()}), "query long, term string")
+
 
-    The query terms are a handful: their postings are filtered before anything is shuffled.
+def bm25_scores(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """query, doc_id, score of all documents that share a term with a query (asked: query, term).
+
+    One pass makes the weights in each document's row; only postings of asked terms go on.
     """
-    spark = docs.sparkSession
-    asked = sorted({(q, w) for q, text in queries for w in text.split()})
-    words = [w for _, w in asked]
     held = docs.select("doc_id", tokens(F.col("text")).alias("t"))
-    size = held.where(F.size("t") > 0).agg(F.count("*").alias("docs"))
-    terms = held.select("doc_id", F.size("t").cast("double").alias("n"), F.explode(F.filter("t", lambda w: w.isin(*words))).alias("term"))
-    counted = terms.groupBy("doc_id", "term", "n").agg(F.count("*").cast("double").alias("tf"))
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / AVERAGE))
-    df = counted.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.join(F.broadcast(size)).select("term", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    wanted = spark.createDataFrame(asked, "query int, term string")
-    scored = counted.join(F.broadcast(idf), "term").join(F.broadcast(wanted), "term")  # as many rows as query terms
-    return scored.groupBy("query", "doc_id").agg(F.round(F.sum(weight * F.col("idf")), 6).alias("score"))
+    size = held.agg(F.count_if(F.size("t") > 0).alias("docs"))
+    wanted = document_weights(docs).join(asked.select("term").distinct(), "term", "left_semi")
+    df = wanted.groupBy("term").agg(F.count("*").alias("df"))
+    idf = df.join(F.broadcast(size)).select("term", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # one row
+    scored = wanted.join(idf.join(asked, "term"), "term")
+    return scored.groupBy("query", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("idf")), 6).alias("score"))
 
 
 _ASKED = ", ".join(f"({q}, '{w}')" for q, t in QUERIES for w in sorted(set(t.split())))
@@ -78,64 +83,76 @@ def top_k(scored: DataFrame, k: int, by: str = "query", item: str = "doc_id") ->
 
 @query(f"WITH {_BM25_SQL} SELECT * FROM (SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM bm25) WHERE rank <= 10")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return top_k(bm25_scores(table(spark, sf_dir, "documents")), 10).select("query", "rank", "doc_id", "score")
-
+    return top_k(bm25_scores(table(spark, sf_dir, "documents"), asked_terms(spark)), 10).select("query", "rank", "doc_id", "score")
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two vectors in double precision."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u.cast("double") * v.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
+def dense(spark: SparkSession, sf_dir: str, k: int, among: Column | None = None) -> DataFrame:
+    """query, rank, vec_id, label, score: the k nearest of each query; every fiftieth vec_id is a query.
 
-def dense_scores(vectors: DataFrame, n_queries: int = 5) -> DataFrame:
-    """query (vec_id below n_queries), vec_id, score against all other vectors; the queries are a few rows."""
-    asked = vectors.where(F.col("vec_id") < n_queries).select(F.col("vec_id").alias("query"), F.col("embedding").alias("asked"))
-    pairs = vectors.join(F.broadcast(asked), F.col("vec_id") != F.col("query"))
-    return pairs.select("query", "vec_id", "label", F.round(cosine(F.col("embedding"), F.col("asked")), 6).alias("score"))
+    A condition on the rows searched comes before the ranking.
+    """
+    vectors = table(spark, sf_dir, "embeddings")
+    queries = vectors.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query"), "embedding")
+    return cosine_top_k(vectors if among is None else vectors.where(among), queries, k)
 
 
 _DENSE_SQL = """dense AS (
   SELECT q.vec_id AS query, e.vec_id, e.label, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score
-  FROM embeddings e JOIN embeddings q ON q.vec_id < 5 AND e.vec_id <> q.vec_id)"""
+  FROM embeddings e JOIN embeddings q ON q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id)"""
 _DENSE_TOP = _DENSE_SQL + """, top AS (
   SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id)::INT AS rank, vec_id, label, score FROM dense QUALIFY rank <= 20)"""
 
 
 @query(f"WITH {_DENSE_TOP} SELECT query, rank, vec_id, score FROM top WHERE rank <= 10")
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return top_k(dense_scores(table(spark, sf_dir, "embeddings")), 10, item="vec_id").select("query", "rank", "vec_id", "score")
+    return dense(spark, sf_dir, 10).select("query", "rank", "vec_id", "score")
 
 
 @query(f"WITH {_DENSE_TOP} SELECT * FROM (SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM dense WHERE label = 3) WHERE rank <= 5")
 def dense_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense top-k within one tenant: the filter comes before the ranking."""
-    scored = dense_scores(table(spark, sf_dir, "embeddings")).where(F.col("label") == 3)
-    return top_k(scored, 5, item="vec_id").select("query", "rank", "vec_id", "score")
+    return dense(spark, sf_dir, 5, F.col("label") == 3).select("query", "rank", "vec_id", "score")
 
 
-@query(f"""WITH {_BM25_SQL}, {_DENSE_SQL},
+#: The text of a hybrid query: the first three distinct tokens of the document of the query's number.
+_HYBRID_SQL = f"""{TOKENS_SQL}, {_WEIGHT_SQL}, {_DENSE_SQL},
+asked AS (SELECT doc_id AS query, unnest(t[1:3]) AS term FROM (
+  SELECT doc_id, list_reduce(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) BETWEEN 2 AND 40 AND w NOT IN ({_STOP})),
+    lambda acc, w: CASE WHEN len(acc) >= 3 OR list_contains(acc, w) THEN acc ELSE list_append(acc, w) END, []::VARCHAR[]) AS t
+  FROM documents WHERE doc_id % 50 = 0 AND doc_id IN (SELECT vec_id FROM embeddings))),
+idf AS (SELECT term, ln(1 + ((SELECT count(DISTINCT doc_id) FROM tok) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM weights WHERE term IN (SELECT term FROM asked) GROUP BY term),
+sparse AS (SELECT query, doc_id, round(sum(weight * idf), 6) AS score FROM weights JOIN idf USING (term) JOIN asked USING (term) GROUP BY ALL),
 lists AS (
-  SELECT query, doc_id AS id, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS r FROM bm25 QUALIFY r <= 40
-  UNION ALL SELECT query, vec_id, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS r FROM dense WHERE query BETWEEN 1 AND 3 QUALIFY r <= 40),
-fused AS (SELECT query, id, round(sum(1.0::DOUBLE / ({RRF} + r)), 9) AS score FROM lists GROUP BY ALL)
-SELECT * FROM (SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, id)::INT AS rank, id, score FROM fused) WHERE rank <= 10""")
+  SELECT query, doc_id AS id, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS r FROM sparse QUALIFY r <= 40
+  UNION ALL SELECT query, vec_id, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS r FROM dense QUALIFY r <= 40),
+fused AS (SELECT query, id, round(sum(1.0::DOUBLE / ({RRF} + r)), 9) AS score FROM lists GROUP BY ALL)"""
+
+
+def hybrid(spark: SparkSession, sf_dir: str, limit: int = 40) -> DataFrame:
+    """query, id, score: reciprocal-rank fusion of the sparse and the dense branch, each cut to its limit first."""
+    docs = table(spark, sf_dir, "documents")
+    numbers = table(spark, sf_dir, "embeddings").where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("doc_id"))
+    asked = docs.join(numbers, "doc_id", "left_semi").select(F.col("doc_id").alias("query"), F.explode(F.slice(F.array_distinct(tokens(F.col("text"))), 1, 3)).alias("term"))
+    sparse = top_k(bm25_scores(docs, asked), limit).select("query", F.col("doc_id").alias("id"), "rank")
+    near = dense(spark, sf_dir, limit).select("query", F.col("vec_id").alias("id"), "rank")
+    return sparse.union(near).groupBy("query", "id").agg(F.round(F.sum(1.0 / (RRF + F.col("rank"))), 9).alias("score"))
+
+
+@query(f"""WITH {_HYBRID_SQL} SELECT * FROM (SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, id)::INT AS rank, id, score FROM fused) WHERE rank <= 10""")
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reciprocal-rank fusion of the sparse and the dense branch, each cut to its limit first."""
-    sparse = top_k(bm25_scores(table(spark, sf_dir, "documents")), 40).select(F.col("query").cast("long"), F.col("doc_id").alias("id"), "rank")
-    near = dense_scores(table(spark, sf_dir, "embeddings"), 4).where("query >= 1")
-    dense = top_k(near, 40, item="vec_id").select("query", F.col("vec_id").alias("id"), "rank")
-    fused = sparse.union(dense).groupBy("query", "id").agg(F.round(F.sum(1.0 / (RRF + F.col("rank"))), 9).alias("score"))
-    return top_k(fused, 10, item="id").select("query", "rank", "id", "score")
+    """The ten best of both branches."""
+    return top_k(hybrid(spark, sf_dir), 10, item="id").select("query", "rank", "id", "score")
 
 
 @query(f"""WITH {_DENSE_TOP}, first AS (
-  SELECT vec_id, query, rank, row_number() OVER (PARTITION BY vec_id ORDER BY rank, query) AS nth FROM top)
-SELECT * FROM (SELECT row_number() OVER (ORDER BY rank, query)::INT AS position, vec_id, query FROM first WHERE nth = 1) WHERE position <= 25""")
+  SELECT query // 500 AS request, vec_id, query, rank, row_number() OVER (PARTITION BY query // 500, vec_id ORDER BY rank, query) AS nth FROM top)
+SELECT * FROM (SELECT request, row_number() OVER (PARTITION BY request ORDER BY rank, query)::INT AS position, vec_id, query FROM first WHERE nth = 1) WHERE position <= 25""")
 def multi_query_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Round robin over the queries' lists by depth; the first occurrence of an id wins."""
-    lists = top_k(dense_scores(table(spark, sf_dir, "embeddings")), 20, item="vec_id")
-    first = lists.groupBy("vec_id").agg(F.min(F.struct("rank", "query")).alias("f")).select("vec_id", "f.*")
-    return first.orderBy("rank", "query").limit(25).withColumn("position", F.row_number().over(Window.orderBy("rank", "query"))).select("position", "vec_id", "query")
+    """Round robin over the lists of a request's queries by depth; the first occurrence of an id wins. Ten queries are a request."""
+    lists = dense(spark, sf_dir, 20).withColumn("request", F.floor(F.col("query") / 500))
+    first = lists.groupBy("request", "vec_id").agg(F.min(F.struct("rank", "query")).alias("f")).select("request", "vec_id", "f.*")
+    position = F.row_number().over(Window.partitionBy("request").orderBy("rank", "query"))
+    return first.withColumn("position", position).where("position <= 25").select("request", "position", "vec_id", "query")
 
 
 @query(f"""WITH {_DENSE_TOP}, judged AS (
@@ -143,7 +160,7 @@ def multi_query_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT query, row_number() OVER (PARTITION BY query ORDER BY coalesce(good, -1) DESC, rank)::INT AS position, vec_id AS id FROM judged""")
 def rerank_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids that the reranker returned come first in its order, the others keep theirs."""
-    lists = top_k(dense_scores(table(spark, sf_dir, "embeddings")), 20, item="vec_id")
+    lists = dense(spark, sf_dir, 20)
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("vec_id"), (F.col("quality") == 1).cast("int").alias("good"))
     order = Window.partitionBy("query").orderBy(F.coalesce("good", F.lit(-1)).desc(), "rank")
     return lists.join(labels, "vec_id", "left").select("query", F.row_number().over(order).alias("position"), F.col("vec_id").alias("id"))
@@ -155,7 +172,7 @@ SELECT query, row_number() OVER (PARTITION BY query ORDER BY demoted, rank)::INT
 def document_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows beyond their document's share go behind the others; none is dropped."""
     k, share = 20, 0.15
-    lists = top_k(dense_scores(table(spark, sf_dir, "embeddings")), k, item="vec_id")
+    lists = dense(spark, sf_dir, k)
     own = F.row_number().over(Window.partitionBy("query", "label").orderBy("rank"))
     held = lists.withColumn("demoted", own > F.greatest(F.lit(1), F.bround(F.lit(k * share), 0)))
     return held.select("query", F.row_number().over(Window.partitionBy("query").orderBy("demoted", "rank")).alias("position"), "vec_id", "demoted")
@@ -189,3 +206,27 @@ def evidence_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("conv_id")
     nth, n = F.row_number().over(w.orderBy("turn")), F.count("*").over(w)
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.floor(100 / n) + F.when(nth <= 100 % n, 1).otherwise(0)).cast("long").alias("slots"))
+
+
+@query(f"""WITH {_HYBRID_SQL},
+wide AS (SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank, id FROM fused QUALIFY rank <= 40),
+held AS (SELECT w.*, d.text, row_number() OVER (PARTITION BY w.query, d.source ORDER BY rank) > 4 AS demoted FROM wide w JOIN documents d ON d.doc_id = w.id),
+spread AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY demoted, rank) AS place FROM held QUALIFY place <= 10),
+judged AS (SELECT s.*, row_number() OVER (PARTITION BY query ORDER BY coalesce((quality = 1)::INT, -1) DESC, place)::INT AS position FROM spread s LEFT JOIN labels l ON l.doc_id = s.id),
+packed AS (SELECT query, position, id, sum(length(coalesce(text, ''))) OVER (PARTITION BY query ORDER BY position)::BIGINT AS cum_chars FROM judged)
+SELECT query, position, id, cum_chars FROM packed WHERE cum_chars <= 12000""")
+def search_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole search: hybrid candidates, four times as many as wanted; share of a source held down; reranked; packed to a budget.
+
+    Ten results are wanted: 40 candidates, at most four of a source before the others, the reranker's
+    verdict first, then the prefix that fits 12,000 characters.
+    """
+    wide = top_k(hybrid(spark, sf_dir), 40, item="id")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", F.length(F.coalesce("text", F.lit(""))).alias("chars"))
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") == 1).cast("int").alias("good"))
+    by = Window.partitionBy("query")
+    held = wide.join(docs, "id").withColumn("demoted", F.row_number().over(Window.partitionBy("query", "source").orderBy("rank")) > 4)
+    spread = held.withColumn("place", F.row_number().over(by.orderBy("demoted", "rank"))).where("place <= 10")
+    judged = spread.join(labels, "id", "left").withColumn("position", F.row_number().over(by.orderBy(F.coalesce("good", F.lit(-1)).desc(), "place")))
+    packed = judged.select("query", "position", "id", F.sum("chars").over(by.orderBy("position")).alias("cum_chars"))
+    return packed.where("cum_chars <= 12000")
