@@ -9,8 +9,9 @@ into ids, and a document's ids back into bytes.
 
 A round contracts a piece's pairs of minimum rank from the left, up to and including the first
 that makes a pair of lower rank with a neighbour: contracting them singly gives the same, as
-nothing of lower rank stands in the piece before that one. One rule serves pieces of all lengths;
-the state is keyed by position, so it holds a piece's positions once however many rounds it takes.
+nothing of lower rank stands in the piece before that one. One rule serves pieces of all lengths.
+A query goes through as many rounds as its rows leave room for; what is not done then is the start
+of the next query, so memory stays bounded however many rounds a piece takes.
 
 Cases: a null text counts as empty; an empty text has no ids and decodes to no bytes. Repeated
 rows are encoded once per slice and returned as often as they come. Only the columns named are
@@ -31,34 +32,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task takes at a time, and pieces that a worker remembers.
-SLICE_BYTES = 2_000_000
-CACHE_PIECES = 150_000
+SLICE_BYTES = 4_000_000
+CACHE_PIECES = 500_000
 #: Memory of a worker's database, and of its spill files (in the worker's own temporary folder).
-MEMORY, SPILL = "300MB", "4GB"
-#: Pieces up to these lengths go through the query together, as they take about as many rounds.
-LENGTHS = (8, 32, 1 << 40)
+MEMORY, SPILL = "350MB", "4GB"
+#: Rows that the rounds of one query may make, and its least number of rounds.
+ROUND_ROWS, ROUNDS = 3_000_000, 6
 
 #: A row is a token position: p its first byte's number, q that of the next token (gaps keep pieces
-#: apart), nx the next token, rank that of the pair of both. Absorbed positions have no token.
-#: Pairs of one rank can only overlap as runs of one token; every second one is taken, from the left.
+#: apart), nx the next token. Pairs of one rank can only overlap as runs of one token; every second
+#: one is taken, from the left. A piece without pairs is left out of the next round.
 CONTRACT = """
-WITH RECURSIVE state(w, p, q, tok, nx, rank) USING KEY (p) AS (
-  SELECT f.*, m.rank
-  FROM (SELECT w, p, p + 1 AS q, tok, lead(tok) OVER (PARTITION BY w ORDER BY p) AS nx FROM positions) f
-  LEFT JOIN merges m ON m.pair = f.tok::BIGINT * 4294967296 + f.nx
-  UNION
-  (WITH best AS MATERIALIZED (
-     SELECT w, min(rank) AS rank FROM recurring.state WHERE rank IS NOT NULL GROUP BY w),
+WITH RECURSIVE state(step, w, p, q, tok, nx) AS (
+  SELECT 0, w, p, q, tok, lead(tok) OVER (PARTITION BY w ORDER BY p) FROM positions
+  UNION ALL
+  (WITH pair AS MATERIALIZED (
+     SELECT s.*, m.rank FROM state s LEFT JOIN merges m ON m.pair = s.tok::BIGINT * 4294967296 + s.nx WHERE s.step < {rounds}),
+   best AS MATERIALIZED (
+     SELECT w, min(rank) AS rank FROM pair WHERE rank IS NOT NULL GROUP BY w),
    found AS MATERIALIZED (
      SELECT s.w, s.p, s.q, s.rank, row_number() OVER own AS nth, lag(s.q) OVER own IS DISTINCT FROM s.p AS head
-     FROM recurring.state s JOIN best ON s.w = best.w AND s.rank = best.rank WINDOW own AS (PARTITION BY s.w ORDER BY s.p)),
+     FROM pair s JOIN best ON s.w = best.w AND s.rank = best.rank WINDOW own AS (PARTITION BY s.w ORDER BY s.p)),
    taken AS MATERIALIZED (
      SELECT w, p, q, rank FROM (SELECT *, nth - max(CASE WHEN head THEN nth END) OVER (PARTITION BY w ORDER BY p) AS k FROM found)
      WHERE k % 2 = 0),
    around AS MATERIALIZED (
-     SELECT t.w, t.p, t.q, t.rank, x.q AS next_q, x.nx AS next_nx FROM taken t JOIN recurring.state x ON x.p = t.q),
+     SELECT t.w, t.p, t.q, t.rank, x.q AS next_q, x.nx AS next_nx FROM taken t JOIN pair x ON x.p = t.q),
    before AS MATERIALIZED (
-     SELECT s.p, s.q, s.tok, s.w FROM recurring.state s JOIN taken t ON s.q = t.p),
+     SELECT s.p, s.q, s.tok FROM pair s JOIN taken t ON s.q = t.p),
    hit AS MATERIALIZED (
      SELECT * EXCLUDE (low) FROM (
        SELECT a.*, sum((coalesce(l.rank < a.rank, false) OR coalesce(r.rank < a.rank, false))::INTEGER)
@@ -68,20 +69,19 @@ WITH RECURSIVE state(w, p, q, tok, nx, rank) USING KEY (p) AS (
        LEFT JOIN taken t ON t.q = b.p
        LEFT JOIN merges l ON l.pair = (CASE WHEN t.p IS NULL THEN b.tok ELSE a.rank END)::BIGINT * 4294967296 + a.rank
        LEFT JOIN merges r ON r.pair = a.rank::BIGINT * 4294967296 + a.next_nx)
-     WHERE coalesce(low, 0) = 0),
-   changed AS (
-     SELECT hit.w, hit.p, hit.next_q AS q, hit.rank AS tok, CASE WHEN h.p IS NULL THEN hit.next_nx ELSE hit.rank END AS nx
-     FROM hit LEFT JOIN hit h ON h.p = hit.next_q
-     UNION ALL
-     SELECT b.w, b.p, b.q, b.tok, hit.rank FROM before b JOIN hit ON b.q = hit.p WHERE b.p NOT IN (SELECT q FROM hit))
-   SELECT c.*, m.rank FROM changed c LEFT JOIN merges m ON m.pair = c.tok::BIGINT * 4294967296 + c.nx
-   UNION ALL
-   SELECT w, q, NULL, NULL, NULL, NULL FROM hit))
+     WHERE coalesce(low, 0) = 0)
+   SELECT a.step + 1, a.w, a.p, coalesce(h.next_q, a.q), coalesce(h.rank, a.tok),
+          CASE WHEN n.p IS NOT NULL THEN n.rank WHEN h.p IS NOT NULL THEN h.next_nx ELSE a.nx END
+   FROM pair a JOIN best ON a.w = best.w
+   LEFT JOIN hit h ON h.p = a.p
+   LEFT JOIN hit n ON n.p = coalesce(h.next_q, a.q)
+   WHERE a.p NOT IN (SELECT q FROM hit)))
+SELECT w, p, q, tok, step FROM state JOIN (SELECT w, max(step) AS step FROM state GROUP BY w) USING (w, step)
 """
 
-#: A piece's ids are its positions after the last round, in order.
+#: A piece's ids are its positions after its last round, in order.
 ASSEMBLE = """
-SELECT w, list(tok ORDER BY p) AS ids FROM state WHERE tok IS NOT NULL GROUP BY w
+INSERT INTO cache SELECT piece, ids FROM fresh JOIN (SELECT w, list(tok ORDER BY p) AS ids FROM ended GROUP BY w) USING (w)
 """
 
 DECODE = """
@@ -152,19 +152,24 @@ class Encoder:
         return out.column("ids").combine_chunks()
 
     def _encode(self, new: pa.Array) -> None:
-        length = np.asarray(pc.binary_length(new))
-        for low, high in zip((-1, *LENGTHS), LENGTHS):
-            some = (length > low) & (length <= high)
-            if not some.any():
-                continue
-            pieces, sizes = new.filter(pa.array(some)), length[some]
-            data = np.frombuffer(pc.binary_join(pa.ListArray.from_arrays([0, len(pieces)], pieces), b"")[0].as_buffer(), np.uint8)
-            w = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
-            self.con.register("fresh", pa.table({"w": np.arange(len(pieces), dtype=np.int32), "piece": pieces}))
-            self.con.register("positions", pa.table({"w": w, "p": np.arange(len(w), dtype=np.int32) + w, "tok": self.byte_rank[data]}))
-            self.con.execute(f"INSERT INTO cache SELECT piece, ids FROM fresh JOIN ({CONTRACT}{ASSEMBLE}) USING (w)")
-            self.con.unregister("positions")
-            self.con.unregister("fresh")
+        sizes = np.asarray(pc.binary_length(new))
+        data = np.frombuffer(pc.binary_join(pa.ListArray.from_arrays([0, len(new)], new), b"")[0].as_buffer(), np.uint8)
+        w = np.repeat(np.arange(len(new), dtype=np.int32), sizes)
+        p = np.arange(len(w), dtype=np.int32) + w
+        self.con.register("fresh", pa.table({"w": np.arange(len(new), dtype=np.int32), "piece": new}))
+        open_ = pa.table({"w": w, "p": p, "q": p + 1, "tok": self.byte_rank[data]})
+        self.con.execute("CREATE OR REPLACE TABLE ended(w INTEGER, p INTEGER, q INTEGER, tok INTEGER)")
+        while len(open_):
+            self.con.register("positions", open_)
+            rounds = max(ROUNDS, ROUND_ROWS // len(open_))
+            last = self.con.sql(CONTRACT.format(rounds=rounds)).to_arrow_table()
+            done = pc.less(last["step"], rounds)
+            self.con.register("final", last.filter(done))
+            self.con.execute("INSERT INTO ended SELECT w, p, q, tok FROM final")
+            open_ = last.filter(pc.invert(done)).drop_columns("step")
+        self.con.execute(ASSEMBLE)
+        for name in ("fresh", "positions", "final"):
+            self.con.unregister(name)
 
     def decode(self, lists: pa.ListArray) -> pa.Array:
         """The bytes of each list of ids; null lists count as empty, unknown ids fail."""
