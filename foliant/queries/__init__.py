@@ -1,5 +1,5 @@
 """Named queries of the library's own operators, by family."""
 
-from . import activity, documents, entities, ledger, retrieval, rules, scalars
+from . import activity, captable, documents, entities, ledger, retrieval, rules, scalars
 
-__all__ = ["activity", "documents", "entities", "ledger", "retrieval", "rules", "scalars"]
+__all__ = ["activity", "captable", "documents", "entities", "ledger", "retrieval", "rules", "scalars"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,3 +22,11 @@ def views(spark: SparkSession, sf_dir: str, *names: str) -> None:
     """Register the named tables as temporary views."""
     for name in names:
         table(spark, sf_dir, name).createOrReplaceTempView(name)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """A checkpoint in the shared folder named by ``spark.checkpoint.dir``; a temporary one only where none is set (tests)."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="foliant-"))
+    return df.checkpoint()
