@@ -41,7 +41,8 @@ ROUND_ROWS, ROUNDS = 3_000_000, 6
 
 #: A row is a token position: p its first byte's number, q that of the next token (gaps keep pieces
 #: apart), nx the next token. Pairs of one rank can only overlap as runs of one token; every second
-#: one is taken, from the left. A piece without pairs is left out of the next round.
+#: one is taken, from the left. A piece with one pair of its minimum rank needs none of that: it is
+#: contracted where the rows of the piece meet it. A piece without pairs is left out of the next round.
 CONTRACT = """
 WITH RECURSIVE state(step, w, p, q, tok, nx) AS (
   SELECT 0, w, p, q, tok, lead(tok) OVER (PARTITION BY w ORDER BY p) FROM positions
@@ -51,28 +52,37 @@ WITH RECURSIVE state(step, w, p, q, tok, nx) AS (
    best AS MATERIALIZED (
      SELECT w, min(rank) AS rank FROM pair WHERE rank IS NOT NULL GROUP BY w),
    found AS MATERIALIZED (
-     SELECT s.w, s.p, s.q, s.rank, row_number() OVER own AS nth, lag(s.q) OVER own IS DISTINCT FROM s.p AS head
-     FROM pair s JOIN best ON s.w = best.w AND s.rank = best.rank WINDOW own AS (PARTITION BY s.w ORDER BY s.p)),
+     SELECT s.w, s.p, s.q, s.rank FROM pair s JOIN best ON s.w = best.w AND s.rank = best.rank),
+   several AS MATERIALIZED (SELECT w FROM found GROUP BY w HAVING count(*) > 1),
+   chained AS (
+     SELECT *, row_number() OVER own AS nth, lag(q) OVER own IS DISTINCT FROM p AS head
+     FROM found WHERE w IN (SELECT w FROM several) WINDOW own AS (PARTITION BY w ORDER BY p)),
    taken AS MATERIALIZED (
-     SELECT w, p, q, rank FROM (SELECT *, nth - max(CASE WHEN head THEN nth END) OVER (PARTITION BY w ORDER BY p) AS k FROM found)
+     SELECT w, p, q, rank FROM (SELECT *, nth - max(CASE WHEN head THEN nth END) OVER (PARTITION BY w ORDER BY p) AS k FROM chained)
      WHERE k % 2 = 0),
-   around AS MATERIALIZED (
-     SELECT t.w, t.p, t.q, t.rank, x.q AS next_q, x.nx AS next_nx FROM taken t JOIN pair x ON x.p = t.q),
    before AS MATERIALIZED (
      SELECT s.p, s.q, s.tok FROM pair s JOIN taken t ON s.q = t.p),
+   around AS MATERIALIZED (
+     SELECT t.w, t.p, t.q, t.rank, x.q AS next_q, x.nx AS next_nx, t.alone
+     FROM (SELECT *, false AS alone FROM taken UNION ALL SELECT *, true FROM found WHERE w NOT IN (SELECT w FROM several)) t JOIN pair x ON x.p = t.q),
    hit AS MATERIALIZED (
      SELECT * EXCLUDE (low) FROM (
        SELECT a.*, sum((coalesce(l.rank < a.rank, false) OR coalesce(r.rank < a.rank, false))::INTEGER)
                      OVER (PARTITION BY a.w ORDER BY a.p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low
-       FROM around a
+       FROM (SELECT * FROM around WHERE NOT alone) a
        LEFT JOIN before b ON b.q = a.p
        LEFT JOIN taken t ON t.q = b.p
        LEFT JOIN merges l ON l.pair = (CASE WHEN t.p IS NULL THEN b.tok ELSE a.rank END)::BIGINT * 4294967296 + a.rank
        LEFT JOIN merges r ON r.pair = a.rank::BIGINT * 4294967296 + a.next_nx)
      WHERE coalesce(low, 0) = 0)
+   SELECT a.step + 1, a.w, a.p,
+          CASE WHEN a.p = h.p THEN h.next_q ELSE a.q END, CASE WHEN a.p = h.p THEN h.rank ELSE a.tok END,
+          CASE WHEN a.p = h.p THEN h.next_nx WHEN a.q = h.p THEN h.rank ELSE a.nx END
+   FROM pair a JOIN around h ON a.w = h.w WHERE h.alone AND a.p <> h.q
+   UNION ALL
    SELECT a.step + 1, a.w, a.p, coalesce(h.next_q, a.q), coalesce(h.rank, a.tok),
           CASE WHEN n.p IS NOT NULL THEN n.rank WHEN h.p IS NOT NULL THEN h.next_nx ELSE a.nx END
-   FROM pair a JOIN best ON a.w = best.w
+   FROM (SELECT * FROM pair WHERE w IN (SELECT w FROM several)) a
    LEFT JOIN hit h ON h.p = a.p
    LEFT JOIN hit n ON n.p = coalesce(h.next_q, a.q)
    WHERE a.p NOT IN (SELECT q FROM hit)))
@@ -85,12 +95,11 @@ INSERT INTO cache SELECT piece, ids FROM fresh JOIN (SELECT w, list(tok ORDER BY
 """
 
 DECODE = """
-SELECT unhex(coalesce(string_agg(CASE WHEN tok IS NOT NULL AND hex IS NULL THEN error('unknown token id') ELSE hex END,
-                                 '' ORDER BY pos), '')) AS decoded
-FROM lists
-LEFT JOIN (SELECT i, unnest(ids) AS tok, generate_subscripts(ids, 1) AS pos FROM lists) USING (i)
-LEFT JOIN vocabulary ON id = tok
-GROUP BY i ORDER BY i
+SELECT unhex(coalesce(hex, '')) AS decoded
+FROM range({lists}) r(i) LEFT JOIN (
+  SELECT i, array_to_string(list(CASE WHEN hex IS NULL THEN error('unknown token id') ELSE hex END ORDER BY pos), '') AS hex
+  FROM tokens LEFT JOIN vocabulary ON id = tok GROUP BY i) USING (i)
+ORDER BY i
 """
 
 
@@ -173,9 +182,11 @@ class Encoder:
 
     def decode(self, lists: pa.ListArray) -> pa.Array:
         """The bytes of each list of ids; null lists count as empty, unknown ids fail."""
-        self.con.register("lists", pa.table({"i": np.arange(len(lists), dtype=np.int64), "ids": lists}))
-        out = self.con.sql(DECODE).to_arrow_table()
-        self.con.unregister("lists")
+        flat = lists.flatten()
+        number = np.repeat(np.arange(len(lists)), np.asarray(pc.fill_null(pc.list_value_length(lists), 0)))
+        self.con.register("tokens", pa.table({"i": number, "pos": np.arange(len(flat)), "tok": flat}))
+        out = self.con.sql(DECODE.format(lists=len(lists))).to_arrow_table()
+        self.con.unregister("tokens")
         return out.column("decoded").combine_chunks()
 
 
