@@ -27,7 +27,8 @@ from .common import ascii_lower
 
 #: Words: runs of letters, digits and everything beyond ASCII (A-Z lower-cased before).
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: The same of a text in any case, as the characters that are in and without stepping back, which the engine counts faster.
+WORD_ANY_CASE = r"[0-9A-Za-z\x{80}-\x{10FFFF}]++"
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Fixed phrases of the contract and their labels.
@@ -262,15 +263,13 @@ warranty-disclaimer | as is without warranty | (?:the software|this software|it)
 """
 #: How a license is referred to, from the most to the least certain: priority and frame around it.
 _FRAMES = (
-    (1, r"(?:licen[cs]ed|released|distributed|available|published|provided) under (?:the )?(?:terms of )?(?:the )?(?:conditions of the )?{r}"),
-    (1, r"(?:subject|according) to (?:the )?(?:terms of )?(?:the )?{r}"),
-    (1, r"spdx licen[cs]e identifier {r}"),
+    (1, r"(?:(?:licen[cs]ed|released|distributed|available|published|provided) under (?:the )?(?:terms of )?(?:the )?(?:conditions of the )?|(?:subject|according) to (?:the )?(?:terms of )?(?:the )?|spdx licen[cs]e identifier ){r}"),
     (2, r"{r}"),
 )
 
 
-#: Words behind which nothing is detected.
-NEGATED = r"(?<! (?:not|never|longer|nor) (?:be |been )?(?:(?:licen[cs]ed|released|distributed|available|published|provided) )?(?:under )?(?:the )?(?:terms of )?(?:the )?)"
+#: What a text before a detection ends with if the detection is negated.
+NEGATED = r" (?:not|never|longer|nor) (?:be |been )?(?:(?:licen[cs]ed|released|distributed|available|published|provided) )?(?:under )?(?:the )?(?:terms of )?(?:the )?$"
 
 
 def sentences() -> list[Rule]:
@@ -321,7 +320,7 @@ def _table(own: list[Rule]) -> Column:
     """The rules as a column, those with the same keywords together."""
     groups: dict[str, list[Column]] = {}
     for i, r in enumerate(own):
-        row = F.struct(F.lit(r.label).alias("label"), F.lit(rf"(?<= ){NEGATED}(?:{r.regex})(?= )").alias("regex"), F.lit(r.priority).alias("priority"), F.lit(i).alias("order"))
+        row = F.struct(F.lit(r.label).alias("label"), F.lit(rf"(?<= )(?:{r.regex})(?= )").alias("regex"), F.lit(r.priority).alias("priority"), F.lit(i).alias("order"))
         groups.setdefault(r.keyword, []).append(row)
     return F.array(*[F.struct(F.array(*[F.lit(" " + k) for k in keyword.split("|")]).alias("keywords"), F.array(*rows).alias("rules")) for keyword, rows in groups.items()])
 
@@ -329,11 +328,14 @@ def _table(own: list[Rule]) -> Column:
 def gate(own: list[Rule]) -> str:
     """A regular expression on lower-case text that finds any keyword of the rules or base phrase where words() would show it."""
     phrases = {k for r in own for k in r.keyword.split("|")} | {p for p, _ in BASE}
-    # Branches by first letter, as every word of a text tries them all.
+    # Branches by first letter, a few letters behind a look ahead, as every word of a text tries them.
     by_letter: dict[str, list[str]] = {}
     for p in sorted(phrases):
         by_letter.setdefault(p[0], []).append(BETWEEN.join(re.escape(w) for w in p.split())[len(re.escape(p[0])) :])
-    return f"(?:^|{BETWEEN.removesuffix('+')})(?:" + "|".join(re.escape(c) + f"(?:{'|'.join(rest)})" for c, rest in by_letter.items()) + ")"
+    letters = sorted(by_letter)
+    few = [letters[i : i + 5] for i in range(0, len(letters), 5)]
+    branch = lambda c: re.escape(c) + f"(?:{'|'.join(by_letter[c])})"
+    return f"(?:^|{BETWEEN.removesuffix('+')})(?:" + "|".join(f"(?=[{''.join(f)}])(?:{'|'.join(map(branch, f))})" for f in few) + ")"
 
 
 def _detections(joined: Column, table: Column) -> Column:
@@ -348,18 +350,18 @@ def _detections(joined: Column, table: Column) -> Column:
 
         def numbered(s: Column) -> Column:
             # The words before a match: those of the parts between the matches, and of earlier matches.
-            none = F.array().cast("array<struct<first:int,last:int>>")
+            none = F.array().cast("array<struct<first:int,last:int,no:boolean>>")
             state = F.struct(F.lit(0).alias("n"), none.alias("done"))
 
             def step(t: Column, i: Column) -> Column:
                 first = t["n"] + blanks(F.get(s["parts"], i))
                 last = first + blanks(F.get(s["found"], i))
-                return F.struct(last.alias("n"), F.array_append(t["done"], F.struct((first - 1).alias("first"), (last - 1).alias("last"))).alias("done"))
+                return F.struct(last.alias("n"), F.array_append(t["done"], F.struct((first - 1).alias("first"), (last - 1).alias("last"), F.get(s["parts"], i).rlike(NEGATED).alias("no"))).alias("done"))
 
             n = F.size(s["found"])
             return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), n - 1), state, step)["done"]).otherwise(none)
 
-        found = _once(both, numbered)
+        found = F.filter(_once(both, numbered), lambda x: ~x["no"])
         return F.transform(found, lambda x: F.struct(x["first"].alias("first"), x["last"].alias("last"), r["priority"].alias("priority"), r["order"].alias("order"), r["label"].alias("label")))
 
     return F.flatten(F.transform(candidates, places))
