@@ -179,6 +179,8 @@ def test_a_long_piece_and_unknown_ids(spark):
     r = random.Random(7)
     text = "".join(r.choice("etaoinshrdluETAOIN") for _ in range(12_000))
     assert bpe.encode(docs(spark, [(1, text)]), ranks, pattern).first().ids == theirs.encode_ordinary(text)
+    odd = bpe.decode(spark.createDataFrame([(1, None), (2, []), (3, [64])], "doc_id long, ids array<int>"), ranks).collect()
+    assert [bytes(r.decoded) for r in sorted(odd)] == [b"", b"", ranks[64][0]]
     with pytest.raises(Exception, match="unknown token id"):
         bpe.decode(spark.createDataFrame([(1, [70_000])], "doc_id long, ids array<int>"), ranks).collect()
 
