@@ -46,7 +46,7 @@ SPAN = WINDOW - GRAM + 1
 #: a time, and under one share.
 RUN, CORE = 64, 4
 CHUNK = 1 << 18
-SORTED, SHARE = 20_000, 4_000
+SORTED, SHARE = 12_000, 4_000
 #: Least number of texts in the sample that hot hashes are found in, and a hot hash's least number
 #: of runs in it. The sample grows so that a hash with GROUP runs in all texts is hot; of hot hashes
 #: the HOTTEST most frequent ones are told to the tasks, 16 bytes each.
@@ -241,6 +241,10 @@ class Suffixes:
     def _hash(self, at: np.ndarray, n: int) -> np.ndarray:
         return (self.sums[at + n] - self.sums[at]) * self.back[at]
 
+    def whole(self, at: np.ndarray) -> np.ndarray:
+        """Hashes of WINDOW bytes."""
+        return self._hash(at, WINDOW)
+
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common extension, WINDOW at most: a binary search over hashes."""
         n = np.zeros(len(a), np.int64)
@@ -286,17 +290,27 @@ class Suffixes:
 
 
 def repeats(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Of each suffix: whether an earlier one of its group agrees with it over WINDOW bytes."""
+    """Of each suffix: whether an earlier one of its group agrees with it over WINDOW bytes.
+
+    Suffixes whose hash of WINDOW bytes is alone in its group agree with none and are not sorted.
+    """
     for base in (0xD1342543DE82EF95, 0xF1357AEA2E62A9C5, 0xAAAAAAAAAAAAAAAB):
         suffixes = Suffixes(data, base)
-        order = suffixes.sort(starts, sizes)
         group = np.repeat(np.arange(len(sizes)), sizes)
+        key = suffixes.whole(starts) ^ (group.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        ranked = np.argsort(key)
+        same = key[ranked[1:]] == key[ranked[:-1]]
+        held = np.zeros(len(starts), bool)
+        held[ranked[1:][same]] = held[ranked[:-1][same]] = True
+        some, group = np.flatnonzero(held), group[held]
+        at = starts[some]
+        order = suffixes.sort(at, np.unique(group, return_counts=True)[1])
         near = np.flatnonzero(group[1:] == group[:-1])
-        near = near[suffixes.common(starts[order[near]], starts[order[near + 1]]) == WINDOW]
+        near = near[suffixes.common(at[order[near]], at[order[near + 1]]) == WINDOW]
         view = np.lib.stride_tricks.sliding_window_view(data, WINDOW)
-        if all((view[starts[order[x]]] == view[starts[order[x + 1]]]).all() for x in np.array_split(near, len(near) // 10_000 + 1)):
+        if all((view[at[order[x]]] == view[at[order[x + 1]]]).all() for x in np.array_split(near, len(near) // 10_000 + 1)):
             again = np.zeros(len(starts), bool)
-            again[order[near + 1]] = True
+            again[some[order[near + 1]]] = True
             return again
     raise ArithmeticError("three hash bases collide")
 
