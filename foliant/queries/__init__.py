@@ -1,5 +1,5 @@
 """Named queries of the library's own operators, by family."""
 
-from . import activity, captable, documents, entities, ledger, markdown, people, retrieval, rules, scalars
+from . import activity, captable, documents, entities, ledger, markdown, parsing, people, retrieval, rules, scalars, states
 
-__all__ = ["activity", "captable", "documents", "entities", "ledger", "markdown", "people", "retrieval", "rules", "scalars"]
+__all__ = ["activity", "captable", "documents", "entities", "ledger", "markdown", "parsing", "people", "retrieval", "rules", "scalars", "states"]

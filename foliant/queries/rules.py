@@ -120,12 +120,6 @@ def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(e, "source").select("doc_id", F.when(F.col("manual") | (F.col("revision") == F.col("expected")), "fresh").otherwise("stale").alias("state"))
 
 
-@query("""SELECT a.quality AS one, b.toxic AS other, count(*)::BIGINT AS n FROM labels a JOIN labels b USING (doc_id) GROUP BY ALL""")
-def paired_disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contingency of two judgements of the same items."""
-    return table(spark, sf_dir, "labels").groupBy(F.col("quality").alias("one"), F.col("toxic").alias("other")).agg(F.count("*").alias("n"))
-
-
 @query("""SELECT lang, count(*)::BIGINT AS calls, count(quality)::BIGINT AS judged, round(avg(quality), 6) AS pass_rate, round(avg(n_chars), 4) AS mean_chars, count(*) FILTER (toxic = 1)::BIGINT AS failures FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang""")
 def benchmark_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates, means and failures by condition."""
