@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from foliant.tables import settled
+
 
 def numbered(rows: DataFrame, key: Column, *ties: str, name: str = "position", buckets: int = 256) -> DataFrame:
     """The rows with their number, from 1, in order of a numeric key and then the ties' columns.
@@ -58,6 +60,7 @@ def swiss_top_k(items: DataFrame, k: int, batch: int = 16, strength: Callable[[]
         rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("value"), "item"))
         size = F.count("*").over(Window.partitionBy(group))
         held = held.withColumn("r", rank).withColumn("s", size).where((F.col("r") <= F.greatest(F.ceil(F.col("s") / 2), F.lit(k)))).drop("r", "s")
+        held = settled(held)
         fresh, turn = held.count(), turn + 1
         if fresh == count:
             break

@@ -47,9 +47,9 @@ c AS (SELECT child, parent AS ancestor, 1 AS depth FROM e UNION ALL SELECT c.chi
 def taxonomy_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ancestors of every category, with their distance."""
     n = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("child"), F.concat(F.lit("r"), "n_regionkey").alias("parent"))
-    n.union(table(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_regionkey"), F.lit("root"))).createOrReplaceTempView("taxonomy_edges")
+    edges = n.union(table(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_regionkey"), F.lit("root")))
     return spark.sql("""WITH RECURSIVE c(child, ancestor, depth) AS (
-      SELECT child, parent, 1 FROM taxonomy_edges UNION ALL SELECT c.child, e.parent, depth + 1 FROM c JOIN taxonomy_edges e ON e.child = c.ancestor) SELECT * FROM c""")
+      SELECT child, parent, 1 FROM {edges} UNION ALL SELECT c.child, e.parent, depth + 1 FROM c JOIN {edges} e ON e.child = c.ancestor) SELECT * FROM c""", edges=edges)
 
 
 @query("""WITH s AS (SELECT doc_id, quality, toxic FROM documents LEFT JOIN labels USING (doc_id))
@@ -67,36 +67,33 @@ FAILED = ("sector",)
 _EDGES = "e(node, dep) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in GRAPH) + ")"
 
 
-def _edges(spark: SparkSession) -> None:
-    spark.createDataFrame(list(GRAPH), "node string, dep string").createOrReplaceTempView("skill_edges")
+def _edges(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(GRAPH), "node string, dep string")
 
 
 @query(f"""WITH RECURSIVE {_EDGES}, n AS (SELECT node FROM e UNION SELECT dep FROM e),
 w(node, level) AS (SELECT node, 0 FROM n WHERE node NOT IN (SELECT node FROM e) UNION ALL SELECT e.node, level + 1 FROM w JOIN e ON e.dep = w.node) SELECT node, max(level)::INT AS level FROM w GROUP BY node""")
 def dag_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The wave of each node: the longest path to it."""
-    _edges(spark)
     return spark.sql("""WITH RECURSIVE w(node, level) AS (
-      SELECT DISTINCT dep, 0 FROM skill_edges WHERE dep NOT IN (SELECT node FROM skill_edges)
-      UNION ALL SELECT e.node, level + 1 FROM w JOIN skill_edges e ON e.dep = w.node) SELECT node, max(level) AS level FROM w GROUP BY node""")
+      SELECT DISTINCT dep, 0 FROM {edges} WHERE dep NOT IN (SELECT node FROM {edges})
+      UNION ALL SELECT e.node, level + 1 FROM w JOIN {edges} e ON e.dep = w.node) SELECT node, max(level) AS level FROM w GROUP BY node""", edges=_edges(spark))
 
 
 @query(f"""WITH RECURSIVE {_EDGES}, n AS (SELECT node FROM e UNION SELECT dep FROM e), s(node) AS (SELECT 'sector' UNION SELECT e.node FROM s JOIN e ON e.dep = s.node)
 SELECT node, CASE WHEN node = 'sector' THEN 'failed' WHEN node IN (SELECT node FROM s) THEN 'skipped' ELSE 'run' END AS outcome FROM n""")
 def dag_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A failure skips everything that depends on it, however far."""
-    _edges(spark)
     failed = ", ".join(f"'{f}'" for f in FAILED)
-    return spark.sql(f"""WITH RECURSIVE s(node) AS (SELECT DISTINCT node FROM skill_edges WHERE node IN ({failed}) UNION ALL SELECT e.node FROM s JOIN skill_edges e ON e.dep = s.node)
+    return spark.sql(f"""WITH RECURSIVE s(node) AS (SELECT DISTINCT node FROM {{edges}} WHERE node IN ({failed}) UNION ALL SELECT e.node FROM s JOIN {{edges}} e ON e.dep = s.node)
       SELECT n.node, CASE WHEN n.node IN ({failed}) THEN 'failed' WHEN x.node IS NOT NULL THEN 'skipped' ELSE 'run' END AS outcome
-      FROM (SELECT node FROM skill_edges UNION SELECT dep FROM skill_edges) n LEFT JOIN (SELECT DISTINCT node FROM s) x ON n.node = x.node""")
+      FROM (SELECT node FROM {{edges}} UNION SELECT dep FROM {{edges}}) n LEFT JOIN (SELECT DISTINCT node FROM s) x ON n.node = x.node""", edges=_edges(spark))
 
 
 @query(f"""WITH RECURSIVE {_EDGES}, c(node) AS (SELECT 'ranking' UNION SELECT e.dep FROM c JOIN e ON e.node = c.node) SELECT node FROM c""")
 def dependency_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Everything that a node needs, itself included."""
-    _edges(spark)
-    return spark.sql("WITH RECURSIVE c(node) AS (SELECT 'ranking' UNION ALL SELECT e.dep FROM c JOIN skill_edges e ON e.node = c.node) SELECT DISTINCT node FROM c")
+    return spark.sql("WITH RECURSIVE c(node) AS (SELECT 'ranking' UNION ALL SELECT e.dep FROM c JOIN {edges} e ON e.node = c.node) SELECT DISTINCT node FROM c", edges=_edges(spark))
 
 
 _CANDIDATES = "c AS (SELECT doc_id, source, 'model_' || (doc_id % 4) AS model, md5(text) AS revision, doc_id % 7 = 0 AS manual FROM documents)"

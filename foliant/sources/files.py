@@ -11,25 +11,25 @@ MAGIC = (("pdf", "25504446"), ("zip", "504B0304"), ("png", "89504E47"), ("jpeg",
 
 
 def listing(spark: SparkSession, root: str, suffix: str | None = None) -> DataFrame:
-    """name (relative), modified, length of all files below a folder; the contents are not read.
+    """name (relative), modified, length of all files with content below a folder; the contents are not read.
 
     suffix is compared without regard to case.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "modificationTime", "length")
-    name = F.regexp_replace(F.col("path"), "^.*" + _quoted(root.rstrip("/").split("/")[-1]) + "/", "")
-    out = found.select(name.alias("name"), F.col("modificationTime").alias("modified"), "length")
+    out = found.select(_relative(root).alias("name"), F.col("modificationTime").alias("modified"), "length")
     return out.where(F.lower("name").endswith(suffix.lower())) if suffix else out
 
 
-def _quoted(text: str) -> str:
-    return r"\Q" + text + r"\E"
+def _relative(root: str) -> Column:
+    """The path behind the first place of the root, whatever scheme stands before it."""
+    top = root.rstrip("/")
+    return F.substring("path", F.position(F.lit(top), "path") + len(top) + 1, F.length("path"))
 
 
 def snapshot(spark: SparkSession, root: str) -> DataFrame:
     """name, modified, sha256, format of every file: contents are hashed where they are read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    name = F.regexp_replace(F.col("path"), "^.*" + _quoted(root.rstrip("/").split("/")[-1]) + "/", "")
-    return found.select(name.alias("name"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"), sniffed(F.col("content")).alias("format"))
+    return found.select(_relative(root).alias("name"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"), sniffed(F.col("content")).alias("format"))
 
 
 def sniffed(content: Column) -> Column:
@@ -42,6 +42,33 @@ def sniffed(content: Column) -> Column:
     return kind.when(text.startswith("<!doctype html") | text.startswith("<html"), "html").when(text.startswith("{") | text.startswith("["), "json").when(~F.contains(head, F.lit("00")), "text")
 
 
+def decoded(content: Column, charset: Column | None = None) -> Column:
+    """The text of bytes: by byte order mark, else UTF-8, else the declared charset; null if it holds control characters or none reads it."""
+    head = F.hex(F.substring(content, 1, 3))
+    rest = lambda n: F.substring(content, n + 1, F.length(content))
+    utf8 = F.try_validate_utf8(content.cast("string"))
+    declared = F.lit(None).cast("string")
+    if charset is not None:
+        for name in ("ISO-8859-1", "US-ASCII", "UTF-16LE", "UTF-16BE"):
+            declared = F.when(F.upper(charset) == name, F.decode(content, name)).otherwise(declared)
+    text = F.when(head.startswith("EFBBBF"), F.try_validate_utf8(rest(3).cast("string"))).when(head.startswith("FFFE"), F.decode(rest(2), "UTF-16LE")).when(head.startswith("FEFF"), F.decode(rest(2), "UTF-16BE")).otherwise(F.coalesce(utf8, declared))
+    return F.when(~text.rlike(r"[\x00-\x08\x0E-\x1F]"), text)
+
+
+def documents(spark: SparkSession, root: str) -> DataFrame:
+    """name, format, text of a folder's files: texts, HTML, JSON and RTF as they are; text is null for what needs a converter. Files without bytes are passed over."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    kind = sniffed(F.col("content"))
+    text = F.when(kind.isin("text", "html", "json", "rtf"), decoded(F.col("content")))
+    return found.select(_relative(root).alias("name"), kind.alias("format"), text.alias("text"))
+
+
+def profiles(spark: SparkSession, root: str) -> DataFrame:
+    """id, payload (variant) of a folder with one JSON object a file, named by id; files that hold none are left out."""
+    found = spark.read.format("text").option("wholetext", "true").load(root).select(F.col("_metadata.file_name").alias("file"), F.try_parse_json("value").alias("payload"))
+    return found.where(F.col("file").endswith(".json") & F.schema_of_variant("payload").startswith("OBJECT")).select(F.regexp_replace("file", r"\.json$", "").alias("id"), "payload")
+
+
 def changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """name, action: add, update, remove or keep, by sha256 of two snapshots."""
     joined = old.select("name", F.col("sha256").alias("before")).join(new.select("name", F.col("sha256").alias("after")), "name", "full")

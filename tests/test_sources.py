@@ -65,3 +65,35 @@ def test_swiss_equals_sorting(spark):
     items = spark.range(3000).select(F.col("id").alias("item"), (F.xxhash64("id") % 500).alias("value"))
     got = [r.item for r in ranking.swiss_top_k(items, 5).orderBy("rank").collect()]
     assert got == [r.item for r in items.orderBy(F.desc("value"), "item").limit(5).collect()]
+
+
+def test_names_below_nested_folders_and_texts(spark, tmp_path):
+    root = tmp_path / "room"
+    (root / "room").mkdir(parents=True)
+    (root / "room" / "a.txt").write_bytes("﻿é".encode())
+    (root / "b.txt").write_bytes("zürich".encode("utf-16"))
+    (root / "d.pdf").write_bytes(b"%PDF-1.7")
+    (root / "e.txt").write_bytes(b"a\x01b")
+    assert {r.name for r in files.listing(spark, str(root)).collect()} == {"room/a.txt", "b.txt", "d.pdf", "e.txt"}
+    got = {r.name: r.text for r in files.documents(spark, str(root)).collect()}
+    assert (got["room/a.txt"], got["d.pdf"], got["e.txt"]) == ("é", None, None)
+    one = spark.createDataFrame([(bytearray("zürich".encode("utf-16")), None), (bytearray("zürich".encode("latin-1")), "ISO-8859-1"), (bytearray(b"\xff\xfd"), None)], "c binary, s string")
+    assert [r.t for r in one.select(files.decoded(F.col("c"), F.col("s")).alias("t")).collect()] == ["zürich", "zürich", None]
+
+
+def test_profiles_without_an_object_are_left_out(spark, tmp_path):
+    (tmp_path / "anna.json").write_text('{"name": "Anna"}')
+    (tmp_path / "bad.json").write_text("{")
+    (tmp_path / "list.json").write_text("[1]")
+    assert [r.id for r in files.profiles(spark, str(tmp_path)).select("id").collect()] == ["anna"]
+
+
+def test_numbers_in_order_and_components(spark):
+    from foliant.operators.components import connected
+
+    rows = spark.range(5000).select(F.col("id"), (F.xxhash64("id") % 40).cast("double").alias("v"))
+    got = {r.id: r.position for r in ranking.numbered(rows, -F.col("v"), "id").collect()}
+    want = sorted(((-r.v, r.id) for r in rows.collect()))
+    assert got == {k: i + 1 for i, (_, k) in enumerate(want)}
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
+    assert {r.node: r.component for r in connected(chain).collect()} == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
