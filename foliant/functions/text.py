@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 #: Words too frequent to carry meaning in English, German and French (fixed values).
 STOPWORDS = tuple("""
@@ -70,17 +72,23 @@ def emails(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"), F.lit(0)), lambda m: F.lower(m)))
 
 
-def common_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two strings (a fold over rows of the usual table)."""
-    left, right = F.split(a, ""), F.split(b, "")
-    zeros = F.transform(F.sequence(F.lit(0), F.length(b)), lambda _: F.lit(0))
+@F.pandas_udf(IntegerType())
+def common_length(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Length of the longest common subsequence of two strings: a row of the usual table is the bits of one number."""
 
-    def row(above: Column, c: Column) -> Column:
-        step = lambda made, j: F.concat(made, F.array(F.when(F.get(right, j - 1) == c, F.get(above, j - 1) + 1).otherwise(F.greatest(F.get(above, j), F.element_at(made, -1)))))
-        return F.aggregate(F.sequence(F.lit(1), F.length(b)), F.array(F.lit(0)), step)
+    def of(x: str | None, y: str | None) -> int | None:
+        if x is None or y is None:
+            return None
+        masks: dict[str, int] = {}
+        for i, c in enumerate(y):
+            masks[c] = masks.get(c, 0) | 1 << i
+        full = row = (1 << len(y)) - 1
+        for c in x:
+            both = row & masks.get(c, 0)
+            row = ((row + both) | (row - both)) & full
+        return len(y) - row.bit_count()
 
-    table = F.aggregate(left, zeros, row)
-    return F.when((F.length(a) == 0) | (F.length(b) == 0), 0).otherwise(F.element_at(table, -1))
+    return pd.Series([of(x, y) for x, y in zip(a, b)], dtype="Int32")
 
 
 def ratio(a: Column, b: Column) -> Column:
