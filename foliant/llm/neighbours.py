@@ -180,17 +180,25 @@ def _pilot(rows: DataFrame, is_query, k: int, cuts: list[np.ndarray]) -> tuple[i
         return FEWEST, 0
     number = {q: i for i, q in enumerate(query_ids)}
     own = np.stack(asked["keys"])[[number[q] for q in near["query_id"]]]
-    far = np.stack([np.abs(np.searchsorted(c, own[:, i], "right") - np.searchsorted(c, np.stack(near["keys"])[:, i], "right")) for i, c in enumerate(cuts)], axis=1)
+    at = lambda keys: np.stack([np.searchsorted(c, keys[:, i], "right") for i, c in enumerate(cuts)], axis=1)
+    asked_at, near_at, ranges = at(own), at(np.stack(near["keys"])), len(cuts[0]) + 1
     best = None
     for n in range(FEWEST, CURVES + 1):
-        needed = np.sort(far[:, :n].min(axis=1))
-        reach = int(needed[min(len(needed) - 1, int(np.ceil(RECALL * len(needed))) - 1)])
-        cost = n * min(2 * reach + 1, len(cuts[0]) + 1)
-        if best is None or cost < best[0]:
-            best = (cost, n, reach)
+        for reach in range(ranges // 2 + 1):
+            first = _first(asked_at[:, :n], reach, ranges)
+            met = ((near_at[:, :n] >= first) & (near_at[:, :n] <= first + 2 * reach)).any(axis=1)
+            if met.mean() >= RECALL or 2 * reach + 1 >= ranges:
+                cost = n * min(2 * reach + 1, ranges)
+                best = min(best or (cost, n, reach), (cost, n, reach))
+                break
     return best[1], best[2]
 
 
+def _first(own, reach: int, ranges: int):
+    """The first range that a query meets: the ends of a curve reach further on the other side."""
+    return np.maximum(0, np.minimum(own - reach, ranges - 1 - 2 * reach))
+
+
 def _placed(rows: DataFrame, cuts: list[np.ndarray]) -> DataFrame:
     """vec_id, vector, curve, range: every row once for each curve."""
 
