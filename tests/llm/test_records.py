@@ -211,11 +211,49 @@ def test_ordinal_grades_on_held_out_rows(spark):
 
 
 def test_pipeline_stages(spark, sf):
+    import tiktoken
+
+    from foliant.llm import mixing
+    from foliant.llm.queries import vocabulary
+    from tests.llm.test_texts import near, passages
+
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60).cache()
-    docs = docs.union(spark.createDataFrame([(10_000, None, None, None, None), (10_001, "", "en", "src0", 0)], docs.schema))
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    rows = [(10_000, None, None, None, None), (10_001, "", "en", "src0", 0)]
+    one = docs.first()
+    rows += [(one.doc_id, one.text, one.lang, one.source, one.n_chars), (one.doc_id, "another text of that number " * 20, "en", "src0", 560), (None, "without a number " * 30, "en", "src0", 510)]
+    docs = docs.union(spark.createDataFrame(rows, docs.schema)).withColumn("number", F.lit("clash")).cache()
+    kept = stages["quality_filter"](spark, docs, sf)
+    assert kept.columns == corpus_pipeline.COLUMNS
+    assert {r.doc_id for r in kept.collect()} <= {r.doc_id for r in docs.collect()} and kept.where("doc_id IN (10000, 10001)").count() == 2
+
+    def numbered(df):
+        found = sorted({(r.doc_id, r.text) for r in df.collect()}, key=lambda r: (r[0] is None, r[0] or 0, hashlib.sha256((r[1] or "").encode()).hexdigest()))
+        return {r: i for i, r in enumerate(found)}
+
+    number = numbered(docs)
+    groups = near([(i, t) for (_, t), i in number.items()], 5, 80)
+    single = stages["near_dedup"](spark, docs, sf)
+    assert {number[r.doc_id, r.text] for r in single.collect()} == {i for i, (_, c) in groups.items() if c == i}
+    cut = stages["passage_dedup"](spark, docs, sf)
+    want = passages([(i, t) for (_, t), i in number.items()])
+    assert cut.count() == docs.count() and cut.where("n_chars <> length(text)").count() == 0
+    lost = sum(want[number[r.doc_id, r.text]][1] > 0 for r in docs.collect())
+    before = {r.text for r in docs.collect()}
+    assert sum(r.text not in before for r in cut.collect()) <= lost and lost > 0
+    mixed = stages["source_mix"](spark, single, sf)
+    assert mixed.columns == corpus_pipeline.COLUMNS
+    unique = single.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    taken = {r.doc_id: r.copies for r in mixing.mix(unique).collect() if r.copies}
+    of = stages["source_mix"](spark, unique, sf).groupBy("doc_id").count()
+    assert {r.doc_id: r["count"] for r in of.collect()} == taken
+    out = stages["tokenise"](spark, mixed, sf).collect()
+    ranks, pattern = vocabulary()
+    theirs = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=dict(ranks), special_tokens={})
+    assert sorted((str(r.doc_id), r.ids) for r in out) == sorted((str(r.doc_id), theirs.encode_ordinary(r.text or "")) for r in mixed.collect())
+    empty = docs.limit(0)
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, sf)
-        assert docs.columns == corpus_pipeline.COLUMNS
-    out = corpus_pipeline.STAGES[-1][1](spark, docs, sf).toPandas()
-    assert len(out) > 0 and (out.ids.map(len) == out.n_tokens).all()
+        empty = stage(spark, empty, sf)
+        assert empty.count() == 0 and empty.columns == corpus_pipeline.COLUMNS
+    assert stages["tokenise"](spark, empty, sf).count() == 0
