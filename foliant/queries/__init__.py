@@ -1,5 +1,5 @@
 """Named queries of the library's own operators, by family."""
 
-from . import activity, captable, crm, documents, entities, ledger, markdown, parsing, people, retrieval, rules, scalars, states
+from . import activity, captable, crm, documents, entities, ledger, markdown, parsing, people, retrieval, reviews, rules, scalars, states
 
-__all__ = ["activity", "captable", "crm", "documents", "entities", "ledger", "markdown", "parsing", "people", "retrieval", "rules", "scalars", "states"]
+__all__ = ["activity", "captable", "crm", "documents", "entities", "ledger", "markdown", "parsing", "people", "retrieval", "reviews", "rules", "scalars", "states"]
