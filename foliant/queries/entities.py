@@ -169,15 +169,15 @@ def found_quotes(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     return held.where(F.forall("fragments", lambda x: F.contains(F.col("key"), x))).select("item_id", "doc_id")
 
 
-_STATE = "old AS (SELECT doc_id, md5(text) AS h FROM documents WHERE doc_id % 4 <> 1), new AS (SELECT doc_id, md5(CASE WHEN doc_id % 10 = 2 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 5 <> 3)"
+_STATE = "old AS (SELECT doc_id, md5(text) AS h FROM documents WHERE n_chars % 4 <> 1), new AS (SELECT doc_id, md5(CASE WHEN n_chars % 10 = 2 THEN text || '!' ELSE text END) AS h FROM documents WHERE n_chars % 5 <> 3)"
 
 
 @query(f"""WITH {_STATE} SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN o.doc_id IS NULL THEN 'add' WHEN n.doc_id IS NULL THEN 'remove' WHEN o.h <> n.h THEN 'update' ELSE 'keep' END AS action FROM old o FULL JOIN new n USING (doc_id)""")
 def change_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two snapshots of a folder compared by content hash."""
     d = table(spark, sf_dir, "documents")
-    old = d.where(F.col("doc_id") % 4 != 1).select("doc_id", F.md5(F.col("text").cast("binary")).alias("o"))
-    new = d.where(F.col("doc_id") % 5 != 3).select("doc_id", F.md5(F.when(F.col("doc_id") % 10 == 2, F.concat("text", F.lit("!"))).otherwise(F.col("text")).cast("binary")).alias("n"))
+    old = d.where(F.col("n_chars") % 4 != 1).select("doc_id", F.md5(F.col("text").cast("binary")).alias("o"))
+    new = d.where(F.col("n_chars") % 5 != 3).select("doc_id", F.md5(F.when(F.col("n_chars") % 10 == 2, F.concat("text", F.lit("!"))).otherwise(F.col("text")).cast("binary")).alias("n"))
     action = F.when(F.col("o").isNull(), "add").when(F.col("n").isNull(), "remove").when(F.col("o") != F.col("n"), "update").otherwise("keep")
     return old.join(new, "doc_id", "full").select("doc_id", action.alias("action"))
 

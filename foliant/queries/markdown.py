@@ -12,19 +12,24 @@ from foliant.tables import table
 
 
 def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """sheet, rows: a price list for each brand and size; some with a title row, some with a separator, cells with escaped pipes."""
+    """sheet, rows: a price list for each brand, size and block of 5,000 keys; some with a title row, some with a separator, cells with escaped pipes."""
     p = table(spark, sf_dir, "part")
     kind = F.when(F.col("p_size") % 7 == 0, F.replace("p_type", F.lit(" "), F.lit(" \\| "))).otherwise(F.col("p_type"))
     row = F.concat(F.lit("| "), "p_name", F.lit(" | "), kind, F.lit(" | "), F.col("p_size").cast("string"), F.lit(" | "), F.col("p_partkey").cast("string"), F.lit(" |"))
-    body = p.groupBy(F.concat_ws("-", "p_brand", (F.col("p_size") % 5).cast("string")).alias("sheet")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("r")))).alias("b"))
+    body = p.groupBy(F.concat_ws("-", "p_brand", F.floor(F.col("p_partkey") / 5000).cast("string"), (F.col("p_size") % 5).cast("string")).alias("sheet")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("r")))).alias("b"))
     none = F.array().cast("array<string>")
     number = F.right("sheet", F.lit(1)).cast("int")
     head = F.concat(F.when(number == 1, F.array(F.lit("| Price list | | | |"))).otherwise(none), F.when(number < 4, F.array(F.lit("| name | type | size | key |"))).otherwise(none), F.when(number == 2, F.array(F.lit("|---|:--|--:|---|"))).otherwise(none))
     return body.select("sheet", F.concat(head, F.transform("b", lambda x: x["r"])).alias("rows"))
 
 
+def _book():
+    """A workbook holds one type and block of 5,000 keys, so that it stays a document's size."""
+    return F.concat_ws("-", "p_type", F.floor(F.col("p_partkey") / 5000).cast("string"))
+
+
 _SHEETS = """sheets AS (SELECT sheet, list_concat(CASE WHEN n = 1 THEN ['| Price list | | | |'] ELSE [] END, CASE WHEN n < 4 THEN ['| name | type | size | key |'] ELSE [] END, CASE WHEN n = 2 THEN ['|---|:--|--:|---|'] ELSE [] END, b) AS rows
-  FROM (SELECT p_brand || '-' || (p_size % 5)::VARCHAR AS sheet, any_value(p_size % 5) AS n,
+  FROM (SELECT p_brand || '-' || p_partkey // 5000 || '-' || (p_size % 5)::VARCHAR AS sheet, any_value(p_size % 5) AS n,
     list('| ' || p_name || ' | ' || CASE WHEN p_size % 7 = 0 THEN replace(p_type, ' ', ' \\| ') ELSE p_type END || ' | ' || p_size::VARCHAR || ' | ' || p_partkey::VARCHAR || ' |' ORDER BY p_partkey) AS b FROM part GROUP BY 1)),
 line AS (SELECT sheet, i, r, list_transform(string_split(replace(r, '\\|', chr(1)), '|')[2:-2], lambda c: trim(c)) AS cells FROM (SELECT sheet, unnest(rows) AS r, generate_subscripts(rows, 1) AS i FROM sheets)),
 scored AS (SELECT *, list_sum(list_transform(cells, lambda c: CASE WHEN c = '' THEN 0 WHEN regexp_matches(c, '^[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?$') THEN -1 ELSE 1 END))::INT AS score,
@@ -38,7 +43,7 @@ headed AS (SELECT *, '## ' || sheet || CASE WHEN header <> '' THEN chr(10) || he
 packed AS (SELECT sheet, head, list_reduce(body, lambda s, x: CASE WHEN s.batch IS NULL THEN {'done': s.done, 'batch': x}
     WHEN length(s.batch) + 1 + length(x) <= greatest(2000 - length(head), 300) THEN {'done': s.done, 'batch': s.batch || chr(10) || x} ELSE {'done': list_append(s.done, s.batch), 'batch': x} END,
   {'done': []::VARCHAR[], 'batch': NULL::VARCHAR}) AS s FROM headed),
-chunk AS (SELECT sheet, generate_subscripts(list_append(s.done, s.batch), 1) - 1 AS part, head || chr(10) || unnest(list_append(s.done, s.batch)) AS chunk FROM packed)"""
+chunk AS (SELECT sheet, generate_subscripts(list_append(s.done, s.batch), 1) - 1 AS part, head || coalesce(chr(10) || unnest(list_append(s.done, s.batch)), '') AS chunk FROM packed)"""
 
 
 @query(f"WITH {_SHEETS} SELECT sheet, header, separator, len(body)::INT AS n_rows, md5(array_to_string(body, chr(10))) AS rows_md5 FROM parsed")
@@ -86,12 +91,13 @@ def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-@query("""WITH rows AS (SELECT p_type, p_brand, p_partkey, '| ' || p_name || ' | ' || p_partkey || ' |' AS r FROM part)
+@query("""WITH rows AS (SELECT p_type || '-' || p_partkey // 5000 AS p_type, p_brand, p_partkey, '| ' || p_name || ' | ' || p_partkey || ' |' AS r FROM part)
 SELECT p_type AS book, p_brand AS sheet, count(*)::BIGINT AS n_rows, md5(string_agg(r, chr(10) ORDER BY p_partkey)) AS rows_md5 FROM rows GROUP BY ALL""")
 def sheet_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A workbook's Markdown cut at its sheet headings: name and rows of each sheet that has any."""
     p = table(spark, sf_dir, "part")
     row = F.concat(F.lit("| "), "p_name", F.lit(" | "), F.col("p_partkey").cast("string"), F.lit(" |"))
+    p = p.withColumn("p_type", _book())
     sheet = p.groupBy("p_type", "p_brand").agg(F.concat(F.lit("## "), "p_brand", F.lit("\n\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("r")))), lambda x: x["r"]), "\n")).alias("part"))
     books = sheet.groupBy(F.col("p_type").alias("book")).agg(F.array_join(F.array_sort(F.collect_list("part")), "\n").alias("text"))
     # From here on it is text: headings open sheets, blank lines go.
@@ -101,12 +107,12 @@ def sheet_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("book", F.trim(F.substring_index("s", "\n", 1)).alias("sheet"), F.size(rows).cast("long").alias("n_rows"), F.md5(F.array_join(rows, "\n").cast("binary")).alias("rows_md5")).where("n_rows > 0")
 
 
-@query("""WITH b AS (SELECT p_type, p_brand, sum(length('| ' || p_name || ' | ' || p_partkey || ' |') + 1) - 1 AS n FROM part GROUP BY ALL)
+@query("""WITH b AS (SELECT p_type || '-' || p_partkey // 5000 AS p_type, p_brand, sum(length('| ' || p_name || ' | ' || p_partkey || ' |') + 1) - 1 AS n FROM part GROUP BY ALL)
 SELECT p_type AS book, count(*) FILTER (n >= 200)::BIGINT AS large, count(*) FILTER (n < 200)::BIGINT AS rejoined FROM b GROUP BY p_type""")
 def table_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of table lines of each text: large ones stand alone, small ones rejoin the prose around them."""
     row = F.concat(F.lit("| "), "p_name", F.lit(" | "), F.col("p_partkey").cast("string"), F.lit(" |"))
-    part = table(spark, sf_dir, "part").groupBy("p_type", "p_brand").agg(F.concat(F.lit("About "), "p_brand", F.lit("\n"), F.array_join(F.collect_list(row), "\n")).alias("part"))
+    part = table(spark, sf_dir, "part").withColumn("p_type", _book()).groupBy("p_type", "p_brand").agg(F.concat(F.lit("About "), "p_brand", F.lit("\n"), F.array_join(F.collect_list(row), "\n")).alias("part"))
     texts = part.groupBy(F.col("p_type").alias("book")).agg(F.array_join(F.collect_list("part"), "\n").alias("text"))
     # From here on it is text.
     d = texts.select("book", F.transform(F.split("text", "\n"), lambda x: F.trim(x)).alias("l"))

@@ -29,12 +29,13 @@ def loan_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(problems, "; ").alias("problems"))
 
 
-@query("""WITH c AS (SELECT item_id, lower(regexp_replace(text, '[^0-9A-Za-zÀ-ɏ]', '', 'g')) AS k FROM benchmark), l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS n, unnest(string_split(text, chr(10))) AS line FROM documents),
+@query("""WITH c AS (SELECT doc_id AS item_id, lower(regexp_replace(string_split(text, chr(10))[1], '[^0-9A-Za-zÀ-ɏ]', '', 'g')) AS k FROM documents JOIN labels USING (doc_id) WHERE quality = 1), l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS n, unnest(string_split(text, chr(10))) AS line FROM documents),
 k AS (SELECT doc_id, n, lower(regexp_replace(line, '[^0-9A-Za-zÀ-ɏ]', '', 'g')) AS k FROM l)
 SELECT item_id, doc_id, min(n)::INT AS line FROM c JOIN k USING (k) WHERE k <> '' GROUP BY ALL""")
 def quoted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quotes bound to the first line of a document that says just that."""
-    quotes = table(spark, sf_dir, "benchmark").select("item_id", quote_key(F.col("text")).alias("k"))
+    """Quotes (first lines of the good documents) bound to the first line of a document that says just that."""
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    quotes = table(spark, sf_dir, "documents").join(good, "doc_id").select(F.col("doc_id").alias("item_id"), quote_key(F.get(F.split("text", "\n"), F.lit(0))).alias("k"))
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line")).select("doc_id", (F.col("n") + 1).alias("n"), quote_key(F.col("line")).alias("k"))
     return quotes.join(lines, "k").where("k <> ''").groupBy("item_id", "doc_id").agg(F.min("n").alias("line"))
 

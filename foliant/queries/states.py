@@ -62,12 +62,12 @@ def reusable_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("source").agg(F.max(F.struct("n_chars", (-F.col("doc_id")).alias("d"))).alias("m")).select("source", (-F.col("m.d")).alias("doc_id"))
 
 
-@query("""WITH s AS (SELECT c_nationkey AS project, c_mktsegment AS source, CASE WHEN bool_or(c_acctbal < -900) THEN NULL ELSE md5(string_agg(c_custkey::VARCHAR, ',' ORDER BY c_custkey)) END AS revision FROM customer GROUP BY ALL)
+@query("""WITH s AS (SELECT c_custkey // 500 AS project, c_mktsegment AS source, CASE WHEN bool_or(c_acctbal < -900) THEN NULL ELSE md5(string_agg(c_custkey::VARCHAR, ',' ORDER BY c_custkey)) END AS revision FROM customer GROUP BY ALL)
 SELECT project, CASE WHEN count(revision) = count(*) THEN string_agg(source || '=' || revision, ';' ORDER BY source) END AS revisions FROM s GROUP BY project""")
 def project_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The revisions of a project's sources; none if any source lacks one. A source's accounts are numbered in blocks of its nation."""
+    """The revisions of a project's sources; none if any source lacks one. A project is a block of 500 accounts."""
     joined = F.array_join(F.transform(F.array_sort(F.collect_list("c_custkey")), lambda x: x.cast("string")), ",")
-    s = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("project"), F.col("c_mktsegment").alias("source")).agg(F.when(~F.bool_or(F.col("c_acctbal") < -900), F.md5(joined.cast("binary"))).alias("revision"))
+    s = table(spark, sf_dir, "customer").groupBy(F.floor(F.col("c_custkey") / 500).alias("project"), F.col("c_mktsegment").alias("source")).agg(F.when(~F.bool_or(F.col("c_acctbal") < -900), F.md5(joined.cast("binary"))).alias("revision"))
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source", "revision"))), lambda x: F.concat_ws("=", x["source"], x["revision"])), ";")
     return s.groupBy("project").agg(F.when(F.count("revision") == F.count("*"), listed).alias("revisions"))
 
