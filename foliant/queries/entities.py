@@ -158,7 +158,7 @@ def found_quotes(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     b = settled(b.withColumn("key", longest))
     lengths = [r.n for r in b.select(F.least(F.length("key"), F.lit(LONG)).alias("n")).distinct().collect()]  # LONG rows at most
     d = docs.select(F.col("doc_id").alias("id"), quote_key(F.col("text")).alias("key"))
-    pairs = quotes.select("item_id").limit(0).join(docs.select("doc_id"), F.lit(False))
+    pairs = quotes.sparkSession.createDataFrame([], "item_id bigint, doc_id bigint")
     for n in sorted(lengths):
         size, window = min(n, GRAM), WINDOW if n == LONG else 1
         own = b.where(F.least(F.length("key"), F.lit(LONG)) == n).select(F.col("item_id").alias("id"), "key")
