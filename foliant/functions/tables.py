@@ -109,3 +109,37 @@ def chunks(title: Column, table: Column) -> Column:
         return F.when(F.size(table["rows"]) > 0, bodies).when(head != "", F.array(head)).otherwise(F.array().cast("array<string>"))
 
     return _bound(prefix(title, table["header"], table["separator"]), of)
+
+
+def segments(lines: Column, least: int = CHUNK) -> Column:
+    """array<struct<kind, body>>: tables of at least so many characters on their own, smaller ones with the prose around them."""
+    none = F.lit(None).cast("string")
+    state = F.struct(none.alias("prose"), none.alias("table"), F.array().cast("array<struct<kind:string,body:string>>").alias("out"))
+    strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    made = lambda kind, body: F.array(F.struct(F.lit(kind).alias("kind"), body.alias("body")))
+    shown = lambda out, prose: F.when(F.coalesce(strip(prose), F.lit("")) != "", F.concat(out, made("prose", strip(prose)))).otherwise(out)
+
+    def ended(s: Column) -> Column:
+        large = F.length(s["table"]) >= least
+        alone = F.struct(none.alias("prose"), none.alias("table"), F.concat(shown(s["out"], s["prose"]), made("table", s["table"])).alias("out"))
+        joined = F.struct(F.concat_ws("\n", s["prose"], s["table"]).alias("prose"), none.alias("table"), s["out"].alias("out"))
+        return F.when(s["table"].isNull(), s).when(large, alone).otherwise(joined)
+
+    def step(s: Column, line: Column) -> Column:
+        row = F.trim(line).startswith("|")
+        more = F.struct(s["prose"].alias("prose"), F.concat_ws("\n", s["table"], F.trim(line)).alias("table"), s["out"].alias("out"))
+        after = lambda e: F.struct(F.concat_ws("\n", e["prose"], line).alias("prose"), none.alias("table"), e["out"].alias("out"))
+        return F.when(row, more).otherwise(_bound(ended(s), after))
+
+    return F.aggregate(lines, state, step, lambda s: _bound(ended(s), lambda e: shown(e["out"], e["prose"])))
+
+
+def section_chunks(lines: Column, least: int = CHUNK, size: int = 1000, overlap: int = 100) -> Column:
+    """array<array<string>>: the chunks of every segment; prose in windows that overlap."""
+
+    def of(x: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.length(x["body"]) - overlap - 1, F.lit(0)), F.lit(size - overlap))
+        prose = F.transform(starts, lambda i: F.substring(x["body"], i + 1, F.lit(size)))
+        return F.when(x["kind"] == "table", _bound(F.split(x["body"], "\n"), lambda rows: chunks(F.lit(""), parsed(rows)))).otherwise(prose)
+
+    return F.transform(segments(lines, least), of)

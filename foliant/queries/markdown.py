@@ -133,3 +133,22 @@ def table_chunk_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = sheets(spark, sf_dir).select("sheet", M.parsed(F.col("rows")).alias("t"))
     c = p.select("sheet", F.posexplode(M.chunks(F.concat(F.lit("## "), "sheet"), F.col("t"))).alias("part", "chunk"))
     return c.select(chunk_id(F.col("sheet"), F.col("chunk")).alias("chunk_id"), "sheet", "part")
+
+
+@query("""WITH b AS (SELECT p_type || '-' || p_partkey // 5000 AS book, p_brand, 'About ' || p_brand AS about, list('| ' || p_name || ' | ' || p_partkey || ' |' ORDER BY p_partkey) AS rows FROM part GROUP BY 1, 2),
+t AS (SELECT *, array_to_string(rows, chr(10)) AS body, length(array_to_string(rows, chr(10))) >= 200 AS large FROM b),
+s AS (SELECT *, coalesce(count(*) FILTER (large) OVER (PARTITION BY book ORDER BY p_brand ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM t),
+prose AS (SELECT book, seg * 2 AS segment, string_agg(about || CASE WHEN large THEN '' ELSE chr(10) || body END, chr(10) ORDER BY p_brand) AS body FROM s GROUP BY ALL),
+packed AS (SELECT book, seg * 2 + 1 AS segment, list_reduce(rows, lambda s, x: CASE WHEN s.batch IS NULL THEN {'done': s.done, 'batch': x} WHEN length(s.batch) + 1 + length(x) <= 2000 THEN {'done': s.done, 'batch': s.batch || chr(10) || x}
+  ELSE {'done': list_append(s.done, s.batch), 'batch': x} END, {'done': []::VARCHAR[], 'batch': NULL::VARCHAR}) AS s FROM s WHERE large),
+chunk AS (SELECT book, segment, unnest(range(0, greatest(length(body) - 101, 0) // 900 + 1)) AS part, body, NULL AS whole FROM prose UNION ALL SELECT book, segment, generate_subscripts(list_append(s.done, s.batch), 1) - 1, NULL, unnest(list_append(s.done, s.batch)) FROM packed)
+SELECT book, row_number() OVER (PARTITION BY book ORDER BY segment, part)::INT AS position, md5(coalesce(whole, substr(body, part * 900 + 1, 1000))) AS chunk_md5 FROM chunk""")
+def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents chunked: large tables by rows, everything else in windows; each document within its row."""
+    row = F.concat(F.lit("| "), "p_name", F.lit(" | "), F.col("p_partkey").cast("string"), F.lit(" |"))
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("r")))), lambda x: x["r"]), "\n")
+    part = table(spark, sf_dir, "part").withColumn("p_type", _book()).groupBy("p_type", "p_brand").agg(F.concat(F.lit("About "), "p_brand", F.lit("\n"), rows).alias("part"))
+    texts = part.groupBy(F.col("p_type").alias("book")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_brand", "part"))), lambda x: x["part"]), "\n").alias("text"))
+    # From here on it is text.
+    chunks = texts.select("book", F.posexplode(F.flatten(M.section_chunks(F.split("text", "\n"), least=200))).alias("n", "chunk"))
+    return chunks.select("book", (F.col("n") + 1).alias("position"), F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"))
