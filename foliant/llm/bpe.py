@@ -31,11 +31,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of text that a task takes at a time, and pieces that a worker remembers.
+from .common import released, remembered
+
+#: Bytes of text that a task takes at a time, and pieces that it remembers.
 SLICE_BYTES = 4_000_000
-CACHE_PIECES = 500_000
+CACHE_PIECES = 300_000
 #: Memory of a worker's database, and of its spill files (in the worker's own temporary folder).
-MEMORY, SPILL = "350MB", "4GB"
+MEMORY, SPILL = "250MB", "4GB"
 #: Rows that the rounds of one query may make, and its least number of rounds.
 ROUND_ROWS, ROUNDS = 3_000_000, 6
 
@@ -141,6 +143,9 @@ class Encoder:
         self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM incoming")
         self.con.unregister("incoming")
 
+    def close(self) -> None:
+        self.con.close()
+
     def _forget(self) -> None:
         self.con.execute("CREATE OR REPLACE TABLE cache(piece BLOB, ids INTEGER[])")
         self.cached = 0
@@ -190,15 +195,9 @@ class Encoder:
         return out.column("decoded").combine_chunks()
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def _encoder(name: str, ranks: list[tuple[bytes, int]]) -> Encoder:
-    """The Python worker's encoder for a vocabulary; tasks that follow in the worker reuse it."""
-    if name not in _encoders:
-        _encoders.clear()
-        _encoders[name] = Encoder(ranks)
-    return _encoders[name]
+    """The task's encoder for a vocabulary."""
+    return remembered(f"bpe {name}", lambda: Encoder(ranks))
 
 
 def _slices(words: pa.ListArray) -> Iterator[tuple[int, int]]:
@@ -245,7 +244,7 @@ def round_trip(docs: DataFrame, ranks: list[tuple[bytes, int]], pattern: str, id
         *[F.col(c) for c in kept],
     )
     kinds = dict(docs.dtypes)
-    done = split.mapInArrow(run, f"{', '.join(f'`{c}` {kinds[c]}' for c in kept)}, ids array<int>" + ", decoded binary" * back)
+    done = split.mapInArrow(released(run), f"{', '.join(f'`{c}` {kinds[c]}' for c in kept)}, ids array<int>" + ", decoded binary" * back)
     return done.select(*kept, F.size("ids").cast("long").alias("n_tokens"), "ids", *["decoded"] * back)
 
 
@@ -276,4 +275,4 @@ def decode(tokens: DataFrame, ranks: list[tuple[bytes, int]], id_col: str = "doc
             yield pa.RecordBatch.from_arrays([batch.column(0), encoder.decode(batch.column(1))], names=[id_col, "decoded"])
 
     kind = dict(tokens.dtypes)[id_col]
-    return tokens.select(id_col, F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(run, f"`{id_col}` {kind}, decoded binary")
+    return tokens.select(id_col, F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(released(run), f"`{id_col}` {kind}, decoded binary")

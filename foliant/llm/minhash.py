@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_version, drop_written, written
+from .common import by_version, drop_written, released, remembered, written
 from .components import components
 
 #: Size of the hash universe that the two permutations act on; sets of a million shingles still
@@ -80,12 +80,8 @@ class Circulant:
         return np.minimum.reduce(parts)
 
 
-_circulant: dict[int, Circulant] = {}
-
-
-def _bands(items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _bands(items: np.ndarray, circulant: Circulant) -> tuple[np.ndarray, np.ndarray]:
     """One 64-bit bucket key for each band, and the sketch of CELLS bits."""
-    circulant = _circulant.get(COORDINATES) or _circulant.setdefault(COORDINATES, Circulant(COORDINATES))
     parts = circulant.signature(items).astype(np.uint64).reshape(BANDS, ROWS)
     key = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     for k in range(ROWS):
@@ -106,13 +102,14 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        circulant = remembered("minhash", lambda: Circulant(COORDINATES))
         for batch in batches:
             sizes, same, bands, sketches = [], [], [], []
             for text in _texts(batch.column(1)):
                 items = shingles(text, n)
                 sizes.append(len(items))
                 same.append(xxhash.xxh3_128_digest(items.tobytes()) if len(items) else None)
-                keys, sketch = _bands(items) if len(items) else (None, None)
+                keys, sketch = _bands(items, circulant) if len(items) else (None, None)
                 bands.append(keys)
                 sketches.append(sketch)
             yield pa.RecordBatch.from_arrays(
@@ -120,7 +117,7 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
                 names=["doc_id", "n_shingles", "same", "bands", "sketch"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, "doc_id bigint, n_shingles bigint, same binary, bands array<bigint>, sketch array<bigint>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(released(run), "doc_id bigint, n_shingles bigint, same binary, bands array<bigint>, sketch array<bigint>")
 
 
 def sets(docs: DataFrame, n: int) -> DataFrame:
@@ -131,7 +128,7 @@ def sets(docs: DataFrame, n: int) -> DataFrame:
             items = pa.array([shingles(text, n) for text in _texts(batch.column(1))], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), items], names=["doc_id", "items"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, "doc_id bigint, items array<bigint>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(released(run), "doc_id bigint, items array<bigint>")
 
 
 def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import released, remembered, written
 
 BUCKETS = 1 << 18
 TRAIN_ROWS = 24_000
@@ -81,17 +81,16 @@ class Buckets(dict):
         return found
 
 
-_buckets = Buckets()
 #: The bucket of words that repeat the one before.
 _REPEAT = BUCKETS - 1
 
 
-def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+def features(text: bytes, buckets: Buckets) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text, and the share of its words in each."""
     words = text.split()
     if not words:
         return np.empty(0, np.int64), np.empty(0)
-    found = [b for w in words for b in _buckets[w]]
+    found = [b for w in words for b in buckets[w]]
     found += [_REPEAT] * sum(a == b for a, b in zip(words, words[1:]))
     flat = np.array(found)
     which, n = np.unique(flat, return_counts=True)
@@ -173,12 +172,13 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int = 3, rows: int = TRAIN_
     valid = ratings.select(F.col("doc_id").cast("long"), F.col("rating").cast("int")).where(F.col("rating").between(0, grades - 1) & F.col("doc_id").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets = remembered("quality", Buckets)
         for batch in batches:
-            found = [features(t.as_py() or b"") for t in batch.column(1).cast(pa.large_binary())]
+            found = [features(t.as_py() or b"", buckets) for t in batch.column(1).cast(pa.large_binary())]
             which, share = pa.array([w.astype(np.int32) for w, _ in found], pa.list_(pa.int32())), pa.array([d.astype(np.float32) for _, d in found], pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), which, share], names=["doc_id", "rating", "which", "share"])
 
-    table = sample(docs, valid, rows).select(F.col("doc_id").cast("long"), "text", "rating").mapInArrow(run, "doc_id bigint, rating int, which array<int>, share array<float>")
+    table = sample(docs, valid, rows).select(F.col("doc_id").cast("long"), "text", "rating").mapInArrow(released(run), "doc_id bigint, rating int, which array<int>, share array<float>")
     table = written(table, "features")
     count, chosen = _screened(table, grades)
     if np.count_nonzero(count) < 2:
@@ -197,7 +197,7 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int = 3, rows: int = TRAIN_
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.list_(pa.int32())), pa.array(dense, pa.list_(pa.float32()))], names=["doc_id", "rating", "own", "dense"])
 
     # What is left of the sample are its rows' selected features; in order of ids, so that reruns agree.
-    kept = table.mapInArrow(held, "doc_id bigint, rating int, own array<int>, dense array<float>").toArrow().sort_by([("doc_id", "ascending"), ("rating", "ascending")])
+    kept = table.mapInArrow(released(held), "doc_id bigint, rating int, own array<int>, dense array<float>").toArrow().sort_by([("doc_id", "ascending"), ("rating", "ascending")])
     n = len(chosen)
     own, dense = kept["own"].combine_chunks(), kept["dense"].combine_chunks()
     doc = np.repeat(np.arange(len(kept)), np.diff(np.asarray(own.offsets)))
@@ -214,15 +214,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         presence, density, cuts = shared.value
+        buckets = remembered("quality", Buckets)
         for batch in batches:
             linear = np.empty(len(batch))
             for i, text in enumerate(batch.column(1).cast(pa.large_binary())):
-                which, share = features(text.as_py() or b"")
+                which, share = features(text.as_py() or b"", buckets)
                 linear[i] = presence[which].sum() + (density[which] * share).sum()
             tails = 1 - _sigmoid(cuts[None, :] - linear[:, None])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tails.sum(axis=1)), pa.array(list(tails), pa.list_(pa.float64()))], names=["doc_id", "expected", "tails"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id bigint, expected double, tails array<double>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(run), "doc_id bigint, expected double, tails array<double>")
 
 
 def rating(quality: Column, toxic: Column) -> Column:

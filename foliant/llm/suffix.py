@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import by_version, drop_written, written
+from .common import by_version, drop_written, released, written
 
 WINDOW, GRAM = 100, 40
 SPAN = WINDOW - GRAM + 1
@@ -180,7 +180,7 @@ def runs(docs: DataFrame, hot: np.ndarray | None = None, salts: np.ndarray | Non
                     columns = [h, np.where(number < 0, 1, shares[number]), np.array(content, np.uint64).view(np.int64), ids[a:b][text], place.astype(np.int64)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "salts", "content", "doc_id", "place"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "h bigint, salts bigint, content bigint, doc_id bigint, place bigint")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(run), "h bigint, salts bigint, content bigint, doc_id bigint, place bigint")
 
 
 def _hot(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -205,7 +205,7 @@ def _packed(docs: DataFrame) -> DataFrame:
             texts = pa.array([pack(x.as_py() or b"") for x in batch.column(1).cast(pa.large_binary())], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), texts], names=["doc_id", "packed"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id bigint, packed binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(run), "doc_id bigint, packed binary")
 
 
 def _unpack(packed: bytes) -> bytes:
@@ -224,7 +224,7 @@ def _with_bytes(held: DataFrame) -> DataFrame:
                 rows = [(w["group"], w["salts"], doc, w["place"], text[w["place"] >> 15 :][: (w["place"] >> 8 & 127) + WINDOW - 1]) for w in wanted]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["group", "salts", "doc_id", "place", "bytes"])
 
-    return held.select("doc_id", "packed", "wanted").mapInArrow(run, "group bigint, salts bigint, doc_id bigint, place bigint, bytes binary")
+    return held.select("doc_id", "packed", "wanted").mapInArrow(released(run), "group bigint, salts bigint, doc_id bigint, place bigint, bytes binary")
 
 
 class Suffixes:
@@ -373,7 +373,7 @@ def _resolved(runs_with_bytes: DataFrame) -> DataFrame:
             yield emit(pa.Table.from_batches(held))
 
     dealt = runs_with_bytes.repartition("group").sortWithinPartitions("group", "doc_id", "place")
-    return dealt.select("group", "salts", "doc_id", "place", "bytes").mapInArrow(run, "doc_id bigint, start bigint, end bigint, key binary")
+    return dealt.select("group", "salts", "doc_id", "place", "bytes").mapInArrow(released(run), "doc_id bigint, start bigint, end bigint, key binary")
 
 
 def _cut(held: DataFrame) -> DataFrame:
@@ -399,7 +399,7 @@ def _cut(held: DataFrame) -> DataFrame:
                 names=["doc_id", "spans", "kept", "kept_text"],
             )
 
-    return held.select("doc_id", "packed", "ranges").mapInArrow(run, "doc_id bigint, spans array<struct<start:bigint,end:bigint>>, kept binary, kept_text string")
+    return held.select("doc_id", "packed", "ranges").mapInArrow(released(run), "doc_id bigint, spans array<struct<start:bigint,end:bigint>>, kept binary, kept_text string")
 
 
 def _decided(dealt: DataFrame) -> DataFrame:
