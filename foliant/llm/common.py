@@ -63,38 +63,6 @@ def drop_written(df: DataFrame) -> None:
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-_remembered: dict[str, object] = {}
-
-
-def remembered(name: str, make: Callable[[], object]):
-    """What a task keeps in its Python worker by a name, made once."""
-    if name not in _remembered:
-        _remembered[name] = make()
-    return _remembered[name]
-
-
-def released(run: Callable) -> Callable:
-    """A function over batches that gives back its worker's memory when a task ends: idle workers hold nothing."""
-
-    def whole(batches):
-        try:
-            yield from run(batches)
-        finally:
-            import ctypes
-            import gc
-
-            import pyarrow as pa
-
-            for old in _remembered.values():
-                getattr(old, "close", lambda: None)()
-            _remembered.clear()
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)(0)
-
-    return whole
-
-
 def numbered(rows: DataFrame, *order: str) -> DataFrame:
     """The rows with their number in that order, from 0: sorted by ranges, counts of earlier ranges added.
 
