@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chroma, hosts, licenses, minhash, mixing, neighbours, quality, suffix, warc
+from . import bpe, chroma, hosts, licenses, minhash, mixing, neighbours, packing, periodic, quality, resample, suffix, warc
+from .common import WORD
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,11 +80,53 @@ def op10_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(_table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0)
 
 
+def _planted(docs: DataFrame) -> DataFrame:
+    """doc_id and text; a tenth of the documents repeats a stretch of its words up to its end.
+
+    By the checksum h of its id in decimal: from word a = h // 10 % n on, every p words are the same.
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("w"))
+    n, g = F.size("w"), F.floor(F.col("h") / 10)
+    rows = rows.withColumn("n", n.cast("long")).withColumn("a", F.when(n > 0, g % n)).withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + g % 8)))
+    rest, a, p = (F.col("n") - F.col("a")).cast("int"), F.col("a").cast("int"), F.col("p").cast("int")
+    again = F.flatten(F.array_repeat(F.slice("w", a + 1, p), F.ceil(rest / p).cast("int")))
+    text = F.array_join(F.concat(F.slice("w", F.lit(1), a), F.slice(again, F.lit(1), rest)), " ")
+    return rows.select("doc_id", F.when(F.col("n") > 0, text).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words of all documents, and digests of the texts without the repetitions."""
+    out = periodic.periodic_runs(_planted(_table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("n"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    spelled = F.array_join(F.transform("runs", line), "").cast("binary")
+    return out.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.s")).alias("start"), F.col("best.n").alias("length"), (-F.col("best.p")).alias("period"),
+        F.floor(1000 * F.col("best.n") / -F.col("best.p")).alias("exponent_milli"), F.sha2(spelled, 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequence and place of every piece of all documents' tokens."""
+    import public_tokenizers
+
+    pieces = packing.token_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ids=False)
+    return packing.packed(pieces)
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of all documents, resampled towards the benchmark's texts."""
+    out = resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_byte_bpe, op2_minhash_dedup, op3_url_filter, op4_source_mix, op5_license_scan,
         op6_quality_classifier, op7_warc_archive, op8_suffix_dedup, op9_chroma_match, op10_hilbert_neighbours,
+        op11_periodic_runs, op12_best_fit_packing, op13_importance_resampling,
     )
 }
 
