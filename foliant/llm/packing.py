@@ -18,7 +18,9 @@ of length 0 or beyond the capacity, or null, are an error. An empty table gives
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -34,7 +36,7 @@ CAPACITY = 1024
 #: The token after each document.
 END = 2
 #: Exchanges at most, each of which raises the sum of squared fills.
-EXCHANGES = 20_000
+EXCHANGES = 3_000
 #: Stretches of text that a worker remembers.
 CACHE = 500_000
 
@@ -95,28 +97,27 @@ def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[Kind]:
     return [_kind(items, bins) for own in room.values() for items, bins in own]
 
 
-def _gifts(kind: Kind) -> list[tuple[int, tuple[int, ...]]]:
-    """One piece of a kind, or two, or none: their sum and lengths."""
-    sizes = [size for size, _ in kind.items]
-    pairs = [(a + b, (a, b)) for i, (a, n) in enumerate(kind.items) for b in sizes[i + (n < 2) :]]
-    return [(0, ())] + [(a, (a,)) for a in sizes] + pairs
+@lru_cache(maxsize=20_000)
+def _gifts(items: tuple[tuple[int, int], ...]) -> tuple[list, list, list]:
+    """Single pieces of a kind's lengths, nothing or one or two of them, and its pairs: each as (sum, lengths), in order."""
+    one = [(a, (a,)) for a, _ in items]
+    two = [(a + b, (a, b)) for i, (a, n) in enumerate(items) for b, _ in items[i + (n < 2) :]]
+    return sorted(one), sorted([(0, ()), *one, *two]), sorted(two)
 
 
 def _exchange(giver: Kind, taker: Kind, capacity: int) -> tuple[int, tuple[int, ...], tuple[int, ...]] | None:
     """What the taker gains most from the giver: the sum it grows by, what it gets, what it gives back."""
-    gap, best = capacity - taker.fill, None
-    back = _gifts(taker)
-    for got, pieces in _gifts(giver)[1:]:
-        for given, returned in back:
-            if len(pieces) == 2 and len(returned) != 1:
-                continue  # one for none, one or two; two for one
-            grown = got - given
-            # Fills a and b become a + grown and b - grown.
-            if 0 < grown <= gap and taker.fill - giver.fill + grown > 0 and (best is None or grown > best[0]):
-                best = (grown, pieces, returned)
-                if grown == gap:
-                    return best
-    return best
+    gap, best = capacity - taker.fill, (0, (), ())
+    single, back, _ = _gifts(taker.items)
+    gifts, _, pairs = _gifts(giver.items)
+    # One piece for none, one or two; two for one. The least that is given back leaves the most.
+    for from_, to in ((gifts, back), (pairs, single)):
+        for got, pieces in from_:
+            at = bisect_left(to, (got - gap,))
+            # Fills a and b become a + grown and b - grown: the sum of squares rises if a - b + grown > 0.
+            if at < len(to) and (grown := got - to[at][0]) > best[0] and taker.fill - giver.fill + grown > 0:
+                best = (grown, pieces, to[at][1])
+    return best if best[0] else None
 
 
 def _changed(kind: Kind, less: tuple[int, ...], more: tuple[int, ...], bins: int) -> Kind:
@@ -155,6 +156,8 @@ def improved(kinds: list[Kind], capacity: int = CAPACITY, enough: int = 0, excha
                     done.add((giver.items, taker.items))
                 elif found is None or move[0] > found[2][0]:
                     found = giver, taker, move
+                    if move[0] == capacity - taker.fill:
+                        break
             if found:
                 break
         if found is None:
