@@ -30,13 +30,15 @@ def count_words(text: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (``spark.checkpoint.dir``).
 
-    Only where the setting is absent (single-machine tests) is a temporary folder chosen.
+    Only where the setting is absent and all is one process (tests) is a temporary folder chosen.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="foliant-")
         spark.sparkContext.setCheckpointDir(found)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -76,6 +78,19 @@ def numbered(rows: DataFrame, *order: str) -> DataFrame:
     return placed.join(F.broadcast(before), "range").withColumn("number", within + F.col("before")).drop("range", "before")
 
 
+def keyed(rows: DataFrame, key: str = "row_key") -> DataFrame:
+    """The rows (doc_id, text and others) with a key of their own: doc_id, where it is unique and never null.
+
+    Else rows are written with their number in the order of doc_id (null last) and digest of the text,
+    so that the least key of some rows is that of the least doc_id.
+    """
+    total, different = rows.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    if total == different:
+        return rows.withColumn(key, F.col("doc_id"))
+    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    return numbered(rows.withColumn("text_digest", digest), "doc_id", "text_digest").withColumnRenamed("number", key).drop("text_digest")
+
+
 def by_version(rows: DataFrame, use: Callable[[DataFrame], DataFrame], back: tuple[str, ...] = (), id_col: str = "doc_id", value: Column | None = None, keep: tuple[str, ...] = ("text",)) -> DataFrame:
     """use(rows) for rows whose id may repeat or be null: as many rows as came, by id.
 

@@ -230,13 +230,15 @@ def rating(quality: Column, toxic: Column) -> Column:
     return F.when(quality == 0, 0).when(toxic == 1, 1).when(quality == 1, 2)
 
 
-def grade(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:
+def grade(docs: DataFrame, labels: DataFrame, keep: float = KEEP, rows: DataFrame | None = None) -> DataFrame:
     """doc_id, expected, p_top (probability of the best grade), keep: whether p_top reaches a bound.
 
+    rows are what is graded, if not docs, whose doc_id leads to the labels.
+
     The bound is never above the p_top of a text without features: one that has no evidence against
     it, such as an empty one, is kept.
     """
     model = fit(docs, labels.select("doc_id", rating(F.col("quality"), F.col("toxic")).alias("rating")))
     bound = min(keep, float(1 - _sigmoid(model.thresholds[-1])) - 1e-9)
     p_top = F.col("tails")[1]
-    return score(docs, model).select("doc_id", "expected", p_top.alias("p_top"), (p_top >= bound).alias("keep"))
+    return score(docs if rows is None else rows, model).select("doc_id", "expected", p_top.alias("p_top"), (p_top >= bound).alias("keep"))

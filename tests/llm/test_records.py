@@ -210,12 +210,72 @@ def test_ordinal_grades_on_held_out_rows(spark):
     assert quality.score(df.limit(0), none).count() == 0
 
 
+def odd_documents(spark, sf):
+    """Documents of the small table, and rows whose ids are null or repeat, with equal and other texts."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    some = docs.where("doc_id < 60").collect()
+    long = " ".join(f"word{i}" for i in range(80))
+    near = long.replace("word40", "other")
+    apart = " ".join(f"clean{i}" for i in range(80))
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in some] + [
+        (None, None, None, None, None), (None, "", "en", "src0", 0), (None, long, "en", "src0", len(long)), (None, apart, "en", None, len(apart)),
+        (7, apart + " more of it", "en", "src1", 1), (7, some[7].text, "en", "src1", 1), (70, near, "en", "src1", len(near)), (71, near, "en", "src1", len(near)), (71, near, "de", "src1", len(near)),
+    ]
+    return spark.createDataFrame(rows, docs.schema)
+
+
+def test_pipeline_keeps_rows_of_any_id(spark, sf):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = odd_documents(spark, sf)
+    spelled = lambda df: sorted(repr(tuple(r)) for r in df.select(pipeline.COLUMNS).collect())
+
+    graded = pipeline.quality_filter(spark, docs, sf)
+    p_top = {r.doc_id: r.keep for r in quality.grade(docs, spark.read.parquet(f"{sf}/labels.parquet"), rows=docs.select(F.xxhash64("text").alias("doc_id"), "text").distinct()).collect()}
+    wanted = [r for r, h in zip(docs.collect(), docs.select(F.xxhash64("text").alias("h")).collect()) if p_top[h.h]]
+    assert spelled(graded) == sorted(repr(tuple(r)) for r in wanted)
+    assert {r.text for r in graded.where("doc_id IS NULL").collect()} >= {None, ""}
+
+    kept = pipeline.near_dedup(spark, docs, sf).collect()
+    texts = [r.text for r in kept]
+    near = [r for r in kept if r.text and r.text.startswith("word0 ")]
+    assert [(r.doc_id, "other" in r.text) for r in near] == [(70, True)]  # of four copies that of the least id
+    assert {None, ""} <= {r.text for r in kept if r.doc_id is None} and sum(r.doc_id == 7 for r in kept) >= 1
+    assert sum(t is not None and t.startswith("clean0 ") for t in texts) == 1
+
+    cut = pipeline.passage_dedup(spark, docs, sf)
+    assert cut.count() == docs.count()
+    by_id = {r.doc_id: r.text for r in cut.where("doc_id IN (70, 71)").collect()}
+    assert by_id[70].startswith("word0 ") and len(by_id[71]) < 100
+    assert cut.where("doc_id IS NULL AND text IS NULL").count() == 1
+    assert all(r.n_chars == len(r.text) for r in cut.where("doc_id = 71").collect())
+
+    mixed = pipeline.source_mix(spark, docs, sf)
+    own = {tuple(r) for r in docs.collect()}
+    assert all(tuple(r) in own for r in mixed.collect())
+    words = lambda df: {r.source: r.n for r in df.groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), r"\s+"))).alias("n")).collect()}
+    before, after = words(docs), words(mixed)
+    assert all(after.get(s, 0) <= 2.1 * (n or 0) + 200 for s, n in before.items())
+
+    out = pipeline.tokenise(spark, docs, sf)
+    assert out.count() == docs.count() and out.where("size(ids) <> n_tokens").count() == 0
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_pipeline_stages_on_empty_and_wider_tables(spark, sf, stage):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    name, function = pipeline.STAGES[stage]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 30")
+    wide = docs.select("*", *[F.lit(1).alias(c) for c in ("row_key", "number", "digest", "keep", "copies", "component_id", "ids", "kept_text", "range")])
+    spelled = lambda df: sorted(repr(tuple(r)) for r in df.collect())
+    assert spelled(function(spark, wide, sf)) == spelled(function(spark, docs, sf))
+    assert function(spark, docs.limit(0), sf).count() == 0
+
+
 def test_pipeline_stages(spark, sf):
-    corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60).cache()
-    docs = docs.union(spark.createDataFrame([(10_000, None, None, None, None), (10_001, "", "en", "src0", 0)], docs.schema))
-    for name, stage in corpus_pipeline.STAGES[:-1]:
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = odd_documents(spark, sf)
+    for name, stage in pipeline.STAGES[:-1]:
         docs = stage(spark, docs, sf)
-        assert docs.columns == corpus_pipeline.COLUMNS
-    out = corpus_pipeline.STAGES[-1][1](spark, docs, sf).toPandas()
+        assert docs.columns == pipeline.COLUMNS
+    out = pipeline.STAGES[-1][1](spark, docs, sf).toPandas()
     assert len(out) > 0 and (out.ids.map(len) == out.n_tokens).all()
