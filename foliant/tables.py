@@ -25,8 +25,11 @@ def views(spark: SparkSession, sf_dir: str, *names: str) -> None:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder named by ``spark.checkpoint.dir``; a temporary one only where none is set (tests)."""
+    """A checkpoint in the shared folder named by ``spark.checkpoint.dir``; a temporary one only in tests, where none is set and all is one process."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="foliant-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="foliant-"))
     return df.checkpoint()
