@@ -19,8 +19,9 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import written
-from .words import NOT_SPACE, bytes_of, numbered_pieces, slices
+from .words import LETTERS, LOWER, NOT_SPACE, bytes_of, numbered_pieces, slices
 
 CAPACITY = 1024
 #: The token after each document.
@@ -38,7 +39,9 @@ END = 2
 #: Exchanges at most, each of which raises the sum of squared fills.
 EXCHANGES = 3_000
 #: Stretches of text that a worker remembers.
-CACHE = 500_000
+CACHE = 400_000
+#: Bytes of text that a task encodes together.
+SLICE = 2_000_000
 
 
 class Kind(NamedTuple):
@@ -243,61 +246,81 @@ class Tokens:
 
     A space after a character that is no white space begins a match, whatever precedes it; so a text
     can be cut there and its stretches encoded apart. Where the byte before is beyond ASCII (which
-    may end a white space) the byte after has to be ASCII and none.
+    may end a white space) the byte after has to be ASCII and none. Digits and marks after an ASCII
+    letter begin a match as well; that cut is left out where the text of an added token occurs, whose
+    stretches go through the tokenizer itself, all others through the same ranks and pattern.
     """
 
-    def __init__(self, file: str):
+    def __init__(self, file: str, ranks: str, pattern: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
+        from .bpe import read_ranks
+
         self.tokenizer = Tokenizer.from_file(file)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.plain = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=dict(read_ranks(ranks)), special_tokens={})
+        self._forget()
+
+    def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.ids: list[np.ndarray] = []
+        self.flat, self.ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
     def lists(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and where each text's begin (and the last's end)."""
         data, offsets = bytes_of(texts)
         cut = np.zeros(len(data) + 1, bool)
+        marked = any(t.encode() in data.tobytes() for t in self.added)
         if len(data) > 2:
             plain = NOT_SPACE[data] & (data < 0x80)
             cut[1:-2] = (data[1:-1] == 0x20) & (plain[:-2] | (data[:-2] >= 0x80) & plain[2:])
+            if not marked:
+                letter = LETTERS[LOWER[data]] & (data > 0x39) & (data < 0x80)
+                cut[1:-1] |= letter[:-1] & plain[1:] & ~letter[1:]
         cut[offsets] = True
         at = np.flatnonzero(cut)
-        which, distinct = numbered_pieces(data[: offsets[-1]], np.diff(at))
+        which, distinct = numbered_pieces(data, np.diff(at))
         first = np.searchsorted(at, offsets)
-        own, size = self._encoded(distinct)
-        count = size[which]
+        which = self._numbers(distinct, self._encoded if marked else self.plain.encode_ordinary)[which]
+        count = self.ends[which + 1] - self.ends[which]
         ends = np.concatenate([[0], np.cumsum(count)])
-        begin = (np.cumsum(size) - size)[which]
-        flat = own[np.arange(ends[-1]) - np.repeat(ends[:-1] - begin, count)]
+        flat = self.flat[np.arange(ends[-1]) + np.repeat(self.ends[which] - ends[:-1], count)]
         return flat, ends[first]
 
-    def _encoded(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the distinct stretches, one after the other, and the number of each one's."""
+    def _numbers(self, distinct: pa.Array, encode: Callable[[str], list[int]]) -> np.ndarray:
+        """Where the ids of the distinct stretches are kept."""
         if len(self.known) > CACHE:
-            self.known, self.ids = {}, []
+            self._forget()
         keys = distinct.to_pylist()
         new = [k for k in keys if k not in self.known]
         if new:
-            self.known |= {k: len(self.ids) + i for i, k in enumerate(new)}
-            self.ids += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([k.decode() for k in new], add_special_tokens=False)]
-        found = [self.ids[self.known[k]] for k in keys]
-        return np.concatenate([np.empty(0, np.uint32), *found]), np.array([len(f) for f in found], np.int64)
+            lists = [encode(k.decode()) for k in new]
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(lists), np.uint32)])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))])
+        return np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
+
+    def _encoded(self, stretch: str) -> list[int]:
+        if any(t in stretch for t in self.added):
+            return self.tokenizer.encode(stretch, add_special_tokens=False).ids
+        return self.plain.encode_ordinary(stretch)
 
 
 _tokens: dict[str, Tokens] = {}
 
 
-def token_pieces(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END, ids: bool = True) -> DataFrame:
+def token_pieces(docs: DataFrame, file: str, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END, ids: bool = True) -> DataFrame:
     """id, piece (from 0), start, length, ids_crc32 and, if asked for, ids array<int> of every piece of a document.
 
     Its ids and the end token are one piece if they fit; else all pieces but the first are of the
-    capacity. file is a tokenizer's, found on every executor; special tokens are not added.
+    capacity. file is a tokenizer's; ranks and pattern are the same vocabulary as a rank file, and what
+    splits texts; both files are found on every executor. Special tokens are not added.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if file not in _tokens:
-            _tokens[file] = Tokens(file)
-        for batch in slices(batches, 1):
+            _tokens[file] = Tokens(file, ranks, pattern)
+        for batch in slices(batches, 1, SLICE):
             flat, first = _tokens[file].lists(batch.column(1))
             # Each text's end token follows its last id.
             all_ids = np.insert(flat, first[1:], np.uint32(end))

@@ -111,7 +111,8 @@ def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequence and place of every piece of all documents' tokens."""
     import public_tokenizers
 
-    pieces = packing.token_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ids=False)
+    files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    pieces = packing.token_pieces(_table(spark, sf_dir, "documents"), *files, public_tokenizers.PATTERN, ids=False)
     return packing.packed(pieces)
 
 

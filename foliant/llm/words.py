@@ -65,12 +65,12 @@ def words_of(texts: pa.Array, inside: np.ndarray, fold: np.ndarray | None = None
     return Words(np.searchsorted(at, offsets), ids, distinct)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
-    """The batches cut to about SLICE_BYTES of text in a column, one row at least."""
+def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut to about so many bytes of text in a column, one row at least."""
     for batch in batches:
         size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
         at, start = np.concatenate([[0], np.cumsum(size)]), 0
         while start < len(batch):
-            end = max(start + 1, int(np.searchsorted(at, at[start] + SLICE_BYTES, "right")) - 1)
+            end = max(start + 1, int(np.searchsorted(at, at[start] + most, "right")) - 1)
             yield batch.slice(start, end - start)
             start = end

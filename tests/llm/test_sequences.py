@@ -172,13 +172,14 @@ def test_packing_of_documents(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    own = Tokenizer.from_file(files[0])
     r = random.Random(4)
     odd = ["\u00a0 a\u00a0 \u00a0b  c\u3000 d\u2003\u2003 e", "it's  I'll\n\n x\ty  ", " <|endoftext|> x", "日本 語 text é è", "  ", "a  b   c \n d", "\u0085 x \u0085y"]
     rows = [(i, " ".join(r.choice(["the", "Zürich", "don't", "123", "\n", "\u00a0", "é", "–", ""]) for _ in range(r.randint(0, 300)))) for i in range(60)]
     rows += [(100 + i, t) for i, t in enumerate(odd)] + [(200, None), (201, ""), (202, "word " * 5000), (203, "a" * 9000), (None, "none"), (5, "twice"), (5, "twice")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("ids", F.lit(1)).withColumn("part", F.lit(1)).withColumn("length", F.lit("x"))
-    pieces = packing.token_pieces(docs.repartition(3), public_tokenizers.path("byte_bpe_50k.json"), capacity=128)
+    pieces = packing.token_pieces(docs.repartition(3), *files, capacity=128)
     out = packing.packed(pieces, capacity=128)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset"]
     got = out.toPandas()
@@ -198,7 +199,7 @@ def test_packing_of_documents(spark):
         full.setdefault(x.sequence_id, []).extend(x.ids)
     assert max(at.values()) <= 128 and len(at) <= packing.lower_bound(Counter(got.length.tolist()), 128) + 1
     assert {r.sequence_id: r.ids for r in packing.sequences(out).collect()} == full
-    assert packing.packed(packing.token_pieces(docs.limit(0), public_tokenizers.path("byte_bpe_50k.json"))).count() == 0
+    assert packing.packed(packing.token_pieces(docs.limit(0), *files)).count() == 0
     with pytest.raises(Exception, match="length is not within"):
         packing.packed(spark.createDataFrame([(5,), (200,)], "length long"), capacity=128)
 
