@@ -112,26 +112,37 @@ def chunks(title: Column, table: Column) -> Column:
 
 
 def segments(lines: Column, least: int = CHUNK) -> Column:
-    """array<struct<kind, body>>: tables of at least so many characters on their own, smaller ones with the prose around them."""
-    none = F.lit(None).cast("string")
-    state = F.struct(none.alias("prose"), none.alias("table"), F.array().cast("array<struct<kind:string,body:string>>").alias("out"))
+    """array<struct<kind, body>>: tables of at least so many characters on their own, smaller ones with the prose around them.
+
+    One pass over the lines keeps the ranges of segments only; bodies are joined once, from the lines.
+    """
     strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
-    made = lambda kind, body: F.array(F.struct(F.lit(kind).alias("kind"), body.alias("body")))
-    shown = lambda out, prose: F.when(F.coalesce(strip(prose), F.lit("")) != "", F.concat(out, made("prose", strip(prose)))).otherwise(out)
+    isrow = lambda x: F.trim(x).startswith("|")
+    none, empty = F.lit(-1), F.array().cast("array<struct<kind:string,low:int,high:int>>")
+    # prose and table: where the open ones begin, or -1; size: characters of the open table.
+    state = F.struct(none.alias("prose"), none.alias("table"), F.lit(0).alias("size"), F.lit(0).alias("at"), empty.alias("out"))
+    span = lambda kind, low, high: F.array(F.struct(F.lit(kind).alias("kind"), low.alias("low"), high.alias("high")))
+    now = lambda s, prose, table, size, at, out: F.struct(prose.alias("prose"), table.alias("table"), size.alias("size"), at.alias("at"), out.alias("out"))
+
+    def shown(s: Column, high: Column) -> Column:
+        return F.when(s["prose"] >= 0, F.concat(s["out"], span("prose", s["prose"], high))).otherwise(s["out"])
 
     def ended(s: Column) -> Column:
-        large = F.length(s["table"]) >= least
-        alone = F.struct(none.alias("prose"), none.alias("table"), F.concat(shown(s["out"], s["prose"]), made("table", s["table"])).alias("out"))
-        joined = F.struct(F.concat_ws("\n", s["prose"], s["table"]).alias("prose"), none.alias("table"), s["out"].alias("out"))
-        return F.when(s["table"].isNull(), s).when(large, alone).otherwise(joined)
+        alone = now(s, none, none, F.lit(0), s["at"], F.concat(shown(s, s["table"]), span("table", s["table"], s["at"])))
+        joined = now(s, F.when(s["prose"] >= 0, s["prose"]).otherwise(s["table"]), none, F.lit(0), s["at"], s["out"])
+        return F.when(s["table"] < 0, s).when(s["size"] >= least, alone).otherwise(joined)
 
     def step(s: Column, line: Column) -> Column:
-        row = F.trim(line).startswith("|")
-        more = F.struct(s["prose"].alias("prose"), F.concat_ws("\n", s["table"], F.trim(line)).alias("table"), s["out"].alias("out"))
-        after = lambda e: F.struct(F.concat_ws("\n", e["prose"], line).alias("prose"), none.alias("table"), e["out"].alias("out"))
-        return F.when(row, more).otherwise(_bound(ended(s), after))
-
-    return F.aggregate(lines, state, step, lambda s: _bound(ended(s), lambda e: shown(e["out"], e["prose"])))
+        size = F.length(F.trim(line)) + F.when(s["table"] >= 0, s["size"] + 1).otherwise(0)
+        more = now(s, s["prose"], F.when(s["table"] >= 0, s["table"]).otherwise(s["at"]), size, s["at"] + 1, s["out"])
+        after = lambda e: now(e, F.when(e["prose"] >= 0, e["prose"]).otherwise(e["at"]), none, F.lit(0), e["at"] + 1, e["out"])
+        return F.when(isrow(line), more).otherwise(_bound(ended(s), after))
+
+    spans = F.aggregate(lines, state, step, lambda s: _bound(ended(s), lambda e: shown(e, e["at"])))
+    clean = F.transform(lines, lambda x: F.when(isrow(x), F.trim(x)).otherwise(x))
+    body = lambda c, x: F.array_join(F.slice(c, x["low"] + 1, x["high"] - x["low"]), "\n")
+    made = _bound(clean, lambda c: F.transform(spans, lambda x: F.struct(x["kind"].alias("kind"), F.when(x["kind"] == "prose", strip(body(c, x))).otherwise(body(c, x)).alias("body"))))
+    return F.filter(made, lambda x: x["body"] != "")
 
 
 def section_chunks(lines: Column, least: int = CHUNK, size: int = 1000, overlap: int = 100) -> Column:

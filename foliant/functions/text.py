@@ -72,23 +72,22 @@ def emails(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"), F.lit(0)), lambda m: F.lower(m)))
 
 
-@F.pandas_udf(IntegerType())
-def common_length(a: pd.Series, b: pd.Series) -> pd.Series:
+def common_characters(x: str, y: str) -> int:
     """Length of the longest common subsequence of two strings: a row of the usual table is the bits of one number."""
+    masks: dict[str, int] = {}
+    for i, c in enumerate(y):
+        masks[c] = masks.get(c, 0) | 1 << i
+    full = row = (1 << len(y)) - 1
+    for c in x:
+        both = row & masks.get(c, 0)
+        row = ((row + both) | (row - both)) & full
+    return len(y) - row.bit_count()
+
 
-    def of(x: str | None, y: str | None) -> int | None:
-        if x is None or y is None:
-            return None
-        masks: dict[str, int] = {}
-        for i, c in enumerate(y):
-            masks[c] = masks.get(c, 0) | 1 << i
-        full = row = (1 << len(y)) - 1
-        for c in x:
-            both = row & masks.get(c, 0)
-            row = ((row + both) | (row - both)) & full
-        return len(y) - row.bit_count()
-
-    return pd.Series([of(x, y) for x, y in zip(a, b)], dtype="Int32")
+@F.pandas_udf(IntegerType())
+def common_length(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Length of the longest common subsequence of two strings; null if one is."""
+    return pd.Series([None if x is None or y is None else common_characters(x, y) for x, y in zip(a, b)], dtype="Int32")
 
 
 def ratio(a: Column, b: Column) -> Column:

@@ -11,19 +11,20 @@ from pyspark.sql.window import Window
 from foliant.tables import settled
 
 
-def numbered(rows: DataFrame, key: Column, *ties: str, name: str = "position", buckets: int = 256) -> DataFrame:
-    """The rows with their number, from 1, in order of a numeric key and then the ties' columns.
+def numbered(rows: DataFrame, key: Column, *ties: str, name: str = "position") -> DataFrame:
+    """The rows with their number, from 1, in order of a key and then the ties' columns, nulls last.
 
-    Quantiles of the key deal rows to buckets; rows are numbered within a bucket, and the counts of
-    the earlier buckets are added. What is summed in one place is a row for each bucket.
+    Rows are sorted by ranges of all these columns, so that many rows of one key are dealt out by the
+    others, and numbered within a range; the counts of the earlier ranges are added. What is summed
+    in one place is a row for each range.
     """
-    keyed = rows.withColumn("_key", key)
-    cuts = keyed.agg(F.percentile_approx("_key", [i / buckets for i in range(1, buckets)], F.lit(100 * buckets)).alias("_cuts"))
-    placed = keyed.join(F.broadcast(cuts)).withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col("_key")))).drop("_cuts")  # one row
-    counts = placed.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    before = counts.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_bucket").orderBy("_key", *ties))
-    return placed.withColumn("_within", within).join(F.broadcast(before), "_bucket").withColumn(name, F.col("_before") + F.col("_within")).drop("_key", "_bucket", "_within", "_before")
+    order = [F.col(c).asc_nulls_last() for c in ("_key", *ties)]
+    placed = settled(rows.withColumn("_key", key).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_range", F.shiftright("_at", 33))
+    counts = placed.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    within = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return placed.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + within).drop("_key", "_at", "_range", "_before")
 
 
 def repaired(returned: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -334,13 +334,16 @@ def crossover_valuation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", F.col("d").alias("discount"), F.round(F.col("o_totalprice") * ratio / (1 - F.col("d") / 100.0), 2).alias("valuation"))
 
 
-@query("""WITH d AS (SELECT o_orderkey, o_totalprice AS balance, o_totalprice * 3 AS cap, o_orderdate::DATE AS start FROM orders WHERE o_orderpriority = '1-URGENT'),
+@query("""WITH d AS (SELECT o_orderkey, o_totalprice AS balance, o_totalprice * 3 AS cap, o_orderdate::DATE AS start FROM orders),
 g AS (SELECT *, m AS months, v AS valuation, balance * (1 + 0.05::DOUBLE * ((start + to_months(m::INT))::DATE - start) / 365.0::DOUBLE) AS owed FROM d, (VALUES (12), (24), (36)) t(m), (VALUES (500000.0::DOUBLE), (1000000.0), (5000000.0)) u(v))
-SELECT o_orderkey, months::INT AS months, valuation, round(owed, 4) AS owed, round(least(cap, valuation * 0.8::DOUBLE) / 100000, 6) AS price, round(owed / (least(cap, valuation * 0.8::DOUBLE) / 100000), 6) AS shares FROM g""")
+SELECT o_orderkey, months::INT AS months, valuation, owed, least(cap, valuation * 0.8::DOUBLE) / 100000 AS price, owed / (least(cap, valuation * 0.8::DOUBLE) / 100000) AS shares FROM g""")
 def conversion_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A loan's conversion at three dates and three valuations: nine cells for each loan."""
-    o = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select("o_orderkey", "o_totalprice", F.to_date("o_orderdate").alias("start"))
+    """A loan's conversion at three dates and three valuations: nine cells for each loan.
+
+    Numbers are not rounded: shares of round amounts end in a five where engines would round differently.
+    """
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.to_date("o_orderdate").alias("start"))
     g = o.withColumn("months", F.explode(F.array(F.lit(12), F.lit(24), F.lit(36)))).withColumn("valuation", F.explode(F.array(F.lit(5e5), F.lit(1e6), F.lit(5e6))))
     owed = F.col("o_totalprice") * (1 + 0.05 * F.datediff(F.add_months("start", F.col("months")), "start") / 365.0)
     price = F.least(F.col("o_totalprice") * 3, F.col("valuation") * 0.8) / 100000
-    return g.select("o_orderkey", "months", "valuation", F.round(owed, 4).alias("owed"), F.round(price, 6).alias("price"), F.round(owed / price, 6).alias("shares"))
+    return g.select("o_orderkey", "months", "valuation", owed.alias("owed"), price.alias("price"), (owed / price).alias("shares"))

@@ -2,21 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from foliant.functions.text import common_length
-from foliant.operators.components import connected
+from foliant.functions.text import common_length, quote_key
 from foliant.plans.registry import query
-from foliant.tables import settled, table
-
-#: Score from which two records are one person.
-SAME = 85
+from foliant.tables import table
 
 
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,108 +28,6 @@ _PEOPLE = """people AS (SELECT p_partkey AS seq,
   FROM (SELECT *, string_split(p_name, ' ')[1] AS f, string_split(p_name, ' ')[-1] AS l, regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g') AS b FROM part))"""
 
 
-def sorted_words(name: Column) -> Column:
-    """Lower-case words in order, joined by blanks."""
-    return F.array_join(F.array_sort(F.filter(F.split(F.lower(name), r"\s+"), lambda w: w != "")), " ")
-
-
-def match_score(a: dict[str, Column], b: dict[str, Column]) -> Column:
-    """0 to 100 that two records are one person: profiles decide, then a shared address, then names, then names against addresses."""
-    ratio = lambda x, y: F.when((x == "") | (y == ""), 0.0).otherwise(F.round(200.0 * common_length(x, y) / (F.length(x) + F.length(y)), 6))
-    names = (a["full_name"] != "") & (b["full_name"] != "")
-    x, y = F.lower(a["full_name"]), F.lower(b["full_name"])
-    within = (x == y) | F.contains(x, y) | F.contains(y, x)
-    local = lambda p, q: F.when((p["full_name"] != "") & (q["email"] != ""), ratio(sorted_words(F.regexp_replace(F.lower(p["full_name"]), "[^a-z0-9]+", " ")), sorted_words(F.regexp_replace(F.substring_index(q["email"], "@", 1), r"[._+\-]+", " ")))).otherwise(0.0)
-    certain = lambda s: F.when(s >= 90, s).otherwise(0.0)
-    named = ratio(sorted_words(a["full_name"]), sorted_words(b["full_name"]))
-    mailed = F.greatest(certain(local(a, b)), certain(local(b, a)))
-    return (
-        F.when((a["profile"] != "") & (b["profile"] != ""), F.when(a["profile"] == b["profile"], 100.0).otherwise(0.0))
-        .when((a["email"] != "") & (a["email"] == b["email"]), 100.0).when(names & within, 100.0).when(names & (named > 0), named).otherwise(mailed)
-    )
-
-
-def blocks(p: DataFrame) -> DataFrame:
-    """Records with the keys that possible matches share: profile, address, two of the name's or address's words."""
-    words = F.array_sort(F.array_distinct(F.filter(F.split(F.concat_ws(" ", F.lower("full_name"), F.regexp_replace(F.substring_index("email", "@", 1), r"[._+\-]+", " ")), r"[^a-z0-9]+"), lambda w: F.length(w) > 1)))
-    pairs = F.flatten(F.transform(words, lambda w, i: F.transform(F.filter(words, lambda _, j: j > i), lambda v: F.concat_ws(" ", w, v))))
-    keys = F.concat(F.when(F.col("profile") != "", F.array(F.concat(F.lit("p:"), "profile"))).otherwise(F.array().cast("array<string>")), F.when(F.col("email") != "", F.array(F.concat(F.lit("m:"), "email"))).otherwise(F.array().cast("array<string>")), pairs)
-    return p.withColumn("block", F.explode(keys))
-
-
-def scored_pairs(p: DataFrame) -> DataFrame:
-    """a, b, score of records that share a block (a before b); distinct kinds of records meet, not every record.
-
-    Equal records (but for seq) are taken once, so a frequent name does not pair its holders with each other.
-    """
-    kinds = settled(p.groupBy("full_name", "profile", "email").agg(F.min("seq").alias("seq")))
-    keyed = blocks(kinds)
-    other = keyed.select("block", *[F.col(c).alias(f"o_{c}") for c in ("seq", "full_name", "profile", "email")])
-    met = keyed.join(other, "block").where("seq < o_seq").drop("block").distinct()
-    side = lambda pre: {c: F.col(pre + c) for c in ("full_name", "profile", "email")}
-    return met.select(F.col("seq").alias("a"), F.col("o_seq").alias("b"), match_score(side(""), side("o_")).alias("score"))
-
-
-_KINDS = "kinds AS (SELECT full_name, profile, email, min(seq) AS seq, count(*) AS n FROM people GROUP BY ALL)"
-_BLOCKED = f"""{_PEOPLE}, {_KINDS}, worded AS (SELECT *, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(full_name) || ' ' || regexp_replace(string_split(email, '@')[1], '[._+\\-]+', ' ', 'g'), '[^a-z0-9]+'), lambda w: length(w) > 1))) AS ws FROM kinds),
-keyed AS (SELECT seq, full_name, profile, email, unnest(list_concat(CASE WHEN profile <> '' THEN ['p:' || profile] ELSE [] END, CASE WHEN email <> '' THEN ['m:' || email] ELSE [] END,
-  flatten(list_transform(range(1, len(ws) + 1), lambda i: list_transform(ws[i + 1:], lambda v: ws[i] || ' ' || v))))) AS block FROM worded),
-met AS (SELECT DISTINCT x.seq AS a, y.seq AS b, x.full_name AS n1, x.profile AS p1, x.email AS e1, y.full_name AS n2, y.profile AS p2, y.email AS e2 FROM keyed x JOIN keyed y ON x.block = y.block AND x.seq < y.seq)"""
-
-
-def _lcs(a: str, b: str) -> str:
-    return f"""CASE WHEN {a} = '' OR {b} = '' THEN 0 ELSE round(200.0::DOUBLE * list_reduce(string_split({a}, ''), lambda line, c: list_reduce(range(1, length({b}) + 1), lambda made, j: list_append(made,
-      CASE WHEN {b}[j] = c THEN line[j] + 1 ELSE greatest(line[j + 1], made[-1]) END), [0::BIGINT]), list_resize([]::BIGINT[], length({b}) + 1, 0))[-1] / (length({a}) + length({b})), 6) END"""
-
-
-_SCORED = f"""{_BLOCKED}, side AS (SELECT *, array_to_string(list_sort(list_filter(regexp_split_to_array(lower(n1), '\\s+'), lambda w: w <> '')), ' ') AS w1, array_to_string(list_sort(list_filter(regexp_split_to_array(lower(n2), '\\s+'), lambda w: w <> '')), ' ') AS w2,
-  array_to_string(list_sort(list_filter(regexp_split_to_array(regexp_replace(lower(n1), '[^a-z0-9]+', ' ', 'g'), '\\s+'), lambda w: w <> '')), ' ') AS s1, array_to_string(list_sort(list_filter(regexp_split_to_array(regexp_replace(lower(n2), '[^a-z0-9]+', ' ', 'g'), '\\s+'), lambda w: w <> '')), ' ') AS s2,
-  array_to_string(list_sort(list_filter(regexp_split_to_array(regexp_replace(string_split(e1, '@')[1], '[._+\\-]+', ' ', 'g'), '\\s+'), lambda w: w <> '')), ' ') AS l1, array_to_string(list_sort(list_filter(regexp_split_to_array(regexp_replace(string_split(e2, '@')[1], '[._+\\-]+', ' ', 'g'), '\\s+'), lambda w: w <> '')), ' ') AS l2 FROM met),
-ratio AS (SELECT *, {_lcs('w1', 'w2')} AS named, {_lcs('s1', 'l2')} AS m1, {_lcs('s2', 'l1')} AS m2 FROM side),
-pair AS (SELECT a, b, CASE WHEN p1 <> '' AND p2 <> '' THEN CASE WHEN p1 = p2 THEN 100.0 ELSE 0 END WHEN e1 <> '' AND e1 = e2 THEN 100
-  WHEN n1 <> '' AND n2 <> '' AND (contains(lower(n1), lower(n2)) OR contains(lower(n2), lower(n1))) THEN 100 WHEN n1 <> '' AND n2 <> '' AND named > 0 THEN named
-  ELSE greatest(CASE WHEN m1 >= 90 THEN m1 ELSE 0 END, CASE WHEN m2 >= 90 THEN m2 ELSE 0 END) END::DOUBLE AS score FROM ratio)"""
-
-
-@query(f"WITH {_SCORED} SELECT a, b, round(score, 4) AS score FROM pair")
-def person_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of all records that may be one person."""
-    return scored_pairs(people(spark, sf_dir)).withColumn("score", F.round("score", 4))
-
-
-@query(f"WITH {_SCORED}, mutual AS (SELECT a AS one, b AS other, score FROM pair UNION ALL SELECT b, a, score FROM pair) SELECT one, other, round(score, 4) AS score FROM mutual WHERE score >= 85 QUALIFY row_number() OVER (PARTITION BY one ORDER BY score DESC, other) = 1")
-def person_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best match of every record from the threshold on; ties to the earlier record."""
-    pairs = scored_pairs(people(spark, sf_dir)).where(F.col("score") >= SAME)
-    both = pairs.select(F.col("a").alias("one"), F.col("b").alias("other"), "score").union(pairs.select("b", "a", "score"))
-    best = both.groupBy("one").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("other").alias("o"))).alias("m"))
-    return best.select("one", F.col("m.o").alias("other"), F.round(-F.col("m.s"), 4).alias("score"))
-
-
-def merged(p: DataFrame) -> DataFrame:
-    """person, members, full_name, profile, email: records folded into people.
-
-    Records that match are linked and links joined; of what a person's records hold the longest
-    name (the earliest of equals), the first profile and the first address stay. Equal records join
-    their first one before, so a person's group is of distinct records.
-    """
-    links = scored_pairs(p).where(F.col("score") >= SAME).select("a", "b")
-    kinds = p.groupBy("full_name", "profile", "email").agg(F.min("seq").alias("seq"), F.count("*").alias("n"))
-    joined = kinds.join(connected(links), kinds["seq"] == F.col("node"), "left").withColumn("person", F.coalesce("component", "seq"))
-    first = lambda c: F.min(F.when(F.col(c) != "", F.struct("seq", F.col(c).alias("v"))))["v"]
-    longest = F.min(F.when(F.col("full_name") != "", F.struct((-F.length("full_name")).alias("l"), "seq", "full_name")))["full_name"]
-    return joined.groupBy("person").agg(F.sum("n").alias("members"), F.coalesce(longest, F.lit("")).alias("full_name"), F.coalesce(first("profile"), F.lit("")).alias("profile"), F.coalesce(first("email"), F.lit("")).alias("email"))
-
-
-@query(f"""WITH RECURSIVE {_SCORED}, link AS (SELECT a, b FROM pair WHERE score >= 85 UNION SELECT b, a FROM pair WHERE score >= 85),
-reach(a, b) USING KEY (a) AS (SELECT seq, seq FROM kinds UNION SELECT l.a, min(r.b) FROM reach r JOIN link l ON l.b = r.a JOIN recurring.reach o ON o.a = l.a WHERE r.b < o.b GROUP BY l.a)
-SELECT person, sum(n)::BIGINT AS members, coalesce(arg_min(full_name, (-length(full_name), seq)) FILTER (full_name <> ''), '') AS full_name, coalesce(arg_min(profile, seq) FILTER (profile <> ''), '') AS profile, coalesce(arg_min(email, seq) FILTER (email <> ''), '') AS email
-FROM (SELECT k.*, r.b AS person FROM kinds k JOIN reach r ON r.a = k.seq) GROUP BY person""")
-def person_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All records merged into people."""
-    return merged(people(spark, sf_dir))
-
-
 @query(f"""WITH {_PEOPLE}, r AS (SELECT * FROM people WHERE seq % 2 = 0), m AS (SELECT * FROM people WHERE seq % 2 = 1),
 hits AS (SELECT r.seq, 1 AS level, count(*) AS n, min(m.seq) AS found FROM r JOIN m ON r.email <> '' AND r.email = m.email GROUP BY r.seq
   UNION ALL SELECT r.seq, 2, count(*), min(m.seq) FROM r JOIN m ON r.profile <> '' AND r.profile = m.profile GROUP BY r.seq
@@ -173,23 +62,26 @@ def unique_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.where((F.col("n") == 1) & (F.col("full") | (F.contains("phrase", F.lit(" ")) & (F.length(F.regexp_replace("phrase", "[^a-z]", "")) >= 8)))).select("phrase", "name")
 
 
-#: Names of personal records in files (fixed values).
-PERSONAL = ("cv", "curriculum vitae", "resume", "passport", "id card", "diploma", "certificate", "reference letter", "work permit")
+#: Words of personal records in the names of files (fixed values).
+PERSONAL = (
+    r"\bcvs?\b", r"\bcurriculum vitae\b", r"\bresumes?\b", r"\bpassports?\b", r"\b(?:id|identity) cards?\b", r"\bcriminal records?\b",
+    r"\bemployment records?\b", r"\breference letters?\b", r"\brecommendation letters?\b",
+)
 
 
-@query("""WITH f AS (SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'linkedin/' WHEN 1 THEN 'Team\\' ELSE 'files/' END || replace(p_name, ' ', '_') || '-' || ['CV', 'passport scan', 'Pitch', 'Work Permit', 'resumé notes', 'cvx'][p_size % 6 + 1] || '.pdf' AS file, p_name FROM part),
+@query("""WITH f AS (SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'linkedin/' WHEN 1 THEN 'Team\\' ELSE 'files/' END || replace(p_name, ' ', '_') || '-' || ['CV', 'passports scan', 'Pitch', 'Identity Card', 'resume notes', 'cvx'][p_size % 6 + 1] || '.pdf' AS file, p_name FROM part),
 s AS (SELECT *, string_split(trim(regexp_replace(lower(string_split(replace(file, '\\', '/'), '/')[-1]), '[^a-z0-9]+', ' ', 'g')), ' ') AS t, string_split(p_name, ' ') AS n FROM f)
-SELECT p_partkey, starts_with(replace(file, '\\', '/'), 'linkedin/') AS from_profile, regexp_matches(array_to_string(t, ' '), '\\b(cv|curriculum vitae|resume|passport|id card|diploma|certificate|reference letter|work permit)\\b') AS personal,
+SELECT p_partkey, starts_with(replace(file, '\\', '/'), 'linkedin/') AS from_profile, regexp_matches(array_to_string(t, ' '), '""" + "|".join(PERSONAL) + """') AS personal,
   contains(' ' || array_to_string(t, ' ') || ' ', ' ' || p_name || ' ') OR (list_contains(t, n[-1]) AND (list_contains(t, n[1]) OR list_contains(t, substr(n[1], 1, 1)))) AS names_person FROM s""")
 def file_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of file names: from the profile folder, a personal record, naming the person (surname with first name or initial)."""
     folder = F.when(F.col("p_size") % 5 == 0, "linkedin/").when(F.col("p_size") % 5 == 1, "Team\\").otherwise("files/")
-    kind = F.element_at(F.array(*[F.lit(x) for x in ("CV", "passport scan", "Pitch", "Work Permit", "resumé notes", "cvx")]), (F.col("p_size") % 6 + 1).cast("int"))
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("CV", "passports scan", "Pitch", "Identity Card", "resume notes", "cvx")]), (F.col("p_size") % 6 + 1).cast("int"))
     f = table(spark, sf_dir, "part").select("p_partkey", "p_name", F.replace(F.concat(folder, F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("-"), kind, F.lit(".pdf")), F.lit("\\"), F.lit("/")).alias("file"))
     t = f.withColumn("t", F.trim(F.regexp_replace(F.lower(F.substring_index("file", "/", -1)), "[^a-z0-9]+", " "))).withColumn("w", F.split("t", " "))
     first, last = F.substring_index("p_name", " ", 1), F.substring_index("p_name", " ", -1)
     named = F.contains(F.concat(F.lit(" "), "t", F.lit(" ")), F.concat(F.lit(" "), "p_name", F.lit(" "))) | (F.array_contains("w", last) & (F.array_contains("w", first) | F.array_contains("w", F.substring(first, 1, 1))))
-    return t.select("p_partkey", F.col("file").startswith("linkedin/").alias("from_profile"), F.col("t").rlike(r"\b(" + "|".join(PERSONAL) + r")\b").alias("personal"), named.alias("names_person"))
+    return t.select("p_partkey", F.col("file").startswith("linkedin/").alias("from_profile"), F.col("t").rlike("|".join(PERSONAL)).alias("personal"), named.alias("names_person"))
 
 
 @query("""SELECT p_partkey, lower('Notes/' || p_name || '.md') AS path, list_sort(list_distinct([lower('Notes/' || p_name || '.md'), lower(p_name || '.md'), lower('Notes/' || p_name), lower(p_name)])) AS aliases FROM part""".replace("list_sort(list_distinct(", "array_to_string(list_sort(list_distinct(").replace(")])) AS aliases", ")])), ';') AS aliases"))
@@ -201,27 +93,22 @@ def path_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", path.alias("path"), aliases.alias("aliases"))
 
 
-def _closest(frames: Iterator[pd.DataFrame], cutoff: float = 0.6) -> Iterator[pd.DataFrame]:
-    """id, line, ratio: of each fragment the most similar of its lines by matching blocks, the first of equals."""
-    from difflib import SequenceMatcher
+def closest_lines(fragments: DataFrame, cutoff: int = 60) -> DataFrame:
+    """id, line, score for id, fragment, lines (array): the line most like the fragment, the first of equals, from a score on.
 
-    for frame in frames:
-        out = []
-        for row in frame.itertuples():
-            best = max(((SequenceMatcher(None, x, row.fragment).ratio(), -i) for i, x in enumerate(row.lines)), default=(0.0, 0))
-            if best[0] >= cutoff:
-                out.append((row.id, row.lines[-best[1]], float(np.round(best[0], 6))))
-        yield pd.DataFrame(out, columns=["id", "line", "ratio"])
-
-
-def closest_lines(fragments: DataFrame) -> DataFrame:
-    """id, line, ratio for id, fragment, lines (array): the closest line from a ratio of 0.6 on."""
-    return fragments.mapInPandas(_closest, "id bigint, line string, ratio double")
+    Letters and digits are compared, in whole lines. Score: twice their longest common subsequence
+    over both lengths, 0 to 100. Each line is a row; one whose length alone misses the cutoff is not compared.
+    """
+    each = fragments.select("id", quote_key(F.col("fragment")).alias("key"), F.posexplode("lines").alias("at", "line")).withColumn("own", quote_key(F.col("line")))
+    total = F.length("key") + F.length("own")
+    near = each.where((F.col("key") != "") & (F.col("own") != "") & (200 * F.least(F.length("key"), F.length("own")) >= cutoff * total))
+    scored = near.withColumn("common", common_length.asNondeterministic()("key", "own")).where(200 * F.col("common") >= cutoff * total)
+    best = scored.groupBy("id").agg(F.min(F.struct((-200.0 * F.col("common") / total).alias("s"), "at", F.trim("line").alias("line"))).alias("m"))
+    return best.select("id", "m.line", F.round(-F.col("m.s"), 6).alias("score"))
 
 
 @query()
 def closest_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The line of each document that is closest to its first line with a letter lost."""
-    lines = F.split("text", "\n")
-    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), F.concat(F.substring(F.get(lines, F.lit(0)), 1, 20), F.substring(F.get(lines, F.lit(0)), 22, 60)).alias("fragment"), F.transform(lines, lambda x: F.substring(x, 1, 80)).alias("lines"))
-    return closest_lines(d)
+    """Of each document the line that is most like its last one."""
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), F.split(F.trim("text"), "\n").alias("lines"))
+    return closest_lines(d.select("id", F.element_at("lines", -1).alias("fragment"), F.slice("lines", F.lit(1), F.size("lines") - 1).alias("lines")))

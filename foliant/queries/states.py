@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliant.operators.components import connected
+from foliant.operators.ranking import numbered
 from foliant.plans.registry import query
 from foliant.tables import table
 
@@ -390,11 +391,11 @@ def quoted_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select("s_suppkey", F.lit(True).alias("present"), (matched == F.size(q)).alias("subsequence"))
 
 
-@query("""SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_totalprice DESC, o_orderkey)::INT AS position FROM orders WHERE o_orderstatus <> 'P'""")
+@query("""SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS bytes, row_number() OVER (ORDER BY octet_length(encode(coalesce(text, ''))), source NULLS LAST, doc_id)::BIGINT AS position FROM documents""")
 def conversion_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A lender's loans in the order in which they convert: by date, larger ones first."""
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", F.desc("o_totalprice"), "o_orderkey")
-    return table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select("o_orderkey", F.row_number().over(w).alias("position"))
+    """Documents in the order in which they are converted: smaller ones first, then by source and number."""
+    size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    return numbered(table(spark, sf_dir, "documents").select("doc_id", "source", size.alias("bytes")), F.col("bytes"), "source", "doc_id").select("doc_id", "bytes", "position")
 
 
 @query("""WITH r AS (SELECT p_type AS rule, bool_or(p_size > 48) AS active, count(*) FILTER (p_size < 3) > 0 AS approved FROM part GROUP BY 1) SELECT rule, active, approved, active AND NOT approved AS invalid FROM r""")

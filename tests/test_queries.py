@@ -11,8 +11,8 @@ from foliant.tables import NAMES
 def rows(records, columns):
     def plain(x):
         if isinstance(x, float):
-            return round(x, 5) + 0.0
-        return round(float(x), 5) if type(x).__name__ == "Decimal" else str(x) if hasattr(x, "isoformat") else x
+            return float(f"{x:.12g}") + 0.0
+        return float(f"{float(x):.12g}") if type(x).__name__ == "Decimal" else str(x) if hasattr(x, "isoformat") else x
 
     return sorted(repr([plain(r[c]) for c in columns]) for r in records)
 
