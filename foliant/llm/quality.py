@@ -29,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import released, written
+from .words import slices
 
 BUCKETS = 1 << 18
 TRAIN_ROWS = 24_000
@@ -178,7 +179,7 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int = 3, rows: int = TRAIN_
             which, share = pa.array([w.astype(np.int32) for w, _ in found], pa.list_(pa.int32())), pa.array([d.astype(np.float32) for _, d in found], pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), which, share], names=["doc_id", "rating", "which", "share"])
 
-    table = sample(docs, valid, rows).select(F.col("doc_id").cast("long"), "text", "rating").mapInArrow(run, "doc_id bigint, rating int, which array<int>, share array<float>")
+    table = sample(docs, valid, rows).select(F.col("doc_id").cast("long"), "text", "rating").mapInArrow(released(run), "doc_id bigint, rating int, which array<int>, share array<float>")
     table = written(table, "features")
     count, chosen = _screened(table, grades)
     if np.count_nonzero(count) < 2:
@@ -214,7 +215,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         presence, density, cuts = shared.value
-        for batch in batches:
+        for batch in slices(batches, 1):
             linear = np.empty(len(batch))
             for i, text in enumerate(batch.column(1).cast(pa.large_binary())):
                 which, share = features(text.as_py() or b"")
@@ -222,7 +223,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             tails = 1 - _sigmoid(cuts[None, :] - linear[:, None])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tails.sum(axis=1)), pa.array(list(tails), pa.list_(pa.float64()))], names=["doc_id", "expected", "tails"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id bigint, expected double, tails array<double>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(run), "doc_id bigint, expected double, tails array<double>")
 
 
 def rating(quality: Column, toxic: Column) -> Column:
