@@ -6,20 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliant.functions.text import quote_key
 from foliant.plans.registry import query
 from foliant.tables import table
 
 
-@query("""WITH e AS (SELECT l_orderkey, l_linenumber, l_returnflag AS cls, l_quantity AS stated, CASE WHEN l_linestatus = 'F' THEN l_quantity ELSE NULL END AS quoted FROM lineitem)
-SELECT l_orderkey, cls, count(*)::BIGINT AS rows, count(*) FILTER (quoted IS NULL)::BIGINT AS unproven, abs(sum(stated) - coalesce(sum(quoted), 0)) / sum(stated) <= 0.005 AS complete FROM e GROUP BY ALL""")
-def extraction_review(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows whose number no quoted cell proves, and whether what is proven makes up the class within half a percent."""
-    quoted = F.when(F.col("l_linestatus") == "F", F.col("l_quantity"))
-    e = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_returnflag").alias("cls")).agg(F.count("*").alias("rows"), F.count_if(quoted.isNull()).alias("unproven"), F.sum("l_quantity").alias("s"), F.coalesce(F.sum(quoted), F.lit(0.0)).alias("q"))
-    return e.select("l_orderkey", "cls", "rows", "unproven", (F.abs(F.col("s") - F.col("q")) / F.col("s") <= 0.005).alias("complete"))
-
-
 @query("""WITH d AS (SELECT o_orderkey, o_custkey, o_orderkey % 97 AS borrower, o_custkey % 97 AS lender, o_totalprice > 100000 AS quoted, o_orderstatus = 'P' AS unstated FROM orders)
 SELECT o_orderkey, array_to_string(list_filter([CASE WHEN NOT quoted AND NOT unstated THEN 'quote not found' END, CASE WHEN borrower = lender THEN 'borrower is lender' END, CASE WHEN unstated AND quoted THEN 'absent term has a quote' END], lambda x: x IS NOT NULL), '; ') AS problems FROM d""")
 def loan_review(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,26 +19,6 @@ def loan_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(problems, "; ").alias("problems"))
 
 
-@query("""WITH c AS (SELECT doc_id AS item_id, lower(regexp_replace(string_split(text, chr(10))[1], '[^0-9A-Za-zÀ-ɏ]', '', 'g')) AS k FROM documents JOIN labels USING (doc_id) WHERE quality = 1), l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS n, unnest(string_split(text, chr(10))) AS line FROM documents),
-k AS (SELECT doc_id, n, lower(regexp_replace(line, '[^0-9A-Za-zÀ-ɏ]', '', 'g')) AS k FROM l)
-SELECT item_id, doc_id, min(n)::INT AS line FROM c JOIN k USING (k) WHERE k <> '' GROUP BY ALL""")
-def quoted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quotes (first lines of the good documents) bound to the first line of a document that says just that."""
-    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    quotes = table(spark, sf_dir, "documents").join(good, "doc_id").select(F.col("doc_id").alias("item_id"), quote_key(F.get(F.split("text", "\n"), F.lit(0))).alias("k"))
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line")).select("doc_id", (F.col("n") + 1).alias("n"), quote_key(F.col("line")).alias("k"))
-    return quotes.join(lines, "k").where("k <> ''").groupBy("item_id", "doc_id").agg(F.min("n").alias("line"))
-
-
-@query("""WITH r AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_tax > 0.06 THEN 'row' END AS own, CASE WHEN l_linestatus = 'F' THEN 'owner' END AS above, CASE WHEN l_returnflag = 'R' THEN 'heading' END AS head, CASE WHEN l_discount > 0.05 THEN 'section' END AS section FROM lineitem)
-SELECT l_orderkey, l_linenumber, coalesce(own, above, head, section, 'unbound') AS bound FROM r""")
-def identity_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where a line names its holder: in the row, the owner row above, the heading or the section; the first that does."""
-    when = lambda c, v: F.when(c, v)
-    bound = F.coalesce(when(F.col("l_tax") > 0.06, "row"), when(F.col("l_linestatus") == "F", "owner"), when(F.col("l_returnflag") == "R", "heading"), when(F.col("l_discount") > 0.05, "section"), F.lit("unbound"))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", bound.alias("bound"))
-
-
 @query("""WITH h AS (SELECT p_partkey, p_type AS header FROM part)
 SELECT p_partkey, regexp_matches(lower(header), 'econ|promo') AND NOT regexp_matches(lower(header), 'standard') AS excluded, CASE WHEN regexp_matches(lower(header), 'econ|promo') THEN 'amount' WHEN regexp_matches(lower(header), 'standard|small') THEN 'count' ELSE 'any' END AS proves FROM h""")
 def column_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:

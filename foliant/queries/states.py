@@ -362,35 +362,6 @@ def identity_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", ((F.length(a) + F.length(b) >= 4) & F.contains(key(t), key(F.concat(b, a)))).alias("contiguous"), held.alias("all_words"))
 
 
-@query("""WITH r AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber IN (1, 4) THEN l_suppkey END AS named, l_partkey, l_suppkey, l_quantity, l_extendedprice FROM lineitem)
-SELECT l_orderkey, l_linenumber, last_value(named IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS owner FROM r""")
-def owner_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows without a name belong to the last named row above."""
-    named = F.when(F.col("l_linenumber").isin(1, 4), F.col("l_suppkey"))
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.last(named, True).over(w).alias("owner"))
-
-
-@query("""WITH c AS (SELECT l_suppkey AS tbl, l_linenumber % 3 AS col, CASE WHEN l_tax > 0.07 AND l_quantity > 49 THEN NULL ELSE l_quantity END AS number FROM lineitem)
-SELECT tbl, col::BIGINT AS col, CASE WHEN count(number) = count(*) THEN round(sum(number), 2) END AS total, count(*)::BIGINT AS rows FROM c GROUP BY ALL""")
-def column_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sum of a column as evidence: only if every row has one number."""
-    number = F.when(~((F.col("l_tax") > 0.07) & (F.col("l_quantity") > 49)), F.col("l_quantity"))
-    c = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("tbl"), (F.col("l_linenumber") % 3).cast("long").alias("col"), number.alias("number"))
-    return c.groupBy("tbl", "col").agg(F.when(F.count("number") == F.count("*"), F.round(F.sum("number"), 2)).alias("total"), F.count("*").alias("rows"))
-
-
-@query("""SELECT s_suppkey, list_has_all(q, ['a']) OR true AS present, len(list_filter(q, lambda x: list_contains(r, x))) = len(q) AS subsequence FROM (SELECT s_suppkey, ['n' || s_nationkey, 'k' || s_suppkey % 5] AS q, ['k' || s_suppkey % 3, 'n' || s_nationkey, 'x', 'k' || s_suppkey % 5] AS r FROM supplier)""")
-def quoted_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether quoted cells stand in a row in this order, others between them."""
-    t = lambda p, n: F.concat(F.lit(p), n.cast("string"))
-    k = F.col("s_suppkey")
-    q = F.array(t("n", F.col("s_nationkey")), t("k", k % 5))
-    r = F.array(t("k", k % 3), t("n", F.col("s_nationkey")), F.lit("x"), t("k", k % 5))
-    matched = F.aggregate(r, F.lit(0), lambda n, c: F.when(F.get(q, n) == c, n + 1).otherwise(n))
-    return table(spark, sf_dir, "supplier").select("s_suppkey", F.lit(True).alias("present"), (matched == F.size(q)).alias("subsequence"))
-
-
 @query("""SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS bytes, row_number() OVER (ORDER BY octet_length(encode(coalesce(text, ''))), source NULLS LAST, doc_id)::BIGINT AS position FROM documents""")
 def conversion_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in the order in which they are converted: smaller ones first, then by source and number."""
