@@ -187,16 +187,14 @@ def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select("conv_id", "turn", total.alias("cum_chars")).where("cum_chars <= 2000")
 
 
-@query("""SELECT k, least(400, greatest(k, (k * 4.0)::INT))::INT AS candidates, greatest(1, round_even(k * 0.4, 0))::INT AS per_document,
-  greatest(6000, floor(k * 1000 * 3 * 0.72))::INT AS context_chars FROM range(1, 151) t(k)""")
+@query("""WITH c AS (SELECT conv_id, count(*) AS k, sum(length(coalesce(text, ''))) AS ctx FROM conversations GROUP BY conv_id)
+SELECT conv_id, least(400, greatest(k, k * 4))::INT AS candidates, greatest(1, round_even(k * 0.4, 0))::INT AS per_document, greatest(6000, (ctx * 54) // 25)::BIGINT AS context_chars FROM c""")
 def retrieval_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidate limit, cap per document and context budget for each requested width."""
-    k = F.col("id").alias("k")
-    return spark.range(1, 151).select(
-        k, F.least(F.lit(400), F.greatest(F.col("id"), (F.col("id") * 4.0).cast("int"))).cast("int").alias("candidates"),
-        F.greatest(F.lit(1), F.bround(F.col("id") * F.lit(0.4).cast("decimal(3,1)"), 0)).cast("int").alias("per_document"),
-        F.greatest(F.lit(6000), F.floor(F.col("id") * 1000 * 3 * F.lit(0.72).cast("decimal(3,2)"))).cast("int").alias("context_chars"),
-    )
+    """Of each conversation, asked for as many chunks as it has turns and with as many tokens as it has characters: candidates, cap per document, context budget (0.72 of three characters a token)."""
+    k, ctx = F.col("k"), F.col("ctx")
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("k"), F.sum(F.length(F.coalesce("text", F.lit("")))).alias("ctx"))
+    per = F.greatest(F.lit(1), F.bround(k * F.lit(0.4).cast("decimal(3,1)"), 0)).cast("int")
+    return c.select("conv_id", F.least(F.lit(400), F.greatest(k, k * 4)).cast("int").alias("candidates"), per.alias("per_document"), F.greatest(F.lit(6000), F.floor(ctx * 54 / 25)).cast("long").alias("context_chars"))
 
 
 @query("""WITH ranked AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nth, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
