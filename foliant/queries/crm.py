@@ -145,21 +145,3 @@ def person_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat(F.lit("| "), "p_name", F.lit(" | "), F.lower(F.replace("p_name", F.lit(" "), F.lit("."))), F.lit("@x.org | "), "p_brand", F.lit(" |"))
     rows = table(spark, sf_dir, "part").select("p_partkey", F.map_from_arrays(F.transform(head, lambda h: slug(h)), cells(line)).alias("m"))
     return rows.select("p_partkey", F.col("m")["name"].alias("full_name"), F.col("m")["e-mail"].alias("email"), F.col("m")["brand"].alias("extra"))
-
-
-@query("""SELECT event_id, (json_extract(props, '$.k')::BIGINT > 50) AS too_large, CASE WHEN json_extract(props, '$.k')::BIGINT > 50 THEN '$.k: above 50' ELSE '' END AS problem FROM events""")
-def schema_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Payloads against a schema: the path of what is wrong."""
-    k = F.from_json("props", "k BIGINT")["k"]
-    problem = F.when(k.isNull(), "$.k: not a number").when(k > 50, "$.k: above 50").otherwise("")
-    return table(spark, sf_dir, "events").select("event_id", (k > 50).alias("too_large"), problem.alias("problem"))
-
-
-@query("""SELECT event_id, to_json({'k': json_extract(props, '$.k')::BIGINT, 'name': 'u' || user_id})::VARCHAR AS cleaned FROM events""")
-def payload_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Profile payloads without pictures, references, empty values and links; what is left by key."""
-    raw = F.map_from_entries(F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in (("name", F.concat(F.lit("u"), F.col("user_id").cast("string"))), ("entityUrn", F.lit("urn:x")), ("pictureUrl", F.lit("https://x/y")), ("about", F.lit("")), ("k", F.get_json_object("props", "$.k")))]))
-    dropped = lambda k, v: F.lower(k).rlike("image|picture|urn|multilocale|network") | v.isNull() | (F.trim(v) == "") | v.rlike("^https?://")
-    kept = F.map_filter("raw", lambda k, v: ~dropped(k, v))
-    e = table(spark, sf_dir, "events").select("event_id", raw.alias("raw")).select("event_id", kept.alias("m"))
-    return e.select("event_id", F.to_json(F.struct(F.col("m")["k"].cast("long").alias("k"), F.col("m")["name"].alias("name"))).alias("cleaned"))
