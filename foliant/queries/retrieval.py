@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from foliant.functions.text import STOPWORDS, tokens
 from foliant.operators.search import cosine_top_k
 from foliant.plans.registry import query
-from foliant.tables import table
+from foliant.tables import settled, table
 
 #: BM25: saturation, length share, fixed average length in tokens.
 K1, B, AVERAGE = 1.2, 0.75, 120.0
@@ -26,17 +26,16 @@ _WEIGHT_SQL = f"""weights AS (
   FROM (SELECT doc_id, term, count(*)::DOUBLE AS tf FROM tok GROUP BY ALL) JOIN (SELECT doc_id, count(*)::DOUBLE AS n FROM tok GROUP BY ALL) USING (doc_id))"""
 
 
-def document_weights(docs: DataFrame) -> DataFrame:
-    """doc_id, term, weight: BM25 document weights, without the collection's share.
+def _weighed(each: DataFrame) -> DataFrame:
+    """doc_id, term, weight of rows (doc_id, n: tokens of the document, term), one for each occurrence."""
+    counted = each.groupBy("doc_id", "n", "term").agg(F.count("*").cast("double").alias("tf"))
+    return counted.select("doc_id", "term", (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n").cast("double") / AVERAGE))).alias("weight"))
 
-    A document's terms are sorted and its runs of equal ones counted within the row: no shuffle.
-    """
-    held = docs.select("doc_id", F.array_sort(tokens(F.col("text"))).alias("t"))
-    starts = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
-    runs = held.where(F.size("t") > 0).select("doc_id", "t", starts.alias("s"))
-    term = F.transform("s", lambda i, k: F.struct(F.get("t", i).alias("term"), (F.coalesce(F.get("s", k + 1), F.size("t")) - i).cast("double").alias("tf")))
-    counted = runs.select("doc_id", F.size("t").cast("double").alias("n"), F.explode(term).alias("w")).select("doc_id", "n", "w.*")
-    return counted.select("doc_id", "term", (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / AVERAGE))).alias("weight"))
+
+def document_weights(docs: DataFrame) -> DataFrame:
+    """doc_id, term, weight: BM25 document weights, without the collection's share. A text is tokenised once, its tokens counted before they are shuffled."""
+    held = docs.select("doc_id", tokens(F.col("text")).alias("t"))
+    return _weighed(held.select("doc_id", F.size("t").alias("n"), F.explode("t").alias("term")))
 
 
 @query(f"WITH {TOKENS_SQL} SELECT doc_id, count(*)::BIGINT AS n_tokens, count(DISTINCT term)::BIGINT AS n_distinct FROM tok GROUP BY doc_id")
@@ -58,11 +57,14 @@ def asked_terms(spark: SparkSession, queries: tuple[tuple[int, str], ...] = QUER
 def bm25_scores(docs: DataFrame, asked: DataFrame) -> DataFrame:
     """query, doc_id, score of all documents that share a term with a query (asked: query, term).
 
-    One pass makes the weights in each document's row; only postings of asked terms go on.
+    One pass over the texts writes each document's number of tokens and its occurrences of asked
+    terms; the number of documents, their frequencies and the scores are read from that table.
     """
-    held = docs.select("doc_id", tokens(F.col("text")).alias("t"))
-    size = held.agg(F.count_if(F.size("t") > 0).alias("docs"))
-    wanted = document_weights(docs).join(asked.select("term").distinct(), "term", "left_semi")
+    terms = F.broadcast(asked.agg(F.collect_set("term").alias("terms")))  # one row: what is asked for
+    held = docs.select("doc_id", tokens(F.col("text")).alias("t")).join(terms)
+    posts = settled(held.select("doc_id", F.size("t").alias("n"), F.filter("t", lambda w: F.array_contains("terms", w)).alias("hits")))
+    size = posts.agg(F.count_if(F.col("n") > 0).alias("docs"))
+    wanted = _weighed(posts.select("doc_id", "n", F.explode("hits").alias("term")))
     df = wanted.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.join(F.broadcast(size)).select("term", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # one row
     scored = wanted.join(idf.join(asked, "term"), "term")
