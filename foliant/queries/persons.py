@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.operators import people
+from foliant.operators import paths, people
 from foliant.plans.registry import query
 from foliant.tables import settled, table
 
@@ -83,3 +83,18 @@ def person_merge_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = settled(records(spark, sf_dir))
     both = [people.merge_metrics(own, settled(people.merged(own, grouped))).withColumn("policy", F.lit("grouped" if grouped else "ordered")) for grouped in (False, True)]
     return both[0].union(both[1])
+
+
+_PATH = "trim(lower(regexp_replace(url, '^[a-z]+://', '')), '/')"
+_ALIASES = "list_filter(list_distinct([p, string_split(p, '/')[-1], regexp_replace(p, '\\.md$', ''), string_split(regexp_replace(p, '\\.md$', ''), '/')[-1]]), lambda x: x <> '')"
+
+
+@query(f"""WITH page AS (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS path, {_PATH} AS p FROM pages WHERE url IS NOT NULL), named AS (SELECT page_id, path, p, unnest({_ALIASES}) AS a FROM page),
+alias AS (SELECT x.a, y.a AS b, {_alike("x.a", "y.a", 70)} AS score FROM (SELECT DISTINCT a FROM named WHERE page_id % 2 = 1) x, (SELECT DISTINCT a FROM named WHERE page_id % 2 = 0) y),
+met AS (SELECT x.page_id AS id, x.p, y.path, y.p AS q, max(s.score) AS score FROM named x JOIN (SELECT * FROM alias WHERE score >= 70) s ON s.a = x.a JOIN (SELECT DISTINCT path, p, a FROM named WHERE page_id % 2 = 0) y ON y.a = s.b WHERE x.page_id % 2 = 1 GROUP BY ALL),
+tied AS (SELECT *, {_alike("p", "q", 0)} AS whole FROM met QUALIFY score = max(score) OVER (PARTITION BY id))
+SELECT page_id AS id, path, score::DOUBLE AS score FROM (SELECT page_id FROM page WHERE page_id % 2 = 1) LEFT JOIN (SELECT id, path, score FROM tied QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, whole DESC, path DESC) = 1) ON id = page_id""")
+def path_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each page with an odd number the address among the others that is closest to its own."""
+    page = table(spark, sf_dir, "pages").where("url IS NOT NULL").select("page_id", F.regexp_replace("url", "^[a-z]+://", "").alias("path"))
+    return paths.resolved(page.where("page_id % 2 = 1").select(F.col("page_id").alias("id"), F.col("path").alias("proposed")), page.where("page_id % 2 = 0").select("path"))
