@@ -125,16 +125,6 @@ def migration_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.groupBy("reason").agg(F.sum("n").alias("n"), (F.sum("n") - F.count("h")).alias("duplicates"))
 
 
-@query("""WITH t AS (SELECT conv_id, turn, role, trim(coalesce(text, '')) AS body FROM conversations), s AS (SELECT *, count(*) FILTER (role = 'user') OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS chapter FROM t)
-SELECT conv_id, turn, chapter::BIGINT AS chapter, row_number() OVER (PARTITION BY conv_id, chapter ORDER BY turn) - 1 AS item, (chapter || '.' || (row_number() OVER (PARTITION BY conv_id, chapter ORDER BY turn) - 1)) AS number FROM s""")
-def checklist_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chapters and checks of a list in order, numbered as they come; a user's turn opens a chapter."""
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    s = table(spark, sf_dir, "conversations").withColumn("chapter", F.count_if(F.col("role") == "user").over(w))
-    item = F.row_number().over(Window.partitionBy("conv_id", "chapter").orderBy("turn")) - 1
-    return s.select("conv_id", "turn", "chapter", item.cast("long").alias("item"), F.concat_ws(".", F.col("chapter").cast("string"), item.cast("string")).alias("number"))
-
-
 @query("""WITH r AS (SELECT p_partkey, '| ' || p_name || ' | ' || lower(replace(p_name, ' ', '.')) || '@x.org | ' || p_brand || ' |' AS line FROM part)
 SELECT p_partkey, string_split(line, ' | ')[1][3:] AS full_name, string_split(line, ' | ')[2] AS email, rtrim(string_split(line, ' | ')[3], ' |') AS extra FROM r""")
 def person_tables(spark: SparkSession, sf_dir: str) -> DataFrame:

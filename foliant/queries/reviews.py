@@ -105,12 +105,3 @@ def layout_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = F.concat(F.lit("datasets/"), F.coalesce("source", F.lit("none")), F.lit("/"), "lang")
     g = table(spark, sf_dir, "documents").groupBy(new.alias("new")).agg(F.count("*").alias("files"), F.countDistinct(old).alias("from_places"))
     return g.withColumn("conflict", F.col("from_places") > 1)
-
-
-@query("""WITH t AS (SELECT conv_id, turn, text FROM conversations), l AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'Proposed' ELSE 'Concern' END AS kind FROM conversations)
-SELECT conv_id, count(*) FILTER (kind = 'Concern')::BIGINT AS concerns, max(turn) FILTER (kind = 'Proposed') AS proposed_at, coalesce(max(turn) FILTER (kind = 'Proposed') > max(turn) FILTER (kind = 'Concern'), false) AS answered FROM l GROUP BY conv_id""")
-def stated_concerns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Concerns of a report and its last proposed action."""
-    user = F.col("role") == "user"
-    last = lambda c: F.max(F.when(c, F.col("turn")))
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count_if(~user).alias("concerns"), last(user).alias("proposed_at"), F.coalesce(last(user) > last(~user), F.lit(False)).alias("answered"))
