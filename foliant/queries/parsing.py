@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliant.functions.text import STOPWORDS, slug, tokens
+from foliant.operators import crawl
 from foliant.plans.registry import query
-from foliant.tables import table
+from foliant.tables import settled, table
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
 MONTHS = "January February March April May June July August September October November December".split()
@@ -186,12 +187,11 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.groupBy("page_id").agg(F.countDistinct(F.lower("href")).alias("targets"), F.count_if(stop).alias("excluded"))
 
 
-@query("""WITH t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'))) AS term FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1))
+@query("""WITH t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'))) AS term FROM documents)
 SELECT term, ('0x' || substr(sha256(term), 1, 8))::BIGINT AS token, count(*)::BIGINT AS docs FROM t WHERE length(term) BETWEEN 2 AND 40 AND term NOT IN (SELECT unnest($$STOP$$)) GROUP BY term""".replace("$$STOP$$", _STOP))
 def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A 32-bit number for each token of the reviewed documents."""
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").where("quality = 1").select("doc_id"), "doc_id", "left_semi")
-    t = d.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    """A 32-bit number for each token of the documents."""
+    t = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     return t.groupBy("term").agg(F.count("*").alias("docs")).select("term", F.conv(F.substring(F.sha2(F.col("term").cast("binary"), 256), 1, 8), 16, 10).cast("long").alias("token"), "docs")
 
 
@@ -205,21 +205,25 @@ def evidence_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.md5(F.substring("text", start, F.lit(400)).cast("binary")).alias("excerpt_md5"))
 
 
-@query("""WITH RECURSIVE p AS (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages), s AS (SELECT host, min(page_id) AS page FROM p GROUP BY host),
-e AS (SELECT a.page_id AS src, b.page_id AS dst FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id) AS n FROM p) a JOIN (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id) AS n FROM p) b ON a.host = b.host AND b.n IN (2 * a.n, 2 * a.n + 1)),
-r(page, depth) AS (SELECT page, 0 FROM s UNION ALL SELECT dst, depth + 1 FROM r JOIN e ON e.src = r.page WHERE depth < 3)
-SELECT page AS page_id, min(depth)::INT AS depth FROM r GROUP BY page""")
+_ADDRESS = "^([a-z]+://[^/?#]*)([^?#]*)"
+
+
+@query(f"""WITH RECURSIVE page AS (SELECT page_id, regexp_extract(url, '{_ADDRESS}', 1) AS site, regexp_extract(url, '{_ADDRESS}', 1) || regexp_extract(url, '{_ADDRESS}', 2) AS url, html FROM pages WHERE regexp_matches(url, '{_ADDRESS}')),
+href AS (SELECT DISTINCT url AS page, site, site || regexp_extract(h, '^[^?#]*') AS topic FROM (SELECT url, site, unnest(regexp_extract_all(html, 'href="(/[^"]*)"', 1)) AS h FROM page)),
+link AS (SELECT page AS a, topic AS b FROM href UNION SELECT topic, page FROM href),
+reach AS (SELECT arg_min(url, page_id) AS url, 0 AS depth FROM page GROUP BY site UNION SELECT b, depth + 1 FROM reach JOIN link ON a = reach.url WHERE depth < 3)
+SELECT url, min(depth)::INT AS depth FROM reach GROUP BY url""")
 def crawl_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages that a crawl reaches from each host's first page within three links, and how deep; a page links to two of its host.
+    """Addresses that a crawl reaches from each site's first page within three links, and how deep.
 
-    Every step keeps pages that are new, so a step is one join of its front with the links.
+    Pages link to the addresses in their hrefs, and such an address to the pages that name it.
     """
-    n = F.row_number().over(Window.partitionBy("host").orderBy("page_id"))
-    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "://([^/?#]*)", 1).alias("host")).withColumn("n", n)
-    links = p.where("n > 1").select(F.col("page_id").alias("dst"), "host", F.floor(F.col("n") / 2).alias("up")).join(p.select(F.col("page_id").alias("src"), "host", F.col("n").alias("up")), ["host", "up"]).select("src", "dst")
-    front = p.where("n = 1").select("page_id", F.lit(0).alias("depth"))
-    seen = front
-    for depth in range(1, 4):
-        front = front.join(links, front["page_id"] == links["src"]).select(F.col("dst").alias("page_id")).distinct().join(seen.select("page_id"), "page_id", "left_anti").select("page_id", F.lit(depth).alias("depth"))
-        seen = seen.union(front)
-    return seen
+    part = lambda i: F.regexp_extract("url", _ADDRESS, i)
+    page = table(spark, sf_dir, "pages").where(F.col("url").rlike(_ADDRESS)).select("page_id", part(1).alias("site"), F.concat(part(1), part(2)).alias("url"), "html")
+    href = page.select("page_id", "site", "url", F.posexplode(F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), F.lit(1))).alias("pos", "href"))
+    href = settled(href.select("page_id", "site", "url", "pos", F.concat("site", F.regexp_extract("href", "^[^?#]*", 0)).alias("topic")))
+    back = href.groupBy(F.col("topic").alias("src"), F.col("url").alias("dst")).agg(F.min("page_id").alias("pos"))
+    links = href.select(F.col("url").alias("src"), F.col("topic").alias("dst"), "pos").union(back.select("src", "dst", "pos"))
+    known = page.select("site", "url").union(href.select("site", F.col("topic").alias("url")))
+    starts = page.groupBy("site").agg(F.min_by("url", "page_id").alias("url"))
+    return crawl.crawled(starts, links, known, depth=3, limit=1_000_000).select("url", "depth")

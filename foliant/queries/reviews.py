@@ -49,14 +49,14 @@ def investor_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("s_suppkey", F.when(F.col("own").isNotNull(), F.col("c_custkey")).otherwise(F.col("near")).alias("investor"), F.when(F.col("own").isNotNull(), 1).otherwise(2).alias("level"))
 
 
-@query("""WITH p AS (SELECT DISTINCT p_name AS phrase FROM part WHERE length(p_name) >= 8), c AS (SELECT p_partkey, lower(p_name || ' ' || p_type || ' ' || p_brand || ' ' || p_name) AS text FROM part WHERE p_size < 20)
+@query("""WITH p AS (SELECT DISTINCT p_name AS phrase FROM part WHERE length(p_name) >= 8), c AS (SELECT p_partkey, lower(p_name || ' ' || p_type || ' ' || p_brand || ' ' || p_name) AS text FROM part)
 SELECT p_partkey, count(*)::BIGINT AS phrases FROM c JOIN p ON contains(' ' || text || ' ', ' ' || phrase || ' ') GROUP BY p_partkey""")
 def dossier_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that name a person by one of the phrases: pairs of words of the text meet the phrases by equality."""
     phrases = table(spark, sf_dir, "part").where(F.length("p_name") >= 8).select(F.col("p_name").alias("phrase")).distinct()
     words = F.split(F.lower(F.concat_ws(" ", "p_name", "p_type", "p_brand", "p_name")), " ")
     pairs = F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1)))
-    c = table(spark, sf_dir, "part").where("p_size < 20").select("p_partkey", words.alias("w")).select("p_partkey", F.explode(F.array_distinct(pairs)).alias("phrase"))
+    c = table(spark, sf_dir, "part").select("p_partkey", words.alias("w")).select("p_partkey", F.explode(F.array_distinct(pairs)).alias("phrase"))
     return c.join(phrases, "phrase").groupBy("p_partkey").agg(F.count("*").alias("phrases"))
 
 

@@ -276,12 +276,12 @@ def roster_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("c_mktsegment", "c_nationkey", "members", "identities", (F.col("members") - F.col("identities")).alias("duplicates"), (F.col("x") & F.col("y")).alias("mixed"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT o_custkey AS a, o_orderkey % 1000 AS b FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'), n AS (SELECT a AS x, b + 1000000 AS y FROM e UNION SELECT b + 1000000, a FROM e),
+@query("""WITH RECURSIVE e AS (SELECT o_custkey AS a, o_orderkey // 3 AS b FROM orders), n AS (SELECT -1 - a AS x, b AS y FROM e UNION SELECT b, -1 - a FROM e),
 r(x, c) USING KEY (x) AS (SELECT DISTINCT x, x FROM n UNION SELECT n.x, min(r.c) FROM r JOIN n ON n.y = r.x JOIN recurring.r o ON o.x = n.x WHERE r.c < o.c GROUP BY n.x)
 SELECT x AS alias, c AS identity FROM r""")
 def alias_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Aliases joined to identities through whatever links them, however far."""
-    e = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'").select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") % 1000 + 1_000_000).alias("b"))
+    e = table(spark, sf_dir, "orders").select((-1 - F.col("o_custkey")).alias("a"), F.floor(F.col("o_orderkey") / 3).alias("b"))
     return connected(e).select(F.col("node").alias("alias"), F.col("component").alias("identity"))
 
 
