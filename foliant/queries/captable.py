@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliant.plans.registry import query
-from foliant.tables import table
+from foliant.tables import settled, table
 
 #: Share that an extracted figure may be off a stated one.
 TOLERANCE = 0.005
@@ -30,9 +30,9 @@ def holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return l.join(p, "holder").withColumn("class_id", label)
 
 
-def holders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def holders(spark: SparkSession, sf_dir: str, held: DataFrame | None = None) -> DataFrame:
     """company, holder, name, kind, role, held, diluted (null: not stated), year: one row for each holder."""
-    h = holdings(spark, sf_dir).groupBy("company", "holder", "name", "kind", "role", "p_size").agg(F.sum("held").alias("held"), F.min("year").alias("year"))
+    h = (holdings(spark, sf_dir) if held is None else held).groupBy("company", "holder", "name", "kind", "role", "p_size").agg(F.sum("held").alias("held"), F.min("year").alias("year"))
     return h.withColumn("diluted", F.when(F.col("p_size") % 3 == 0, F.col("held") * 1.1)).drop("p_size")
 
 
@@ -123,12 +123,12 @@ line AS (
   UNION ALL SELECT company, holder, 'missing', NULL, NULL FROM one WHERE total IS NULL)"""
 
 
-def reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
+def reconciled(spark: SparkSession, sf_dir: str, held: DataFrame | None = None) -> DataFrame:
     """company, holder, field, cap, reg: register entries against the first holder of the cap table whose name holds theirs.
 
     Names meet by company and first word, so no entry meets every holder.
     """
-    held = holdings(spark, sf_dir)
+    held = holdings(spark, sf_dir) if held is None else held
     kind = lambda c: F.sum(F.when(c, F.col("held")).otherwise(0.0))
     cap = held.groupBy("company", "name").agg(F.min("holder").alias("first"), F.sum("held").alias("total"), kind(F.col("class_id") == "common").alias("cc"), kind(F.col("class_id").startswith("preferred")).alias("cp"))
     cap = cap.withColumn("block", F.explode(F.array_distinct(F.split("name", " "))))
@@ -226,12 +226,16 @@ finding AS (
   UNION ALL SELECT company, 'nominal_floor', bool_or(cap / diluted_total < least), 'severe', count(*) FROM loan JOIN stated USING (company) JOIN nominal USING (company) WHERE diluted_total IS NOT NULL GROUP BY company)
 SELECT company, "check", CASE WHEN off THEN 'fail' ELSE 'pass' END AS status, CASE WHEN off THEN bad ELSE 'info' END AS severity, n::BIGINT AS n FROM finding""")
 def captable_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole suite: the findings of seven checks for every company; n: figures compared."""
-    held, t = holdings(spark, sf_dir), totals(holders(spark, sf_dir)).where("diluted_total IS NOT NULL")
+    """The whole suite: the findings of seven checks for every company; n: figures compared.
+
+    Holdings and totals are written once; all checks read them.
+    """
+    held = settled(holdings(spark, sf_dir))
+    t = settled(totals(holders(spark, sf_dir, held)).where("diluted_total IS NOT NULL"))
     row = lambda df, name, off, bad, n: df.select("company", name.alias("check"), *_verdict(off, bad), n.cast("long").alias("n"))
     by_class = held.groupBy("company", "class_id").agg(F.sum("held").alias("x")).withColumn("s", F.col("x") * F.when(F.col("company") % 3 == 0, 1.01).otherwise(1.001))
     far = lambda x: F.abs(x - F.col("diluted_total")) / F.col("diluted_total") > TOLERANCE
-    reg = reconciled(spark, sf_dir).groupBy("company").agg(F.coalesce(F.bool_or(_off()), F.lit(False)).alias("off"), F.count("cap").alias("n"))
+    reg = reconciled(spark, sf_dir, held).groupBy("company").agg(F.coalesce(F.bool_or(_off()), F.lit(False)).alias("off"), F.count("cap").alias("n"))
     pools = pool_consistency(spark, sf_dir).groupBy("company").agg(F.bool_or("conflict").alias("off"), F.count("*").alias("n"))
     life = lender_life(spark, sf_dir).groupBy("company").agg(F.bool_or(F.col("finding") == "cla_possibly_converted").alias("off"), F.count("*").alias("n"))
     most = table(spark, sf_dir, "supplier").agg(F.max("s_suppkey").alias("most"))

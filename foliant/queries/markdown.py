@@ -61,6 +61,17 @@ def table_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("sheet", "part", F.length("chunk").alias("n_chars"), F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"))
 
 
+@query(f"""WITH {_SHEETS}, named AS (SELECT sheet, list_transform(string_split(replace(header, '\\|', chr(1)), '|')[2:-2], lambda c: trim(c)) AS hs, unnest(body) AS r, generate_subscripts(body, 1) AS nth FROM parsed),
+cell AS (SELECT sheet, nth, hs, list_transform(string_split(replace(r, '\\|', chr(1)), '|')[2:-2], lambda c: replace(trim(c), chr(1), '\\|')) AS cs FROM named)
+SELECT sheet, nth::INT AS nth, array_to_string(list_transform(list_filter(range(1, len(cs) + 1), lambda i: cs[i] <> ''), lambda i: coalesce(nullif(hs[i], ''), 'column ' || i) || ': ' || cs[i]), '; ') AS line FROM cell""")
+def row_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of every table as text: its cells with the names of their columns, from the declared or inferred header."""
+    p = sheets(spark, sf_dir).select("sheet", M.parsed(F.col("rows")).alias("t")).select("sheet", M.cells(F.col("t.header")).alias("heads"), F.posexplode("t.rows").alias("at", "row"))
+    name = lambda i: F.coalesce(F.nullif(F.get("heads", i), F.lit("")), F.concat(F.lit("column "), (i + 1).cast("string")))
+    named = F.transform(M.cells(F.col("row")), lambda c, i: F.when(c != "", F.concat(name(i), F.lit(": "), c)))
+    return p.select("sheet", (F.col("at") + 1).alias("nth"), F.array_join(F.array_compact(named), "; ").alias("line"))
+
+
 @query("""WITH c AS (SELECT doc_id, lang AS page, unnest([substr(text, 1, 600), substr(text, 501, 600)]) AS chunk FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, md5('### Source: ' || doc_id::VARCHAR || CASE WHEN page <> 'en' THEN ' | Page: ' || page ELSE '' END || chr(10) || chr(10) || trim(chunk, ' ' || chr(9) || chr(10) || chr(13))) AS rendered_md5 FROM c""")
 def chunk_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,3 +70,14 @@ def roster_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select(F.floor(F.col("c_custkey") / 50).alias("doc"), "c_custkey", line.alias("line"))
     docs = _joined(rows, "doc", "# People\n\n| Full name | LinkedIn ID | Email addresses |\n|---|---|---|", "c_custkey")
     return outline.rosters(docs).select("doc_id", "full_name", "profile", F.array_join("emails", ",").alias("emails"))
+
+
+@query("""WITH r AS (SELECT c_custkey // 50 AS doc_id, c_custkey, c_name, c_nationkey, CASE WHEN c_acctbal >= 0 THEN 'p-' || c_nationkey ELSE '' END AS profile, CASE WHEN c_acctbal < 0 THEN lower(c_mktsegment) || '@x.org' ELSE '' END AS mail FROM customer),
+k AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id, profile, mail ORDER BY c_custkey) = 1)
+SELECT doc_id, c_name AS full_name, profile, n_name AS stored, CASE WHEN profile = '' THEN 'no profile' WHEN n_name IS NULL THEN 'not stored' ELSE 'stored' END AS state FROM k LEFT JOIN nation ON profile = 'p-' || n_nationkey AND n_regionkey < 4""")
+def roster_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """People of rosters with the profiles that are stored of them (nations of four regions)."""
+    people = roster_tables(spark, sf_dir)
+    stored = table(spark, sf_dir, "nation").where("n_regionkey < 4").select(F.concat(F.lit("p-"), F.col("n_nationkey").cast("string")).alias("profile"), F.col("n_name").alias("stored"))
+    state = F.when(F.col("profile") == "", "no profile").when(F.col("stored").isNull(), "not stored").otherwise("stored")
+    return people.join(stored, "profile", "left").select("doc_id", "full_name", "profile", "stored", state.alias("state"))
