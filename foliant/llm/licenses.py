@@ -18,6 +18,7 @@ base phrases cover, 0 to 1; it is 0 without either.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -399,6 +400,11 @@ def scan(docs: DataFrame, own: list[Rule] | None = None) -> DataFrame:
     return counted.select("doc_id", "n_words", F.array(*base).alias("base"), detected.alias("detections"))
 
 
+def _words_from(n: int) -> Callable[[Column], Column]:
+    """The numbers of the n words from a place on."""
+    return lambda s: F.sequence(s, s + (n - 1))
+
+
 def license_labels(docs: DataFrame) -> DataFrame:
     """Per document: n_words, n_base, first_word, last_word, base_labels, labels, score."""
     found = scan(docs)
@@ -406,7 +412,7 @@ def license_labels(docs: DataFrame) -> DataFrame:
     base = F.array_compact(F.array(*[F.when(F.size(F.col("base")[i]) > 0, label) for i, (_, label) in enumerate(BASE)]))
     every = F.array_union(base, F.coalesce(F.transform("detections", lambda d: d["label"]), F.array().cast("array<string>")))
     covered = F.array_distinct(F.concat(
-        *[F.flatten(F.transform(F.col("base")[i], lambda s, n=len(p.split()): F.sequence(s, s + n - 1))) for i, (p, _) in enumerate(BASE)],
+        *[F.flatten(F.transform(F.col("base")[i], _words_from(len(p.split())))) for i, (p, _) in enumerate(BASE)],
         F.coalesce(F.flatten(F.transform("detections", lambda d: F.sequence(d["first"], d["last"]))), F.array().cast("array<int>")),
     ))
     listed = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")

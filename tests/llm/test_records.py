@@ -279,3 +279,34 @@ def test_pipeline_stages(spark, sf):
         assert docs.columns == pipeline.COLUMNS
     out = pipeline.STAGES[-1][1](spark, docs, sf).toPandas()
     assert len(out) > 0 and (out.ids.map(len) == out.n_tokens).all()
+
+
+def test_ordinal_fit_is_the_likeliest():
+    """The penalised likelihood by the textbook's formula does not rise in any direction from the fit."""
+    r = np.random.RandomState(3)
+    n, size = 300, 4
+    doc, column = np.repeat(np.arange(n), 2), r.randint(0, size, 2 * n)
+    value = r.rand(2 * n)
+    true = np.array([1.5, -1.0, 0.5, 0.0])
+    score = np.bincount(doc, true[column], minlength=n)
+    rating = (score[:, None] + r.logistic(size=n)[:, None] > np.array([-0.5, 1.0])).sum(axis=1)
+
+    def loss(weight, cuts):
+        total = quality.RIDGE / 2 * (weight**2).sum()
+        for i in range(n):
+            s = sum(weight[c] + v * weight[size + c] for c, v in zip(column[doc == i], value[doc == i]))
+            below = [1 / (1 + np.exp(-(c - s))) for c in cuts]
+            total -= np.log([below[0], below[1] - below[0], 1 - below[1]][rating[i]])
+        return total / n
+
+    weight, cuts = quality.Ordinal(3).fit(doc, column, value, rating, size, steps=1500)
+    assert cuts[0] < cuts[1]
+    best = loss(weight, cuts)
+    for k in range(2 * size):
+        for step in (-0.05, 0.05):
+            assert loss(weight + step * (np.arange(2 * size) == k), cuts) > best - 2e-5
+    for k in range(2):
+        for step in (-0.05, 0.05):
+            assert loss(weight, cuts + step * (np.arange(2) == k)) > best - 2e-5
+    # Mass moved between grades shows in the expected sign of the largest weight.
+    assert weight[0] + weight[size] > weight[1] + weight[size + 1]

@@ -290,3 +290,24 @@ def test_license_gate_lets_every_keyword_and_named_license_through(spark):
     # Parts of words and words apart are no keywords.
     none = licenses.scan(docs(spark, [(1, "a simple reply, examples"), (2, "accby"), (3, "cc 1 by"), (4, "épl")]), own)
     assert none.where("detections IS NOT NULL").count() == 0
+
+
+def test_base_phrases_equal_brute_force(spark):
+    """Words, base places and labels of the whole query against a plain search of every place."""
+    r = random.Random(8)
+    base = {("under", "the", "mit", "license"): "mit", ("apache", "license", "version", "2"): "apache-2", ("cc", "by", "nc"): "cc-by-nc"}
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    vocabulary = ["Under", "THE", "mit", "License", "apache", "version", "2", "cc", "BY", "nc", "é", "x_y", "not", "2.0"]
+    rows = [(i, "".join(r.choice(vocabulary) + r.choice([" ", "-", "\n", ", ", "…"]) for _ in range(r.randint(0, 60)))) for i in range(300)]
+    rows += [(i + 400, " -- ".join(" ".join(p) for p in r.choices(list(base), k=r.randint(1, 5)))) for i in range(60)] + [(900, None), (901, ""), (902, "cc by nc " * 4000), (None, "CC-BY-NC"), (5, "under the MIT license"), (5, "under the MIT license")]
+    want = []
+    for k, text in rows:
+        words = word.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+        found = [(i, label) for p, label in base.items() for i in range(len(words) - len(p) + 1) if tuple(words[i : i + len(p)]) == p]
+        at = [i for i, _ in found]
+        want.append((str(k), len(words), len(found), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in found}))))
+    out = licenses.license_labels(docs(spark, rows, labels="clash", score=1)).collect()
+    assert sorted(repr((str(x.doc_id), x.n_words, x.n_base, x.first_word, x.last_word, x.base_labels)) for x in out) == sorted(map(repr, want))
+    for x in out:
+        own, base_own = set(filter(None, x.labels.split(","))), set(filter(None, x.base_labels.split(",")))
+        assert base_own <= own and 0 <= x.score <= 1 and x.labels == ",".join(sorted(own)) and (x.score > 0 or not own)
