@@ -1,8 +1,8 @@
 """Connected components of a link table by alternating star contractions (large star, small star).
 
-Every round is two shuffles of the links that are left; nothing is collected. A node's links are
-aggregated to their minimum first (map-side combine), so a node with a third of all links is no
-hot spot.
+Every round is two shuffles of the links that are left; nothing is collected. A node's minimum is
+found with map-side combine; its links then meet that one row in a join, so a node with very many
+links puts them into one task unless adaptive execution splits it.
 """
 
 from __future__ import annotations
