@@ -104,6 +104,10 @@ def argument_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("c_custkey", F.array_join(chosen, ";").alias("chosen"), F.col("known").alias("stage"), currency.alias("currency"), F.get(F.map_values(fx), F.lit(0)).cast("double").alias("rate"), F.lower(F.regexp_extract("who", r"<([^<>@\s]+@[^<>\s]+)>", 1)).alias("mail"))
 
 
+#: Endings of file names that name a model (fixed values).
+MODEL_TAG = r"(?i)-(manual|gpt|claude|gemini|gemma|qwen|deepseek|llama|mixtral|phi|mistral)[\w.-]*$"
+
+
 @query("""SELECT p_partkey, CASE p_size % 4 WHEN 3 THEN 'report' ELSE regexp_replace(lower(p_name), ' ', '-', 'g') END AS stem, regexp_replace(lower(p_name), ' ', '-', 'g') || '-audit-' || ['model-large', 'model', 'gpt-4'][p_size % 3 + 1] || '.md' AS artifact, 'datasets/' || regexp_replace(lower(p_name), ' ', '-', 'g') || '/insights' AS folder FROM part""")
 def artifact_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stems without the model's tag (longest configured suffix, else a known family), artifact names and folders from a template."""
@@ -112,7 +116,7 @@ def artifact_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     tagged = F.when(F.col("p_size") % 4 == 3, F.lit("report-gpt-4o.md")).otherwise(F.concat(s, F.lit("-"), _nth(["model-large", "model", "claude-x"], F.col("p_size")), F.lit(".md")))
     p = table(spark, sf_dir, "part").select("p_partkey", s.alias("s"), model.alias("m"), F.regexp_replace(tagged, r"\.[^.]*$", "").alias("t"))
     configured = sorted(("model-large", "model"), key=len, reverse=True)
-    stem = F.regexp_replace("t", r"(?i)-(manual|gpt|claude|gemini|gemma|qwen|deepseek|llama|mixtral|phi|mistral)[\w.-]*$", "")
+    stem = F.regexp_replace("t", MODEL_TAG, "")
     for m in reversed(configured):
         stem = F.when(F.col("t").endswith("-" + m), F.expr(f"substring(t, 1, length(t) - {len(m) + 1})")).otherwise(stem)
     folder = F.replace(F.lit("datasets/{slug}/insights"), F.lit("{slug}"), F.col("s"))

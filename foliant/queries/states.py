@@ -35,10 +35,13 @@ def _revisions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return stored, d.select("doc_id", F.create_map(F.lit("own"), F.lit("1"), F.lit("en"), F.lit("1")).alias("expected"))
 
 
-_REJECT = """j AS (SELECT doc_id, CASE WHEN n_chars % 7 = 0 THEN NULL ELSE ['m1', 'm2'][n_chars % 2 + 1] END AS model, CASE WHEN n_chars % 5 = 0 THEN 'c0' ELSE 'c1' END AS config, n_chars % 3 AS own, lang FROM documents),
-r AS (SELECT doc_id, list_filter([CASE WHEN model IS NULL THEN 'freshness metadata missing or invalid' END, CASE WHEN model <> 'm1' THEN 'stored model mismatch' END,
-  CASE WHEN own <> 1 OR lang <> 'en' THEN 'dataset changed: ' || array_to_string(list_sort(list_filter([CASE WHEN lang <> 'en' THEN lang END, CASE WHEN lang <> 'en' THEN 'en' END, CASE WHEN own <> 1 THEN 'own' END], lambda x: x IS NOT NULL)), ', ') END,
-  CASE WHEN config <> 'c1' THEN 'prompt/configuration/inputs changed' END], lambda x: x IS NOT NULL) AS reasons FROM j)"""
+#: Why a stored insight is not used again (fixed output values).
+REASONS = ("freshness metadata missing or invalid", "stored model mismatch", "dataset changed: ", "prompt/configuration/inputs changed")
+
+_REJECT = f"""j AS (SELECT doc_id, CASE WHEN n_chars % 7 = 0 THEN NULL ELSE ['m1', 'm2'][n_chars % 2 + 1] END AS model, CASE WHEN n_chars % 5 = 0 THEN 'c0' ELSE 'c1' END AS config, n_chars % 3 AS own, lang FROM documents),
+r AS (SELECT doc_id, list_filter([CASE WHEN model IS NULL THEN '{REASONS[0]}' END, CASE WHEN model <> 'm1' THEN '{REASONS[1]}' END,
+  CASE WHEN own <> 1 OR lang <> 'en' THEN '{REASONS[2]}' || array_to_string(list_sort(list_filter([CASE WHEN lang <> 'en' THEN lang END, CASE WHEN lang <> 'en' THEN 'en' END, CASE WHEN own <> 1 THEN 'own' END], lambda x: x IS NOT NULL)), ', ') END,
+  CASE WHEN config <> 'c1' THEN '{REASONS[3]}' END], lambda x: x IS NOT NULL) AS reasons FROM j)"""
 
 
 @query(f"WITH {_REJECT} SELECT doc_id, array_to_string(reasons, '; ') AS reasons, len(reasons) = 0 AS reusable FROM r")
@@ -48,8 +51,8 @@ def rejection_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = stored.join(expected, "doc_id")
     changed = F.map_keys(F.map_filter(F.map_zip_with("stored", "expected", lambda k, a, b: ~a.eqNullSafe(b)), lambda k, v: v))
     reasons = F.array_compact(F.array(
-        F.when(F.col("model").isNull(), "freshness metadata missing or invalid"), F.when(F.col("model") != "m1", "stored model mismatch"),
-        F.when(F.size(changed) > 0, F.concat(F.lit("dataset changed: "), F.array_join(F.array_sort(changed), ", "))), F.when(F.col("config") != "c1", "prompt/configuration/inputs changed"),
+        F.when(F.col("model").isNull(), REASONS[0]), F.when(F.col("model") != "m1", REASONS[1]),
+        F.when(F.size(changed) > 0, F.concat(F.lit(REASONS[2]), F.array_join(F.array_sort(changed), ", "))), F.when(F.col("config") != "c1", REASONS[3]),
     ))
     return j.select("doc_id", F.array_join(reasons, "; ").alias("reasons"), (F.size(reasons) == 0).alias("reusable"))
 
