@@ -135,4 +135,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_url_filter": hosts.oracle(),
     "op4_source_mix": mixing.ORACLE,
     "op7_warc_archive": warc.ORACLE,
+    "op13_importance_resampling": resample.oracle(),
 }

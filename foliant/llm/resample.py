@@ -207,3 +207,22 @@ def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_co
     rows = written(scored(table, gains(counted(table, buckets), counted(wanted, buckets)), id_col, seed), "scored")
     long = F.col("n_words") >= least
     return drawn(rows, percent * rows.where(long).count() // 100, id_col, long)
+
+
+def oracle(buckets: int = BUCKETS, percent: int = PERCENT, least: int = LEAST, seed: int = SEED) -> str:
+    """The same in DuckDB over the documents and benchmark views; checksums byte by byte, by table, of distinct features."""
+    # What a byte does to an empty register: the checksum of one byte, less what its start and end turn round.
+    table = [zlib.crc32(bytes([i ^ 0xFF])) ^ 0xFF000000 for i in range(256)]
+    words = lambda col: f"regexp_extract_all(translate(coalesce({col}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    pairs = "list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+    return f"""WITH own AS (SELECT doc_id, {words('text')} AS w FROM documents), goal AS (SELECT {words('text')} AS w FROM benchmark),
+feature AS (SELECT doc_id, unnest({pairs}) AS f FROM own), wanted AS (SELECT unnest({pairs}) AS f FROM goal),
+spelled AS (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM feature UNION SELECT f FROM wanted)),
+bucket AS (SELECT f, xor(list_reduce(list_transform(range(0, (length(h) // 2)::BIGINT), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT), lambda c, b: xor(c >> 8, {table}[(xor(c, b) & 255) + 1]::BIGINT), 4294967295::BIGINT), 4294967295::BIGINT) % {buckets} AS b FROM spelled),
+s AS (SELECT b, count(*) AS n FROM feature JOIN bucket USING (f) GROUP BY b), t AS (SELECT b, count(*) AS n FROM wanted JOIN bucket USING (f) GROUP BY b),
+gain AS (SELECT b, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT sum(n) FROM s) + {buckets})::DOUBLE / ((s.n + 1)::DOUBLE * (coalesce((SELECT sum(n) FROM t), 0) + {buckets})::DOUBLE)))::BIGINT AS g FROM s LEFT JOIN t USING (b)),
+weighed AS (SELECT doc_id, count(*) AS n, floor(sum(g)::DOUBLE / count(*))::BIGINT AS weight FROM feature JOIN bucket USING (f) JOIN gain USING (b) GROUP BY doc_id),
+scored AS (SELECT o.doc_id, len(o.w) AS words, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('{seed}:' || o.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score FROM own o LEFT JOIN weighed USING (doc_id)),
+place AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE words >= {least})
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= {percent} * (SELECT count(*) FROM place) // 100 THEN rank END AS rank FROM scored LEFT JOIN place USING (doc_id)"""
