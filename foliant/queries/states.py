@@ -318,9 +318,9 @@ def best_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH c AS (SELECT o_custkey, o_orderkey, length(o_orderpriority) * 40 + (o_totalprice / 5000)::INT AS chars, o_totalprice FROM orders), s AS (SELECT *, sum(chars) OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS used, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS position FROM c)
 SELECT o_custkey, o_orderkey, position::INT AS position, used::BIGINT AS used FROM s WHERE used <= 3000""")
 def prompt_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates in order of worth as long as a prompt's budget holds."""
+    """Candidates in order of worth as long as a prompt's budget holds. Halves round to even, as casts do in SQL."""
     w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
-    chars = F.length("o_orderpriority") * 40 + F.round(F.col("o_totalprice") / 5000, 0).cast("int")
+    chars = F.length("o_orderpriority") * 40 + F.rint(F.col("o_totalprice") / 5000).cast("int")
     c = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice", chars.alias("chars"))
     return c.select("o_custkey", "o_orderkey", F.row_number().over(w).alias("position"), F.sum("chars").over(w).alias("used")).where("used <= 3000")
 
