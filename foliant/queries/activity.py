@@ -29,12 +29,15 @@ def rolling_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units of the last sixty seconds by descriptor (type of event), and whether a request fits the budget.
 
     A descriptor may hold most requests, so windows are kept to its minutes: each request is also
-    dealt to the minute that follows, where it only counts.
+    dealt to the minute that follows, where it only counts. Units are added as decimals, so that a sum
+    on the budget is on it in whatever order they come; units that are no decimals are added as doubles.
     """
     e = table(spark, sf_dir, "events").select("event_id", "event_type", F.greatest("value", F.lit(0.0)).alias("units"), F.unix_micros("ts").alias("micros"))
     e = e.withColumn("own", F.floor(F.col("micros") / 60_000_000)).withColumn("minute", F.explode(F.array(F.col("own"), F.col("own") + 1)))
     w = Window.partitionBy("event_type", "minute").orderBy("micros").rangeBetween(-60_000_000, 0)
-    used = F.sum("units").over(w)
+    exact = F.expr("try_cast(units AS decimal(28, 10))")
+    as_they_are = F.count_if(exact.isNull() & F.col("units").isNotNull()).over(w) > 0
+    used = F.when(as_they_are, F.sum("units").over(w)).otherwise(F.sum(exact).over(w).cast("double"))
     return e.withColumn("used", used).where("own = minute").select("event_id", (F.col("used") <= 2000).alias("admitted"), F.round("used", 4).alias("used_60s"))
 
 
