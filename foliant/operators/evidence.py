@@ -58,16 +58,24 @@ def values(cell: Column) -> Column:
 def is_text(cell: Column) -> Column:
     """Whether a cell says something that is no number."""
     word = cell.rlike(r"[a-zA-ZÀ-ɏ]{2,}")
-    number = F.lower(F.trim(cell)).isin(*ZEROS) | ((F.size(values(cell)) > 0) & ~word)
-    return (F.trim(cell) != "") & ~number
+    return (F.trim(cell) != "") & ~F.lower(F.trim(cell)).isin(*ZEROS) & (word | (F.size(values(cell)) == 0))
+
+
+def _named(text: Column) -> Column:
+    """What naming compares of a text: key (letters and digits) and words."""
+    return F.struct(quote_key(text).alias("key"), F.filter(F.split(name_key(text), " "), lambda w: w != "").alias("words"))
+
+
+def _names(identity: Column, text: Column) -> Column:
+    """named_in of what _named has made of both."""
+    key, own = identity["key"], text["key"]
+    apart = (F.size(identity["words"]) > 0) & (F.size(F.array_except(identity["words"], text["words"])) == 0)
+    return (key != "") & (own != "") & ((key == own) | ((F.length(key) >= 4) & F.contains(own, key)) | apart)
 
 
 def named_in(identity: Column, text: Column) -> Column:
     """Whether a text names an identity: in one piece of four letters or more, or by all its words."""
-    key, own = quote_key(identity), quote_key(text)
-    words = F.filter(F.split(name_key(identity), " "), lambda w: w != "")
-    apart = (F.size(words) > 0) & (F.size(F.array_except(words, F.split(name_key(text), " "))) == 0)
-    return (key != "") & (own != "") & ((key == own) | ((F.length(key) >= 4) & F.contains(own, key)) | apart)
+    return _names(_named(identity), _named(text))
 
 
 def _numbered_lines(docs: DataFrame) -> DataFrame:
@@ -153,7 +161,11 @@ def owners(found: DataFrame) -> DataFrame:
     Where no header tells the column of names, text above any of the row's empty cells is a name.
     """
     rows = found.where("kind = 'row'").withColumn("names", name_column(F.col("headers"))).withColumn("width", F.size("cells"))
-    each = rows.select("doc_id", "root", "width", "idx", "names", F.posexplode("cells").alias("col", "cell"))
+    # Only columns in which some row of that width looks for a name.
+    alike = Window.partitionBy("doc_id", "root", "width")
+    rows = rows.withColumn("asked", F.collect_set("names").over(alike)).withColumn("all_", F.max(F.col("names").isNull()).over(alike))
+    each = rows.select("doc_id", "root", "width", "idx", "names", "asked", "all_", F.posexplode("cells").alias("col", "cell"))
+    each = each.where(F.col("all_") | F.array_contains("asked", F.col("col"))).drop("asked", "all_")
     before = Window.partitionBy("doc_id", "root", "width", "col").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
     each = each.withColumn("above", F.last(F.when(is_text(F.col("cell")), F.col("idx")), True).over(before))
     counts = F.when(F.col("names").isNotNull(), (F.col("col") == F.col("names")) & ~is_text(F.col("cell"))).otherwise(F.trim("cell") == "")
@@ -167,13 +179,19 @@ def bound(found: DataFrame, claims: DataFrame, scope: str = "row") -> DataFrame:
     above), context (text above the table); with scope table any line of it, with scope headings also
     headings and the opening lines. Null where none does, or the line is no row of a table.
     """
-    known = found.where("kind = 'row'").select("doc_id", "idx", "tbl", "text", "cells", "headers", "context")
+    known = found.where("kind = 'row'").select("doc_id", "idx", "tbl", "text", "cells")
     asked = settled(claims.withColumn("claim_", F.monotonically_increasing_id()))
-    own = asked.select("claim_", "doc_id", "idx", "identity").join(known, ["doc_id", "idx"]).join(owners(found), ["doc_id", "idx"], "left")
-    own = own.join(known.select("doc_id", F.col("idx").alias("owner"), F.col("text").alias("owner_text")), ["doc_id", "owner"], "left")
-    holds = lambda c: named_in(F.col("identity"), c)
-    positive = F.exists(F.arrays_zip("cells", "headers"), lambda x: named_in(F.col("identity"), x["headers"]) & F.exists(values(x["cells"]), lambda v: v > 0))
-    own = settled(own.withColumn("near", F.when(holds(F.col("text")), "1row").when(F.coalesce(holds(F.col("owner_text")), F.lit(False)), "2owner").when((F.size("headers") == F.size("cells")) & positive, "3header").when(F.exists("context", holds), "5context")))
+    # Keys and words are made once: of identities, of lines, and of a table's headers and context.
+    says = known.select("doc_id", "idx", _named(F.col("text")).alias("said"))
+    above = found.where("kind = 'row'").groupBy("doc_id", "tbl").agg(F.first("headers").alias("headers"), F.first("context").alias("context"))
+    above = above.select("doc_id", "tbl", *[F.transform(c, _named).alias(c) for c in ("headers", "context")])
+    rows = known.select("doc_id", "idx", "tbl", "cells").join(says, ["doc_id", "idx"]).join(owners(found), ["doc_id", "idx"], "left")
+    rows = rows.join(says.select("doc_id", F.col("idx").alias("owner"), F.col("said").alias("owner_said")), ["doc_id", "owner"], "left").join(above, ["doc_id", "tbl"])
+    own = asked.select("claim_", "doc_id", "idx", "identity", _named(F.col("identity")).alias("who")).join(rows, ["doc_id", "idx"])
+    holds = lambda c: _names(F.col("who"), c)
+    positive = F.exists(F.arrays_zip("cells", "headers"), lambda x: holds(x["headers"]) & F.exists(values(x["cells"]), lambda v: v > 0))
+    near = F.when(holds(F.col("said")), "1row").when(F.coalesce(holds(F.col("owner_said")), F.lit(False)), "2owner").when((F.size("headers") == F.size("cells")) & positive, "3header").when(F.exists("context", holds), "5context")
+    own = settled(own.select("claim_", "doc_id", "tbl", "idx", "identity", near.alias("near")))
     open_ = own.where("near IS NULL OR near = '5context'").select("claim_", "doc_id", "tbl", F.col("idx").alias("below"), "identity")
     filled = F.filter("cells", lambda c: F.trim(c) != "")
     sections = known.where((F.size(filled) == 1) & is_text(F.get(filled, F.lit(0)))).select("doc_id", "tbl", "idx", "text")

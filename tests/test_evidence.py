@@ -118,3 +118,26 @@ def test_quotes_take_a_row_of_their_own(spark, found):
         (1, 0): at[1, "| 1 | Jan"], (1, 1): at[1, "| 2 |  | "], (2, 0): at[1, "| 4 | Fun"], (2, 1): at[1, "| 5 |  | "], (3, 0): at[1, "| 1 | Jan"], (3, 1): None,
         (4, 0): 1, (4, 1): 2, (4, 2): None, (5, 0): None, (6, 0): None, (7, 0): at[1, "| 1 | Jan"], (9, 0): None,
     }
+
+
+def test_what_names_is_made_once_and_names_alike(spark):
+    pairs = [("Jane Roe", "| 1 | ROE, Jane |"), ("ab", "x ab y"), ("ab", "xaby"), ("abcd", "xabcdy"), ("", "a"), ("a", ""), (None, "a"), ("!", "!"), ("Zoë", "zoë!")]
+    rows = spark.createDataFrame(pairs, "a string, b string").withColumns({"x": evidence._named(F.col("a")), "y": evidence._named(F.col("b"))})
+    got = rows.select(evidence._names(F.col("x"), F.col("y")).alias("made"), evidence.named_in(F.col("a"), F.col("b")).alias("whole")).collect()
+    assert [r.made for r in got] == [r.whole for r in got] and [bool(r.made) for r in got] == [True, True, False, True, False, False, False, False, True]
+
+
+def test_bindings_make_keys_of_a_line_once(spark, found, monkeypatch):
+    calls = []
+    kept = evidence.quote_key
+    monkeypatch.setattr(evidence, "quote_key", lambda c: calls.append(1) or kept(c))
+    claims = spark.createDataFrame([(1, 5, "Jane Roe")], "doc_id long, idx int, identity string")
+    assert [r.binding for r in evidence.bound(found, claims).collect()] == ["row"]
+    assert len(calls) <= 6  # identities, lines, headers, context; both sides of a section
+
+
+def test_owners_where_only_some_tables_tell_the_column_of_names(spark):
+    text = "| Max | 1 |\n| | 2 |\n<!-- page:2 -->\n\n| Holder | n |\n|---|---|\n| Eve | 3 |\n|  | 4 |"
+    found = evidence.lines(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    texts = {r.idx: r.text for r in found.collect()}
+    assert {texts[r.idx]: texts[r.owner] for r in evidence.owners(found).collect()} == {"| | 2 |": "| Max | 1 |", "|  | 4 |": "| Eve | 3 |"}
