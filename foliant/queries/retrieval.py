@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliant.functions.text import STOPWORDS, tokens
-from foliant.operators.search import cosine_top_k
+from foliant.operators.search import cosine_top_k, weight_top_k
 from foliant.plans.registry import query
 from foliant.tables import settled, table
 
@@ -54,21 +54,26 @@ def asked_terms(spark: SparkSession, queries: tuple[tuple[int, str], ...] = QUER
     return spark.createDataFrame(sorted({(q, w) for q, text in queries for w in text.split()}), "query long, term string")
 
 
-def bm25_scores(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """query, doc_id, score of all documents that share a term with a query (asked: query, term).
+def bm25_weights(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """doc_id, term, weight (document's and collection's share) of all terms that are asked for (asked: query, term).
 
     One pass over the texts writes each document's number of tokens and its occurrences of asked
-    terms; the number of documents, their frequencies and the scores are read from that table.
+    terms; the number of documents, their frequencies and the weights are read from that table.
     """
     terms = F.broadcast(asked.agg(F.collect_set("term").alias("terms")))  # one row: what is asked for
     held = docs.select("doc_id", tokens(F.col("text")).alias("t")).join(terms)
-    posts = settled(held.select("doc_id", F.size("t").alias("n"), F.filter("t", lambda w: F.array_contains("terms", w)).alias("hits")))
+    posts = settled(held.select("doc_id", F.size("t").alias("n"), F.array_intersect("t", "terms").alias("known"), "t").select("doc_id", "n", F.when(F.size("known") > 0, F.filter("t", lambda w: F.array_contains("known", w))).alias("hits")))
     size = posts.agg(F.count_if(F.col("n") > 0).alias("docs"))
-    wanted = _weighed(posts.select("doc_id", "n", F.explode("hits").alias("term")))
+    wanted = settled(_weighed(posts.select("doc_id", "n", F.explode("hits").alias("term"))))
     df = wanted.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.join(F.broadcast(size)).select("term", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # one row
-    scored = wanted.join(idf.join(asked, "term"), "term")
-    return scored.groupBy("query", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("idf")), 6).alias("score"))
+    return wanted.join(idf, "term").select("doc_id", "term", (F.col("weight") * F.col("idf")).alias("weight"))
+
+
+def bm25_top_k(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """query, rank, doc_id, score: the k best documents that share a term with a query (asked: query, term)."""
+    own = settled(asked)
+    return weight_top_k(settled(bm25_weights(docs, own)), own, k)
 
 
 _ASKED = ", ".join(f"({q}, '{w}')" for q, t in QUERIES for w in sorted(set(t.split())))
@@ -85,7 +90,7 @@ def top_k(scored: DataFrame, k: int, by: str = "query", item: str = "doc_id") ->
 
 @query(f"WITH {_BM25_SQL} SELECT * FROM (SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM bm25) WHERE rank <= 10")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return top_k(bm25_scores(table(spark, sf_dir, "documents"), asked_terms(spark)), 10).select("query", "rank", "doc_id", "score")
+    return bm25_top_k(table(spark, sf_dir, "documents"), asked_terms(spark), 10).select("query", "rank", "doc_id", "score")
 
 
 def dense(spark: SparkSession, sf_dir: str, k: int, among: Column | None = None) -> DataFrame:
@@ -135,7 +140,7 @@ def hybrid(spark: SparkSession, sf_dir: str, limit: int = 40) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     numbers = table(spark, sf_dir, "embeddings").where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("doc_id"))
     asked = docs.join(numbers, "doc_id", "left_semi").select(F.col("doc_id").alias("query"), F.explode(F.slice(F.array_distinct(tokens(F.col("text"))), 1, 3)).alias("term"))
-    sparse = top_k(bm25_scores(docs, asked), limit).select("query", F.col("doc_id").alias("id"), "rank")
+    sparse = bm25_top_k(docs, asked, limit).select("query", F.col("doc_id").alias("id"), "rank")
     near = dense(spark, sf_dir, limit).select("query", F.col("vec_id").alias("id"), "rank")
     return sparse.union(near).groupBy("query", "id").agg(F.round(F.sum(1.0 / (RRF + F.col("rank"))), 9).alias("score"))
 
