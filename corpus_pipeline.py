@@ -56,8 +56,9 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens and the ids of every document of the mix."""
-    return bpe.round_trip(docs, *vocabulary(), keep=["source"], back=False).select("doc_id", "source", "n_tokens", "ids")
+    """doc_id, source, n_tokens, the ids of every document of the mix and the digest of what they decode to."""
+    both = bpe.round_trip(docs, *vocabulary(), keep=["source"])
+    return both.select("doc_id", "source", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [
