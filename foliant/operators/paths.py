@@ -9,8 +9,9 @@ from foliant.functions.text import common_length
 from foliant.operators.similar import similar
 from foliant.tables import settled
 
-#: Score from which a path is resolved.
+#: Score from which a path is resolved, and the higher ones that are tried first.
 CUTOFF = 70
+FIRST = (95, 90, 80)
 
 
 def normalised(path: Column) -> Column:
@@ -32,13 +33,25 @@ def resolved(proposed: DataFrame, paths: DataFrame, cutoff: int = CUTOFF) -> Dat
     """
     asked = settled(proposed.select("id", normalised(F.col("proposed")).alias("p")))
     known = settled(paths.where("path IS NOT NULL").select("path", normalised(F.col("path")).alias("q")).distinct())
-    one = asked.select("id", "p", F.explode(aliases(F.col("p"))).alias("a"))
-    other = known.select("path", "q", F.explode(aliases(F.col("q"))).alias("b"))
-    near = similar(one.select(F.col("a").alias("s")).distinct(), other.select(F.col("b").alias("s")).distinct(), cutoff)
+    open_ = settled(asked.select("id", "p", F.explode(aliases(F.col("p"))).alias("a")))
+    other = settled(known.select("path", "q", F.explode(aliases(F.col("q"))).alias("b")))
+    names = other.select(F.col("b").alias("s")).distinct()
+    found = asked.select("id", F.lit(None).cast(known.schema["path"].dataType).alias("path"), F.lit(None).cast("double").alias("score")).limit(0)
+    # A best score from a cutoff on is the best of the pairs from that cutoff on: only who has none goes on to the next, where more pairs meet.
+    for least in [*[x for x in FIRST if x > cutoff], cutoff]:
+        best = settled(_closest(open_, other, similar(open_.select(F.col("a").alias("s")).distinct(), names, least)))
+        found = found.union(best)
+        open_ = settled(open_.join(best, "id", "left_anti"))
+        if open_.isEmpty():
+            break
+    return asked.select("id").join(found, "id", "left").select("id", "path", "score")
+
+
+def _closest(one: DataFrame, other: DataFrame, near: DataFrame) -> DataFrame:
+    """id, path and score: of the pairs of aliases (a, b, score) that are near, each id's best."""
     met = one.join(near, "a").join(other, "b").groupBy("id", "p", "path", "q").agg(F.max("score").alias("score"))
     # Only the best by alias go on to the whole paths.
     top = met.groupBy("id").agg(F.max("score").alias("score"))
     tied = met.join(top, ["id", "score"]).withColumn("common", common_length.asNondeterministic()("p", "q"))
     whole = 200.0 * F.col("common") / (F.length("p") + F.length("q"))
-    best = tied.groupBy("id").agg(F.max(F.struct("score", whole.alias("whole"), "path")).alias("m"))
-    return asked.select("id").join(best, "id", "left").select("id", "m.path", "m.score")
+    return tied.groupBy("id").agg(F.max(F.struct("score", whole.alias("whole"), "path")).alias("m")).select("id", "m.path", "m.score")

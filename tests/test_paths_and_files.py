@@ -34,6 +34,15 @@ def test_paths_equal_all_pairs(spark):
     assert {x.id: (x.path, x.score) for x in got.collect()} == want
 
 
+def test_only_what_has_no_close_path_meets_the_others(spark, monkeypatch):
+    met = []
+    real = paths.similar
+    monkeypatch.setattr(paths, "similar", lambda a, b, percent: met.append((percent, sorted(x.s for x in a.collect()))) or real(a, b, percent))
+    got = paths.resolved(spark.createDataFrame([(1, "www.x.org/en/10000"), (2, "qwertyuiop")], "id long, proposed string"), spark.createDataFrame([("www.x.org/en/10001",), ("qwertyuxyz",)], "path string"))
+    assert {x.id: (x.path, x.score) for x in got.collect()} == {1: ("www.x.org/en/10001", 94.444444), 2: ("qwertyuxyz", 70.0)}
+    assert met[0][1] == ["10000", "qwertyuiop", "www.x.org/en/10000"] and met[-1] == (70, ["qwertyuiop"])
+
+
 def write(folder, name, text, at):
     path = os.path.join(folder, name)
     with open(path, "w") as out:

@@ -76,3 +76,24 @@ def test_contained_equals_all_pairs(strings):
     known = {x for x in rows if x}
     got = [(r.a, r.b) for r in similar.contained(table.distinct()).collect()]
     assert len(got) == len(set(got)) and set(got) == {(a, b) for a in known for b in known if a != b and a in b}
+
+
+def test_pairs_at_once_equal_single_ones():
+    r = random.Random(3)
+    text = lambda n: "".join(r.choice("abcdé日/.1") for _ in range(n))
+    for n, m in ((1, 1), (7, 9), (64, 64), (64, 70), (80, 63), (70, 75)):
+        x, y = [text(n) for _ in range(9)], [text(m) for _ in range(8)]
+        at, to = [i for i in range(9) for _ in range(8)], [j for _ in range(9) for j in range(8)]
+        got = similar.common_lengths(x, y, similar.np.array(at), similar.np.array(to))
+        assert got.tolist() == [common(x[i], y[j]) for i, j in zip(at, to)]
+        # Marks never differ by more than what is not common.
+        assert all((similar.mark(x[i]) ^ similar.mark(y[j])).bit_count() <= n + m - 2 * k for i, j, k in zip(at, to, got.tolist()))
+
+
+def test_blocks_meet_each_other_once(strings, monkeypatch):
+    rows, table = strings
+    whole = sorted(map(tuple, similar.similar(table.distinct(), percent=85).collect()))
+    monkeypatch.setattr(similar, "BLOCK", 100)
+    monkeypatch.setattr(similar, "AT_ONCE", 50)
+    assert similar.similar(table.distinct(), table.where("s = 'zz'")).collect() == [("zz", "zz", 100.0)] and similar.similar(table.distinct(), table.limit(0)).count() == 0
+    assert sorted(map(tuple, similar.similar(table.distinct(), percent=85).collect())) == whole
