@@ -74,6 +74,18 @@ def test_order_and_second_pass():
     assert [sorted(p.members) for p in people.grouped_fold(person(*rows))] == [[0, 1, 2]]
 
 
+@pytest.mark.parametrize("policy", [people.fold, people.grouped_fold])
+def test_a_fold_scores_only_what_may_match(monkeypatch, policy):
+    n = [0]
+    real = people._alike
+    monkeypatch.setattr(people, "_alike", lambda x, y: n.__setitem__(0, n[0] + 1) or real(x, y))
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    rows = [(i, f"{word()} {word()}", "", []) for i in range(400)]
+    out = policy(as_people([*rows, (400, rows[7][1], "", [])]))
+    assert [p.members for p in out if len(p.members) > 1] == [[7, 400]] and n[0] < 4000
+
+
 def test_lost_values(spark):
     rows = frame(spark, [(0, "Ann", "", ["a@b.com"]), (1, "Ann Lee", "", [])])
     got = {r.metric: r.n for r in people.merge_metrics(rows, people.merged(rows)).collect()}
