@@ -155,12 +155,18 @@ def name_column(headers: Column) -> Column:
     return F.when(at >= 0, at)
 
 
+def rows_of(found: DataFrame) -> DataFrame:
+    """doc_id, idx, root, cells and headers of the rows, those of a document in one part."""
+    return found.where("kind = 'row'").select("doc_id", "idx", "root", "cells", "headers").repartition("doc_id")
+
+
 def owners(found: DataFrame) -> DataFrame:
     """doc_id, idx and owner: of each row without a name the nearest row above that has one, across pages.
 
     Where no header tells the column of names, text above any of the row's empty cells is a name.
     """
-    rows = found.where("kind = 'row'").withColumn("names", name_column(F.col("headers"))).withColumn("width", F.size("cells"))
+    # Dealt by document once; every window below stays in its part.
+    rows = rows_of(found).withColumn("names", name_column(F.col("headers"))).withColumn("width", F.size("cells"))
     # Only columns in which some row of that width looks for a name.
     alike = Window.partitionBy("doc_id", "root", "width")
     rows = rows.withColumn("asked", F.collect_set("names").over(alike)).withColumn("all_", F.max(F.col("names").isNull()).over(alike))
@@ -281,11 +287,57 @@ def assigned(candidates: list[list[tuple[int, bool]]]) -> list[int | None]:
     return [fixed[f] for f in range(len(wants))]
 
 
+def _fits(quoted: list[str], cells: list[str]) -> bool:
+    """cells_match of keys at hand."""
+    at, cell = 0, ""
+    for k in quoted:
+        zero = k.lower() in ZEROS
+        if cell and not zero and k in cell:
+            continue
+        at = next((i + 1 for i in range(at, len(cells)) if cells[i] and (k == cells[i] or not zero and k in cells[i])), 0)
+        if not at:
+            return False
+        cell = cells[at - 1]
+    return bool(quoted)
+
+
+def _placed(asked: pd.DataFrame, rows: pd.DataFrame) -> Iterator[tuple]:
+    """quote_id, nth, fragment and the row of its own of every fragment of a document's quotes. A fragment meets the rows that hold its rarest three characters."""
+    grams = lambda k: {k[i : i + 3] for i in range(len(k) - 2)}
+    parted = [[k for k in keys.split("|") if k] for keys in asked["keys"]]
+    long = [set().union(*[grams(k) for k in keys if k.lower() not in ZEROS]) if solid else set() for keys, solid in zip(parted, asked["solid"])]
+    held: dict[str, list[int]] = {gram: [] for own in long for gram in own}
+    known = list(zip(rows["idx"], rows["cells"], rows["key"], rows["words"])) if len(rows) else []
+    for i, (_, _, key, _) in enumerate(known):
+        for gram in grams(key) & held.keys():
+            held[gram].append(i)
+    quotes: dict = {}
+    for at, (quote, own) in enumerate(zip(asked["quote_id"], long)):
+        quotes.setdefault(quote, []).append((asked["nth"].iat[at], at, own))
+    for quote, parts in quotes.items():
+        parts.sort()
+        lines = []
+        for _, at, own in parts:
+            keys, who = parted[at], [w for w in (asked["who_words"].iat[at] or "").split(" ") if w]
+            met = [] if not asked["solid"].iat[at] else min((held[g] for g in own), key=len) if own else range(len(known))
+            found = []
+            for i in met:
+                idx, cells, key, words = known[i]
+                if _fits(keys, cells.split("|")) if asked["piped"].iat[at] else keys and keys[0] in key:
+                    name = asked["who_key"].iat[at] or ""
+                    named = bool(name and key) and (name == key or len(name) >= 4 and name in key or bool(who) and set(who) <= set(words.split(" ")))
+                    found.append((int(idx), named))
+            lines.append(found)
+        for (nth, at, _), idx in zip(parts, assigned(lines)):
+            yield quote, nth, asked["fragment"].iat[at], idx
+
+
 def quotes_bound(found: DataFrame, quotes: DataFrame) -> DataFrame:
     """doc_id, quote_id, nth, fragment and idx: the row of its own that each fragment of a quote is found in, else null.
 
     quotes: doc_id, quote_id (one for a document), identity and quote. Line ends and ellipses part the
     fragments. One with pipes matches by its cells, another within the row's letters and digits.
+    A document's fragments and rows, each once, meet in one task.
     """
     parts = F.filter(F.split(F.coalesce("quote", F.lit("")), r"\r?\n|\.{3,}|…"), lambda x: F.trim(x) != "")
     asked = quotes.select("doc_id", "quote_id", "identity", F.posexplode(parts).alias("nth", "fragment"))
@@ -293,28 +345,13 @@ def quotes_bound(found: DataFrame, quotes: DataFrame) -> DataFrame:
     piped = F.contains("fragment", F.lit("|"))
     keys = F.when(piped, F.filter(F.transform(F.split(bare, r"(?<!\\)\|"), _key), lambda k: k != "")).otherwise(F.array(quote_key(F.col("fragment"))))
     solid = F.col("fragment").rlike("[a-zA-ZÀ-ɏ]") | (F.size(values(F.col("fragment"))) >= 2)
-    asked = settled(asked.withColumn("piped", piped).withColumn("keys", keys).withColumn("solid", solid))
-
-    rows = found.where("kind = 'row'").select("doc_id", "idx", "text", F.transform("cells", _key).alias("cells"), quote_key(F.col("text")).alias("key"))
-    grams = lambda k: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(k) - 2), lambda i: F.substring(k, i, F.lit(3))))
-    long = F.filter("keys", lambda k: F.length(quote_key(k)) >= 3)
-    marks = asked.where("solid").select("doc_id", "quote_id", "nth", F.explode(F.flatten(F.transform(long, grams))).alias("gram")).distinct()
-    lookup = settled(rows.where(F.length("key") >= 3).select("doc_id", "idx", F.explode(grams(F.col("key"))).alias("gram")))
-    holders = lookup.groupBy("doc_id", "gram").agg(F.count("*").alias("n"))
-    # A fragment's rarest gram in its document; one that no row has leads nowhere.
-    rarest = marks.join(holders, ["doc_id", "gram"], "left").groupBy("doc_id", "quote_id", "nth").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))["gram"].alias("gram"))
-    met = rarest.join(lookup, ["doc_id", "gram"]).select("doc_id", "quote_id", "nth", "idx")
-    short = asked.where(F.col("solid") & (F.size(long) == 0)).select("doc_id", "quote_id", "nth").join(rows.select("doc_id", "idx"), "doc_id")
-    pairs = met.union(short.select("doc_id", "quote_id", "nth", "idx")).join(asked, ["doc_id", "quote_id", "nth"]).join(rows, ["doc_id", "idx"])
-    fits = F.when(F.col("piped"), cells_match(F.col("keys"), F.col("cells"))).otherwise(F.contains("key", F.get("keys", F.lit(0))))
-    named = F.coalesce(named_in(F.col("identity"), F.col("text")), F.lit(False))
-    pairs = pairs.where(fits).groupBy("doc_id", "quote_id", "nth").agg(F.collect_list(F.struct("idx", named.alias("named"))).alias("lines"))
-    grouped = asked.join(pairs, ["doc_id", "quote_id", "nth"], "left").groupBy("doc_id", "quote_id").agg(F.array_sort(F.collect_list(F.struct("nth", "fragment", F.coalesce("lines", F.array().cast("array<struct<idx:int,named:boolean>>")).alias("lines")))).alias("parts"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield frame[["doc_id", "quote_id"]].assign(chosen=[assigned([[(x["idx"], x["named"]) for x in p["lines"]] for p in parts]) for parts in frame["parts"]])
+    keys = F.array_join(keys, "|")
+    asked = asked.select("doc_id", "quote_id", "nth", "fragment", piped.alias("piped"), keys.alias("keys"), solid.alias("solid"), quote_key(F.col("identity")).alias("who_key"), name_key(F.col("identity")).alias("who_words"))
+    rows = found.where("kind = 'row'").select(F.col("doc_id").alias("held_in"), "idx", F.array_join(F.transform("cells", _key), "|").alias("cells"), quote_key(F.col("text")).alias("key"), name_key(F.col("text")).alias("words"))
+
+    def run(key: tuple, own: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame(_placed(own, lines) if len(own) else [], columns=["quote_id", "nth", "fragment", "idx"])
+        return out.assign(doc_id=key[0], idx=out["idx"].astype("Int32"))[["doc_id", "quote_id", "nth", "fragment", "idx"]]
 
     kinds = dict(quotes.dtypes)
-    chosen = grouped.mapInPandas(run, f"doc_id {kinds['doc_id']}, quote_id {kinds['quote_id']}, chosen array<int>").select("doc_id", "quote_id", F.posexplode("chosen").alias("nth", "idx"))
-    return asked.select("doc_id", "quote_id", "nth", "fragment").join(chosen, ["doc_id", "quote_id", "nth"], "left")
+    return asked.groupBy("doc_id").cogroup(rows.groupBy("held_in")).applyInPandas(run, f"doc_id {kinds['doc_id']}, quote_id {kinds['quote_id']}, nth int, fragment string, idx int")

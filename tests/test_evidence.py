@@ -141,3 +141,11 @@ def test_owners_where_only_some_tables_tell_the_column_of_names(spark):
     found = evidence.lines(spark.createDataFrame([(1, text)], "doc_id long, text string"))
     texts = {r.idx: r.text for r in found.collect()}
     assert {texts[r.idx]: texts[r.owner] for r in evidence.owners(found).collect()} == {"| | 2 |": "| Max | 1 |", "|  | 4 |": "| Eve | 3 |"}
+
+
+def test_quotes_meet_rows_by_document_and_write_nothing(spark, monkeypatch):
+    found = evidence.lines(spark.createDataFrame([(1, "| Jane Roe | None |\n| Jane Roe | 5 |")], "doc_id long, text string"))
+    monkeypatch.setattr(evidence, "settled", lambda rows: pytest.fail("a table of all runs of characters was written here"))
+    quotes = spark.createDataFrame([(1, 1, None, "| Jane Roe | None |"), (1, 2, "Jane Roe", "| Jane Roe |\n| Jane Roe |\n| 5 |")], "doc_id long, quote_id int, identity string, quote string")
+    # A marker of zero in capitals is a cell like others; its characters do not stand in the row's key.
+    assert sorted((r.quote_id, r.nth, r.idx) for r in evidence.quotes_bound(found, quotes).collect()) == [(1, 0, 0), (2, 0, 0), (2, 1, 1), (2, 2, None)]
