@@ -31,6 +31,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import released
+
 #: Bytes of text that a task takes at a time, and pieces that a worker remembers.
 SLICE_BYTES = 4_000_000
 CACHE_PIECES = 500_000
@@ -38,6 +40,8 @@ CACHE_PIECES = 500_000
 MEMORY, SPILL = "350MB", "4GB"
 #: Rows that the rounds of one query may make, and its least number of rounds.
 ROUND_ROWS, ROUNDS = 3_000_000, 6
+#: Bytes of new pieces that are encoded at a time, and tokens that are decoded at a time, one piece or text at least.
+PART_BYTES, PART_TOKENS = 250_000, 300_000
 
 #: A row is a token position: p its first byte's number, q that of the next token (gaps keep pieces
 #: apart), nx the next token. Pairs of one rank can only overlap as runs of one token; every second
@@ -154,7 +158,9 @@ class Encoder:
             "SELECT i FROM piece WHERE NOT EXISTS (SELECT 1 FROM cache WHERE cache.piece = piece.piece) ORDER BY i"
         ).fetchnumpy()["i"]
         if len(missing):
-            self._encode(distinct.take(pa.array(missing)))
+            fresh = distinct.take(pa.array(missing))
+            for start, end in _parts(np.asarray(pc.binary_length(fresh)), PART_BYTES):
+                self._encode(fresh.slice(start, end - start))
             self.cached += len(missing)
         out = self.con.sql("SELECT c.ids FROM piece JOIN cache c USING (piece) ORDER BY i").to_arrow_table()
         self.con.unregister("piece")
@@ -182,6 +188,11 @@ class Encoder:
 
     def decode(self, lists: pa.ListArray) -> pa.Array:
         """The bytes of each list of ids; null lists count as empty, unknown ids fail."""
+        sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
+        parts = [self._decode(lists.slice(start, end - start)) for start, end in _parts(sizes, PART_TOKENS)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
+
+    def _decode(self, lists: pa.ListArray) -> pa.Array:
         flat = lists.flatten()
         number = np.repeat(np.arange(len(lists)), np.asarray(pc.fill_null(pc.list_value_length(lists), 0)))
         self.con.register("tokens", pa.table({"i": number, "pos": np.arange(len(flat)), "tok": flat}))
@@ -201,17 +212,23 @@ def _encoder(name: str, ranks: list[tuple[bytes, int]]) -> Encoder:
     return _encoders[name]
 
 
+def _parts(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose sizes come to most together, one row at least."""
+    at = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    start = 0
+    while start < len(sizes):
+        end = int(np.searchsorted(at, at[start] + most, "right")) - 1
+        end = min(max(start + 1, end), len(sizes))
+        yield start, end
+        start = end
+
+
 def _slices(words: pa.ListArray) -> Iterator[tuple[int, int]]:
     """Ranges of documents with about SLICE_BYTES of text, one document at least."""
     offsets = np.asarray(words.offsets) - words.offsets[0].as_py()
     length = np.asarray(pc.binary_length(words.flatten()))
     at = np.concatenate([[0], np.cumsum(length, dtype=np.int64)])[offsets]
-    start = 0
-    while start < len(words):
-        end = int(np.searchsorted(at, at[start] + SLICE_BYTES, "right")) - 1
-        end = min(max(start + 1, end), len(words))
-        yield start, end
-        start = end
+    yield from _parts(np.diff(at), SLICE_BYTES)
 
 
 def round_trip(docs: DataFrame, ranks: list[tuple[bytes, int]], pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, back: bool = True) -> DataFrame:
@@ -236,6 +253,8 @@ def round_trip(docs: DataFrame, ranks: list[tuple[bytes, int]], pattern: str, id
                 lists = pa.ListArray.from_arrays(pa.array(first[offsets - offsets[0]] - first[0], pa.int32()), ids.flatten())
                 out = [lists, encoder.decode(lists)] if back else [lists]
                 yield pa.RecordBatch.from_arrays([c.slice(start, end - start) for c in batch.columns[2:]] + out, names=[*kept, "ids", "decoded"][: len(kept) + len(out)])
+                del part, flat, ids, lists, out
+            del batch, words  # before the next is read
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     split = docs.select(
@@ -245,7 +264,7 @@ def round_trip(docs: DataFrame, ranks: list[tuple[bytes, int]], pattern: str, id
         *[F.col(c) for c in kept],
     )
     kinds = dict(docs.dtypes)
-    done = split.mapInArrow(run, f"{', '.join(f'`{c}` {kinds[c]}' for c in kept)}, ids array<int>" + ", decoded binary" * back)
+    done = split.mapInArrow(released(run), f"{', '.join(f'`{c}` {kinds[c]}' for c in kept)}, ids array<int>" + ", decoded binary" * back)
     return done.select(*kept, F.size("ids").cast("long").alias("n_tokens"), "ids", *["decoded"] * back)
 
 

@@ -48,6 +48,8 @@ SPAN = WINDOW - GRAM + 1
 RUN, CORE = 64, 4
 CHUNK = 1 << 18
 SORTED, SHARE = 12_000, 4_000
+#: Bytes of compressed texts whose runs or ranges a task opens at a time.
+PACKED = 500_000
 #: Least number of texts in the sample that hot hashes are found in, and a hot hash's least number
 #: of runs in it. The sample grows so that a hash with GROUP runs in all texts is hot; of hot hashes
 #: the HOTTEST most frequent ones are told to the tasks, 16 bytes each.
@@ -219,7 +221,7 @@ def _with_bytes(held: DataFrame) -> DataFrame:
     """For each wanted run of a text: group, salts, doc_id, place, bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1, PACKED):  # lists of Python's own are many times as large
             for doc, packed, wanted in zip(*(c.to_pylist() for c in batch.columns)):
                 text = _unpack(packed)
                 rows = [(w["group"], w["salts"], doc, w["place"], text[w["place"] >> 15 :][: (w["place"] >> 8 & 127) + WINDOW - 1]) for w in wanted]
@@ -381,7 +383,7 @@ def _cut(held: DataFrame) -> DataFrame:
     """doc_id, spans array<struct<start,end>>, kept binary, kept_text, of texts with their removed ranges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1, PACKED):
             spans, kept = [], []
             for packed, ranges in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 text, out, at, own = _unpack(packed), [], 0, []
