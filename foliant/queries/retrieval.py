@@ -26,16 +26,17 @@ _WEIGHT_SQL = f"""weights AS (
   FROM (SELECT doc_id, term, count(*)::DOUBLE AS tf FROM tok GROUP BY ALL) JOIN (SELECT doc_id, count(*)::DOUBLE AS n FROM tok GROUP BY ALL) USING (doc_id))"""
 
 
-def _weighed(each: DataFrame) -> DataFrame:
-    """doc_id, term, weight of rows (doc_id, n: tokens of the document, term), one for each occurrence."""
-    counted = each.groupBy("doc_id", "n", "term").agg(F.count("*").cast("double").alias("tf"))
-    return counted.select("doc_id", "term", (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n").cast("double") / AVERAGE))).alias("weight"))
+def _weight(tf: Column, n: Column) -> Column:
+    """A term's weight in a document of n tokens that holds it tf times."""
+    tf = tf.cast("double")
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * n.cast("double") / AVERAGE))
 
 
 def document_weights(docs: DataFrame) -> DataFrame:
     """doc_id, term, weight: BM25 document weights, without the collection's share. A text is tokenised once, its tokens counted before they are shuffled."""
     held = docs.select("doc_id", tokens(F.col("text")).alias("t"))
-    return _weighed(held.select("doc_id", F.size("t").alias("n"), F.explode("t").alias("term")))
+    counted = held.select("doc_id", F.size("t").alias("n"), F.explode("t").alias("term")).groupBy("doc_id", "n", "term").agg(F.count("*").alias("tf"))
+    return counted.select("doc_id", "term", _weight(F.col("tf"), F.col("n")).alias("weight"))
 
 
 @query(f"WITH {TOKENS_SQL} SELECT doc_id, count(*)::BIGINT AS n_tokens, count(DISTINCT term)::BIGINT AS n_distinct FROM tok GROUP BY doc_id")
@@ -57,14 +58,17 @@ def asked_terms(spark: SparkSession, queries: tuple[tuple[int, str], ...] = QUER
 def bm25_weights(docs: DataFrame, asked: DataFrame) -> DataFrame:
     """doc_id, term, weight (document's and collection's share) of all terms that are asked for (asked: query, term).
 
-    One pass over the texts writes each document's number of tokens and its occurrences of asked
-    terms; the number of documents, their frequencies and the weights are read from that table.
+    One pass over the texts looks each token up among the asked terms and writes each document's
+    counts of those that are found; an empty term stands for the document itself. The number of
+    documents, their frequencies and the weights are read from that table.
     """
-    terms = F.broadcast(asked.agg(F.collect_set("term").alias("terms")))  # one row: what is asked for
-    held = docs.select("doc_id", tokens(F.col("text")).alias("t")).join(terms)
-    posts = settled(held.select("doc_id", F.size("t").alias("n"), F.array_intersect("t", "terms").alias("known"), "t").select("doc_id", "n", F.when(F.size("known") > 0, F.filter("t", lambda w: F.array_contains("known", w))).alias("hits")))
-    size = posts.agg(F.count_if(F.col("n") > 0).alias("docs"))
-    wanted = settled(_weighed(posts.select("doc_id", "n", F.explode("hits").alias("term"))))
+    terms = F.broadcast(asked.select("term").union(asked.sparkSession.range(1).select(F.lit("").alias("term"))).distinct())  # what is asked for
+    held = docs.select("doc_id", tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("n"), F.array_append("t", F.lit("")).alias("t"))
+    # The outer form: the other one would tokenise a second time to leave out empty arrays.
+    found = held.select("doc_id", "n", F.explode_outer("t").alias("term")).join(terms, "term", "left_semi")
+    posts = settled(found.groupBy("doc_id", "n", "term").agg(F.count("*").alias("tf")))
+    size = posts.where("term = ''").agg(F.sum(F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).alias("docs"))
+    wanted = posts.where("term <> ''").select("doc_id", "term", _weight(F.col("tf"), F.col("n")).alias("weight"))
     df = wanted.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.join(F.broadcast(size)).select("term", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # one row
     return wanted.join(idf, "term").select("doc_id", "term", (F.col("weight") * F.col("idf")).alias("weight"))

@@ -1,5 +1,6 @@
 """Sums of term weights in blocks against all pairs."""
 
+import math
 import random
 
 from foliant.operators import search
@@ -21,3 +22,25 @@ def test_weights_in_blocks_equal_all_pairs(spark, monkeypatch):
     rows = spark.createDataFrame(held, "doc_id long, term string, weight double"), spark.createDataFrame(asked, "query long, term string")
     assert sorted(map(tuple, search.weight_top_k(*rows, 5).collect())) == want
     assert search.weight_top_k(rows[0].limit(0), rows[1], 5).count() == search.weight_top_k(rows[0], rows[1].limit(0), 5).count() == 0
+
+
+def test_tokens_are_looked_up_among_asked_terms(spark, monkeypatch):
+    from foliant.queries import retrieval
+
+    plans, settled = [], retrieval.settled
+    monkeypatch.setattr(retrieval, "settled", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or settled(df))
+    r = random.Random(6)
+    texts = {i: [r.choice(["aa", "bb", "cc", "dd", "the", "x"]) for _ in range(r.randint(0, 12))] for i in range(30)}
+    rows = [(i, " ".join(t)) for i, t in texts.items()] + [(100, None), (101, ""), (102, "the")]
+    asked = spark.createDataFrame([(1, "aa"), (2, "aa"), (2, "bb"), (3, "none")], "query long, term string")
+    got = {(x.doc_id, x.term): x.weight for x in retrieval.bm25_weights(spark.createDataFrame(rows, "doc_id long, text string"), asked).collect()}
+    kept = {i: [w for w in t if w not in ("the", "x")] for i, t in texts.items()}
+    docs, want = sum(bool(t) for t in kept.values()), {}
+    for term in ("aa", "bb"):
+        df = sum(term in t for t in kept.values())
+        for i, t in kept.items():
+            if tf := t.count(term):
+                want[i, term] = tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(t) / 120)) * math.log(1 + (docs - df + 0.5) / (df + 0.5))
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-12) for k in want)
+    # Comparing a document's tokens with all terms grows with both.
+    assert plans[0].count("regexp_extract_all") == 1 and "LeftSemi" in plans[0] and "array_intersect" not in plans[0]
