@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -59,7 +60,7 @@ def slug(text: Column) -> Column:
 
 def quote_key(text: Column) -> Column:
     """What must agree of a quote and its source: letters (to U+024F) and digits, lower case."""
-    return F.lower(F.regexp_replace(text, r"[^0-9A-Za-zÀ-ɏ]", ""))
+    return F.lower(F.array_join(F.regexp_extract_all(text, F.lit(r"[0-9A-Za-zÀ-ɏ]+"), F.lit(0)), ""))
 
 
 def name_key(text: Column) -> Column:
@@ -84,6 +85,22 @@ def common_characters(x: str, y: str) -> int:
     return len(y) - row.bit_count()
 
 
+def common_with_each(x: str, ys: list[str]) -> np.ndarray:
+    """common_characters of x and each of ys at once: they lie side by side in one number, apart by a bit that takes up carries."""
+    lengths = np.array([len(y) for y in ys], dtype=np.int64)
+    ends = np.cumsum(lengths + 1)
+    codes = np.frombuffer("".join(y + "\0" for y in ys).encode("utf-32-le"), dtype=np.uint32).copy()
+    codes[ends - 1] = 0xFFFFFFFF
+    bits = lambda held: int.from_bytes(np.packbits(held, bitorder="little").tobytes(), "little")
+    masks = {c: bits(codes == ord(c)) for c in set(x)}
+    full = row = bits(codes != 0xFFFFFFFF)
+    for c in x:
+        both = row & masks[c]
+        row = ((row + both) | (row ^ both)) & full
+    left = np.unpackbits(np.frombuffer(row.to_bytes(-(-len(codes) // 8), "little"), dtype=np.uint8), count=len(codes), bitorder="little")
+    return lengths - np.add.reduceat(left, ends - 1 - lengths, dtype=np.int64)
+
+
 @F.pandas_udf(IntegerType())
 def common_length(a: pd.Series, b: pd.Series) -> pd.Series:
     """Length of the longest common subsequence of two strings; null if one is."""

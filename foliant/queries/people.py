@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.functions.text import common_length, quote_key
+from foliant.functions.text import common_with_each, quote_key
 from foliant.plans.registry import query
 from foliant.tables import table
 
@@ -97,13 +99,24 @@ def closest_lines(fragments: DataFrame, cutoff: int = 60) -> DataFrame:
     """id, line, score for id, fragment, lines (array): the line most like the fragment, the first of equals, from a score on.
 
     Letters and digits are compared, in whole lines. Score: twice their longest common subsequence
-    over both lengths, 0 to 100. Each line is a row; one whose length alone misses the cutoff is not compared.
+    over both lengths, 0 to 100. A row's lines are compared at once; one whose length alone misses
+    the cutoff is not. Rows of the same id have one best line.
     """
-    each = fragments.select("id", quote_key(F.col("fragment")).alias("key"), F.posexplode("lines").alias("at", "line")).withColumn("own", quote_key(F.col("line")))
-    total = F.length("key") + F.length("own")
-    near = each.where((F.col("key") != "") & (F.col("own") != "") & (200 * F.least(F.length("key"), F.length("own")) >= cutoff * total))
-    scored = near.withColumn("common", common_length.asNondeterministic()("key", "own")).where(200 * F.col("common") >= cutoff * total)
-    best = scored.groupBy("id").agg(F.min(F.struct((-200.0 * F.col("common") / total).alias("s"), "at", F.trim("line").alias("line"))).alias("m"))
+
+    @F.pandas_udf("at int, common long, total long")
+    def closest(keys: pd.Series, owns: pd.Series) -> pd.DataFrame:
+        found = []
+        for key, own in zip(keys, owns):
+            near = [i for i, y in enumerate(own) if y and 200 * min(len(key), len(y)) >= cutoff * (len(key) + len(y))] if key and own is not None else []
+            if near:
+                common, total = common_with_each(key, [own[i] for i in near]), np.array([len(key) + len(own[i]) for i in near])
+                first = np.argmax(200.0 * common / total)
+                near = [(near[first], common[first], total[first])] if 200 * common[first] >= cutoff * total[first] else []
+            found.append(near[0] if near else (None, None, None))
+        return pd.DataFrame(found, columns=["at", "common", "total"]).astype({"at": "Int32", "common": "Int64", "total": "Int64"})
+
+    each = fragments.select("id", "lines", closest.asNondeterministic()(quote_key(F.col("fragment")), F.transform("lines", quote_key)).alias("c")).where("c.at IS NOT NULL")
+    best = each.groupBy("id").agg(F.min(F.struct((-200.0 * F.col("c.common") / F.col("c.total")).alias("s"), F.col("c.at").alias("at"), F.trim(F.get("lines", F.col("c.at"))).alias("line"))).alias("m"))
     return best.select("id", "m.line", F.round(-F.col("m.s"), 6).alias("score"))
 
 

@@ -108,3 +108,21 @@ def test_closest_line_equals_all_lines(spark):
             want[i] = (lines[-max(scores)[1]].strip(" "), round(max(scores)[0], 6))
     got = {x.id: (x.line, x.score) for x in closest_lines(spark.createDataFrame(rows, "id long, fragment string, lines array<string>")).collect()}
     assert got == want and len(got) > 10
+
+
+def test_fragment_meets_all_lines_at_once():
+    import time
+
+    from foliant.functions.text import common_characters, common_with_each
+
+    r = random.Random(8)
+    for _ in range(200):
+        word = lambda: "".join(r.choice("abcdé𝔸\0\n") for _ in range(r.randint(0, 70)))  # noqa: E731, B023
+        x, ys = word(), [word() for _ in range(r.randint(1, 12))]
+        assert common_with_each(x, ys).tolist() == [common_characters(x, y) for y in ys]
+    line = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100))
+    x, ys, clock = line(), [line() for _ in range(400)], time.process_time
+    began = clock()
+    each = [common_characters(x, y) for y in ys]
+    middle = clock()
+    assert common_with_each(x, ys).tolist() == each and clock() - middle < (middle - began) / 3
