@@ -1,57 +1,155 @@
-"""Nested JSON as a table of its nodes: read in rounds, edited by joins, checked by path, built again from below.
+"""Nested JSON as a table of its nodes: edited by columns, checked by path, written in one spelling.
 
-A round opens every object and array of one depth, so as many rounds are run as the deepest document
-has levels; nodes of documents of any shape stand in one table. Building goes the other way: the
-children of a depth are joined into their parents' text.
+The parser of Spark reads a text and writes it without blanks, so every case of malformed texts is
+its own. A row's document is opened within its task and nothing of it is shuffled; keys are judged
+and strings changed by column expressions. Nodes of documents of any shape stand in one table,
+from which documents are built again from below, the children of a depth joined into their parents.
 
 Cases: null and malformed texts have no nodes and come back as null. Keys may hold any character;
 in paths those that are not letters, digits or underscores are kept as they are. Of keys that are
-repeated in an object the parser decides. ids are unique and not null.
+repeated in an object the parser decides. ids are unique and not null. A document is held whole in
+its task. The parser writes a number beyond doubles as the string "Infinity", which it then is.
 """
 
 from __future__ import annotations
 
+import json
+import re
+import sys
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from foliant.tables import settled
 
+KINDS = ("object", "array", "string", "number", "boolean", "null")
+#: Nodes of a batch that is given back, some more for the last document.
+NODES = 20_000
+#: What is not kept where empty values go.
+EMPTY = frozenset(("null", '""', "{}", "[]"))
+_STRING = re.compile(r'"([^"\\]*(?:\\.[^"\\]*)*)"(:?)')
+_ESCAPED = re.compile(r'[\x00-\x1f"\\]')
+_ESCAPES = {chr(i): f"\\u{i:04X}" for i in range(32)} | {"\b": "\\b", "\t": "\\t", "\n": "\\n", "\f": "\\f", "\r": "\\r", '"': '\\"', "\\": "\\\\"}
+_NODE = "path string, parent string, pattern string, depth int, key string, pos int, kind string, text string, keys array<string>"
+
+
+class _Number(str):
+    """A number as it is spelled."""
+
+
+def _read(text: str) -> object:
+    sys.setrecursionlimit(10_000)  # the parser opens 1,000 levels
+    return json.loads(text, parse_int=_Number, parse_float=_Number, parse_constant=_Number)
+
+
+def _quoted(text: str) -> str:
+    return '"' + _ESCAPED.sub(lambda m: _ESCAPES[m[0]], text) + '"'
+
+
+def _scalar(x: object) -> str:
+    return "null" if x is None else "true" if x is True else "false" if x is False else str(x) if type(x) is _Number else _quoted(x)
+
+
+def _spelled(x: object, gone: frozenset, empty: frozenset, fresh: Iterator | None) -> str:
+    """A value with its keys in order, without those that are gone and values that count as empty; fresh strings replace the own ones in their order."""
+    if type(x) is dict:
+        held = [(k, j) for k, v in x.items() if (j := _spelled(v, gone, empty, fresh)) not in empty and k not in gone]
+        return "{" + ",".join([_quoted(k) + ":" + j for k, j in sorted(held)]) + "}"
+    if type(x) is list:
+        return "[" + ",".join([j for v in x if (j := _spelled(v, gone, empty, fresh)) not in empty]) + "]"
+    return _scalar(next(fresh) if fresh is not None and type(x) is str else x)
+
+
+def _opened(x: object, gone: frozenset, wanted: frozenset | None, ways: frozenset, kinds: frozenset) -> Iterator[tuple]:
+    """The nodes of a value as rows of _NODE: of the wanted patterns, to which ways lead, and kinds."""
+    todo = [("$", None, "$", 0, None, 0, x)]
+    while todo:
+        path, parent, pattern, depth, key, pos, v = todo.pop()
+        keys = text = None
+        if type(v) is dict:
+            kind, keys = "object", [k for k in v if k not in gone] if gone else list(v)
+            for i, k in enumerate(v):
+                below = f"{pattern}.{k}"
+                if k not in gone and (wanted is None or below in ways):
+                    todo.append((f"{path}.{k}", path, below, depth + 1, k, i, v[k]))
+        elif type(v) is list:
+            kind, below = "array", pattern + "[*]"
+            if wanted is None or below in ways:
+                todo += [(f"{path}[{i}]", path, below, depth + 1, None, i, y) for i, y in enumerate(v)]
+        else:
+            kind, text = "null" if v is None else "boolean" if type(v) is bool else "number" if type(v) is _Number else "string", _scalar(v)
+        if kind in kinds and (wanted is None or pattern in wanted):
+            yield path, parent, pattern, depth, key, pos, kind, text, keys
 
-def nodes(rows: DataFrame, drop: str | None = None) -> DataFrame:
-    """Of rows (id, json): id, path, parent, pattern, depth, key, pos, kind and text.
+
+@F.pandas_udf(StructType([StructField("keys", ArrayType(StringType())), StructField("strings", ArrayType(StringType()))]))
+def _words(texts: pd.Series) -> pd.DataFrame:
+    """A document's distinct keys, and its strings in their order."""
+    plain = lambda s: json.loads(f'"{s}"') if "\\" in s else s
+    found = [None if x is None else _STRING.findall(x) for x in texts]
+    return pd.DataFrame({"keys": [None if x is None else [plain(s) for s in {s for s, colon in x if colon}] for x in found], "strings": [None if x is None else [plain(s) for s, colon in x if not colon] for x in found]})
+
+
+@F.pandas_udf(StringType())
+def _written(texts: pd.Series, gone: pd.Series, fresh: pd.Series, prune: pd.Series) -> pd.Series:
+    """The documents in one spelling, without the keys that are gone; fresh strings, if any, in place of the own."""
+    return pd.Series([None if x is None else _spelled(_read(x), frozenset(g), EMPTY if p else frozenset(), None if f is None else iter(f)) for x, g, f, p in zip(texts, gone, fresh, prune)], dtype=object)
+
+
+def _parsed(rows: DataFrame, drop: str | None) -> DataFrame:
+    """id, text (as the parser writes it), gone (the keys that match drop) and strings."""
+    held = rows.select("id", F.to_json(F.try_parse_json("json")).alias("text"))
+    held = held.select("id", "text", _words.asNondeterministic()("text").alias("w"))
+    gone = F.filter("w.keys", lambda k: F.lower(k).rlike(drop)) if drop else F.array().cast("array<string>")
+    return held.select("id", "text", F.coalesce(gone, F.array().cast("array<string>")).alias("gone"), "w.strings")
+
+
+def nodes(rows: DataFrame, drop: str | None = None, patterns: list[str] | None = None, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """Of rows (id, json): id, path, parent, pattern, depth, key, pos, kind, text and keys.
 
     path is like $.a[0].b and pattern the same with [*]; kind is object, array, string, number,
-    boolean or null; text is a scalar's JSON. Keys that match drop (a regular expression, lower-case
-    keys) are not opened, wherever they stand.
+    boolean or null; text is a scalar's JSON, keys those of an object. Keys that match drop (a
+    regular expression, lower-case keys) are not opened, wherever they stand. With patterns or kinds
+    only nodes of these are made.
     """
-    level = rows.where("json IS NOT NULL").select("id", F.lit("$").alias("path"), F.lit(None).cast("string").alias("parent"), F.lit("$").alias("pattern"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("key"), F.lit(0).alias("pos"), F.try_parse_json("json").alias("v")).where("v IS NOT NULL")
-    out = None
-    while True:
-        shape = F.schema_of_variant("v")
-        kind = F.when(shape.startswith("OBJECT"), "object").when(shape.startswith("ARRAY"), "array").when(shape == "STRING", "string").when(shape == "BOOLEAN", "boolean").when(shape == "VOID", "null").otherwise("number")
-        level = settled(level.withColumn("kind", kind))
-        inner = F.col("kind").isin("object", "array")
-        done = level.select("id", "path", "parent", "pattern", "depth", "key", "pos", "kind", F.when(~inner, F.to_json("v")).alias("text"))
-        out = done if out is None else out.union(done)
-        if level.where(inner).isEmpty():
-            return out
-        level = level.where(inner).sparkSession.sql("SELECT t.id, t.path AS parent, t.pattern AS above, t.depth + 1 AS depth, e.key, e.pos, e.value AS v FROM {t} t, LATERAL variant_explode(t.v) e", t=level.where(inner))
-        if drop:
-            level = level.where(F.col("key").isNull() | ~F.lower("key").rlike(drop))
-        place = lambda above, index: F.when(F.col("key").isNull(), F.concat(above, index)).otherwise(F.concat(above, F.lit("."), "key"))
-        level = level.select("id", place(F.col("parent"), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).alias("path"), "parent", place(F.col("above"), F.lit("[*]")).alias("pattern"), "depth", "key", "pos", "v")
+    wanted = None if patterns is None else frozenset(patterns)
+    ways = frozenset(p[:i] for p in patterns or () for i in range(1, len(p) + 1) if p[i : i + 1] in ("", ".", "["))
+    held = _parsed(rows, drop) if drop else rows.select("id", F.to_json(F.try_parse_json("json")).alias("text"), F.array().cast("array<string>").alias("gone"))
+    schema = StructType([StructField("id", rows.schema["id"].dataType), *StructType.fromDDL(_NODE)])
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string())]
+        names = ["id", *(x.name for x in schema[1:])]
+        for batch in batches:
+            at, out = [], []
+            for n, (text, gone) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                out += _opened(_read(text), frozenset(gone), wanted, ways, frozenset(kinds))
+                at += [n] * (len(out) - len(at))
+                if len(out) >= NODES or out and n + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(zip(*out), types))], names=names)
+                    at, out = [], []
+
+    return held.where("text IS NOT NULL").select("id", "text", "gone").mapInArrow(opened, schema)
+
+
+def unquoted(text: Column) -> Column:
+    """The string that a JSON string stands for; only one with an escape is parsed."""
+    return F.when(~F.contains(text, F.lit("\\")), F.substring(text, F.lit(2), F.length(text) - 2)).otherwise(F.from_json(F.concat(F.lit('{"s":'), text, F.lit("}")), "s string")["s"])
 
 
 def strings(found: DataFrame, change) -> DataFrame:
     """The nodes with change(text) in place of every string."""
-    plain = F.from_json(F.concat(F.lit('{"s":'), "text", F.lit("}")), "s string")["s"]
-    return found.withColumn("text", F.when(F.col("kind") == "string", quoted(change(plain))).otherwise(F.col("text")))
+    return found.withColumn("text", F.when(F.col("kind") == "string", quoted(change(unquoted(F.col("text"))))).otherwise(F.col("text")))
 
 
 def quoted(text: Column) -> Column:
     """A string as JSON."""
     inner = F.to_json(F.struct(text.alias("s")), {"ignoreNullFields": "false"})
-    return F.substring(inner, F.lit(6), F.length(inner) - 6)
+    return F.when(~text.rlike(r'[\x00-\x1F"\\]'), F.concat(F.lit('"'), text, F.lit('"'))).otherwise(F.substring(inner, F.lit(6), F.length(inner) - 6))
 
 
 def built(found: DataFrame, prune: bool = False) -> DataFrame:
@@ -78,13 +176,19 @@ def built(found: DataFrame, prune: bool = False) -> DataFrame:
 
 def cleaned(rows: DataFrame, drop: str, change) -> DataFrame:
     """id and json of every row: keys that match drop gone at any depth, strings changed, nothing empty left; null as it was."""
-    out = built(strings(nodes(rows, drop), change), prune=True)
-    return rows.select("id").join(out, "id", "left")
+    held = _parsed(rows, drop).withColumn("fresh", F.transform("strings", change))
+    return held.select("id", _written("text", "gone", "fresh", F.lit(True)).alias("json"))
 
 
 def cache_keys(rows: DataFrame, ignore: str | None = None) -> DataFrame:
     """id and key: the SHA-256 of each text in one spelling, without keys that match ignore; null where it is no JSON."""
-    return rows.select("id").join(built(nodes(rows, ignore)).select("id", F.sha2(F.col("json").cast("binary"), 256).alias("key")), "id", "left")
+    json = _written("text", "gone", F.lit(None).cast("array<string>"), F.lit(False))
+    return _parsed(rows, ignore).select("id", json.alias("json")).select("id", F.sha2(F.col("json").cast("binary"), 256).alias("key"))
+
+
+def patterns(schema: list[tuple]) -> list[str]:
+    """The patterns of a schema and those above them, which problems looks at."""
+    return sorted({x for p, *_ in schema for x in (p, re.sub(r"\.[^.\[\]]+$", "", p))})
 
 
 def problems(found: DataFrame, schema: list[tuple]) -> DataFrame:
@@ -95,17 +199,15 @@ def problems(found: DataFrame, schema: list[tuple]) -> DataFrame:
     """
     spark = found.sparkSession
     rules = spark.createDataFrame([(p, k, r, None if a is None else float(a), None if b is None else float(b), x) for p, k, r, a, b, x in schema], "pattern string, wanted string, required boolean, least double, most double, allowed array<string>")
-    rules = F.broadcast(rules)  # the schema's own rows
+    # What is judged at a pattern: its own kind and bounds, and the keys that its objects need; the schema's own rows.
+    needed = rules.where("required").select(F.regexp_extract("pattern", r"^(.*)\.[^.\[\]]+$", 1).alias("pattern"), F.regexp_extract("pattern", r"([^.\[\]]+)$", 1).alias("needed"))
+    judged = F.broadcast(rules.unionByName(needed, allowMissingColumns=True))
     number = F.when(F.col("kind") == "number", F.col("text").try_cast("double"))
-    text = F.from_json(F.concat(F.lit('{"s":'), "text", F.lit("}")), "s string")["s"]
+    text = unquoted(F.col("text"))
     problem = (
-        F.when(F.col("kind") != F.col("wanted"), F.concat(F.lit("is no "), "wanted")).when(number < F.col("least"), "too small").when(number > F.col("most"), "too large")
+        F.when(F.col("needed").isNotNull(), F.when((F.col("kind") == "object") & ~F.array_contains("keys", F.col("needed")), "is missing"))
+        .when(F.col("kind") != F.col("wanted"), F.concat(F.lit("is no "), "wanted")).when(number < F.col("least"), "too small").when(number > F.col("most"), "too large")
         .when((F.col("kind") == "string") & ~F.array_contains("allowed", text), "not allowed")
     )
-    wrong = found.join(rules, "pattern").select("id", "path", problem.alias("problem")).where("problem IS NOT NULL")
-    parent = F.regexp_extract("pattern", r"^(.*)\.[^.\[\]]+$", 1)
-    needed = rules.where("required").select(parent.alias("pattern"), F.regexp_extract("pattern", r"([^.\[\]]+)$", 1).alias("needed"))
-    places = found.where("kind = 'object'").join(F.broadcast(needed), "pattern").select("id", "path", F.col("needed").alias("key"))
-    there = found.where("key IS NOT NULL").select("id", F.col("parent").alias("path"), "key")
-    lacking = places.join(there, ["id", "path", "key"], "left_anti").select("id", F.concat("path", F.lit("."), "key").alias("path"), F.lit("is missing").alias("problem"))
-    return wrong.union(lacking)
+    path = F.when(F.col("needed").isNotNull(), F.concat("path", F.lit("."), "needed")).otherwise(F.col("path"))
+    return found.join(judged, "pattern").select("id", path.alias("path"), problem.alias("problem")).where("problem IS NOT NULL")

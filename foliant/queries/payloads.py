@@ -15,14 +15,15 @@ DROPPED = r"image|urn|^multilocale"
 
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id and json of every customer, with orders, links, references and empty values."""
-    url = F.concat(F.lit("https://files/"), F.col("o_orderkey").cast("string"))
-    order = F.struct(
-        F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.struct(url.alias("url"), F.lit(1).alias("size")).alias("coverImage"),
-        F.array(F.struct(F.concat(F.lit("see  ["), F.col("o_orderpriority"), F.lit("]("), url, F.lit(")")).alias("text"), F.lit("").alias("alt"))).alias("notes"),
-    )
-    held = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(order)).alias("orders"))
+    held = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus", "o_orderpriority"))).alias("orders"))
+
+    def order(o: Column) -> Column:
+        url = F.concat(F.lit("https://files/"), o["o_orderkey"].cast("string"))
+        note = F.struct(F.concat(F.lit("see  ["), o["o_orderpriority"], F.lit("]("), url, F.lit(")")).alias("text"), F.lit("").alias("alt"))
+        return F.struct(o["o_orderkey"].alias("id"), o["o_orderstatus"].alias("status"), F.struct(url.alias("url"), F.lit(1).alias("size")).alias("coverImage"), F.array(note).alias("notes"))
+
     empty = F.struct(F.lit(None).cast("string").alias("nothing"), F.struct(F.lit("urn:x:1").alias("ref")).alias("inner"))
-    c = table(spark, sf_dir, "customer").join(held, F.col("o_custkey") == F.col("c_custkey"), "left")
+    c = table(spark, sf_dir, "customer").join(held, F.col("o_custkey") == F.col("c_custkey"), "left").withColumn("orders", F.transform("orders", order))
     whole = F.struct(F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"), F.concat(F.lit("urn:c:"), F.col("c_custkey").cast("string")).alias("entityUrn"), empty.alias("extra"), "orders", F.concat(F.lit("www.x.com/"), F.col("c_custkey").cast("string")).alias("site"))
     return c.select(F.col("c_custkey").alias("id"), F.to_json(whole, {"ignoreNullFields": "false"}).alias("json"))
 
@@ -53,7 +54,7 @@ def schema_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("$.name", "string", True, None, None, None), ("$.nation", "number", True, 5, None, None), ("$.orders", "array", True, None, None, None), ("$.orders[*].status", "string", True, None, None, ["F", "O"]),
         ("$.orders[*].total", "number", True, 0, None, None), ("$.orders[*].notes[*].text", "number", False, None, None, None),
     ]
-    return nested.problems(nested.nodes(payloads(spark, sf_dir)), schema)
+    return nested.problems(nested.nodes(payloads(spark, sf_dir), patterns=nested.patterns(schema)), schema)
 
 
 @query(f"""WITH {_ORDERS} SELECT c_custkey AS id, sha256(concat('{{"extra":{{"inner":{{"ref":"urn:x:1"}},"nothing":null}},"name":"', c_name, '","nation":', c_nationkey, ',"orders":', CASE WHEN os IS NULL THEN 'null' ELSE concat('[', array_to_string(list_transform(os, lambda o: concat('{{"id":', o.id, ',"notes":[{{"alt":"","text":"see  [', o.p, '](https://files/', o.id, ')"}}],"status":"', o.s, '"}}')), ','), ']') END, ',"site":"www.x.com/', c_custkey, '"}}')) AS key
@@ -67,6 +68,6 @@ def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT id, concat('$.orders[', i, '].coverImage.url') AS path, concat('"file:', r.id, '"') AS text FROM o JOIN customer ON c_custkey = id UNION ALL SELECT id, concat('$.orders[', i, '].notes[0].text'), concat('"see  [', r.p, '](file:', r.id, ')"') FROM o JOIN customer ON c_custkey = id""")
 def attachment_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The strings of payloads that hold an attachment's address, with what stands for it."""
-    found = nested.nodes(payloads(spark, sf_dir))
+    found = nested.nodes(payloads(spark, sf_dir), kinds=("string",))
     fresh = nested.strings(found, lambda s: F.replace(s, F.lit("https://files/"), F.lit("file:")))
-    return fresh.where("kind = 'string' AND contains(text, 'file:')").select("id", "path", "text")
+    return fresh.where("contains(text, 'file:')").select("id", "path", "text")

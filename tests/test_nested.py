@@ -59,3 +59,26 @@ def test_schema_problems_have_paths(spark):
     rows = [(1, '{"a": 5, "b": [{"c": "x"}, {"c": "z", "d": 1}, {}]}'), (2, '{"a": -1}'), (3, '{"a": 10, "b": []}'), (4, '{"a": "5", "b": {"c": 1}}'), (5, "{}"), (6, None)]
     got = sorted(tuple(x) for x in nested.problems(nested.nodes(spark.createDataFrame(rows, "id long, json string")), schema).collect())
     assert got == [(1, "$.b[1].c", "not allowed"), (1, "$.b[1].d", "is no boolean"), (1, "$.b[2].c", "is missing"), (2, "$.a", "too small"), (3, "$.a", "too large"), (4, "$.a", "is no number"), (5, "$.a", "is missing")]
+
+
+def test_documents_are_opened_within_their_task(spark, monkeypatch):
+    def refuse(df):
+        raise AssertionError("a round was written")
+
+    monkeypatch.setattr(nested, "settled", refuse)
+    r = random.Random(9)
+    docs = {i: tree(r, 5) for i in range(60)} | {900: {"a\x01\n": 'x"\\\x1f', "image": {"b": "gone"}, "b": [1.5, -0.0, 10**30, 1e-7]}}
+    table = spark.createDataFrame([(i, json.dumps(x)) for i, x in docs.items()] + [(901, None), (902, "{")], "id long, json string")
+    every = nested.nodes(table)
+    rows = lambda df: sorted(map(repr, df.collect()))
+    assert rows(nested.nodes(table, patterns=["$.b[*].a", "$.a"])) == rows(every.where("pattern IN ('$.b[*].a', '$.a')")) != []
+    assert rows(nested.nodes(table, kinds=("string",))) == rows(every.where("kind = 'string'")) != []
+    assert nested.nodes(table, patterns=["$.none"]).count() == 0
+    spelt = every.where("kind = 'string'").select("text", nested.quoted(nested.unquoted(F.col("text"))).alias("again")).collect()
+    assert all(x.text == x.again for x in spelt) and any("u001F" in x.text for x in spelt)
+    schema = [("$.a", "number", True, 0, 9, None), ("$.b[*].a", "string", True, None, None, ["text"])]
+    found = nested.problems(nested.nodes(table, patterns=nested.patterns(schema)), schema)
+    assert rows(found) == rows(nested.problems(every, schema)) != []
+    for df in (found, nested.cleaned(table, "image", lambda s: F.upper(s)), nested.cache_keys(table, "image$")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan and df.count() > 0
