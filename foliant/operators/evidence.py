@@ -7,7 +7,7 @@ and has as many cells: its root is that of the table above. What a row lacks it
 structure: the row above that names its owner, its column's header, a section row, the text above.
 
 Everything is windows and joins by document; nothing looks at pairs of lines of a document but those
-that a quote's rarest stretch of three characters brings together.
+that a quote's longest key brings together. What a task can do with a whole text is in reading.
 
 Cases: a null or empty text has one blank line; texts without tables have prose only; claims and
 quotes of documents or lines that are not there find nothing. doc_id is unique and not null.
@@ -15,7 +15,9 @@ quotes of documents or lines that are not there find nothing. doc_id is unique a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -248,9 +250,47 @@ def assigned(candidates: list[list[tuple[int, bool]]]) -> list[int | None]:
     """A line for each fragment from its candidates (line, whether it names the holder), none twice.
 
     As many fragments as can have one do, as many of those as can have a line that names the holder;
-    of such assignments the one whose first fragments have the earliest lines. Lines enter one by one,
-    the naming ones first, if fragments can be moved along a path so that all that are in stay in.
+    of such assignments the one whose first fragments have the earliest lines. Fragments that share no
+    line, nor through others, are settled apart.
     """
+    users: dict[int, list[int]] = {}
+    for f, own in enumerate(candidates):
+        for line, _ in own:
+            users.setdefault(line, []).append(f)
+    out: list[int | None] = [None] * len(candidates)
+    met: set[int] = set()
+    asked: set[int] = set()
+    for start in range(len(candidates)):
+        if start in met:
+            continue
+        met.add(start)
+        group, waiting = [], [start]
+        while waiting:
+            f = waiting.pop()
+            group.append(f)
+            for line, _ in candidates[f]:
+                if line not in asked:
+                    asked.add(line)
+                    more = [g for g in users[line] if g not in met]
+                    met.update(more)
+                    waiting += more
+        group.sort()
+        own = [candidates[f] for f in group]
+        wants = set(own[0])
+        settled_ = _shared(wants, len(group)) if all(len(x) == len(own[0]) and set(x) == wants for x in own[1:]) else _matched(own)
+        for f, line in zip(group, settled_):
+            out[f] = line
+    return out
+
+
+def _shared(lines: set[tuple[int, bool]], n: int) -> list[int | None]:
+    """assigned for n fragments with the same candidates."""
+    used = sorted(line for line, _ in sorted(lines, key=lambda x: (not x[1], x[0]))[:n])
+    return used + [None] * (n - len(used))
+
+
+def _matched(candidates: list[list[tuple[int, bool]]]) -> list[int | None]:
+    """assigned by trial: lines enter one by one, the naming ones first, if fragments can be moved along a path so that all that are in stay in."""
     naming = {line: named for own in candidates for line, named in own}
     order = sorted(naming, key=lambda line: (not naming[line], line))
     wants = [[line for line, _ in own] for own in candidates]
@@ -287,7 +327,7 @@ def assigned(candidates: list[list[tuple[int, bool]]]) -> list[int | None]:
     return [fixed[f] for f in range(len(wants))]
 
 
-def _fits(quoted: list[str], cells: list[str]) -> bool:
+def fits(quoted: list[str], cells: list[str]) -> bool:
     """cells_match of keys at hand."""
     at, cell = 0, ""
     for k in quoted:
@@ -301,34 +341,48 @@ def _fits(quoted: list[str], cells: list[str]) -> bool:
     return bool(quoted)
 
 
+class Rows:
+    """The rows of a document (idx, keys of cells, key and words), to find those that a fragment stands in."""
+
+    def __init__(self, rows: Iterable[tuple[int, list[str], str, str]]):
+        self.rows = list(rows)
+        #: All rows' keys in one text, and where each begins in it.
+        self.all = "\n".join(key for _, _, key, _ in self.rows)
+        self.begins = [0, *accumulate(len(key) + 1 for _, _, key, _ in self.rows)]
+
+    def holding(self, text: str) -> Iterator[int]:
+        """Numbers of the rows whose keys hold the text."""
+        at = self.all.find(text)
+        while at >= 0:
+            i = bisect_right(self.begins, at) - 1
+            yield i
+            at = self.all.find(text, self.begins[i + 1])
+
+    def candidates(self, keys: list[str], piped: bool, solid: bool, who_key: str, who_words: set[str]) -> list[tuple[int, bool]]:
+        """idx and whether it names the holder of the rows that a fragment of these keys stands in."""
+        if not solid or not keys:
+            return []
+        longest = max((k for k in keys if k.lower() not in ZEROS), key=len, default="")
+        out = []
+        for i in self.holding(longest) if longest else range(len(self.rows)):
+            idx, cells, key, words = self.rows[i]
+            if fits(keys, cells) if piped else keys[0] in key:
+                named = bool(who_key and key) and (who_key == key or len(who_key) >= 4 and who_key in key or bool(who_words) and who_words <= set(words.split(" ")))
+                out.append((int(idx), named))
+        return out
+
+
 def _placed(asked: pd.DataFrame, rows: pd.DataFrame) -> Iterator[tuple]:
-    """quote_id, nth, fragment and the row of its own of every fragment of a document's quotes. A fragment meets the rows that hold its rarest three characters."""
-    grams = lambda k: {k[i : i + 3] for i in range(len(k) - 2)}
-    parted = [[k for k in keys.split("|") if k] for keys in asked["keys"]]
-    long = [set().union(*[grams(k) for k in keys if k.lower() not in ZEROS]) if solid else set() for keys, solid in zip(parted, asked["solid"])]
-    held: dict[str, list[int]] = {gram: [] for own in long for gram in own}
-    known = list(zip(rows["idx"], rows["cells"], rows["key"], rows["words"])) if len(rows) else []
-    for i, (_, _, key, _) in enumerate(known):
-        for gram in grams(key) & held.keys():
-            held[gram].append(i)
+    """quote_id, nth, fragment and the row of its own of every fragment of a document's quotes. A fragment meets the rows that hold its longest key."""
+    known = Rows(zip(rows["idx"], (c.split("|") for c in rows["cells"]), rows["key"], rows["words"]) if len(rows) else [])
+    split = lambda text, by: [x for x in (text or "").split(by) if x]
     quotes: dict = {}
-    for at, (quote, own) in enumerate(zip(asked["quote_id"], long)):
-        quotes.setdefault(quote, []).append((asked["nth"].iat[at], at, own))
+    for at, quote in enumerate(asked["quote_id"]):
+        quotes.setdefault(quote, []).append((asked["nth"].iat[at], at))
     for quote, parts in quotes.items():
         parts.sort()
-        lines = []
-        for _, at, own in parts:
-            keys, who = parted[at], [w for w in (asked["who_words"].iat[at] or "").split(" ") if w]
-            met = [] if not asked["solid"].iat[at] else min((held[g] for g in own), key=len) if own else range(len(known))
-            found = []
-            for i in met:
-                idx, cells, key, words = known[i]
-                if _fits(keys, cells.split("|")) if asked["piped"].iat[at] else keys and keys[0] in key:
-                    name = asked["who_key"].iat[at] or ""
-                    named = bool(name and key) and (name == key or len(name) >= 4 and name in key or bool(who) and set(who) <= set(words.split(" ")))
-                    found.append((int(idx), named))
-            lines.append(found)
-        for (nth, at, _), idx in zip(parts, assigned(lines)):
+        found = [known.candidates(split(asked["keys"].iat[at], "|"), asked["piped"].iat[at], asked["solid"].iat[at], asked["who_key"].iat[at] or "", set(split(asked["who_words"].iat[at], " "))) for _, at in parts]
+        for (nth, at), idx in zip(parts, assigned(found)):
             yield quote, nth, asked["fragment"].iat[at], idx
 
 
