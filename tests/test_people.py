@@ -126,3 +126,25 @@ def test_fragment_meets_all_lines_at_once():
     each = [common_characters(x, y) for y in ys]
     middle = clock()
     assert common_with_each(x, ys).tolist() == each and clock() - middle < (middle - began) / 3
+
+
+@pytest.mark.parametrize("grouped", [False, True])
+def test_a_merge_scans_no_marks_and_starts_no_task_code_for_single_records(spark, monkeypatch, grouped):
+    # A fold gets the links of its names: it neither marks strings nor compares a record with all people.
+    def none(*_):
+        raise AssertionError("all people of a group were looked through")
+
+    rows = some(90, 40) + [(1000 + i, f"{chr(97 + i % 26) * 4} {chr(98 + i % 24) * 5}{i}", "", ["a@x.com", "a@x.com"] if i == 0 else []) for i in range(30)]
+    policy = people.grouped_fold if grouped else people.fold
+    plain = lambda ps: sorted((p.seq, sorted(p.members), p.full_name, p.profile, list(p.emails)) for p in ps)
+    want = plain(policy(as_people(rows)))
+    for name in ("add", "near", "parts"):
+        monkeypatch.setattr(people.Marks, name, none)
+    all_ = [[x for x in (p.full_name.lower(), people._sorted_words(people._normal(p.full_name)), people._sorted_words(people._slug(p.full_name))) if x] for p in as_people(rows)]
+    told = {people._sorted_words(h) for p in as_people(rows) for h in (people._hints(p.profile, p.emails) if grouped else map(people._local, p.emails))}
+    names_ = {x for own in all_ for x in own}
+    # More links than are needed change nothing.
+    links = people.Links([(a, b) for a in names_ for b in names_ if a < b], [(a, b) for a in names_ for b in told])
+    assert plain(policy(as_people(rows), links)) == want
+    got = people.merged(frame(spark, rows), grouped)
+    assert sorted((r.person, list(r.members), r.full_name, r.profile, list(r.emails)) for r in got.collect()) == want
