@@ -59,25 +59,30 @@ def bm25_weights(docs: DataFrame, asked: DataFrame) -> DataFrame:
     """doc_id, term, weight (document's and collection's share) of all terms that are asked for (asked: query, term).
 
     One pass over the texts looks each token up among the asked terms and writes each document's
-    counts of those that are found; an empty term stands for the document itself. The number of
-    documents, their frequencies and the weights are read from that table.
+    counts of those that are found as one text ("term=count", apart by blanks, which no term holds);
+    an empty term stands for the document itself. The number of documents, their frequencies and the
+    weights are read from that table, term by term but without being written again.
     """
     terms = F.broadcast(asked.select("term").union(asked.sparkSession.range(1).select(F.lit("").alias("term"))).distinct())  # what is asked for
     held = docs.select("doc_id", tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("n"), F.array_append("t", F.lit("")).alias("t"))
     # The outer form: the other one would tokenise a second time to leave out empty arrays.
     found = held.select("doc_id", "n", F.explode_outer("t").alias("term")).join(terms, "term", "left_semi")
-    posts = settled(found.groupBy("doc_id", "n", "term").agg(F.count("*").alias("tf")))
+    # Dealt by document once: both counts below stay in their part.
+    counts = found.repartition("doc_id", "n").groupBy("doc_id", "n", "term").agg(F.count("*").alias("tf"))
+    lists = settled(counts.groupBy("doc_id", "n").agg(F.array_join(F.collect_list(F.concat("term", F.lit("="), F.col("tf").cast("string"))), " ").alias("posts")))
+    each = lists.select("doc_id", "n", F.explode(F.split("posts", " ")).alias("post"))
+    posts = each.select("doc_id", "n", F.substring_index("post", "=", 1).alias("term"), F.substring_index("post", "=", -1).cast("long").alias("tf"))
     size = posts.where("term = ''").agg(F.sum(F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).alias("docs"))
     wanted = posts.where("term <> ''").select("doc_id", "term", _weight(F.col("tf"), F.col("n")).alias("weight"))
-    df = wanted.groupBy("term").agg(F.count("*").alias("df"))
+    df = posts.where("term <> ''").groupBy("term").agg(F.count("*").alias("df"))
     idf = df.join(F.broadcast(size)).select("term", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # one row
-    return wanted.join(idf, "term").select("doc_id", "term", (F.col("weight") * F.col("idf")).alias("weight"))
+    return wanted.join(F.broadcast(settled(idf)), "term").select("doc_id", "term", (F.col("weight") * F.col("idf")).alias("weight"))  # what is asked for
 
 
 def bm25_top_k(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """query, rank, doc_id, score: the k best documents that share a term with a query (asked: query, term)."""
     own = settled(asked)
-    return weight_top_k(settled(bm25_weights(docs, own)), own, k)
+    return weight_top_k(bm25_weights(docs, own), own, k)
 
 
 _ASKED = ", ".join(f"({q}, '{w}')" for q, t in QUERIES for w in sorted(set(t.split())))

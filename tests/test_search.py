@@ -44,3 +44,37 @@ def test_tokens_are_looked_up_among_asked_terms(spark, monkeypatch):
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-12) for k in want)
     # Comparing a document's tokens with all terms grows with both.
     assert plans[0].count("regexp_extract_all") == 1 and "LeftSemi" in plans[0] and "array_intersect" not in plans[0]
+
+
+def test_rows_are_shuffled_once_and_postings_written_once(spark, sf, monkeypatch):
+    import foliant.queries  # noqa: F401  registers the named queries
+    from foliant.plans import registry
+    from foliant.queries import retrieval
+
+    assert search.ASKED > 512 * 100  # each block of queries is one more copy of all rows
+    written, settled = [], retrieval.settled
+    monkeypatch.setattr(retrieval, "settled", lambda df: written.append(df.columns) or settled(df))
+    docs = spark.createDataFrame([(i, "aa bb aa") for i in range(5)] + [(7, "aa"), (7, "aa"), (8, "")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "aa"), (2, "bb"), (2, "cc")], "query long, term string")
+    got = retrieval.bm25_top_k(docs, asked, 3).collect()
+    assert {(x.query, x.rank): x.doc_id for x in got} == {(1, 1): 7, (1, 2): 0, (1, 3): 1, (2, 1): 0, (2, 2): 1, (2, 3): 2}
+    # A row for each document and for each term, not for each term of each document.
+    assert [c for c in written if "doc_id" in c] == [["doc_id", "n", "posts"]] and not [c for c in written if "weight" in c]
+    assert registry.queries()["hybrid_rrf"](spark, sf).count() > 0
+
+
+def test_nearest_rows_in_slices_equal_all_pairs(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(search, "AT_ONCE", 50)
+    r = np.random.default_rng(3)
+    v = r.integers(-2, 3, (60, 4)) + np.array([0.5, 0, 0, 0])  # many equal scores
+    rows = [(i, [float(x) for x in v[i]], 0) for i in range(60)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    queries = vectors.where("vec_id % 5 = 0").select(vectors.vec_id.alias("query"), "embedding")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    scores = np.round(unit @ unit.T, 6) + 0.0
+    want = {(q, n + 1): i for q in range(0, 60, 5) for n, i in enumerate(sorted((i for i in range(60) if i != q), key=lambda i: (-scores[q][i], i))[:7])}
+    for block in (8192, 9):
+        monkeypatch.setattr(search, "BLOCK", block)
+        assert {(x.query, x.rank): x.vec_id for x in search.cosine_top_k(vectors, queries, 7).collect()} == want
